@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import matroska, simhash, warc
+from . import license_scan, line_dedup, matroska, simhash, warc
 
 QUERIES = {
+    "op2_license_scan": license_scan.query,
     "op6_simhash": simhash.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_media": matroska.query,
     "op9_warc": warc.query,
 }
 
-SQL = {"op9_warc": warc.SQL}
+SQL = {
+    "op2_license_scan": license_scan.SQL,
+    "op7_line_dedup": line_dedup.SQL,
+    "op9_warc": warc.SQL,
+}
