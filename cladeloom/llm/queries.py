@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, matroska, simhash, warc
+from . import decontaminate, license_scan, line_dedup, matroska, packing, simhash, warc
 
 QUERIES = {
     "op2_license_scan": license_scan.query,
+    "op3_packing": packing.query,
     "op6_simhash": simhash.query,
     "op7_line_dedup": line_dedup.query,
     "op8_media": matroska.query,
     "op9_warc": warc.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 SQL = {
