@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, matroska, packing, simhash, warc
+from . import decontaminate, license_scan, line_dedup, matroska, packing, quality, simhash, warc
 
 QUERIES = {
     "op2_license_scan": license_scan.query,
     "op3_packing": packing.query,
+    "op4_quality": quality.query,
     "op6_simhash": simhash.query,
     "op7_line_dedup": line_dedup.query,
     "op8_media": matroska.query,
