@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, matroska, packing, quality, simhash, warc
+from . import decontaminate, license_scan, line_dedup, matroska, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_license_scan": license_scan.query,
     "op3_packing": packing.query,
     "op4_quality": quality.query,
