@@ -22,7 +22,9 @@ empty table gives no pieces; a document of any length is cut; other columns are
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +39,16 @@ WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
-CACHE_WORDS = 400_000
+CACHE_PIECES = 600_000
+VOCABULARY = 1 << 16
 
-# Control characters that str.split takes for blanks and the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
+# Texts of these characters only are cut by a plain pattern: ASCII without the four controls that
+# count as blanks in Python alone, and the Latin-1 letters.
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PLAIN_PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+# Fixed value: the pre-tokenizer's pattern, as the tokenizer file states it.
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WHOLE = re.compile("[\x1c-\x1f\u03a3]|<\\|")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,76 +57,101 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Token ids by blank-separated word, with a bounded cache.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes
+    stand for themselves, the others for the letters from U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
-    Texts with control characters that count as blanks here only are encoded whole.
+
+class Encoder(dict):
+    """Token ids of whole texts, through a bounded cache of pieces.
+
+    The tokenizer lower-cases, cuts a text into pieces and encodes each by itself, so a text's ids
+    are its pieces' ids.  Texts in which cutting could differ (final sigma, control characters,
+    special tokens) are given to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        if self.tokenizer.get_vocab_size() > VOCABULARY:
             raise ValueError("token ids must fit two bytes")
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pieces = regex.compile(_PIECE).findall
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model
+
+    def __missing__(self, piece: str) -> bytes:
+        text = piece if piece.isascii() and piece.isalpha() else "".join(self.letters[b] for b in piece.encode())
+        out = self[piece] = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return out
+
+    def text(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            pieces = _PLAIN_PIECE.findall(text.lower())
+        elif _WHOLE.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        else:
+            pieces = self.pieces(unicodedata.normalize("NFC", text).lower())
+        return b"".join(map(self.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(x) else x.split() for x in texts]
-        cache = self.cache
-        new = list({w for ws in split if ws for w in ws if w not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list({w for ws in split if ws for w in ws})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            cache.update(zip(part, self._ids(part)))
+        if len(self) > CACHE_PIECES:
+            self.clear()
         end = np.array([END_ID], np.uint16).tobytes()
-        get = cache.__getitem__
-        return [(b"".join(map(get, ws)) if ws is not None else self._ids([x])[0]) + end for ws, x in zip(split, texts)]
+        return [self.text(x) + end for x in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``(id, ids, n)``: token ids as little-endian two-byte integers, the end id last."""
+    """``(id, ids, n)``: token ids as little-endian two-byte integers, the end id last.
+
+    Every task adds one row of figures, told by a negative ``n``: in how many of its documents
+    each id stands, as eight-byte integers.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
+        df = np.zeros(VOCABULARY, np.int64)
+        names = [id_col, "ids", "n"]
+        none = None
         for batch in batches:
+            none = pa.nulls(1, batch.column(0).type)
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 got = _ENCODERS[path].encode([x or "" for x in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary()), pa.array([len(x) // 2 for x in got], pa.int64())], names=[id_col, "ids", "n"])
+                for ids in got:
+                    df[np.unique(np.frombuffer(ids, np.uint16))] += 1
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary()), pa.array([len(x) // 2 for x in got], pa.int64())], names=names)
+        if none is not None:
+            yield pa.RecordBatch.from_arrays([none, pa.array([df.tobytes()], pa.binary()), pa.array([-1], pa.int64())], names=names)
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n long")
 
 
-def document_frequencies(tokens: DataFrame, vocabulary: int = 1 << 16) -> np.ndarray:
-    """In how many documents each id stands; bounded by the vocabulary."""
+def document_frequencies(tokens: DataFrame) -> np.ndarray:
+    """In how many documents each id stands; tasks add up what they read before it is summed by
+    term, and what comes back is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(vocabulary, np.int64)
+        df = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                df[np.unique(np.frombuffer(raw, np.uint16))] += 1
+                df += np.frombuffer(raw, np.int64)
         own = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(df[own])], names=["term", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(vocabulary, np.int64)
-    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    rows = tokens.filter("n < 0").select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(VOCABULARY, np.int64)
+    out[rows["term"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
@@ -218,8 +251,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     tokens = scratch.table(tokenize(docs, id_col, text_col, tokenizer), "tokens")
-    n_docs, n_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens)
+    tokens = tokens.filter("n >= 0")
+    n_docs, n_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean_length = n_tokens / max(n_docs, 1)
     shards = max(1, round(n_tokens / shard_tokens))
