@@ -13,11 +13,16 @@ pairs within a key are made.  Keys are hashes: a running XOR of word hashes salt
 position from the start (before ``i``) and from the end (after ``i``).  Equal keys are verified by
 comparing the words.
 
-Before variants are emitted, an exact filter: two lines within one edit share their first or last
-half, so lines whose half keys nobody shares emit nothing.
+Before variants are emitted, an exact filter: one edit leaves the first or the last quarter (at
+least) of a line as it is.  A line of ``n`` words has ends of ``p`` words, half the largest power
+of two up to ``n``; a line whose ``n`` is itself a power of two also has the ends of ``n - 1``
+words, so that both lines of a pair have ends of one size.  Lines whose ends nobody shares emit
+nothing.
 
-Exact copies are folded by a 128-bit hash with a map-side combined minimum, and line text is only
-moved for the lines that pass the half filter.  All of it is DataFrame expressions.
+Exact copies are folded by a 128-bit hash with a map-side combined minimum.  Line text is only
+moved for lines that pass the filter: their hashes modulo ``SIEVE`` are broadcast, which bounds
+that table, and lines that slip through cost time, not correctness.  All of it is DataFrame
+expressions.
 
 Defined cases: null text has no lines and stays null; repeated rows (equal id and text) count as
 one occurrence and fare alike; of equal lines at one place (a tie) all stay; a null id sorts first;
@@ -33,6 +38,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, keep, read
 
 MIN_WORDS = 8
+SIEVE = 1 << 21
 
 
 def _tidy(line: Column) -> Column:
@@ -50,28 +56,31 @@ def _hashes(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
 
-def _half_keys(words: Column) -> Column:
-    """Keys of the halves, taking the shorter line of a pair to have n or n - 1 words."""
-    n = F.size(words)
-    keys = []
-    for short in (0, 1):
-        m = n - short
-        half = (m / 2).cast("int")
-        keys += [F.xxhash64(F.lit("first"), m, F.slice(words, 1, half)), F.xxhash64(F.lit("last"), m, F.slice(words, n - (m - half) + 1, m - half))]
-    return F.array(*keys)
+def _end_keys(min_words: int) -> Column:
+    """Keys of a line's first and last words, in one or two sizes; none for a short line."""
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
 
+    def ends(m: Column) -> list[Column]:
+        p = F.call_function("shiftleft", F.lit(1), F.length(F.bin(m)) - 2)
+        cut = lambda k: F.call_function("substring_index", F.col("line"), F.lit(" "), k)
+        return [F.xxhash64(F.lit("first"), p, cut(p)), F.xxhash64(F.lit("last"), p, cut(-p))]
 
-def _near(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    both = F.when((n > min_words) & (n.bitwiseAND(n - 1) == 0), F.array(*ends(n), *ends(n - 1))).otherwise(F.array(*ends(n)))
+    return F.when(n >= min_words, both).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def _near(docs: DataFrame, every: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """``(h1, h2, near_first)``: for a distinct line, the earliest near line that is earlier."""
-    keyed = lines.filter("size(halves) > 0").select("h1", "h2", F.explode("halves").alias("k"))
+    keyed = every.select("h1", "h2", F.explode("ends").alias("k"))
     shared = keyed.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("k")
-    some = keyed.join(shared, "k", "left_semi").select("h1", "h2").distinct()
-    some = lines.select("h1", "h2", "first").join(some, ["h1", "h2"], "left_semi")
+    some = scratch.table(keyed.join(shared.hint("shuffle_hash"), "k", "left_semi").select("h1", "h2").distinct(), "some")
 
-    at = some.select("h1", "h2", F.col("first.id").alias("id"), F.col("first.th").alias("th"), F.col("first.pos").alias("pos"), "first")
-    source = _occurrences(docs, id_col, text_col).withColumnRenamed("id", "_id").withColumnRenamed("th", "_th").withColumnRenamed("pos", "_pos")
-    text = source.join(at, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")) & (F.col("_pos") == F.col("pos"))).select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"])
-    text = scratch.table(text.withColumn("words", F.split("line", " ")).drop("line"), "near_lines")
+    sieve = some.select(F.pmod("h1", F.lit(SIEVE)).alias("r")).distinct()
+    source = _hashes(_occurrences(docs, id_col, text_col).select("line"))
+    text = source.join(F.broadcast(sieve), F.pmod("h1", F.lit(SIEVE)) == F.col("r"), "left_semi")
+    text = text.groupBy("h1", "h2").agg(F.any_value("line").alias("line")).join(some, ["h1", "h2"], "left_semi")
+    text = text.join(lines.select("h1", "h2", "first"), ["h1", "h2"])
+    text = scratch.table(text.select("h1", "h2", "first", F.split("line", " ").alias("words")), "near_lines")
 
     words = text.select("h1", "h2", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
     words = words.select("h1", "h2", "n", "i", F.xxhash64("i", "w").alias("from_start"), F.xxhash64(F.col("n") - F.col("i"), "w").alias("from_end"))
@@ -88,10 +97,12 @@ def _near(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text
     variants = words.select("h1", "h2", F.explode(F.when(F.col("i") == F.col("n") - 1, F.array(deleted, gap, last)).otherwise(F.array(deleted, gap))).alias("v"))
     variants = variants.select("h1", "h2", F.xxhash64("v.m", "v.at", "v.a", "v.b").alias("key"), F.col("v.at").alias("at"), F.col("v.m").alias("m"))
 
-    firsts = text.select("h1", "h2", "first")
-    variants = variants.join(firsts, ["h1", "h2"])
-    low = variants.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("low"), F.max("h1").alias("hi"), F.min("h1").alias("lo")).filter("lo <> hi")
-    pairs = variants.join(low.select("key", "low"), "key").filter(F.col("low.first") < F.col("first"))
+    variants = scratch.table(variants, "variants")
+    met = variants.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key")
+    few = variants.join(met.hint("shuffle_hash"), "key", "left_semi").join(text.select("h1", "h2", "first"), ["h1", "h2"])
+    few = scratch.table(few, "met")
+    low = few.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("low"))
+    pairs = few.join(low, "key").filter(F.col("low.first") < F.col("first"))
     pairs = pairs.select("h1", "h2", "m", "at", F.col("low.h1").alias("g1"), F.col("low.h2").alias("g2")).distinct()
 
     mine = text.select("h1", "h2", F.col("words").alias("x"))
@@ -108,14 +119,10 @@ def _near(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text
 def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, th, removed, near)`` per document row with lines to drop: line numbers, sorted."""
     scratch = Scratch(docs.sparkSession, "lines")
-    every = _hashes(_occurrences(docs, id_col, text_col))
-    words = F.split("line", " ")
-    halves = F.when(F.size(words) >= min_words - 1, _half_keys(words)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    every = scratch.table(every.select("id", "th", "pos", "h1", "h2", halves.alias("halves")), "occurrences")
-    place = F.struct("id", "th", "pos")
-    lines = scratch.table(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")), "distinct")
-    near = _near(docs, lines, scratch, id_col, text_col, min_words)
-    # a line's own text length decides whether it may be near another
+    every = _hashes(_occurrences(docs, id_col, text_col)).select("id", "th", "pos", "h1", "h2", _end_keys(min_words).alias("ends"))
+    every = scratch.table(every, "occurrences")
+    lines = scratch.table(every.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")), "distinct")
+    near = _near(docs, every, lines, scratch, id_col, text_col)
     fate = lines.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("n > 1 or near_first is not null")
     out = every.select("id", "th", "pos", "h1", "h2").join(fate, ["h1", "h2"])
     same_place = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.pos") == F.col("pos"))
@@ -158,7 +165,7 @@ WITH o AS (
 ), l AS (
   SELECT line, min((doc_id, pos)) AS first, string_split(line, ' ') AS ws FROM o WHERE line <> '' GROUP BY line
 ), e AS (
-  SELECT line, first, ws, len(ws) AS n FROM l WHERE len(ws) >= {MIN_WORDS} - 1
+  SELECT line, first, ws, len(ws) AS n FROM l WHERE len(ws) >= {MIN_WORDS}
 ), v AS (
   SELECT line, first, n, n - 1 AS m, i, md5(array_to_string(ws[1:i], ' ') || '|' || array_to_string(ws[i + 2:], ' ')) AS key
   FROM e, unnest(range(0, n)) u(i)
