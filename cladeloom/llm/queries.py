@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, matroska, packing, quality, simhash, toxicity, warc
+from . import decontaminate, language_model, license_scan, line_dedup, matroska, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_license_scan": license_scan.query,
     "op3_packing": packing.query,
     "op4_quality": quality.query,
+    "op5_language_model": language_model.query,
     "op6_simhash": simhash.query,
     "op7_line_dedup": line_dedup.query,
     "op8_media": matroska.query,
