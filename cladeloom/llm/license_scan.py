@@ -62,12 +62,16 @@ def _word_string(text: Column) -> Column:
 
 
 def _places(words: Column, phrase: str) -> Column:
-    """Word positions at which a phrase stands."""
+    """Word positions at which a phrase stands.  The words are bound once, as a lambda's variable."""
     want = phrase.split()
-    return F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size(words) - len(want), F.lit(0))),
-        lambda i: _all(F.get(words, i + k).eqNullSafe(F.lit(w)) for k, w in enumerate(want)),
+    found = F.transform(
+        F.array(words),
+        lambda ws: F.filter(
+            F.sequence(F.lit(0), F.greatest(F.size(ws) - len(want), F.lit(0))),
+            lambda i: _all(F.get(ws, i + k).eqNullSafe(F.lit(w)) for k, w in enumerate(want)),
+        ),
     )
+    return found[0]
 
 
 def _all(conditions) -> Column:
@@ -81,10 +85,10 @@ def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """``(id, row_hash, n_words, n_base, first_word, last_word, base_label_set)`` per row."""
     phrases = BASE if phrases is None else phrases
     rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("row_hash"), _word_string(F.col(text_col)).alias("s"))
-    padded = F.concat(F.lit(" "), F.col("s"), F.lit(" "))
+    rows = rows.withColumn("padded", F.concat(F.lit(" "), F.col("s"), F.lit(" ")))
     none = F.expr("cast(array() as array<int>)")
-    found = {label: F.when(padded.contains(f" {p} "), _places(F.split("s", " "), p)).otherwise(none) for p, label in phrases.items()}
-    rows = rows.select(id_col, "row_hash", F.when(F.col("s") == "", 0).otherwise(F.length("s") - F.length(F.replace("s", F.lit(" "))) + 1).cast("long").alias("n_words"), *(c.alias(f"_{k}") for k, c in enumerate(found.values())))
+    found = {label: F.when(F.col("padded").contains(f" {p} "), _places(F.split("s", " "), p)).otherwise(none) for p, label in phrases.items()}
+    rows = rows.select(id_col, "row_hash", F.when(F.col("s") == "", 0).otherwise(F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "))) + 1).cast("long").alias("n_words"), *(c.alias(f"_{k}") for k, c in enumerate(found.values())))
     every = F.flatten(F.array(*(F.col(f"_{k}") for k in range(len(found)))))
     labels = F.filter(F.array(*(F.when(F.size(f"_{k}") > 0, F.lit(label)) for k, label in enumerate(found))), lambda x: x.isNotNull())
     return rows.select(
