@@ -52,9 +52,11 @@ class Scratch:
         sc = spark.sparkContext
         self._gone = weakref.finalize(self, _delete, sc._jvm, sc._jsc, self.path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df``, written and reread; with ``by``, a folder per value of that last column."""
         at = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(at)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:

@@ -37,9 +37,9 @@ from .common import Scratch, read
 
 WINDOW = 4096
 END_ID = 2
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 VOCABULARY = 1 << 16
 
 # Texts of these characters only are cut by a plain pattern: ASCII without the four controls that
@@ -109,10 +109,10 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``(id, ids, n)``: token ids as little-endian two-byte integers, the end id last.
+    """``(id, ids, n, part)``: token ids as little-endian two-byte integers, the end id last; part 0.
 
-    Every task adds one row of figures, told by a negative ``n``: in how many of its documents
-    each id stands, as eight-byte integers.
+    Every task adds one row of part 1: in how many of its documents each id stands, as eight-byte
+    integers.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     path = tokenizer or tokenizer_path()
@@ -121,7 +121,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         df = np.zeros(VOCABULARY, np.int64)
-        names = [id_col, "ids", "n"]
+        names = [id_col, "ids", "n", "part"]
         none = None
         for batch in batches:
             none = pa.nulls(1, batch.column(0).type)
@@ -130,11 +130,11 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
                 got = _ENCODERS[path].encode([x or "" for x in part.column(1).to_pylist()])
                 for ids in got:
                     df[np.unique(np.frombuffer(ids, np.uint16))] += 1
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary()), pa.array([len(x) // 2 for x in got], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary()), pa.array([len(x) // 2 for x in got], pa.int64()), pa.array(np.zeros(len(got), np.int32))], names=names)
         if none is not None:
-            yield pa.RecordBatch.from_arrays([none, pa.array([df.tobytes()], pa.binary()), pa.array([-1], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([none, pa.array([df.tobytes()], pa.binary()), pa.array([0], pa.int64()), pa.array([1], pa.int32())], names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n long, part int")
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -149,7 +149,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
         own = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(df[own])], names=["term", "n"])
 
-    rows = tokens.filter("n < 0").select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.filter("part = 1").select("ids").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(VOCABULARY, np.int64)
     out[rows["term"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -164,6 +164,8 @@ class ShardIndex:
         self.query = []
         for j, ids in enumerate(docs):
             t, tf = np.unique(ids, return_counts=True)
+            weighty = idf[t] > 0
+            t, tf = t[weighty], tf[weighty]
             self.query.append(t)
             terms.append(t)
             tfs.append(tf)
@@ -250,11 +252,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """One row per piece; see the module's docstring."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    tokens = scratch.table(tokenize(docs, id_col, text_col, tokenizer), "tokens")
+    tokens = scratch.table(tokenize(docs, id_col, text_col, tokenizer), "tokens", by="part")
     df = document_frequencies(tokens)
-    tokens = tokens.filter("n >= 0")
+    tokens = tokens.filter("part = 0")
     n_docs, n_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+    # Robertson and Sparck Jones's weight; ids of more than half the documents have none
+    idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 0).astype(np.float32)
     mean_length = n_tokens / max(n_docs, 1)
     shards = max(1, round(n_tokens / shard_tokens))
     kind = docs.schema[id_col].dataType.simpleString()
