@@ -1,0 +1 @@
+"""Species trees from genomes as DataFrame computations."""

@@ -1,6 +1,532 @@
-"""Registry of the engine's own queries and their SQL."""
+"""Every query of the engine by name, with DuckDB SQL where SQL can express it.
+
+Thresholds here are those at which an operator has a visible effect on the test tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dna
+from ..functions.storage import shared_folder
+from ..operators import alignments, families, hits, kmer, ranges, reports, sampling, trees
+from ..sources import fasta
+from . import fixtures as fx
+from . import modes
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+GENES, LENGTH, MAX_DUP, MIN_SPECIES = 250, 500, 10, 4
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = "WITH RECURSIVE " + sql if not sql.lstrip().upper().startswith(("SELECT", "WITH")) else sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ SQL pieces
+
+_RANKED = f"{fx.HITS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY species, gene_id ORDER BY score DESC, line_no DESC, pos DESC) AS rn FROM hits)"
+_KEPT = f"""{_RANKED}, listed AS (SELECT species, gene_id, list(pos ORDER BY rn) AS ps FROM ranked GROUP BY ALL),
+fold AS (
+  SELECT species, gene_id, ps, 1 AS i, cast([] AS bigint[]) AS kept FROM listed
+  UNION ALL
+  SELECT species, gene_id, ps, i + 1, CASE WHEN len(list_filter(kept, lambda k: abs(ps[i] - k) < 2000)) = 0 THEN list_append(kept, ps[i]) ELSE kept END
+  FROM fold WHERE i <= len(ps)
+), kept AS (SELECT species, gene_id, kept FROM fold WHERE i = len(ps) + 1)"""
+_SELECTED = f"{_KEPT}, selected AS (SELECT r.* FROM ranked r JOIN kept k USING (species, gene_id) WHERE rn <= least(len(kept), {MAX_DUP}))"
+_BARE = "replace(seq, '-', '')"
+_RC = f"CASE WHEN strand = '-' THEN reverse(translate({_BARE}, '{dna.CODES}', '{dna.COMPLEMENTS}')) ELSE {_BARE} END"
+_FAMILY = f"""{_SELECTED}, oriented AS (SELECT gene_id, species, rn - 1 AS copy, {_RC} AS seq FROM selected),
+family AS (SELECT * FROM oriented WHERE regexp_full_match(seq, '[ACGTacgt]*'))"""
+_BEST = f"{_RANKED}, best AS (SELECT gene_id, species, {_BARE} AS seq FROM ranked WHERE rn = 1)"
+_SPANS = f"""{fx.GENOME_SQL}, spans AS (
+  SELECT species, rec, cast(length(seq) AS bigint) AS len, cast(coalesce(sum(length(seq)) OVER (PARTITION BY species ORDER BY rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS lo, seq FROM genome)"""
+_POINTS = f"""{_SPANS}, totals AS (SELECT species, cast(sum(len) AS bigint) AS total FROM spans GROUP BY species),
+points AS (SELECT species, cast(j AS int) AS j, cast(concat('0x', substring(md5(concat(species, '#', cast(j AS varchar))), 1, 12)) AS bigint) % total AS off FROM totals, range(0, 50) u(j) WHERE total > 0)"""
+_WINDOWS = f"""{_POINTS}, windows AS (
+  SELECT p.species, p.j, s.rec, p.off - s.lo AS start, substring(s.seq, p.off - s.lo + 1, {LENGTH}) AS seq
+  FROM points p JOIN spans s ON p.species = s.species AND p.off >= s.lo AND p.off < s.lo + s.len WHERE p.off - s.lo + {LENGTH} <= s.len)"""
+
+
+# ------------------------------------------------------------------ genomes and sampling
+
+
+@query("genome_scan", f"{fx.GENOME_SQL} SELECT species, rec, length(seq) AS len, length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS upper FROM genome")
+def genome_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fx.genome(spark, sf_dir)
+    return g.select("species", "rec", F.length("seq").cast("long").alias("len"), dna.upper_count(F.col("seq")).cast("long").alias("upper"))
+
+
+@query("genome_total_length", f"{fx.GENOME_SQL} SELECT species, cast(sum(length(seq)) AS bigint) AS total FROM genome GROUP BY species")
+def genome_total_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.genome(spark, sf_dir).groupBy("species").agg(F.sum(F.length("seq").cast("long")).alias("total"))
+
+
+@query("fasta_roundtrip", f"{fx.GENOME_SQL} SELECT species || '|' || cast(rec AS varchar) AS name, length(seq) AS len, md5(seq) AS digest FROM genome")
+def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "fasta")
+    g = fx.genome(spark, sf_dir).select(F.concat_ws("|", "species", "rec").alias("name"), "seq")
+    fasta.write(g, path)
+    return fasta.read_text(spark, path).select("name", F.length("seq").cast("long").alias("len"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+_DRAWS = f"""{fx.GENOME_SQL}, names AS (SELECT species, row_number() OVER (ORDER BY species) - 1 AS k FROM (SELECT DISTINCT species FROM genome)),
+draws AS (SELECT cast(concat('0x', substring(md5(concat('0#', cast(id AS varchar))), 1, 12)) AS bigint) % (SELECT count(*) FROM names) AS k, count(*) AS n FROM range(0, {GENES}) r(id) GROUP BY 1),
+counts AS (SELECT species, k, coalesce(n, 0) AS draws FROM names LEFT JOIN draws USING (k))"""
+
+
+@query("sample_quota", f"{_DRAWS} SELECT species, draws, cast(coalesce(sum(draws) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS bigint) AS start_id, cast(sum(draws) OVER (ORDER BY k) + 1 AS bigint) AS end_id FROM counts")
+def sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.quota(fx.genome(spark, sf_dir), GENES)
+
+
+@query("record_prefix_sum", f"{_SPANS} SELECT species, rec, len, lo, lo + len AS hi FROM spans")
+def record_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.record_spans(fx.genome(spark, sf_dir))
+
+
+@query("sample_locate", f"{_WINDOWS} SELECT species, j, rec, start, seq FROM windows")
+def sample_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fx.genome(spark, sf_dir)
+    spans = sampling.record_spans(g)
+    return sampling.windows(g, sampling.offsets(spans, 50), LENGTH, spans)
+
+
+@query("sample_filter", f"{fx.GENOME_SQL}, w AS (SELECT species, rec, substring(seq, 1, {LENGTH}) AS seq FROM genome WHERE length(seq) >= {LENGTH}) SELECT species, rec, length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS upper FROM w WHERE regexp_full_match(seq, '[ACGTacgt]*') AND length(regexp_replace(seq, '[^ACGT]', '', 'g')) > 25")
+def sample_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = fx.genome(spark, sf_dir).filter(F.length("seq") >= LENGTH).withColumn("seq", F.substring("seq", 1, LENGTH))
+    kept = w.filter(sampling.passes(LENGTH, 0.05))
+    return kept.select("species", "rec", dna.upper_count(F.col("seq")).cast("long").alias("upper"))
+
+
+@query("sample_per_species", f"{_WINDOWS} SELECT species, count(*) AS fragments FROM windows GROUP BY species")
+def sample_per_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.fragments_per_species(sample_locate(spark, sf_dir))
+
+
+@query("sample_union", f"{_WINDOWS} SELECT species, j, seq FROM windows WHERE j < 10 UNION ALL SELECT species, j, seq FROM windows WHERE j >= 40")
+def sample_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = sample_locate(spark, sf_dir).select("species", "j", "seq")
+    return w.filter("j < 10").unionByName(w.filter("j >= 40"))
+
+
+@query("sample_genes")
+def sample_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_genes(fx.genome(spark, sf_dir), GENES, 200, 0.05)
+
+
+# ------------------------------------------------------------------ hits and families
+
+
+@query("hits_ranked", f"{_RANKED} SELECT species, gene_id, score, line_no, pos, rn FROM ranked WHERE rn <= {MAX_DUP}")
+def hits_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.ranked(fx.hits(spark, sf_dir), MAX_DUP).select("species", "gene_id", "score", "line_no", "pos", F.col("rn").cast("long").alias("rn"))
+
+
+@query("hits_queryhspbest", f"{_RANKED} SELECT species, gene_id, score, line_no, pos FROM ranked WHERE rn <= 2 * 5")
+def hits_queryhspbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.query_best(fx.hits(spark, sf_dir), 5).select("species", "gene_id", "score", "line_no", "pos")
+
+
+@query("hits_nms_count", f"{_KEPT} SELECT species, gene_id, len(kept) AS n_kept, list_sum(kept)::bigint AS pos_sum FROM kept")
+def hits_nms_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = hits.spacing_kept(fx.hits(spark, sf_dir))
+    return k.select("species", "gene_id", F.size("kept").cast("long").alias("n_kept"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x).alias("pos_sum"))
+
+
+@query("hits_selected_compat", f"{_SELECTED} SELECT species, gene_id, score, line_no, pos, rn FROM selected")
+def hits_selected_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.selected(fx.hits(spark, sf_dir), MAX_DUP).select("species", "gene_id", "score", "line_no", "pos", F.col("rn").cast("long").alias("rn"))
+
+
+@query(
+    "hits_selected_spaced",
+    f"""{_KEPT}, wanted AS (SELECT species, gene_id, unnest(kept[1:{MAX_DUP}]) AS pos FROM kept),
+    met AS (SELECT r.*, row_number() OVER (PARTITION BY species, gene_id, pos ORDER BY rn) AS k FROM ranked r JOIN wanted USING (species, gene_id, pos))
+    SELECT species, gene_id, score, line_no, pos, rn FROM met WHERE k = 1""",
+)
+def hits_selected_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.selected_spaced(fx.hits(spark, sf_dir), MAX_DUP).select("species", "gene_id", "score", "line_no", "pos", F.col("rn").cast("long").alias("rn"))
+
+
+@query("hits_revcomp", f"{fx.HITS_SQL} SELECT species, gene_id, line_no, pos, score, {_RC} AS seq FROM hits")
+def hits_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.oriented(fx.hits(spark, sf_dir)).select("species", "gene_id", "line_no", "pos", "score", "seq")
+
+
+@query("hits_alphabet", f"{fx.HITS_SQL}, o AS (SELECT species, gene_id, line_no, pos, score, {_RC} AS seq FROM hits) SELECT * FROM o WHERE regexp_full_match(seq, '[ACGTacgt]*')")
+def hits_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.plain_only(hits_revcomp(spark, sf_dir))
+
+
+def _family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.family(fx.hits(spark, sf_dir), MAX_DUP)
+
+
+@query("family_members", f"{_FAMILY} SELECT gene_id, species, copy, seq FROM family")
+def family_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _family(spark, sf_dir).withColumn("copy", F.col("copy").cast("long"))
+
+
+@query("copy_mapping", f"{_FAMILY} SELECT DISTINCT species || '_' || cast(copy AS varchar) AS taxon, species FROM family")
+def copy_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.copy_mapping(_family(spark, sf_dir))
+
+
+@query("flagship_families", f"{_FAMILY} SELECT gene_id, species, copy, seq FROM family WHERE gene_id IN (SELECT gene_id FROM family GROUP BY gene_id HAVING count(DISTINCT species) >= {MIN_SPECIES})")
+def flagship_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.with_min_species(family_members(spark, sf_dir), MIN_SPECIES)
+
+
+@query("num_genes", f"{fx.HITS_SQL} SELECT species, count(DISTINCT gene_id) AS num_genes FROM hits GROUP BY species")
+def num_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.genes_per_species(fx.hits(spark, sf_dir))
+
+
+@query("homologs", f"{fx.HITS_SQL} SELECT gene_id, count(DISTINCT species) AS num_species FROM hits GROUP BY gene_id")
+def homologs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.homologs(fx.hits(spark, sf_dir))
+
+
+@query("homologs_hist", f"{fx.HITS_SQL}, h AS (SELECT gene_id, count(DISTINCT species) AS num_species FROM hits GROUP BY gene_id) SELECT num_species, count(*) AS n FROM h GROUP BY num_species")
+def homologs_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.histogram(homologs(spark, sf_dir), "num_species")
+
+
+@query("gene_dup", f"{_FAMILY}, k AS (SELECT gene_id, count(*) AS m FROM family GROUP BY gene_id), h AS (SELECT gene_id, count(DISTINCT species) AS s FROM hits GROUP BY gene_id) SELECT gene_id, round(cast(m AS double) / s, 9) AS duplicity FROM k JOIN h USING (gene_id)")
+def gene_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.duplicity(_family(spark, sf_dir), fx.hits(spark, sf_dir))
+
+
+@query(
+    "gene_dup_hist",
+    f"{_FAMILY}, k AS (SELECT gene_id, count(*) AS m FROM family GROUP BY gene_id), h AS (SELECT gene_id, count(DISTINCT species) AS s FROM hits GROUP BY gene_id), d AS (SELECT cast(floor(2 * round(cast(m AS double) / s, 9)) AS bigint) AS half FROM k JOIN h USING (gene_id)) SELECT half, count(*) AS n FROM d GROUP BY half",
+)
+def gene_dup_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.histogram(gene_dup(spark, sf_dir).select(F.floor(2 * F.col("duplicity")).cast("long").alias("half")), "half")
+
+
+@query("gene_to_species", f"{fx.HITS_SQL} SELECT species, gene_id, count(*) AS n_hits, string_agg('(' || score || ',' || line_no || ',' || pos || ')', ';' ORDER BY line_no, score, pos) AS hit_list FROM hits GROUP BY ALL")
+def gene_to_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.gene_lists(fx.hits(spark, sf_dir))
+
+
+_FEW = f"{_RANKED}, top8 AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY score DESC, species, line_no DESC, pos DESC) AS k FROM hits), few AS (SELECT gene_id, species FROM top8 WHERE k <= 8)"
+
+
+def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 8 best hits of each gene: few enough that the species gate bites."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("gene_id").orderBy(F.desc("score"), "species", F.desc("line_no"), F.desc("pos"))
+    return fx.hits(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k <= 8").select("gene_id", "species")
+
+
+@query("genes_min_species", f"{_FEW} SELECT gene_id, species FROM few WHERE gene_id IN (SELECT gene_id FROM few GROUP BY gene_id HAVING count(DISTINCT species) >= 7)")
+def genes_min_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.with_min_species(_few(spark, sf_dir), 7)
+
+
+@query("genes_filtered_out", f"{_FEW} SELECT gene_id FROM few GROUP BY gene_id HAVING count(DISTINCT species) < 7")
+def genes_filtered_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.filtered_genes(_few(spark, sf_dir), 7)
+
+
+@query("num_gene_trees", f"{_FEW}, g AS (SELECT gene_id FROM few GROUP BY gene_id HAVING count(DISTINCT species) >= 7) SELECT count(*) AS num_gt FROM g")
+def num_gene_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.gene_tree_count(_few(spark, sf_dir), 7)
+
+
+@query("gene_padding", f"{fx.HITS_SQL}, m AS (SELECT gene_id, count(*) AS n FROM hits WHERE gene_id % 3 > 0 GROUP BY gene_id) SELECT cast(i AS int) AS gene_id, coalesce(n, 0) AS members FROM range(1, {GENES + 1}) r(i) LEFT JOIN m ON i = gene_id")
+def gene_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.padded(fx.hits(spark, sf_dir).filter("gene_id % 3 > 0"), GENES)
+
+
+_LEN = f"{_FAMILY}, l AS (SELECT gene_id, count(*) AS n_seq, cast((sum(length(seq)) + count(*) - 1) // count(*) AS bigint) AS mean_len FROM family GROUP BY gene_id)"
+
+
+@query("gene_lengths", f"{_LEN} SELECT * FROM l")
+def gene_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.lengths(_family(spark, sf_dir))
+
+
+@query("msa_gate", f"{_LEN} SELECT * FROM l WHERE n_seq > 150 OR mean_len > 37")
+def msa_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.alignment_gate(_family(spark, sf_dir), 150, 25)
+
+
+@query("tree_gate", f"{_LEN} SELECT * FROM l WHERE n_seq > 150 AND mean_len < 100 * 25 // 65")
+def tree_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return families.tree_gate(_family(spark, sf_dir), 150, 25, 65)
+
+
+@query("identical_shortcut", f"{fx.HITS_SQL}, s AS (SELECT cast(line_no % 997 AS int) AS gene_id, substring(seq, 1, 1) AS seq FROM hits WHERE line_no % 5 = 0 AND pos < 20000) SELECT gene_id FROM s GROUP BY gene_id HAVING count(DISTINCT upper(seq)) = 1")
+def identical_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = fx.hits(spark, sf_dir).filter("line_no % 5 = 0 AND pos < 20000")
+    return families.identical_genes(h.select((F.col("line_no") % 997).cast("int").alias("gene_id"), F.substring("seq", 1, 1).alias("seq")))
+
+
+# ------------------------------------------------------------------ alignments
+
+_ALIGNED = f"{fx.HITS_SQL}, aligned AS (SELECT species, gene_id, line_no, pos, score, substring(seq, 1, 32) AS aligned FROM hits), sites AS (SELECT gene_id, cast(i AS int) - 1 AS site, count(*) AS n_rows, count(*) FILTER (substring(aligned, i, 1) <> '-') AS filled FROM aligned, range(1, 33) r(i) GROUP BY ALL)"
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.hits(spark, sf_dir).select("species", "gene_id", "line_no", "pos", "score", F.substring("seq", 1, 32).alias("aligned"))
+
+
+@query("site_gap_fraction", f"{_ALIGNED} SELECT gene_id, cast(site AS int) AS site, n_rows, filled FROM sites")
+def site_gap_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.site_occupancy(_aligned(spark, sf_dir))
+
+
+@query("masked_sites", f"{_ALIGNED} SELECT gene_id, cast(site AS int) AS site FROM sites WHERE cast(filled AS double) / n_rows < 0.94")
+def masked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.masked_sites(_aligned(spark, sf_dir), 0.94)
+
+
+@query(
+    "mask_sites",
+    f"""{_ALIGNED}, gone AS (SELECT gene_id, list(site) AS s FROM sites WHERE cast(filled AS double) / n_rows < 0.94 GROUP BY gene_id)
+    SELECT species, a.gene_id, line_no, pos, score, array_to_string([substring(aligned, i + 1, 1) FOR i IN range(0, 32) IF NOT list_contains(coalesce(s, []), i)], '') AS aligned FROM aligned a LEFT JOIN gone USING (gene_id)""",
+)
+def mask_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _aligned(spark, sf_dir)
+    return alignments.mask_sites(a, 0.94).select(*a.columns)
+
+
+@query("filter_fragments", f"{_ALIGNED} SELECT * FROM aligned WHERE cast(length(replace(aligned, '-', '')) AS double) / length(aligned) >= 0.9")
+def filter_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.filter_fragments(_aligned(spark, sf_dir), 0.9)
+
+
+_PAIRS = f"""{_RANKED}, pairs AS (SELECT x.species, x.gene_id, substring(x.seq, 1, 32) AS a, substring(y.seq, 1, 32) AS b, 30 AS gene_length FROM ranked x JOIN ranked y USING (species, gene_id) WHERE x.rn = 1 AND y.rn = 2),
+m AS (SELECT species, gene_id,
+  len([i FOR i IN range(1, 33) IF substring(a, i, 1) <> '-' AND substring(b, i, 1) <> '-']) AS solid,
+  len([i FOR i IN range(1, 33) IF upper(substring(a, i, 1)) = upper(substring(b, i, 1)) AND substring(a, i, 1) <> '-']) AS same FROM pairs),
+p AS (SELECT species, gene_id, round(CASE WHEN solid > 0 THEN 100 * cast(same AS double) / solid END, 6) AS identity, round(100 * cast(solid AS double) / 30, 6) AS coverage, round(100 * cast(solid AS double) / 32, 6) AS continuity FROM m)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = hits.ranked(fx.hits(spark, sf_dir), 2)
+    x = r.filter("rn = 1").select("species", "gene_id", F.substring("seq", 1, 32).alias("a"))
+    y = r.filter("rn = 2").select("species", "gene_id", F.substring("seq", 1, 32).alias("b"))
+    return x.join(y, ["species", "gene_id"]).withColumn("gene_length", F.lit(30))
+
+
+@query("align_measures", f"{_PAIRS} SELECT * FROM p")
+def align_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.pair_measures(_pairs(spark, sf_dir)).drop("a", "b", "gene_length")
+
+
+@query("align_filters", f"{_PAIRS} SELECT * FROM p WHERE identity >= 30 AND coverage >= 85 AND continuity >= 85")
+def align_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.pair_filter(_pairs(spark, sf_dir), 30, 85, 85).drop("a", "b", "gene_length")
+
+
+@query("align_filters_deep", f"{_PAIRS} SELECT * FROM p WHERE identity >= 20 AND coverage >= 85 AND continuity >= 85")
+def align_filters_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.pair_filter(_pairs(spark, sf_dir), 20, 85, 85).drop("a", "b", "gene_length")
+
+
+# ------------------------------------------------------------------ k-mers
+
+
+@query(
+    "kmer_profile",
+    f"{fx.GENOME_SQL}, k AS (SELECT species, upper(substring(seq, i, 12)) AS kmer, count(*) AS n FROM genome, unnest(range(1, length(seq) - 10)) u(i) GROUP BY ALL) SELECT species, cast(sum(n) AS bigint) AS n_kmers, count(*) AS n_distinct FROM k WHERE regexp_full_match(kmer, '[ACGT]*') GROUP BY species",
+)
+def kmer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer.profile(fx.genome(spark, sf_dir), 12)
+
+
+_SETS = f"""{_BEST}, sets AS (SELECT DISTINCT gene_id, species AS taxon, upper(substring(seq, i, 3)) AS kmer FROM best, unnest(range(1, length(seq) - 1)) u(i)),
+size AS (SELECT gene_id, taxon, count(*) AS n FROM sets GROUP BY ALL),
+shared AS (SELECT x.gene_id, x.taxon AS a, y.taxon AS b, count(*) AS shared FROM sets x JOIN sets y ON x.gene_id = y.gene_id AND x.kmer = y.kmer AND x.taxon < y.taxon GROUP BY ALL),
+j AS (SELECT s.gene_id, a, b, shared, round(cast(shared AS double) / (p.n + q.n - shared), 9) AS jaccard FROM shared s JOIN size p ON p.gene_id = s.gene_id AND p.taxon = a JOIN size q ON q.gene_id = s.gene_id AND q.taxon = b)"""
+
+
+@query("kmer_jaccard", f"{_SETS} SELECT * FROM j")
+def kmer_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = hits.ranked(fx.hits(spark, sf_dir), 1).select("gene_id", F.col("species").alias("taxon"), dna.ungapped(F.col("seq")).alias("seq"))
+    return kmer.jaccard(best, 3)
+
+
+@query("mash_distance", f"{_SETS} SELECT *, round(abs(-ln(2 * jaccard / (1 + jaccard)) / 3), 9) AS distance FROM j")
+def mash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer.mash_distance(kmer_jaccard(spark, sf_dir), 3)
+
+
+_SEEDS = f"""{fx.GENOME_SQL}, genes AS (SELECT cast(rec AS int) AS gene_id, upper(substring(seq, 1, 200)) AS seq FROM genome WHERE rec % 20 = 0),
+strands AS (SELECT gene_id, '+' AS strand, seq AS s FROM genes UNION ALL SELECT gene_id, '-', reverse(translate(seq, '{dna.CODES}', '{dna.COMPLEMENTS}')) FROM genes),
+q AS (SELECT gene_id, strand, i - 1 AS q_pos, substring(s, i, 24) AS kmer FROM strands, unnest(range(1, length(s) - 22)) u(i) WHERE regexp_full_match(substring(s, i, 24), '[ACGT]*')),
+t AS (SELECT species, rec, i - 1 AS t_pos, upper(substring(seq, i, 24)) AS kmer FROM genome, unnest(range(1, length(seq) - 22)) u(i)),
+found AS (SELECT gene_id, strand, q_pos, species, rec, t_pos FROM t JOIN q USING (kmer))"""
+
+
+def _seeds(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
+    g = fx.genome(spark, sf_dir)
+    genes = g.filter("rec % 20 = 0").select(F.col("rec").cast("int").alias("gene_id"), F.substring("seq", 1, 200).alias("seq"))
+    return kmer.seeds(genes, g, 24, step)
+
+
+@query("seed_join", f"{_SEEDS} SELECT gene_id, species, count(*) AS seeds, count(DISTINCT rec) AS records FROM found GROUP BY ALL")
+def seed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer.seed_counts(_seeds(spark, sf_dir))
+
+
+@query("seed_join_step", f"{_SEEDS} SELECT gene_id, species, count(*) AS seeds, count(DISTINCT rec) AS records FROM found WHERE q_pos % 4 = 0 GROUP BY ALL")
+def seed_join_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer.seed_counts(_seeds(spark, sf_dir, 4))
+
+
+@query(
+    "seed_diagonals",
+    f"{_SEEDS} SELECT gene_id, species, rec, strand, cast(floor((t_pos - q_pos) / 32.0) AS bigint) AS diagonal, count(*) AS seeds, min(t_pos) AS t_start, max(t_pos) AS t_end FROM found GROUP BY ALL HAVING count(*) >= 2",
+)
+def seed_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = kmer.diagonals(_seeds(spark, sf_dir))
+    return d.withColumn("t_start", F.col("t_start").cast("long")).withColumn("t_end", F.col("t_end").cast("long"))
+
+
+# ------------------------------------------------------------------ reports
+
+
+@query("support_percent", f"{fx.STATS_SQL} SELECT count(*) AS branches, count(*) FILTER (support >= 0.95) AS high, round(100 * cast(count(*) FILTER (support >= 0.95) AS double) / count(*), 9) AS percent FROM stats WHERE line_no % 3 = 0")
+def support_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.support_percent(fx.branch_stats(spark, sf_dir), 0.95)
+
+
+@query("convergence_delta", f"{fx.ITERATIONS_SQL}, d AS (SELECT iteration, pct, round(abs(pct - lag(pct) OVER (ORDER BY iteration)), 6) AS delta FROM iterations) SELECT *, delta < 1 AS settled FROM d")
+def convergence_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.deltas(fx.iterations(spark, sf_dir))
+
+
+@query("step_totals", f"{fx.JOBS_SQL} SELECT step, round(sum(wall_min), 4) AS wall_min, round(sum(cpu_min), 4) AS cpu_min, count(*) AS jobs FROM jobs GROUP BY step")
+def step_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.step_totals(fx.jobs(spark, sf_dir))
+
+
+@query("step_top50", f"{fx.JOBS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY wall_min DESC, job) AS rn FROM jobs) SELECT * FROM r WHERE rn <= 50")
+def step_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.slowest(fx.jobs(spark, sf_dir)).withColumn("rn", F.col("rn").cast("long"))
+
+
+@query("step_unpivot", f"{fx.JOBS_SQL} SELECT step, job, 'wall_min' AS measure, wall_min AS minutes FROM jobs UNION ALL SELECT step, job, 'cpu_min', cpu_min FROM jobs")
+def step_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.long_form(fx.jobs(spark, sf_dir))
+
+
+@query("elapsed_times", "SELECT event_id, cast(floor(epoch(ts)) AS bigint) - min(cast(floor(epoch(ts)) AS bigint)) OVER () AS since_start, cast(floor(epoch(ts)) AS bigint) - lag(cast(floor(epoch(ts)) AS bigint)) OVER (ORDER BY ts, event_id) AS since_last FROM events WHERE user_id = 7")
+def elapsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id = 7").select("event_id", F.struct("ts", "event_id").alias("o"), "ts")
+    from pyspark.sql.window import Window
+
+    s, w = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long"), Window.orderBy("o")
+    return e.select("event_id", (s - F.min(s).over(Window.partitionBy())).alias("since_start"), (s - F.lag(s).over(w)).alias("since_last"))
+
+
+@query("master_accumulate", f"{fx.HITS_SQL}, n AS (SELECT gene_id % 9 + 1 AS iteration, count(*) AS added FROM hits GROUP BY 1) SELECT cast(iteration AS bigint) AS iteration, added, cast(sum(added) OVER (ORDER BY iteration) AS bigint) AS total FROM n")
+def master_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.accumulated(fx.hits(spark, sf_dir).withColumn("iteration", F.col("gene_id") % 9 + 1))
+
+
+# ------------------------------------------------------------------ trees
+
+
+@query("tips_per_tree", f"{fx.TREES_SQL} SELECT t AS tree_id, count(*) AS n_tips, count(DISTINCT regexp_replace(tip, '_[^_]*$', '')) AS n_species FROM ordered GROUP BY t")
+def tips_per_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.tips_per_tree(fx.newicks(spark))
+
+
+# pre-order of a caterpillar: inner clade of the first k tips is node 20 - k; tip r is node 19 + (r - 1), but for the root
+_CLADES = f"""{fx.TREES_SQL}, want AS (SELECT tip FROM ordered WHERE t = 1 AND r <= 7),
+clades AS (SELECT o.t, 20 - k AS node_id, k AS own, count(w.tip) AS shared FROM ordered o JOIN range(2, 20) c(k) ON o.r <= k LEFT JOIN want w USING (tip) GROUP BY o.t, k
+  UNION ALL SELECT o.t, 18 + o.r, 1, count(w.tip) FROM ordered o LEFT JOIN want w USING (tip) GROUP BY o.t, o.r),
+scores AS (SELECT t AS tree_id, cast(node_id AS int) AS node_id, cast(20 - 7 - own + 2 * shared AS bigint) AS score FROM clades)"""
+
+
+def _wanted(spark: SparkSession) -> DataFrame:
+    return fx.tree_order(spark).filter("t = 1 AND r <= 7").select(fx.tip_name(F.col("i")).alias("tip"))
+
+
+@query("clade_scores", f"{_CLADES} SELECT * FROM scores")
+def clade_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.clade_scores(trees.nodes(fx.newicks(spark)), _wanted(spark), fx.TIPS)
+
+
+@query("reroot_choice", f"{_CLADES}, b AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY score DESC, node_id) AS k FROM scores WHERE score > 0) SELECT tree_id, node_id, score FROM b WHERE k = 1")
+def reroot_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.reroot_choice(clade_scores(spark, sf_dir))
+
+
+_SPLITS = f"""{fx.TREES_SQL}, first AS (SELECT t, min(tip) AS f FROM ordered GROUP BY t),
+sides AS (SELECT o.t, k, list_sort(list(o.tip) FILTER (o.r <= k)) AS s, list_sort(list(o.tip) FILTER (o.r > k)) AS rest, any_value(f) AS f FROM ordered o JOIN first USING (t), range(2, 19) c(k) GROUP BY o.t, k),
+splits AS (SELECT DISTINCT t, CASE WHEN list_contains(s, f) THEN array_to_string(rest, ',') ELSE array_to_string(s, ',') END AS split FROM sides)"""
+
+
+@query("tree_splits", f"{_SPLITS} SELECT t AS tree_id, split FROM splits")
+def tree_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.splits(trees.nodes(fx.newicks(spark)))
+
+
+@query("split_rf", f"{_SPLITS}, r AS (SELECT split FROM splits WHERE t = 1) SELECT t AS tree_id, count(*) + (SELECT count(*) FROM r) - 2 * count(r.split) AS rf, round(cast(count(*) + (SELECT count(*) FROM r) - 2 * count(r.split) AS double) / (count(*) + (SELECT count(*) FROM r)), 9) AS norm_rf FROM splits s LEFT JOIN r USING (split) GROUP BY t")
+def split_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tree_splits(spark, sf_dir)
+    return trees.robinson_foulds(s, s.filter("tree_id = 1").select("split"))
+
+
+@query("gene_tree_list", f"{fx.TREES_SQL} SELECT cast(i AS int) AS gene_id, CASE WHEN i <= {fx.TREES} THEN {fx.TIPS} END AS n_tips FROM range(1, 61) r(i)")
+def gene_tree_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.range(1, 61).select(F.col("id").cast("int").alias("gene_id"))
+    n = trees.tips_per_tree(fx.newicks(spark)).select(F.col("tree_id").alias("gene_id"), F.col("n_tips").cast("int").alias("n_tips"))
+    return ids.join(n, "gene_id", "left")
+
+
+# ------------------------------------------------------------------ whole algorithms (rows only)
+
+
+def _small_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hits.oriented(hits.ranked(fx.hits(spark, sf_dir), 1))
+    return hits.plain_only(rows).filter("gene_id <= 20").select("gene_id", F.concat_ws("_", "species", F.lit(0)).alias("taxon"), "seq")
+
+
+@query("msa_progressive")
+def msa_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modes.align_families(_small_families(spark, sf_dir))
+
+
+@query("nj_tree")
+def nj_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modes.distance_trees(modes.align_families(_small_families(spark, sf_dir)), "balanced")
+
+
+@query("ml_tree")
+def ml_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modes.distance_trees(modes.align_families(_small_families(spark, sf_dir).filter("gene_id <= 5")), "accurate")
+
+
+@query("mash_tree")
+def mash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modes.sketch_trees(_small_families(spark, sf_dir), 5)
+
+
+@query("species_tree")
+def species_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modes.species_tree(fx.newicks(spark).withColumnRenamed("tree_id", "gene_id").filter("gene_id <= 10"))
+
+
+@query("pipeline_fast")
+def pipeline_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tables import Config
+
+    g = fx.genome(spark, sf_dir)
+    return modes.gene_trees(g, Config(gene_count=20, length=200, upper_case=0.02, mode="fast", min_align=3, identity=50, coverage=60, continuity=60, seed_length=24))

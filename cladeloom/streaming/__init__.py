@@ -1,0 +1 @@
+"""Continuous ingestion of gene trees."""
