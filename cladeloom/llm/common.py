@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,51 +29,65 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def _delete(jvm, jsc, path: str) -> None:
-    try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before its scratch folder
-        pass
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 class Scratch:
-    """Written tables that live as long as the DataFrame they are bound to.
+    """A folder of written tables in the shared folder.
 
-    A written table cuts lineage the way ``checkpoint()`` does, survives lost executors, and
-    is compressed and columnar.  ``bind`` ties the folder to a result; it goes when the result
-    is garbage-collected.
+    A written table cuts lineage the way ``checkpoint()`` does, survives lost executors, and is
+    compressed and columnar.  A folder goes when no plan reads its tables any more: every plan over
+    a table holds that table's file index, which is watched by a weak reference in the JVM, and
+    folders without a living index are removed whenever a new one is made.
     """
 
+    _kept: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, label: str = "t"):
+        Scratch._sweep(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        sc = spark.sparkContext
-        self._gone = weakref.finalize(self, _delete, sc._jvm, sc._jsc, self.path)
+        self.open = True
+        self._watched: list = []
+        self._app = spark.sparkContext.applicationId
+        Scratch._kept.append(self)
+
+    @classmethod
+    def _sweep(cls, spark: SparkSession) -> None:
+        app, left = spark.sparkContext.applicationId, []
+        for s in cls._kept:
+            if s._app != app:
+                continue
+            if s.open or any(w.get() is not None for w in s._watched):
+                left.append(s)
+            else:
+                _delete(spark, s.path)
+        cls._kept = left
 
     def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """``df``, written and reread; with ``by``, a folder per value of that last column."""
         at = f"{self.path}/{name}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, name: str) -> None:
-        sc = self.spark.sparkContext
-        _delete(sc._jvm, sc._jsc, f"{self.path}/{name}")
-
-    def bind(self, df: DataFrame) -> DataFrame:
-        df.__dict__.setdefault("_scratch", []).append(self)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        index = out._jdf.queryExecution().analyzed().relation().location()
+        self._watched.append(self.spark.sparkContext._jvm.java.lang.ref.WeakReference(index))
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that no plan will read again."""
+        for name in names:
+            _delete(self.spark, f"{self.path}/{name}")
+
+    def close(self, df: DataFrame) -> DataFrame:
+        """No more tables will be written; returns ``df``, the result."""
+        self.open = False
         return df
 
 
-def keep(result: DataFrame, *sources: DataFrame) -> DataFrame:
-    """Carry the scratch folders of ``sources`` over to ``result``."""
-    for s in sources:
-        result.__dict__.setdefault("_scratch", []).extend(s.__dict__.get("_scratch", []))
-    return result
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -23,4 +23,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     own = own.groupBy(F.col(id_col).alias("_id")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("_top"))
     own = own.filter("y = _top").select("_id", "y").orderBy(F.xxhash64("_id"), "_id").limit(limit)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.join(F.broadcast(own), F.col(id_col) == F.col("_id")).select(F.col("_id").alias("id"), raw.alias("raw"), "y")
+    rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw"))
+    return rows.join(F.broadcast(own), F.col("id") == F.col("_id")).select("id", "raw", "y")

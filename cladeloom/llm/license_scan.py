@@ -132,9 +132,16 @@ def template_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: the base scan's figures, all labels, and the best containment."""
+    """One row per document: the base scan's figures, all labels, and the best containment.
+
+    Notices share most of their words, so a block takes the label of the template that it holds
+    most of; of equal ones, all.
+    """
     base = base_scan(docs, id_col, text_col)
-    met = template_join(docs, id_col, text_col, templates, threshold).groupBy(id_col, "row_hash").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.countDistinct("block").alias("n_blocks"))
+    met = template_join(docs, id_col, text_col, templates, threshold)
+    block = met.groupBy(id_col, "row_hash", "block").agg(F.collect_list(F.struct("containment", "label")).alias("l"), F.max("containment").alias("best"))
+    block = block.select(id_col, "row_hash", "block", "best", F.explode(F.filter("l", lambda x: x["containment"] == F.col("best"))["label"]).alias("label"))
+    met = block.groupBy(id_col, "row_hash").agg(F.collect_set("label").alias("found"), F.max("best").alias("best"), F.countDistinct("block").alias("n_blocks"))
     met = met.withColumnRenamed(id_col, "_id").withColumnRenamed("row_hash", "_hash")
     out = base.join(met, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left")
     every = F.array_sort(F.array_distinct(F.concat("base_label_set", F.coalesce("found", F.expr("cast(array() as array<string>)")))))
@@ -167,7 +174,8 @@ t(label, ws) AS (VALUES {rows}),
 l AS (SELECT r, k, list_distinct(regexp_extract_all(string_split(t, chr(10))[k], '{word}')) AS ws FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) u(k)),
 m AS (SELECT r, k, t.label, len(list_intersect(l.ws, t.ws)) / cast(len(t.ws) AS double) AS c FROM l, t
       WHERE len(list_intersect(l.ws, t.ws)) >= ceil({THRESHOLD} * len(t.ws) - 1e-9)),
-g AS (SELECT r, list(DISTINCT label) AS ls, max(c) AS best, count(DISTINCT k) AS n FROM m GROUP BY r)
+top AS (SELECT *, max(c) OVER (PARTITION BY r, k) AS most FROM m),
+g AS (SELECT r, list(DISTINCT label) AS ls, max(c) AS best, count(DISTINCT k) AS n FROM top WHERE c = most GROUP BY r)
 SELECT w.doc_id, cast(len(words) AS bigint) AS n_words, cast(coalesce(b.n, 0) AS bigint) AS n_base,
        cast(b.lo AS bigint) AS first_word, cast(b.hi AS bigint) AS last_word, coalesce(b.labels, '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(g.ls, [])))), ',') AS labels,

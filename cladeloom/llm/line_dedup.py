@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, keep, read
+from .common import Scratch, read
 
 MIN_WORDS = 8
 SIEVE = 1 << 21
@@ -81,6 +81,7 @@ def _near(docs: DataFrame, every: DataFrame, lines: DataFrame, scratch: Scratch,
     text = text.groupBy("h1", "h2").agg(F.any_value("line").alias("line")).join(some, ["h1", "h2"], "left_semi")
     text = text.join(lines.select("h1", "h2", "first"), ["h1", "h2"])
     text = scratch.table(text.select("h1", "h2", "first", F.split("line", " ").alias("words")), "near_lines")
+    scratch.drop("some")
 
     words = text.select("h1", "h2", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
     words = words.select("h1", "h2", "n", "i", F.xxhash64("i", "w").alias("from_start"), F.xxhash64(F.col("n") - F.col("i"), "w").alias("from_end"))
@@ -101,6 +102,7 @@ def _near(docs: DataFrame, every: DataFrame, lines: DataFrame, scratch: Scratch,
     met = variants.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key")
     few = variants.join(met.hint("shuffle_hash"), "key", "left_semi").join(text.select("h1", "h2", "first"), ["h1", "h2"])
     few = scratch.table(few, "met")
+    scratch.drop("variants")
     low = few.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("low"))
     pairs = few.join(low, "key").filter(F.col("low.first") < F.col("first"))
     pairs = pairs.select("h1", "h2", "m", "at", F.col("low.h1").alias("g1"), F.col("low.h2").alias("g2")).distinct()
@@ -129,22 +131,26 @@ def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_near = F.col("near_first").isNotNull()
     out = out.filter(is_near | ~same_place).select("id", "th", "pos", (is_near & same_place).alias("near"))
     out = out.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("removed"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near"))
-    return scratch.bind(out)
+    return scratch.close(out)
 
 
 def _with_fates(docs: DataFrame, fates: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    f = fates.select(F.col("id").alias("_fid"), F.col("th").alias("_fth"), F.col("removed").alias("_removed"), F.size("near").alias("_near"))
-    return docs.join(f, F.col(id_col).eqNullSafe(F.col("_fid")) & (F.xxhash64(text_col) == F.col("_fth")), "left").drop("_fid", "_fth")
+    """``(row, text, removed, near)``: whole rows as a struct, so no column name can clash."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("th"))
+    return rows.join(fates, same, "left").select("row", "text", "removed", "near")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies and near copies of lines taken out of the text column."""
     fates = line_fates(docs, id_col, text_col, min_words)
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
-    clean = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = _with_fates(docs, fates, id_col, text_col).withColumn(text_col, clean)
-    return keep(out.select(*(F.col(f"`{c}`") for c in docs.columns)), fates)
+    lines = F.split(F.col("text"), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    # the lines are bound once, as a lambda's variable
+    kept = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(left, lambda i: F.get(ls, i)), "\n"))[0]
+    clean = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
+    out = _with_fates(docs, fates, id_col, text_col)
+    return out.select(*((clean if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +161,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = slim.join(f, F.col("doc_id").eqNullSafe(F.col("_fid")) & (F.col("_th") == F.col("_fth")), "left")
     gone = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
     out = out.select("doc_id", "n_lines", gone.alias("n_removed"), F.coalesce("near", F.lit(0)).cast("long").alias("n_near"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
-    return keep(out, fates)
+    return out
 
 
 SQL = f"""

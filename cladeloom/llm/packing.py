@@ -282,7 +282,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("ids", id_col), F.lit(shards)))
-    return scratch.bind(dealt.select("shard", id_col, "ids").groupBy("shard").applyInPandas(run, schema))
+    return scratch.close(dealt.select("shard", id_col, "ids").groupBy("shard").applyInPandas(run, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

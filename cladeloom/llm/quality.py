@@ -206,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     kind = sample.schema["id"].dataType.simpleString()
     got = sample.mapInArrow(pooled, f"id {kind}, y int, x binary").toPandas().sort_values(["id", "x"], kind="stable")
     x = np.stack([np.frombuffer(v, np.float32) for v in got["x"]]) if len(got) else np.zeros((0, 2 * vectors.shape[1]), np.float32)
+    scratch.close(sample)
     return vectors, fit(x, got["y"].to_numpy(float))
 
 

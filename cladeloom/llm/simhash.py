@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, keep, read, with_bytes
+from .common import Scratch, read, with_bytes
 from .components import connected_components
 
 BITS = 64
@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
     found = connected_components(links(reps.filter("rep is not null"), radius), scratch, "rep", "other")
     group = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return scratch.bind(fps.join(group, "fp", "left").select(id_col, "fp", "component_id"))
+    return scratch.close(fps.join(group, "fp", "left").select(id_col, "fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -112,10 +112,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     groups = near_duplicates(docs, id_col, text_col, **kw)
     kept = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return keep(docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]), groups)
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     out = found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    return keep(out, found)
+    return out

@@ -300,6 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], names=["id", "y", "x"])
 
     got = sample.mapInArrow(run, f"id {kind}, y int, x binary").toPandas().sort_values(["id", "x"], kind="stable")
+    scratch.close(sample)
     y = got["y"].to_numpy(float)
     width = len(KINDS) + 4
     if len(np.unique(y)) < 2:

@@ -32,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, keep, read
+from .common import Scratch, read
 
 MANIFEST = "url_key string, page_id long, record_type string, archive string, byte_offset long, byte_length long"
 DIRECTORY = "first_key string, last_key string, index_file string, byte_offset long, byte_length long, n_lines long"
@@ -275,13 +275,14 @@ def archive(pages: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(pages.sparkSession, "warc")
     manifest = scratch.table(write_archives(pages, f"{scratch.path}/archives", **kw), "manifest")
     directory = scratch.table(build_index(manifest, f"{scratch.path}/index"), "directory")
-    return scratch.bind(manifest), scratch.bind(directory)
+    scratch.close(directory)
+    return manifest, directory
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, directory = archive(read(spark, sf_dir, "pages"))
     out = read_captures(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return keep(out, directory)
+    return out
 
 
 SQL = """

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeloom.llm import decontaminate, line_dedup, packing, quality, simhash
-from cladeloom.llm.common import Scratch, keep, read
+from cladeloom.llm.common import Scratch, read
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = keep(out.withColumn("n_chars", F.length("text").cast(kind)), out)
+        out = out.withColumn("n_chars", F.length("text").cast(kind))
     return out
 
 
@@ -65,4 +65,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
     out = STAGES[-1][1](spark, docs, sf_dir)
-    return scratch.bind(out)
+    return scratch.close(out)
