@@ -45,6 +45,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((species, int(gene.rsplit("_", 1)[-1]), *rest))
             yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.maf*").option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.maf*", recursiveFileLookup=True)
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)\.maf[^/]*$", 1)
     return files.select(stem.alias("species"), "value").mapInPandas(run, SCHEMA)

@@ -14,7 +14,7 @@ def newick(spark: SparkSession, path: str) -> DataFrame:
 
     Lines without an id are numbered from 1 within their file, which is read as a whole.
     """
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     rows = rows.filter(F.trim("line") != "")
     given = F.regexp_extract("line", r"^\s*(\d+)\s*,\s*\(", 1)
     tree = F.regexp_replace("line", r"^\s*\d+\s*,\s*", "")
@@ -39,7 +39,7 @@ def register(spark: SparkSession) -> None:
 
 def branch_stats(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, cols, support)`` of tab-separated lines; the third field is the support."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).filter(F.trim("line") != "")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).filter(F.trim("line") != "")
     cols = F.split("line", "\t")
     return rows.select(F.col("line_no").cast("long").alias("line_no"), cols.alias("cols"), F.expr("try_cast(get(split(line, '\t'), 2) as double)").alias("support"))
 
@@ -47,7 +47,7 @@ def branch_stats(spark: SparkSession, path: str) -> DataFrame:
 def job_timings(spark: SparkSession, path: str) -> DataFrame:
     """``(step, job, wall_min, cpu_min)`` of files ``<job>.<step>.txt``: a header line and one row,
     seconds first, CPU seconds last.  Files without a second line, or with NA, are left out."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
     second = F.get(F.split("value", "\r?\n"), 1)
     cols = F.split(F.trim(second), r"\s+")
     out = rows.select(
