@@ -39,7 +39,7 @@ WINDOW = 4096
 END_ID = 2
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 VOCABULARY = 1 << 16
 
 # Texts of these characters only are cut by a plain pattern: ASCII without the four controls that
@@ -66,7 +66,7 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder(dict):
-    """Token ids of whole texts, through a bounded cache of pieces.
+    """Token ids of whole texts, through a bounded cache of pieces in two generations.
 
     The tokenizer lower-cases, cuts a text into pieces and encodes each by itself, so a text's ids
     are its pieces' ids.  Texts in which cutting could differ (final sigma, control characters,
@@ -83,8 +83,13 @@ class Encoder(dict):
         self.pieces = regex.compile(_PIECE).findall
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.older.get(piece)
+        if out is not None:
+            self[piece] = out
+            return out
         text = piece if piece.isascii() and piece.isalpha() else "".join(self.letters[b] for b in piece.encode())
         out = self[piece] = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
         return out
@@ -99,7 +104,8 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_PIECES:
+        if len(self) > CACHE_PIECES:  # pieces in use come back from the older generation
+            self.older = dict(self)
             self.clear()
         end = np.array([END_ID], np.uint16).tobytes()
         return [self.text(x) + end for x in texts]
