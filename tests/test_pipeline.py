@@ -76,3 +76,29 @@ def test_convergence_loop(spark, genome, tmp_path):
     assert rows[-1]["gene_trees"] == spark.read.parquet(f"{out}/gene_trees").count()
     assert converge.run(spark, genome, cfg, out, reference=TRUTH, most=2).count() == len(rows)  # nothing left to do
     assert converge.gene_counts(Config(gene_count=5), 5) == [5, 5, 10, 20, 40]
+
+
+def test_command_line_and_output_files(spark, genome, tmp_path):
+    from cladeloom import __main__ as cli
+    from cladeloom.plans import outputs
+
+    folder = tmp_path / "genomes"
+    folder.mkdir()
+    for name in "abcdef":
+        rows = sorted(genome.filter(f"species = '{name}'").collect())
+        (folder / f"{name}.fa").write_text("".join(f">c{r['rec']}\n{r['seq']}\n" for r in rows))
+    (tmp_path / "ref.nwk").write_text(TRUTH)
+    (tmp_path / "c.yaml").write_text(f"GENOMES: {folder}\nREFERENCE: {tmp_path}/ref.nwk\nLENGTH: 300\nGENE_COUNT: 4\nMAX_DUP: 3\nSEED_LENGTH: 14\nOUT_DIR: {tmp_path}/out\nALL_OUT_DIR: {tmp_path}/all\n")
+    cli.main(["--config", str(tmp_path / "c.yaml"), "--mode", "fast", "--noconverge"])
+    assert spark.read.text(str(tmp_path / "out/original_list")).count() == 4
+    (tree,) = spark.read.text(str(tmp_path / "out/species_tree")).collect()
+    assert set(trees.parse(tree[0]).tips()) == set("abcdef")
+    assert spark.read.csv(str(tmp_path / "all/ref_dist"), header=True).count() == 1
+
+    members = modes.gene_families(genome, CFG)
+    found = members.selectExpr("species", "gene_id", "1L score", "2L line_no", "3L pos", "'+' strand", "seq")
+    outputs.family_files(found, members, CFG, 6, str(tmp_path / "fam"))
+    assert spark.read.csv(str(tmp_path / "fam/statistics/num_genes"), header=True).count() == 6
+    jobs = spark.createDataFrame([("a", "1", 2.0, 1.0)], "step string, job string, wall_min double, cpu_min double")
+    outputs.job_report(jobs, str(tmp_path / "jobs"))
+    assert spark.read.csv(str(tmp_path / "jobs/slowest_long"), header=True).count() == 2
