@@ -57,7 +57,7 @@ THRESHOLD = 0.8
 def _word_string(text: Column) -> Column:
     """Words joined by blanks.  Only A-Z change case: the one other character that lower() turns
     into an ASCII letter on its own, the Kelvin sign, is replaced by a letter that stays."""
-    plain = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")))
+    plain = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     return F.trim(F.regexp_replace(plain, NOT_WORD, " "))
 
 
