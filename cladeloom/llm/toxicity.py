@@ -8,9 +8,10 @@ reported one, near a target an aimed one, and a threat verb with a target an aim
 is scored is the weight of the rewritten symbols of whole clauses, gathered into a few figures per
 document, whose logistic weights are learned as well.
 
-Lexicon entries are whole words and word beginnings of 4 to 6 letters: those in at least
-``MIN_DOCS`` toxic training documents whose smoothed log odds exceed ``MIN_ODDS``, at most
-``MAX_TERMS``.  Training documents that are near copies (equal in one of three minimum word-pair
+Lexicon entries are whole words and word beginnings of 4 to 6 letters whose smoothed log odds exceed
+``MIN_ODDS``, at most ``MAX_TERMS``, and that stand in enough toxic training documents: in so many
+that of the terms in just as many documents, all of them toxic, at most ``FALSE_SHARE`` would be
+expected by chance, and at least ``FEWEST_DOCS``.  Training documents that are near copies (equal in one of three minimum word-pair
 hashes) count once, so that one text copied often does not fill the lexicon.  The sample has at
 most ``TRAIN_ROWS`` labelled documents; scoring is one pass over every whole text, no shuffle.
 
@@ -39,7 +40,7 @@ from .labelled import fold, training_sample
 TRAIN_ROWS = 12_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-MIN_DOCS, MIN_ODDS, MAX_TERMS = 6, 3.0, 2000
+FEWEST_DOCS, FALSE_SHARE, MIN_ODDS, MAX_TERMS = 3, 0.15, 3.0, 2000
 CACHE = 400_000
 
 # Closed classes of English, French, German and Spanish words.
@@ -246,8 +247,12 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
     if n is None or not n["pos"] or not n["neg"]:
         counts.unpersist()
         return {}
+    share = n["pos"] / (n["pos"] + n["neg"])
+    sizes = counts.filter("term <> '' AND pos + neg <= 20").groupBy((F.col("pos") + F.col("neg")).alias("k")).agg(F.count("*").alias("all"), F.count_if(F.col("neg") == 0).alias("toxic")).collect()
+    sure = [r["k"] for r in sizes if r["k"] >= FEWEST_DOCS and r["all"] * share ** r["k"] <= FALSE_SHARE * r["toxic"]]
+    least = min(sure, default=20)
     odds = F.log((F.col("pos") + 0.5) / F.lit(n["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n["neg"] + 1.0))
-    rows = counts.filter(F.col("term") != "").withColumn("odds", odds).filter((F.col("pos") >= MIN_DOCS) & (F.col("odds") >= MIN_ODDS))
+    rows = counts.filter(F.col("term") != "").withColumn("odds", odds).filter((F.col("pos") >= least) & (F.col("odds") >= MIN_ODDS))
     found = {r["term"]: (r["odds"], r["pos"], r["neg"]) for r in rows.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(MAX_TERMS).collect()}
     counts.unpersist()
     # a beginning says no more than a shorter one that is as sure
