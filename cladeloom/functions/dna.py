@@ -54,8 +54,12 @@ def kmers(seq: Column, k: int, piece: int = 512) -> Column:
         own = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))
         return F.when(n >= 1, own).otherwise(F.expr("cast(array() as array<string>)"))
 
-    starts = F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1)), F.lit(piece))
-    return F.flatten(F.transform(starts, lambda i: short(F.substring(seq, i, F.lit(piece + k - 1)))))
+    # lambda variables are bound once; an expression would be evaluated again for every k-mer
+    def cut(whole: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1)), F.lit(piece))
+        return F.flatten(F.transform(F.transform(starts, lambda i: F.substring(whole, i, F.lit(piece + k - 1))), short))
+
+    return F.transform(F.array(seq), cut)[0]
 
 
 def hashed_int(text: Column, modulus: Column) -> Column:

@@ -21,9 +21,10 @@ def mask_sites(aligned: DataFrame, least: float, seq: str = "aligned") -> DataFr
     """Rows without the masked sites.  The list of masked sites is one per gene."""
     drop = masked_sites(aligned, least, seq).groupBy("gene_id").agg(F.collect_set("site").alias("_drop"))
     rows = aligned.join(drop, "gene_id", "left")
-    letters = F.split(seq, "")
     keep = F.array_except(F.sequence(F.lit(0), F.length(seq) - 1), F.coalesce("_drop", F.expr("cast(array() as array<int>)")))
-    out = F.when(F.length(seq) > 0, F.array_join(F.transform(keep, lambda i: F.get(letters, i)), "")).otherwise(F.col(seq))
+    # the letters are bound once, as a lambda's variable
+    row = F.transform(F.array(F.split(seq, "")), lambda letters: F.array_join(F.transform(keep, lambda i: F.get(letters, i)), ""))[0]
+    out = F.when(F.length(seq) > 0, row).otherwise(F.col(seq))
     return rows.withColumn(seq, out).drop("_drop")
 
 
