@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return _with_scheme(spark, named.rstrip("/"))
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
         root = f"file://{tempfile.gettempdir()}/cladeloom-shared"
@@ -26,7 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cladeloom"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
-    return root
+    return _with_scheme(spark, root)
+
+
+def _with_scheme(spark: SparkSession, path: str) -> str:
+    """A path without a scheme is on the default file system; Python's readers need it named."""
+    if "://" not in path:
+        sc = spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        path = where.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
