@@ -56,17 +56,20 @@ def _hashes(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("second"), "line"))
 
 
-def _end_keys(min_words: int) -> Column:
-    """Keys of a line's first and last words, in one or two sizes; none for a short line."""
-    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+def _with_ends(lines: DataFrame, min_words: int) -> DataFrame:
+    """Adds ``ends``: keys of a line's first and last words, in one or two sizes; none for a short
+    line.  The number of words is a column of its own, so that it is counted once."""
+    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1)
+    lines = lines.withColumn("p", F.when(F.col("n") >= min_words, F.call_function("shiftleft", F.lit(1), F.length(F.bin("n")) - 2)))
 
-    def ends(m: Column) -> list[Column]:
-        p = F.call_function("shiftleft", F.lit(1), F.length(F.bin(m)) - 2)
+    def ends(p: Column) -> list[Column]:
         cut = lambda k: F.call_function("substring_index", F.col("line"), F.lit(" "), k)
         return [F.xxhash64(F.lit("first"), p, cut(p)), F.xxhash64(F.lit("last"), p, cut(-p))]
 
-    both = F.when((n > min_words) & (n.bitwiseAND(n - 1) == 0), F.array(*ends(n), *ends(n - 1))).otherwise(F.array(*ends(n)))
-    return F.when(n >= min_words, both).otherwise(F.expr("cast(array() as array<bigint>)"))
+    n, p = F.col("n"), F.col("p")
+    # the largest power of two up to n - 1 is half of n where n is a power of two
+    both = F.when((n > min_words) & (n.bitwiseAND(n - 1) == 0), F.array(*ends(p), *ends(F.shiftright(p, 1)))).otherwise(F.array(*ends(p)))
+    return lines.withColumn("ends", F.when(n >= min_words, both).otherwise(F.expr("cast(array() as array<bigint>)"))).drop("n", "p")
 
 
 def _near(docs: DataFrame, every: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
@@ -121,7 +124,7 @@ def _near(docs: DataFrame, every: DataFrame, lines: DataFrame, scratch: Scratch,
 def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``(id, th, removed, near)`` per document row with lines to drop: line numbers, sorted."""
     scratch = Scratch(docs.sparkSession, "lines")
-    every = _hashes(_occurrences(docs, id_col, text_col)).select("id", "th", "pos", "h1", "h2", _end_keys(min_words).alias("ends"))
+    every = _with_ends(_hashes(_occurrences(docs, id_col, text_col)), min_words).select("id", "th", "pos", "h1", "h2", "ends")
     every = scratch.table(every, "occurrences")
     lines = scratch.table(every.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")), "distinct")
     near = _near(docs, every, lines, scratch, id_col, text_col)
