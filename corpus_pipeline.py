@@ -7,7 +7,8 @@ columns of ``docs``.  A stage's result is written as Parquet and reread as the n
    of its input;
 2. line dedup: later copies and near copies of a line are cut out of the text, and ``n_chars``
    follows; a document of which nothing is left stays as an empty text;
-3. SimHash near-dedup: the document with the smallest id of each group stays;
+3. near-dedup: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
+   are linked; the document with the smallest id of each group stays;
 4. benchmark decontamination: documents that hold a benchmark passage go;
 5. packing: pieces of sequences of 4096 tokens.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, line_dedup, packing, quality, simhash
+from cladeloom.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from cladeloom.llm.common import Scratch, read
 
 
@@ -36,7 +37,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_dedup.keep_one(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
