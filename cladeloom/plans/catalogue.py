@@ -494,34 +494,34 @@ def gene_tree_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ whole algorithms (rows only)
 
 
-def _small_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _best_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hits.oriented(hits.ranked(fx.hits(spark, sf_dir), 1))
-    return hits.plain_only(rows).filter("gene_id <= 20").select("gene_id", F.concat_ws("_", "species", F.lit(0)).alias("taxon"), "seq")
+    return hits.plain_only(rows).select("gene_id", F.concat_ws("_", "species", F.lit(0)).alias("taxon"), "seq")
 
 
 @query("msa_progressive")
 def msa_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.align_families(_small_families(spark, sf_dir))
+    return modes.align_families(_best_families(spark, sf_dir))
 
 
 @query("nj_tree")
 def nj_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.distance_trees(modes.align_families(_small_families(spark, sf_dir)), "balanced")
+    return modes.distance_trees(modes.align_families(_best_families(spark, sf_dir)), "balanced")
 
 
 @query("ml_tree")
 def ml_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.distance_trees(modes.align_families(_small_families(spark, sf_dir).filter("gene_id <= 5")), "accurate")
+    return modes.distance_trees(modes.align_families(_best_families(spark, sf_dir)), "accurate")
 
 
 @query("mash_tree")
 def mash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.sketch_trees(_small_families(spark, sf_dir), 5)
+    return modes.sketch_trees(_best_families(spark, sf_dir), 5)
 
 
 @query("species_tree")
 def species_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.species_tree(fx.newicks(spark).withColumnRenamed("tree_id", "gene_id").filter("gene_id <= 10"))
+    return modes.species_tree(fx.newicks(spark).withColumnRenamed("tree_id", "gene_id"))
 
 
 @query("pipeline_fast")
