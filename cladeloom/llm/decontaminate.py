@@ -12,9 +12,11 @@ the sum of minima over the sum of maxima of shingle weights with multiplicity; a
 Windows that share no shingle with an item of their size have similarity zero and are not
 fingerprinted; item shingles are looked up for every position of every text.
 
-Texts never leave their task and nothing is shuffled but the found pairs.  Items are taken in
-blocks of at most ``items_per_block``, one pass over the texts each, so what is shipped to tasks
-is bounded for any benchmark.
+Texts never leave their task and nothing is shuffled but the found pairs and, above
+``items_per_block`` items, the items' shingles.  Items are taken in blocks of about
+``items_per_block``, one pass over the texts each.  The item count and the shingles' frequencies are
+those of the whole benchmark whatever the blocks are: with a block go the frequencies of all shingles
+that stand in several items.  A shingle of one item weighs as much as one of none.
 
 Defined cases: null and empty texts and items match nothing; an item of fewer than 5 words has
 one shingle, the whole sequence; a text shorter than an item has one window, the whole text;
@@ -89,7 +91,9 @@ def similarity(a: Counter, b: Counter, weight) -> float:
 class Index:
     """Items, their shingles, and the multi-index over their fingerprints."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], shingle: int = SHINGLE, radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int | None, bytes]], shingle: int = SHINGLE, radius: int = RADIUS, total: int | None = None, shared: dict[int, int] | None = None):
+        """``total`` and ``shared`` (shingles of several items, with their numbers of items) are those of
+        the whole benchmark where ``items`` are a part of it."""
         self.k, self.radius = shingle, radius
         rows = [(i, w) for i, raw in items if (w := words_of(raw))]
         self.ids = [i for i, _ in rows]
@@ -99,9 +103,10 @@ class Index:
         self.hash = np.concatenate([np.zeros(1, np.uint64), _word_hashes(vocabulary)])
         bags = [Counter(shingle_hashes(self.hash[[self.word[x] for x in w]], shingle).tolist()) for _, w in rows]
         self.bags = bags
-        df = Counter(s for b in bags for s in b)
-        self.rare = math.log1p(len(rows))
-        self.weights = {s: math.log1p(len(rows) / n) for s, n in df.items()}
+        total = len(rows) if total is None else total
+        df = Counter(s for b in bags for s in b) if shared is None else shared
+        self.rare = math.log1p(total)
+        self.weights = {s: math.log1p(total / n) for s, n in df.items()}
         self.prints = np.array([self.fingerprint_bag(b) for b in bags], np.uint64)
         # shingle -> items, by a sorted key table; short items are keyed by their only shingle
         pairs = sorted((s, j) for j, b in enumerate(bags) for s in b)
@@ -212,14 +217,27 @@ def _runs(where: list[int]) -> Iterator[tuple[int, int]]:
 _INDEXES: dict[tuple, Index] = {}
 
 
-def _index(key: tuple, items: list, shingle: int, radius: int) -> Index:
+def _index(key: tuple, items: list, shingle: int, radius: int, total: int | None, shared: dict[int, int] | None) -> Index:
     """One index per worker process and block of items."""
     if key not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = Index(items, shingle, radius)
+        _INDEXES[key] = Index(items, shingle, radius, total, shared)
     return _INDEXES[key]
 
 
+def _frequencies(items: DataFrame, shingle: int) -> tuple[int, dict[int, int]]:
+    """The number of items with words, and in how many items each shingle of several items stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(_word_hashes(words_of(raw)), shingle)) for raw in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["s"])
+
+    sets = items.select("_bytes").mapInArrow(run, "s array<long>")
+    shared = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter("n > 1")
+    return sets.filter("size(s) > 0").count(), {r["s"] % (1 << 64): r["n"] for r in shared.collect()}
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """``(id, item, first_word, n_words, similarity)``: each text's best window per item."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -227,14 +245,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     source = with_bytes(docs, text_col).select(id_col, "_bytes")
     items = with_bytes(benchmark, item_text).select(item_col, "_bytes")
     blocks = max(1, -(-items.count() // items_per_block))
+    total, shared = _frequencies(items, shingle) if blocks > 1 else (None, None)
+    every = repr((total, sorted(shared.items()) if shared else shared))
     out = None
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("_bytes"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = sorted(((r[0], bytes(r[1])) for r in own.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        key = xxhash.xxh64_hexdigest(repr(rows)), shingle, radius
+        key = xxhash.xxh64_hexdigest(repr(rows) + every), shingle, radius
 
         def run(batches: Iterator[pa.RecordBatch], rows=rows, key=key) -> Iterator[pa.RecordBatch]:
-            index = _index(key, rows, shingle, radius)
+            index = _index(key, rows, shingle, radius, total, shared)
             for batch in batches:
                 at, got = [], []
                 for i, raw in enumerate(batch.column(1).to_pylist()):
