@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import read, with_bytes
 
@@ -44,6 +45,7 @@ SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 4
 ITEMS_PER_BLOCK = 2000
+KEPT_INDEXES = 4
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -217,12 +219,13 @@ def _runs(where: list[int]) -> Iterator[tuple[int, int]]:
 _INDEXES: dict[tuple, Index] = {}
 
 
-def _index(key: tuple, items: list, shingle: int, radius: int, total: int | None, shared: dict[int, int] | None) -> Index:
+def _index(key: str, items: list, shingle: int, radius: int, total: int | None, shared: dict[int, int] | None) -> Index:
     """One index per worker process and block of items."""
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = Index(items, shingle, radius, total, shared)
-    return _INDEXES[key]
+    if (key, shingle, radius) not in _INDEXES:
+        if len(_INDEXES) >= KEPT_INDEXES:
+            _INDEXES.clear()
+        _INDEXES[key, shingle, radius] = Index(items, shingle, radius, total, shared)
+    return _INDEXES[key, shingle, radius]
 
 
 def _frequencies(items: DataFrame, shingle: int) -> tuple[int, dict[int, int]]:
@@ -238,23 +241,31 @@ def _frequencies(items: DataFrame, shingle: int) -> tuple[int, dict[int, int]]:
     return sets.filter("size(s) > 0").count(), {r["s"] % (1 << 64): r["n"] for r in shared.collect()}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
-    """``(id, item, first_word, n_words, similarity)``: each text's best window per item."""
-    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, first_word long, n_words long, similarity double"
-    source = with_bytes(docs, text_col).select(id_col, "_bytes")
+def _blocks_of(benchmark: DataFrame, item_col: str, item_text: str, shingle: int, radius: int, items_per_block: int) -> list:
+    """Per block of items the arguments of its index; counts and frequencies are the whole benchmark's."""
     items = with_bytes(benchmark, item_text).select(item_col, "_bytes")
     blocks = max(1, -(-items.count() // items_per_block))
     total, shared = _frequencies(items, shingle) if blocks > 1 else (None, None)
     every = repr((total, sorted(shared.items()) if shared else shared))
-    out = None
+    out = []
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("_bytes"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = sorted(((r[0], bytes(r[1])) for r in own.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        key = xxhash.xxh64_hexdigest(repr(rows) + every), shingle, radius
+        out.append((xxhash.xxh64_hexdigest(repr(rows) + every), rows, shingle, radius, total, shared))
+    return out
+
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows, key=key) -> Iterator[pa.RecordBatch]:
-            index = _index(key, rows, shingle, radius, total, shared)
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+    """``(id, item, first_word, n_words, similarity)``: each text's best window per item."""
+    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, first_word long, n_words long, similarity double"
+    source = with_bytes(docs, text_col).select(id_col, "_bytes")
+    out = None
+    for block in _blocks_of(benchmark, item_col, item_text, shingle, radius, items_per_block):
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index = _index(*block)
             for batch in batches:
                 at, got = [], []
                 for i, raw in enumerate(batch.column(1).to_pylist()):
@@ -269,16 +280,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     names=[id_col, item_col, "first_word", "n_words", "similarity"],
                 )
 
-        item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows without an id stay."""
-    found = contaminated(docs, benchmark, id_col, **kw).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, whatever their id; nothing is shuffled."""
+    at, out = docs.columns.index(text_col), docs
+    for block in _blocks_of(benchmark, item_col, item_text, shingle, radius, items_per_block):
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index = _index(*block)
+            for batch in batches:
+                yield batch.filter(pa.array([not matches((t or "").encode(), index, threshold) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

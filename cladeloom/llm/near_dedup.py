@@ -1,20 +1,28 @@
-"""Near-duplicate groups of documents: Jaccard similarity of word-shingle sets, verified exactly.
-
-A text is the set of its runs of five words, each as a 64-bit hash.  Equal sets are folded into one
-representative.  Every set has ``BANDS`` keys of ``ROWS`` minima each; two sets whose similarity is
-``s`` share a key with a chance of ``1 - (1 - s ** ROWS) ** BANDS``, so a pair at exactly 0.8 is
-missed with a chance of three in a million and a closer pair with less.  Pairs that share a key are
-verified on their whole sets, so no other pair is linked.
+"""The pipeline's near-duplicate stage: SimHash groups, completed to an exact Jaccard rule.
+
+A text is the set of its runs of five words, each as a 64-bit hash; two texts are linked when the
+Jaccard similarity of their sets is 0.8 or more.  Equal sets are folded into one representative.
+Candidates come from two sides.  The SimHash operator's ball hashing groups fingerprints (of the
+same shingles) that lie within two bits.  Texts at a similarity of 0.8 differ in ten bits on
+average, beyond any ball that can be emitted, so every set has ``BANDS`` keys of ``ROWS`` minima as
+well; two sets whose similarity is ``s`` share a key with a chance of
+``1 - (1 - s ** ROWS) ** BANDS``: a pair at exactly 0.8 is missed with a chance of three in a
+million and a closer pair with less.  A group of fingerprints and a key are both buckets, and
+pairs of a bucket are verified on their whole sets, so no other pair is linked.
 
 Not every pair of a bucket is verified: first each member meets one hub of its bucket, in
 ``STARS`` rounds with other hubs, and linked members become one component.  Then the pairs of a
 bucket that still lie in different components are verified, all of them, so the components are those
-of all pairs that share a key.  The largest component of a bucket is never joined with itself.
+of all pairs that share a bucket.  The largest component of a bucket is never joined with itself.
+
+Rows, not ids, are told apart (by a 128-bit hash of id and text): rows that share an id but not
+their text are two documents, and rows without an id take part like any other.
 
 Defined cases: null text counts as empty; texts without words are equal; a text of fewer words than
-a shingle has one shingle, the whole sequence; letter case and white space do not count; rows
-without an id take no part; repeated ids are one document if their texts are equal; an empty table
-gives an empty result; other columns are ignored.
+a shingle has one shingle, the whole sequence; letter case and white space do not count; repeated
+rows are one document; of a group the row with the smallest id stays (rows without an id come
+last, ties go by the row's hash); an empty table gives an empty result; other columns are carried
+along by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -24,11 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, with_bytes
 from .components import connected_components
+from .simhash import links as simhash_links
+from .simhash import of_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -60,30 +70,42 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
 
 
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that name a row by its id and text."""
+    what = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return [F.xxhash64(*what).alias("h1"), F.xxhash64(F.lit("second"), *what).alias("h2")]
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return with_bytes(docs, text_col).select(F.col(f"`{id_col}`").alias("id"), *_row_key(id_col, text_col), "_bytes")
+
+
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, digest, n, keys)``."""
+    """``(id, h1, h2, digest, n, fp, keys)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
+            sets = [shingle_set(x) for x in batch.column(3).to_pylist()]
             keys = [band_keys(s).view(np.int64) for s in sets]
-            cols = [batch.column(0), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "digest", "n", "keys"])
+            cols = [
+                *batch.columns[:3], pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "h1", "h2", "digest", "n", "fp", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return with_bytes(docs, text_col).select(F.col(id_col).alias("id"), "_bytes").mapInArrow(run, f"id {kind}, digest binary, n long, keys array<long>")
+    return _slim(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h1 long, h2 long, digest binary, n long, fp long, keys array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, digest, s)``: whole shingle sets, as bytes."""
+def _sets(rows: DataFrame) -> DataFrame:
+    """``(digest, s)``: whole shingle sets, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "s"])
+            sets = [shingle_set(x).tobytes() for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "s"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return with_bytes(docs, text_col).select(F.col(id_col).alias("id"), "_bytes").mapInArrow(run, f"id {kind}, digest binary, s binary")
+    return rows.select("_bytes").mapInArrow(run, "digest binary, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -102,25 +124,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _fit(percent: int) -> F.Column:
+def _fit(percent: int) -> Column:
     """Sets whose sizes lie further apart cannot be that similar."""
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``(id, component_id)`` of rows with an id; component_id is the smallest id reachable over links."""
+def _buckets(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(digest, n, key)``: band keys, and the SimHash group of a fingerprint that has links."""
+    groups = connected_components(simhash_links(reps.select("fp").distinct()), scratch, "fp", "other")
+    near = reps.join(groups.withColumnRenamed("node", "fp"), "fp").select("digest", "n", F.xxhash64(F.lit("simhash"), "component").alias("key"))
+    # equal fingerprints are one node; those of several sets meet by the fingerprint itself
+    same = reps.select("digest", "n", F.xxhash64(F.lit("equal"), "fp").alias("key"))
+    return reps.select("digest", "n", F.explode("keys").alias("key")).unionByName(near).unionByName(same)
+
+
+def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``(id, h1, h2, digest)`` and, per digest, the row that its group keeps: ``(digest, keep)``."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    named = docs.filter(F.col(f"`{id_col}`").isNotNull())
-    sig = scratch.table(_signatures(named, id_col, text_col), "sig")
-    reps = sig.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    points = reps.select("digest", "n", F.explode("keys").alias("key"))
+    sig = scratch.table(_signatures(docs, id_col, text_col), "sig")
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")
+    reps = scratch.table(sig.groupBy("digest").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "reps")
+    points = _buckets(reps, scratch)
     shared = points.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     live = scratch.table(points.join(shared, "key").select("key", "digest", "n", F.col("digest").alias("comp")), "live0")
-    # one row a representative: a repeated id may have several texts
-    met = reps.join(live.select("digest").distinct(), "digest", "left_semi").select("digest", F.col("rep").alias("id"))
-    texts = named.join(met.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
-    sets = scratch.table(_sets(texts, id_col, text_col).join(met, ["id", "digest"], "left_semi").dropDuplicates(["digest"]).select("digest", "s"), "sets")
+    met = reps.join(live.select("digest").distinct(), "digest", "left_semi").select("rep.h1", "rep.h2")
+    texts = _slim(docs, id_col, text_col).join(met, ["h1", "h2"], "left_semi")
+    sets = scratch.table(_sets(texts).dropDuplicates(["digest"]), "sets")
     links = None
     for k in range(STARS + 1):
         if k < STARS:
@@ -140,16 +169,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             several = moved.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
             live = scratch.table(moved.join(several, "key").select("key", "digest", "n", "comp"), f"live{k + 1}")
     at = reps.select("digest", "rep").join(groups.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("comp"))
-    low = at.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    whose = at.join(low, "comp").select("digest", "component_id")
-    return scratch.close(sig.select(F.col("id").alias(id_col), "digest").join(whose, "digest").select(id_col, "component_id"))
+    low = at.groupBy("comp").agg(F.min("rep").alias("keep"))
+    return sig.select("id", "h1", "h2", "digest"), at.join(low, "comp").select("digest", "keep")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with one document of each group left.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """``(id, component_id)`` of every row; component_id is the smallest id reachable over links."""
+    scratch = Scratch(docs.sparkSession, "near")
+    rows, whose = _groups(docs, scratch, id_col, text_col, percent)
+    return scratch.close(rows.join(whose, "digest").select(F.col("id").alias(id_col), F.col("keep.id").alias("component_id")))
+
 
-    Of rows that repeat an id one stays; rows without an id go.
-    """
-    groups = near_duplicates(docs, id_col, text_col, percent)
-    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each group left."""
+    scratch = Scratch(docs.sparkSession, "near")
+    _, whose = _groups(docs, scratch, id_col, text_col, percent)
+    kept = scratch.table(whose.select("keep.h1", "keep.h2").distinct(), "kept")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_row_key(id_col, text_col))
+    # repeated rows fold before the shuffle; the join then finds them by the same key
+    rows = rows.groupBy("h1", "h2").agg(F.first("row").alias("row"))
+    return scratch.close(rows.join(kept, ["h1", "h2"], "left_semi").select("row.*"))

@@ -1,22 +1,29 @@
 """Lexical retrieval packing: sequences of related documents, filled through BM25.
 
-Texts become token ids; documents are dealt by hash over shards of bounded size.  Each shard
+Texts become token ids; documents are dealt by content over shards of bounded size.  Each shard
 builds an inverted index of its documents (terms are token ids).  A seed opens a window; the index
 returns unused neighbours by BM25 score, best first, and they fill the window greedily.  The one
 that no longer fits is cut: its head closes the window and its tail seeds the next, so only the
 last window of a shard is short, and that is cut at powers of two, which need no padding.
 Documents longer than a window fill whole windows of their own first.
 
-Document frequencies, the document count and the mean length are those of the whole corpus, and
-their size is bounded by the tokenizer's vocabulary.
+Shards by content: a document's term weights are projected onto ``DIM`` random directions, and a
+tree of two-means splits, fitted on about ``ROUTING_DOCS`` documents, names its leaf; ``SIGN_BITS``
+signs of the projection cut a leaf further.  Leaves, in the order of the tree, fill shards one after
+another, so like documents meet in a shard.  Leaves above the size of a shard are split by row.
+Only the routing is fitted on a sample: every document is in the index of its shard, and document
+frequencies, the document count and the mean length are those of the whole corpus; their size is
+bounded by the tokenizer's vocabulary.  The README gives the recall of neighbours against one index
+of all documents.
 
 Token ids are written once to the shared folder (two bytes each), read for the statistics, and
 shuffled by shard.  A shard holds about ``shard_tokens`` tokens, however large the corpus; the
 number of shards grows instead.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are packed each; ties in
-score go to the smaller document id, then the earlier row; rows with a null id are packed too; an
-empty table gives no pieces; a document of any length is cut; other columns are ignored.
+score go to the smaller document id, then the earlier row; rows with a null id are packed too and
+ids of any type come back as they are; an empty table gives no pieces; a document of any length is
+cut; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +35,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +43,11 @@ from .common import Scratch, read
 
 WINDOW = 4096
 END_ID = 2
-SHARD_TOKENS = 1 << 19
+SHARD_TOKENS = 1 << 20
+ROUTING_DOCS = 8192
+LEAF_DOCS = 8
+DIM = 96
+SIGN_BITS = 4
 K1, B = 1.2, 0.75
 CACHE_PIECES = 500_000
 VOCABULARY = 1 << 16
@@ -114,33 +124,142 @@ class Encoder(dict):
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``(id, ids, n, part)``: token ids as little-endian two-byte integers, the end id last; part 0.
+class Router:
+    """Bucket of a document by its content: a tree of two-means splits, then signs.
+
+    ``ids`` are the documents that it is fitted on.  Buckets are numbered in the order of the tree.
+    """
+
+    def __init__(self, ids: list[np.ndarray], seed: int = 3):
+        rng = np.random.default_rng(seed)
+        df = np.zeros(VOCABULARY, np.int64)
+        for x in ids:
+            df[np.unique(x)] += 1
+        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
+        self.terms = (rng.standard_normal((VOCABULARY, DIM)) * idf[:, None]).astype(np.float32)
+        self.tree: list[tuple[np.ndarray, float, int, int]] = []  # direction, cut, left, right; negative: leaf
+        self.leaves = 0
+        rows = np.stack([self.vector(x) for x in ids]) if ids else np.zeros((1, DIM), np.float32)
+        self.centre = rows.mean(axis=0)
+        self.signs = rng.standard_normal((DIM, SIGN_BITS)).astype(np.float32)
+        self.root = self._grow(rows, rng)
+
+    def _grow(self, rows: np.ndarray, rng: np.random.Generator) -> int:
+        if len(rows) >= 2 * LEAF_DOCS:
+            two = rows[rng.choice(len(rows), 2, replace=False)]
+            for _ in range(8):
+                near = ((rows[:, None] - two[None]) ** 2).sum(axis=2).argmin(axis=1)
+                if near.min() == near.max():
+                    break
+                two = np.stack([rows[near == k].mean(axis=0) for k in (0, 1)])
+            direction = two[1] - two[0]
+            cut = float(direction @ (two[0] + two[1]) / 2)
+            right = rows @ direction > cut
+            if LEAF_DOCS // 4 <= right.sum() <= len(rows) - LEAF_DOCS // 4:
+                at = len(self.tree)
+                self.tree.append((direction, cut, 0, 0))
+                left = self._grow(rows[~right], rng)
+                self.tree[at] = (direction, cut, left, self._grow(rows[right], rng))
+                return at
+        self.leaves += 1
+        return -self.leaves
+
+    def vector(self, ids: np.ndarray) -> np.ndarray:
+        """The projected weights of the distinct ids, of length one."""
+        t, tf = np.unique(ids, return_counts=True)
+        v = (1 + np.log(tf)).astype(np.float32) @ self.terms[t]
+        return v / max(float(np.linalg.norm(v)), 1e-9)
+
+    def bucket(self, ids: np.ndarray) -> int:
+        v, at = self.vector(ids), self.root
+        while at >= 0:
+            direction, cut, left, right = self.tree[at]
+            at = right if direction @ v > cut else left
+        bits = (v - self.centre) @ self.signs > 0
+        return (-1 - at << SIGN_BITS) + int(bits @ (1 << np.arange(SIGN_BITS)))
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def router(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, most: int = ROUTING_DOCS) -> Router:
+    """A router fitted on about ``most`` documents, taken by a hash of their texts."""
+    path = tokenizer or tokenizer_path()
+    n = docs.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_encoder(path).encode([x or "" for x in batch.column(0).to_pylist()]), pa.binary())], names=["ids"])
+
+    # copies of a text are one document here: what is taken of a group of copies is at most one a partition
+    own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    own = own.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) * n < most * (1 << 30)).distinct()
+    rows = sorted(bytes(r[0]) for r in own.mapInArrow(run, "ids binary").toLocalIterator())
+    return Router([np.frombuffer(x, np.uint16) for x in rows])
+
+
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, route: Router | None = None) -> DataFrame:
+    """``(id, ids, n, bucket, row, part)``: token ids as little-endian two-byte integers, the end id
+    last; the bucket that ``route`` gives; a number of the row; part 0.
 
     Every task adds one row of part 1: in how many of its documents each id stands, as eight-byte
     integers.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     path = tokenizer or tokenizer_path()
+    shared = docs.sparkSession.sparkContext.broadcast(route)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
+        from pyspark import TaskContext
+
+        encoder, way = _encoder(path), shared.value
         df = np.zeros(VOCABULARY, np.int64)
-        names = [id_col, "ids", "n", "part"]
-        none = None
+        names = [id_col, "ids", "n", "bucket", "row", "part"]
+        none, row = None, TaskContext.get().partitionId() << 40
         for batch in batches:
             none = pa.nulls(1, batch.column(0).type)
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                got = _ENCODERS[path].encode([x or "" for x in part.column(1).to_pylist()])
-                for ids in got:
-                    df[np.unique(np.frombuffer(ids, np.uint16))] += 1
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary()), pa.array([len(x) // 2 for x in got], pa.int64()), pa.array(np.zeros(len(got), np.int32))], names=names)
+                got = encoder.encode([x or "" for x in part.column(1).to_pylist()])
+                bucket = []
+                for raw in got:
+                    ids = np.frombuffer(raw, np.uint16)
+                    df[np.unique(ids)] += 1
+                    bucket.append(way.bucket(ids) if way else 0)
+                cols = [pa.array(got, pa.binary()), pa.array([len(x) // 2 for x in got], pa.int64()), pa.array(bucket, pa.int32()), pa.array(np.arange(row, row + len(got))), pa.array(np.zeros(len(got), np.int32))]
+                row += len(got)
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
         if none is not None:
-            yield pa.RecordBatch.from_arrays([none, pa.array([df.tobytes()], pa.binary()), pa.array([0], pa.int64()), pa.array([1], pa.int32())], names=names)
+            cols = [pa.array([df.tobytes()], pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([row]), pa.array([1], pa.int32())]
+            yield pa.RecordBatch.from_arrays([none, *cols], names=names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n long, bucket int, row long, part int")
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n long, part int")
+def bucket_spans(tokens: DataFrame, shard_tokens: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where each bucket begins and ends, in shards; and the number of shards.
+
+    What comes to the driver is one number a bucket, of which there are at most as many as routing
+    documents times signs.
+    """
+    rows = tokens.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    size = np.zeros(int(rows["bucket"].max()) + 1 if len(rows) else 1, np.int64)
+    size[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    total = int(size.sum())
+    shards = max(1, round(total / shard_tokens))
+    end = np.cumsum(size) * (shards / max(total, 1))
+    return end - size * (shards / max(total, 1)), end, shards
+
+
+def shard_of(bucket: np.ndarray, row: np.ndarray, spans: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """A bucket's rows, repeated ones too, are dealt over its span by a mix of their number."""
+    begin, end, shards = spans
+    with np.errstate(over="ignore"):
+        mixed = (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) / 2.0**32
+    return np.clip((begin[bucket] + mixed * (end - begin)[bucket]).astype(np.int64), 0, shards - 1)
 
 
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
@@ -170,8 +289,6 @@ class ShardIndex:
         self.query = []
         for j, ids in enumerate(docs):
             t, tf = np.unique(ids, return_counts=True)
-            weighty = idf[t] > 0
-            t, tf = t[weighty], tf[weighty]
             self.query.append(t)
             terms.append(t)
             tfs.append(tf)
@@ -254,41 +371,44 @@ def _trim(pieces: list[tuple[int, int, int, int, int]], window: int) -> list[tup
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, routing_docs: int = ROUTING_DOCS) -> DataFrame:
     """One row per piece; see the module's docstring."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    tokens = scratch.table(tokenize(docs, id_col, text_col, tokenizer), "tokens", by="part")
+    route = router(docs, text_col, tokenizer, routing_docs)
+    tokens = scratch.table(tokenize(docs, id_col, text_col, tokenizer, route), "tokens", by="part")
     df = document_frequencies(tokens)
     tokens = tokens.filter("part = 0")
     n_docs, n_tokens = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # Robertson and Sparck Jones's weight; ids of more than half the documents have none
-    idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), 0).astype(np.float32)
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean_length = n_tokens / max(n_docs, 1)
-    shards = max(1, round(n_tokens / shard_tokens))
+    way = spark.sparkContext.broadcast(bucket_spans(tokens, shard_tokens))
     kind = docs.schema[id_col].dataType.simpleString()
     shared = spark.sparkContext.broadcast(idf)  # one float per token id
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([id_col, "ids"], kind="stable", na_position="last").reset_index(drop=True)
-        ids = [np.frombuffer(x, np.uint16) for x in frame["ids"]]
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(id_col, "ascending"), ("ids", "ascending"), ("row", "ascending")]).combine_chunks()
+        ids = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("ids")]
         rows = pack_shard(ids, shared.value, mean_length, window)
         doc = [r[0] for r in rows]
-        return pd.DataFrame(
-            {
-                id_col: frame[id_col].to_numpy()[doc],
-                "start": [r[1] for r in rows],
-                "length": [r[2] for r in rows],
-                "ids_crc32": [zlib.crc32(ids[r[0]][r[1] : r[1] + r[2]].astype("<u4").tobytes()) for r in rows],
-                "doc_tokens": [len(ids[d]) for d in doc],
-                "sequence_id": [(int(key[0]) << 32) + r[3] for r in rows],
-                "offset": [r[4] for r in rows],
-            }
-        )
+        cols = [
+            [r[1] for r in rows],
+            [r[2] for r in rows],
+            [zlib.crc32(ids[r[0]][r[1] : r[1] + r[2]].astype("<u4").tobytes()) for r in rows],
+            [len(ids[d]) for d in doc],
+            [(key[0].as_py() << 32) + r[3] for r in rows],
+            [r[4] for r in rows],
+        ]
+        return pa.table([table.column(id_col).take(pa.array(doc, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = shard_of(batch.column(3).to_numpy(), batch.column(2).to_numpy(), way.value)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns[:3]], names=["shard", id_col, "ids", "row"])
 
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("ids", id_col), F.lit(shards)))
-    return scratch.close(dealt.select("shard", id_col, "ids").groupBy("shard").applyInPandas(run, schema))
+    dealt = tokens.select(id_col, "ids", "row", "bucket").mapInArrow(deal, f"shard long, `{id_col}` {kind}, ids binary, row long")
+    return scratch.close(dealt.groupBy("shard").applyInArrow(run, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

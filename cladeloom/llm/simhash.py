@@ -5,12 +5,14 @@ bits of both.  Every distinct fingerprint therefore emits all points within ``r`
 ``r = 1``: itself and 64 more), points are shuffled, and fingerprints that meet on a point are
 verified and linked.  A point has at most 65 fingerprints around it, however the corpus is
 skewed, because copies are folded into their fingerprint first; links run along a chain through
-the sorted members of a point, so no point emits all its pairs.
+the sorted members of a point, so no point emits all its pairs.  Fingerprints themselves are linked
+and grouped; ids come in only afterwards, as the smallest of a group.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and is
 linked like any other; a text of fewer words than a shingle has one shingle, the whole
-sequence; repeated rows share a fingerprint; rows with a null id keep their fingerprint and take
-their group's id; an empty table gives an empty result; other columns are ignored.
+sequence; repeated rows share a fingerprint; rows with a null id link like any other and take
+their group's smallest id (null where the group has none); an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,10 +50,21 @@ def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
     votes = np.zeros(BITS, np.int64)
     for at in range(0, n, _CHUNK):
         a, b = starts[at : min(at + _CHUNK, n)].tolist(), ends[at + k - 1 : min(at + _CHUNK, n) + k - 1].tolist()
-        h = np.array([digest(joined[x:y], seed) for x, y in zip(a, b)], np.uint64)
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * votes > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        votes += _votes(np.array([digest(joined[x:y], seed) for x, y in zip(a, b)], np.uint64))
+    return _majority(votes, n)
+
+
+def _votes(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(votes: np.ndarray, n: int) -> int:
+    return int(np.packbits((2 * votes > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes that are there already."""
+    return _majority(sum(_votes(h[at : at + _CHUNK]) for at in range(0, len(h), _CHUNK)), len(h))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -75,18 +88,16 @@ def ball(radius: int) -> list[int]:
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """``(rep, other)``: links between representatives of fingerprints within ``radius`` bits.
+    """``(fp, other)``: links between fingerprints within ``radius`` bits.
 
-    ``fps`` holds one row ``(fp, rep)`` per distinct fingerprint.  Every pair within the radius
-    is joined by a path of links.  For an odd or larger radius, members of a point may be up to
-    twice the half radius apart, so each link is verified; with an even radius all pass.
+    ``fps`` holds each distinct fingerprint once.  Every pair within the radius is joined by a path
+    of links.  For an odd or larger radius, members of a point may be up to twice the half radius
+    apart, so each link is verified; with an even radius all pass.
     """
     half = (radius + 1) // 2
-    points = fps.select("fp", "rep", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in ball(half)])).alias("point"))
-    w = Window.partitionBy("point").orderBy("fp")
-    met = points.select("fp", "rep", F.lag("fp").over(w).alias("fp0"), F.lag("rep").over(w).alias("rep0"))
-    met = met.filter("fp0 is not null").select("fp", "rep", "fp0", "rep0").distinct()
-    return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= radius).select("rep", F.col("rep0").alias("other"))
+    points = fps.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in ball(half)])).alias("point"))
+    met = points.select("fp", F.lag("fp").over(Window.partitionBy("point").orderBy("fp")).alias("other")).filter("other is not null").distinct()
+    return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -100,21 +111,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.table(fingerprints(docs, id_col, text_col, shingle, seed), "fps")
     reps = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    found = connected_components(links(reps.filter("rep is not null"), radius), scratch, "rep", "other")
-    group = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = connected_components(links(reps.select("fp"), radius), scratch, "fp", "other")
+    at = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    low = at.groupBy("component").agg(F.min("rep").alias("component_id"))
+    group = at.join(low, "component").select("fp", "component_id")
     return scratch.close(fps.join(group, "fp", "left").select(id_col, "fp", "component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` with one document of each near-duplicate group left.
-
-    Of rows that repeat an id one stays; rows without an id go.
-    """
-    groups = near_duplicates(docs, id_col, text_col, **kw)
-    kept = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     out = found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -85,17 +85,31 @@ def test_simhash_matches_brute_force(spark):
 
 def test_simhash_chain_is_one_group(spark):
     fps = [0, 3, 15, 63, 255, 1 << 40]
-    df = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, rep long")
-    got = {tuple(sorted((r["rep"], r["other"]))) for r in simhash.links(df).collect()}
-    assert {(0, 1), (1, 2), (2, 3), (3, 4)} <= got
-    assert all(bin(fps[a] ^ fps[b]).count("1") <= 2 for a, b in got)
-
-
-def test_keep_one(spark, odd, empty):
-    left = simhash.keep_one(odd)
-    assert left.columns == odd.columns
-    assert sorted(r["doc_id"] for r in left.collect()) == [1, 4, 5, 7, 8]
-    assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {tuple(sorted((r["fp"], r["other"]))) for r in simhash.links(df).collect()}
+    assert {(0, 3), (3, 15), (15, 63), (63, 255)} <= got
+    assert all(bin(a ^ b).count("1") <= 2 for a, b in got)
+
+
+def test_simhash_links_run_through_rows_without_an_id(spark):
+    """Texts 1 and 2 are near the null-id row's, not near each other."""
+    base = prose(5, 12)
+    near = {}
+    for k in range(40_000):
+        words = base.split()
+        words[k % 12] = f"v{k}"
+        d = bin(brute_print(" ".join(words)) ^ brute_print(base)).count("1")
+        if d == 2:
+            near.setdefault(brute_print(" ".join(words)) ^ brute_print(base), " ".join(words))
+        pair = next(((a, b) for a in near for b in near if a & b == 0 and a), None)
+        if pair:
+            break
+    rows = [(1, near[pair[0]]), (2, near[pair[1]]), (None, base), (3, prose(6, 30))]
+    got = [(r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == brute_groups(rows)
+    assert {r[0]: r[2] for r in got} == {1: 1, 2: 1, None: 1, 3: 3}
+    alone = simhash.near_duplicates(frame(spark, [(None, "all alone here"), (7, prose(8, 30))])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in alone} == {None: None, 7: 7}
 
 
 # ------------------------------------------------------------------ line dedup
@@ -239,6 +253,11 @@ def test_decontamination_matches_brute_force(spark, odd, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
     assert decontaminate.remove_contaminated(odd, bench).count() == len(ODD)
+    # rows without an id are judged like any other; the other columns stay as they are
+    nameless = frame(spark, [(None, rows[d][1]) for d in sorted({d for d, *_ in want})] + [(None, "clean")])
+    assert [tuple(r) for r in decontaminate.remove_contaminated(nameless, bench, items_per_block=3).collect()] == [(None, "clean", "en", "s", 0, 7, "x", "b", "r", 1, 2, "h", "i", 3, 9, "s", 4)]
+    dated = bench.selectExpr("date_add(date'2020-01-01', item_id) AS item_id", "text")
+    assert decontaminate.contaminated(frame(spark, rows), dated).count() == len(want)
 
 
 def test_multi_index_finds_all_within_radius():
@@ -286,6 +305,8 @@ def test_packing_covers_every_id(spark, odd, empty):
     check_packing(docs, packing.pack(frame(spark, docs), shard_tokens=20_000).collect())
     check_packing(ODD, packing.pack(odd).collect())
     assert packing.pack(empty).count() == 0
+    large = [(9007199254740993, "a b"), (None, "c d e"), (9007199254740993, "a b"), (-1, "")]
+    check_packing(large, packing.pack(frame(spark, large)).collect())
 
 
 def test_encoder_equals_the_tokenizer():
