@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is a run of text between line feeds; its words are what blanks separate.  Two lines are
-the same when their words are; they are near when one word inserted, deleted or changed turns one
-into the other (lines of ``min_words`` or more).  A line goes when an equal or near line stands
-earlier, by (document id, line number); so the earliest stays.  Blank lines always stay.
+A line is a run of text between line feeds; its words are what white space (blank, tab, vertical
+tab, form feed, carriage return) separates.  Two lines are the same when their words are; they are
+near when one word inserted, deleted or changed turns one into the other (lines of ``min_words`` or
+more; any value from 1 on is exact).  A line goes when an equal or near line stands earlier, by
+(document id, line number); so the earliest stays.  Blank lines always stay.
 
 The neighbourhood: deleting word ``i`` of an ``n``-word line gives the variant key
 ``(n - 1, i, words before i, words after i)``; the undeleted line emits the same key for each of
@@ -21,8 +22,12 @@ nothing.
 
 Exact copies are folded by a 128-bit hash with a map-side combined minimum.  Line text is only
 moved for lines that pass the filter: their hashes modulo ``SIEVE`` are broadcast, which bounds
-that table, and lines that slip through cost time, not correctness.  All of it is DataFrame
-expressions.
+that table, and lines that slip through cost time, not correctness (with many more candidates than
+``SIEVE``, all distinct lines are moved, once).  All of it is DataFrame expressions.
+
+Hot keys: occurrences are folded into distinct lines before any join; joins on ends and variants
+are salted by the line; lines that make up more than one in ``HOT`` of all occurrences, fewer than
+``HOT`` in number, meet their occurrences by a broadcast join.
 
 Defined cases: null text has no lines and stays null; repeated rows (equal id and text) count as
 one occurrence and fare alike; of equal lines at one place (a tie) all stay; a null id sorts first;
@@ -39,10 +44,14 @@ from .common import Scratch, read
 
 MIN_WORDS = 8
 SIEVE = 1 << 21
+HOT = 10_000
+SALTS = 8
 
 
 def _tidy(line: Column) -> Column:
-    odd = line.contains("  ") | line.contains("\t") | line.contains("\r")
+    odd = line.contains("  ")
+    for blank in "\t\r\f\x0b":
+        odd = odd | line.contains(blank)
     return F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(F.trim(line))
 
 
@@ -60,7 +69,8 @@ def _with_ends(lines: DataFrame, min_words: int) -> DataFrame:
     """Adds ``ends``: keys of a line's first and last words, in one or two sizes; none for a short
     line.  The number of words is a column of its own, so that it is counted once."""
     lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1)
-    lines = lines.withColumn("p", F.when(F.col("n") >= min_words, F.call_function("shiftleft", F.lit(1), F.length(F.bin("n")) - 2)))
+    half = F.when(F.col("n") == 1, 0).otherwise(F.call_function("shiftleft", F.lit(1), F.length(F.bin("n")) - 2))
+    lines = lines.withColumn("p", F.when(F.col("n") >= min_words, half))
 
     def ends(p: Column) -> list[Column]:
         cut = lambda k: F.call_function("substring_index", F.col("line"), F.lit(" "), k)
@@ -72,11 +82,17 @@ def _with_ends(lines: DataFrame, min_words: int) -> DataFrame:
     return lines.withColumn("ends", F.when(n >= min_words, both).otherwise(F.expr("cast(array() as array<bigint>)"))).drop("n", "p")
 
 
-def _near(docs: DataFrame, every: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+def _meet(lines: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Join on a key that many lines may share: lines are salted, ``keys`` (a row a key) repeated."""
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod("h1", F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_hash"), [key, "salt"], how).drop("salt")
+
+
+def _near(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """``(h1, h2, near_first)``: for a distinct line, the earliest near line that is earlier."""
-    keyed = every.select("h1", "h2", F.explode("ends").alias("k"))
+    keyed = lines.select("h1", "h2", F.explode("ends").alias("k"))
     shared = keyed.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("k")
-    some = scratch.table(keyed.join(shared.hint("shuffle_hash"), "k", "left_semi").select("h1", "h2").distinct(), "some")
+    some = scratch.table(_meet(keyed, shared, "k", "left_semi").select("h1", "h2").distinct(), "some")
 
     sieve = some.select(F.pmod("h1", F.lit(SIEVE)).alias("r")).distinct()
     source = _hashes(_occurrences(docs, id_col, text_col).select("line"))
@@ -103,11 +119,11 @@ def _near(docs: DataFrame, every: DataFrame, lines: DataFrame, scratch: Scratch,
 
     variants = scratch.table(variants, "variants")
     met = variants.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("key")
-    few = variants.join(met.hint("shuffle_hash"), "key", "left_semi").join(text.select("h1", "h2", "first"), ["h1", "h2"])
+    few = _meet(variants, met, "key", "left_semi").join(text.select("h1", "h2", "first"), ["h1", "h2"])
     few = scratch.table(few, "met")
     scratch.drop("variants")
     low = few.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("low"))
-    pairs = few.join(low, "key").filter(F.col("low.first") < F.col("first"))
+    pairs = _meet(few, low, "key", "inner").filter(F.col("low.first") < F.col("first"))
     pairs = pairs.select("h1", "h2", "m", "at", F.col("low.h1").alias("g1"), F.col("low.h2").alias("g2")).distinct()
 
     mine = text.select("h1", "h2", F.col("words").alias("x"))
@@ -126,10 +142,15 @@ def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "lines")
     every = _with_ends(_hashes(_occurrences(docs, id_col, text_col)), min_words).select("id", "th", "pos", "h1", "h2", "ends")
     every = scratch.table(every, "occurrences")
-    lines = scratch.table(every.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")), "distinct")
-    near = _near(docs, every, lines, scratch, id_col, text_col)
+    lines = scratch.table(every.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"), F.any_value("ends").alias("ends")), "distinct")
+    near = _near(docs, lines, scratch, id_col, text_col)
     fate = lines.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("n > 1 or near_first is not null")
-    out = every.select("id", "th", "pos", "h1", "h2").join(fate, ["h1", "h2"])
+    fate = scratch.table(fate, "fates")
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    what = every.select("id", "th", "pos", "h1", "h2")
+    often = F.broadcast(fate.filter(hot))  # fewer than HOT rows
+    out = what.join(often, ["h1", "h2"]).unionByName(what.join(often.select("h1", "h2"), ["h1", "h2"], "left_anti").join(fate.filter(~hot), ["h1", "h2"]))
     same_place = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.pos") == F.col("pos"))
     is_near = F.col("near_first").isNotNull()
     out = out.filter(is_near | ~same_place).select("id", "th", "pos", (is_near & same_place).alias("near"))
@@ -169,7 +190,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH o AS (
-  SELECT doc_id, k - 1 AS pos, trim(regexp_replace(string_split(text, chr(10))[k], '[ \\t\\r]+', ' ', 'g')) AS line
+  SELECT doc_id, k - 1 AS pos, trim(regexp_replace(string_split(text, chr(10))[k], '[ \\t\\r\\f\\v]+', ' ', 'g')) AS line
   FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) u(k)
 ), l AS (
   SELECT line, min((doc_id, pos)) AS first, string_split(line, ' ') AS ws FROM o WHERE line <> '' GROUP BY line

@@ -139,9 +139,11 @@ def brute_lines(rows, least=8):
     return out
 
 
-def test_line_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 2, 3, 8])
+def test_line_dedup_matches_brute_force(spark, least):
     rng = random.Random(5)
-    pool = [[rng.choice("abcd") for _ in range(rng.choice([3, 7, 8, 9, 15, 16, 17, 31, 32, 33]))] for _ in range(25)]
+    sizes = [3, 7, 8, 9, 15, 16, 17, 31, 32, 33] if least > 3 else [1, 2, 3, 4, 5, 8, 9, 16]
+    pool = [[rng.choice("abcd") + str(rng.randrange(40)) for _ in range(rng.choice(sizes))] for _ in range(25)]
     rows = []
     for d in range(40):
         lines = []
@@ -153,12 +155,12 @@ def test_line_dedup_matches_brute_force(spark):
                 w[at : at + (kind != 0)] = [] if kind == 1 else [rng.choice("abcdx")]
                 if not w:
                     w = ["z"]
-            lines.append(" ".join(w))
+            lines.append(rng.choice([" ", " ", " ", "\t", "\f", " \x0b"]).join(w))
         rows.append((d, "\n".join([*lines, ""])))
-    fates = {r["id"]: r["removed"] for r in line_dedup.line_fates(frame(spark, rows)).collect()}
-    want = brute_lines(rows)
-    assert {d: g for d, g in want.items() if g} == fates
-    clean = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    fates = {r["id"]: r["removed"] for r in line_dedup.line_fates(frame(spark, rows), min_words=least).collect()}
+    want = brute_lines(rows, least)
+    assert {d: g for d, g in want.items() if g} == fates and fates
+    clean = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows), min_words=least).collect()}
     for d, text in rows:
         assert clean[d] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in want[d])
 
