@@ -4,6 +4,11 @@
 laced SimpleBlocks inside clusters, with a cue point per cluster.  ``demux`` walks the EBML tree
 and returns the packet table: track, timestamp, cluster, block, lace index, byte offset, size.
 
+Times of files from elsewhere: clusters, blocks, cues and the duration count in units of
+TimestampScale.  The frames of a lace are DefaultDuration of their track apart; without one, PCM
+frames follow from their size, and frames of other codecs get their block's time.  A BlockGroup's
+block is a keyframe unless the group has a ReferenceBlock.
+
 Defined cases: null and empty text are stored as one frame of padding bytes (255); payloads are
 padded to a positive multiple of 576; null media gives null features; truncated or foreign bytes
 raise ``ValueError`` in ``demux``; unknown elements are skipped; unknown-size segments and
@@ -34,9 +39,9 @@ BLOCKS_PER_CLUSTER = 64
 # Element ids of the published Matroska specification.
 EBML, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 NO_LACE, XIPH, FIXED, EBML_LACE = 0, 1, 2, 3
 
@@ -96,7 +101,7 @@ def mux(payload: bytes) -> bytes:
     head = element(EBML, element(DOC_TYPE, b"matroska") + uint(DOC_VERSION, 4) + uint(DOC_READ_VERSION, 2))
     info = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", float(len(frames) * FRAME_MS))) + element(MUXING_APP, b"cladeloom") + element(WRITING_APP, b"cladeloom"))
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", float(RATE))) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(FLAG_LACING, 1) + uint(DEFAULT_DURATION, FRAME_MS * 1_000_000) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     body, cues, at = [info, tracks], [], len(info) + len(tracks)
     per = FRAMES_PER_BLOCK * BLOCKS_PER_CLUSTER
     for c in range(0, len(frames), per):
@@ -114,7 +119,7 @@ def mux(payload: bytes) -> bytes:
 
 class Packet(NamedTuple):
     track: int
-    timestamp_ms: int
+    timestamp_ns: int
     cluster: int
     block: int
     lace: int
@@ -122,12 +127,25 @@ class Packet(NamedTuple):
     size: int
     keyframe: bool
 
+    @property
+    def timestamp_ms(self) -> int:
+        return self.timestamp_ns // 1_000_000
+
+
+class Track(NamedTuple):
+    number: int
+    codec: str
+    rate: float
+    bits: int
+    channels: int
+    frame_ns: int  # 0: not given
+
 
 class Media(NamedTuple):
     doc_type: str
     packets: list[Packet]
-    tracks: list[tuple[int, str, float, int]]
-    cues: list[tuple[int, int, int]]
+    tracks: list[Track]
+    cues: list[tuple[int, int, int]]  # time in ms, track, position of the cluster
     cluster_at: list[int]
     duration_ms: float
     laced: tuple[int, int, int, int]
@@ -195,20 +213,20 @@ def _frames(buf: bytes, at: int, end: int) -> tuple[int, int, bool, int, list[tu
 
 
 def demux(buf: bytes) -> Media:
-    doc_type, scale, duration = "", 1_000_000, 0.0
-    packets: list[Packet] = []
-    tracks: list[tuple[int, str, float, int]] = []
+    doc_type, scale, ticks = "", 1_000_000, 0.0
+    blocks: list[tuple[int, int, int, list[tuple[int, int]], bool]] = []  # track, time in ticks, cluster, frames, keyframe
+    tracks: list[Track] = []
     cues: list[tuple[int, int, int]] = []
     cluster_at: list[int] = []
     laced = [0, 0, 0, 0]
-    segment_at, base, blocks, track, cue = 0, 0, 0, {}, {}
+    segment_at, base, track, cue, in_group = 0, 0, {}, {}, 0
     stack: list[tuple[int, int]] = [(0, len(buf))]
     at = 0
     while True:
         while len(stack) > 1 and at >= stack[-1][1]:
             ident, _ = stack.pop()
             if ident == TRACK_ENTRY:
-                tracks.append((track.get(TRACK_NUMBER, 0), track.get(CODEC_ID, ""), track.get(SAMPLING_FREQUENCY, 0.0), track.get(BIT_DEPTH, 0)))
+                tracks.append(Track(track.get(TRACK_NUMBER, 0), track.get(CODEC_ID, ""), track.get(SAMPLING_FREQUENCY, 0.0), track.get(BIT_DEPTH, 0), track.get(CHANNELS, 1), track.get(DEFAULT_DURATION, 0)))
             elif ident == CUE_POINT:
                 cues.append((cue.get(CUE_TIME, 0), cue.get(CUE_TRACK, 0), cue.get(CUE_CLUSTER_POSITION, 0)))
         if at >= len(buf):
@@ -221,7 +239,7 @@ def demux(buf: bytes) -> Media:
             raise ValueError(f"element {ident:x} at byte {start} runs over its parent")
         if size is None and ident not in (SEGMENT, CLUSTER):
             raise ValueError("unknown size")
-        if ident == CLUSTER and stack[-1][0] == CLUSTER:  # the one before had no size
+        if ident in (CLUSTER, CUES, TRACKS, INFO) and stack[-1][0] == CLUSTER:  # the one before had no size
             stack.pop()
         if ident in PARENTS or ident == EBML:
             stack.append((ident, end))
@@ -229,6 +247,8 @@ def demux(buf: bytes) -> Media:
                 segment_at = at
             elif ident == CLUSTER:
                 cluster_at.append(start - segment_at)
+            elif ident == BLOCK_GROUP:
+                in_group = len(blocks)
             elif ident == TRACK_ENTRY:
                 track = {}
             elif ident == CUE_POINT:
@@ -237,30 +257,50 @@ def demux(buf: bytes) -> Media:
         if ident in (SIMPLE_BLOCK, BLOCK):
             number, relative, key, kind, spans = _frames(buf, at, end)
             laced[kind] += 1
-            when = base + relative
-            for k, (o, n) in enumerate(spans):
-                packets.append(Packet(number, when + k * FRAME_MS, len(cluster_at) - 1, blocks, k, o, n, key))
-            blocks += 1
+            blocks.append((number, base + relative, len(cluster_at) - 1, spans, key or ident == BLOCK))
+        elif ident == REFERENCE_BLOCK:
+            blocks[in_group:] = [(*b[:4], False) for b in blocks[in_group:]]
         elif ident == TIMESTAMP:
-            base = int.from_bytes(buf[at:end], "big") * scale // 1_000_000
+            base = int.from_bytes(buf[at:end], "big")
         elif ident == TIMESTAMP_SCALE:
             scale = int.from_bytes(buf[at:end], "big")
         elif ident == DOC_TYPE:
             doc_type = buf[at:end].decode()
         elif ident == DURATION:
-            duration = struct.unpack(">d" if size == 8 else ">f", buf[at:end])[0] * scale / 1_000_000
+            ticks = struct.unpack(">d" if size == 8 else ">f", buf[at:end])[0]
         elif ident == SAMPLING_FREQUENCY:
             track[ident] = struct.unpack(">d" if size == 8 else ">f", buf[at:end])[0]
         elif ident == CODEC_ID:
             track[ident] = buf[at:end].decode()
-        elif ident in (TRACK_NUMBER, BIT_DEPTH):
+        elif ident in (TRACK_NUMBER, BIT_DEPTH, CHANNELS, DEFAULT_DURATION):
             track[ident] = int.from_bytes(buf[at:end], "big")
         elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION):
             cue[ident] = int.from_bytes(buf[at:end], "big")
         at = end
     if doc_type != "matroska":
         raise ValueError("not a Matroska file")
-    return Media(doc_type, packets, tracks, cues, cluster_at, duration, tuple(laced))
+    # scale and tracks may stand behind what they are needed for, so times are reckoned at the end
+    known = {t.number: t for t in tracks}
+    packets = [
+        Packet(number, when * scale + extra, cluster, k, lace, offset, n, key)
+        for k, (number, when, cluster, spans, key) in enumerate(blocks)
+        for lace, ((offset, n), extra) in enumerate(zip(spans, _lace_times(known.get(number), spans)))
+    ]
+    cues = [(when * scale // 1_000_000, number, position) for when, number, position in cues]
+    return Media(doc_type, packets, tracks, cues, cluster_at, ticks * scale / 1_000_000, tuple(laced))
+
+
+def _lace_times(track: Track | None, spans: list[tuple[int, int]]) -> list[int]:
+    """Nanoseconds from a block's time to each of its frames."""
+    if track and track.frame_ns:
+        return [k * track.frame_ns for k in range(len(spans))]
+    if track and track.codec.startswith("A_PCM") and track.rate and track.bits:
+        per_second, before, out = track.rate * track.channels * track.bits / 8, 0, []
+        for _, n in spans:
+            out.append(round(before * 1e9 / per_second))
+            before += n
+        return out
+    return [0] * len(spans)
 
 
 def payload_of(buf: bytes, media: Media, track: int = 1) -> bytes:
@@ -298,7 +338,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return with_bytes(docs, text_col).select(id_col, "_bytes").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-PACKET_SCHEMA = "track int, timestamp_ms long, cluster int, block int, lace int, byte_offset long, byte_size long, keyframe boolean"
+PACKET_SCHEMA = "track int, timestamp_ns long, cluster int, block int, lace int, byte_offset long, byte_size long, keyframe boolean"
 
 
 def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

@@ -364,6 +364,60 @@ def test_uneven_lacing(kind):
         assert media.packets[0].timestamp_ms == 45
 
 
+def test_times_of_a_file_made_by_hand():
+    """Scale 10 ms; a laced track with a default duration, a PCM track without, one of neither."""
+    m = matroska
+    head = m.element(m.EBML, m.element(m.DOC_TYPE, b"matroska"))
+    info = m.element(m.INFO, m.uint(m.TIMESTAMP_SCALE, 10_000_000) + m.element(m.DURATION, b"\x41\x20\x00\x00"))
+    pcm = m.element(m.AUDIO, m.element(m.SAMPLING_FREQUENCY, b"\x45\xfa\x00\x00") + m.uint(m.CHANNELS, 2) + m.uint(m.BIT_DEPTH, 16))
+    entries = [
+        m.uint(m.TRACK_NUMBER, 1) + m.uint(m.DEFAULT_DURATION, 40_000_000) + m.element(m.CODEC_ID, b"V_X"),
+        m.uint(m.TRACK_NUMBER, 2) + m.element(m.CODEC_ID, b"A_PCM/INT/LIT") + pcm,
+        m.uint(m.TRACK_NUMBER, 3) + m.element(m.CODEC_ID, b"S_TEXT"),
+    ]
+    tracks = m.element(m.TRACKS, b"".join(m.element(m.TRACK_ENTRY, e) for e in entries))
+    group = lambda body, more=b"": m.element(m.BLOCK_GROUP, m.element(m.BLOCK, body) + more)
+    laced = b"\x81\x00\x05\x04\x01" + b"ab" + b"cd"  # track 1, relative 5, fixed lacing, two frames
+    sound = b"\x82\xff\xff\x04\x01" + b"x" * 32 + b"y" * 32  # track 2, relative -1
+    plain = b"\x83\x00\x02\x00" + b"z"
+    cluster = m.element(m.CLUSTER, m.uint(m.TIMESTAMP, 10) + m.element(m.SIMPLE_BLOCK, laced) + group(sound, m.element(m.REFERENCE_BLOCK, b"\x01")) + group(plain))
+    cues = m.element(m.CUES, m.element(m.CUE_POINT, m.uint(m.CUE_TIME, 10) + m.element(m.CUE_TRACK_POSITIONS, m.uint(m.CUE_TRACK, 1) + m.uint(m.CUE_CLUSTER_POSITION, 0))))
+    got = m.demux(head + m.element(m.SEGMENT, cluster + info + tracks + cues))
+    assert [(p.track, p.timestamp_ns, p.lace, p.keyframe) for p in got.packets] == [
+        (1, 150_000_000, 0, False), (1, 190_000_000, 1, False), (2, 90_000_000, 0, False), (2, 91_000_000, 1, False), (3, 120_000_000, 0, True),
+    ]
+    assert got.cues == [(100, 1, 0)] and got.duration_ms == 100.0 and m.seek(got, 99) is None and m.seek(got, 100) == 0
+
+
+def brute_feature(text):
+    """The feature string from the text alone, by counting frames and blocks."""
+    raw = (text or "").encode()
+    raw += b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+    frames = len(raw) // 576
+    per_cluster = [min(512, frames - c) for c in range(0, frames, 512)]
+    blocks = [[min(8, n - b) for b in range(0, n, 8)] for n in per_cluster]
+    kinds = [0, 0, 0, 0]
+    for cluster in blocks:
+        for k, n in enumerate(cluster):
+            kinds[0 if n == 1 else (2, 1, 3)[k % 3]] += 1
+    turns = sum((a >= 128) != (b >= 128) for a, b in zip(raw, raw[1:]))
+    return (
+        f"tracks=1;clusters={len(per_cluster)};blocks={sum(kinds)};packets={frames};laced={'/'.join(map(str, kinds))};cues={len(per_cluster)};cues_exact=1;"
+        f"duration_ms={frames * 12};last_ms={(frames - 1) * 12};sample_sum={sum(raw)};peak={max(raw)};crossings={turns}"
+    )
+
+
+def test_features_match_brute_force(spark, odd):
+    texts = {}
+    for d, t in [*ODD, (30, "é" * 400_000)]:
+        texts.setdefault(d, t)
+    rows = matroska.media_features(matroska.store(frame(spark, [*ODD, (30, texts[30])]))).collect()
+    for r in rows:
+        assert r["feature"] == brute_feature(texts[r["doc_id"]])
+    stored = {r["doc_id"]: bytes(r["media"]) for r in matroska.store(odd).collect()}
+    assert all(hashlib.sha256(stored[r["doc_id"]]).hexdigest() == r["media_sha256"] for r in rows if r["doc_id"] in stored and r["doc_id"] != 9)
+
+
 def test_foreign_bytes_are_refused():
     data = matroska.mux(matroska.pad(b"x"))
     for bad in (b"RIFF" + data, data[:-1], data[:60]):
