@@ -2,9 +2,13 @@
 
 ``write_archives`` writes one gzip member per record into files of the shared folder; payloads
 that repeat are written once and revisited.  ``build_index`` sorts the captures by reversed-host
-URL key, packs runs of index lines into compressed blocks, and keeps a sparse directory with one
-row per block.  ``lookup`` binary-searches the directory, then the block, then reads the byte
-range of one record; ``read_captures`` reads a whole archive set block by block through the index.
+URL key and packs runs of index lines into compressed blocks; every index file ends with its sparse
+block directory, and the table of index files (one row a file, so one a task that wrote) names the
+keys that each spans.  A key is answered by binary search over that table, over the directory of the
+file and over the lines of the block, and then a range read of the record.  ``lookup`` does so for
+one url; ``find`` does so for a table of keys: a key's blocks are looked up first and dealt over
+tasks, so a url with a large share of all captures is answered by many.  ``read_captures`` reads a
+whole archive set block by block.
 
 Files are written and read with ``pyarrow.fs``, by the URI of the shared folder, under a name
 of their own for every task attempt; only names that a finished attempt returned are used, so a
@@ -14,7 +18,8 @@ Defined cases: null html is an empty payload; payloads below ``min_bytes`` are n
 null urls have no target and sort first; control characters and blanks in urls are
 percent-encoded; rows that repeat a page id and payload are all written, and those with the
 smallest page id of their payload are responses; null page ids are written, never referred to;
-an empty table writes no archive; other columns are ignored.
+an empty table writes no archive; keys that no record has are answered by no row; a page of any
+size is one record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ import hashlib
 import re
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
@@ -35,10 +41,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 
 MANIFEST = "url_key string, page_id long, record_type string, archive string, byte_offset long, byte_length long"
+FILES = "first_key string, last_key string, index_file string, page_offset long, page_length long, n_blocks long, n_lines long"
 DIRECTORY = "first_key string, last_key string, index_file string, byte_offset long, byte_length long, n_lines long"
 CAPTURE = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 ARCHIVE_BYTES = 32 << 20
 BLOCK_LINES = 1000
+HOT, SALTS = 1000, 32
 
 
 def url_key(url: str | None) -> str:
@@ -125,17 +133,23 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += size
 
 
-def _revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
+def _revisits(pages: DataFrame, scratch: Scratch, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
     """Pages with their payload, its digest and the page they revisit, if any."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url"), payload.cast("binary").alias("payload"), F.sha2(payload, 256).alias("digest"))
     first = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.filter("n > 1 and first_id is not null").select("digest", "first_id")
+    first = scratch.table(first.filter("n > 1 and first_id is not null"), "repeated")
+    # payloads that make up more than one in HOT of the repeated pages, fewer than HOT of them, are salted
+    total = first.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(first.filter(F.col("n") * HOT > total).select(F.col("digest").alias("_often")))
+    rows = rows.join(often, F.col("digest") == F.col("_often"), "left")
+    rows = rows.withColumn("salt", F.when(F.col("_often").isNotNull(), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(0).cast("int"))
+    first = first.withColumn("salt", F.explode(F.when(F.col("n") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     to = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", to.alias("refers_to"))
+    return rows.join(first, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", to.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", html_col: str = "html", min_bytes: int = 100, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, scratch: Scratch, root: str, id_col: str = "page_id", html_col: str = "html", min_bytes: int = 100, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
     """Write all pages below ``root``; the result, evaluated once, is the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +174,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", html_co
             if out is not None:
                 out.close()
 
-    return _revisits(pages, id_col, html_col, min_bytes).mapInArrow(run, MANIFEST)
+    return _revisits(pages, scratch, id_col, html_col, min_bytes).mapInArrow(run, MANIFEST)
 
 
 _TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
@@ -173,38 +187,67 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def build_index(manifest: DataFrame, root: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Write sorted, compressed index blocks below ``root``; the result is the block directory."""
+    """Write sorted, compressed index files below ``root``; the result is the table of files.
+
+    A file is compressed blocks of lines and, last, the compressed directory of its blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _fs(root)
         files.create_dir(base, recursive=True)
-        name, out, at, lines = f"{uuid.uuid4().hex}.cdx.gz", None, 0, []
+        name, out, at, lines, blocks = f"{uuid.uuid4().hex}.cdx.gz", None, 0, [], []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> None:
             nonlocal out, at, lines
             if out is None:
                 out = files.open_output_stream(_join(base, name), compression=None)
             data = _gzip("\n".join(lines).encode())
             out.write(data)
-            row = (lines[0].split("\t")[0], lines[-1].split("\t")[0], _join(root, name), at, len(data), len(lines))
+            blocks.append((lines[0].split("\t")[0], lines[-1].split("\t")[0], at, len(data), len(lines)))
             at, lines = at + len(data), []
-            return _batch([row], DIRECTORY)
 
         try:
             for batch in batches:
                 for key, page_id, kind, archive, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                     lines.append(f"{key}\t{'-' if page_id is None else page_id}\t{kind}\t{archive}\t{offset}\t{length}")
                     if len(lines) == block_lines:
-                        yield flush()
+                        flush()
             if lines:
-                yield flush()
+                flush()
+            if blocks:
+                page = _gzip("\n".join("\t".join(map(str, b)) for b in blocks).encode())
+                out.write(page)
+                yield _batch([(blocks[0][0], blocks[-1][1], _join(root, name), at, len(page), len(blocks), sum(b[4] for b in blocks))], FILES)
         finally:
             if out is not None:
                 out.close()
 
     slots = manifest.sparkSession.sparkContext.defaultParallelism
     ordered = manifest.repartitionByRange(max(slots, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    return ordered.mapInArrow(run, DIRECTORY)
+    return ordered.mapInArrow(run, FILES)
+
+
+@lru_cache(maxsize=64)
+def _page(uri: str, offset: int, length: int) -> tuple[list[str], list[str], list[tuple[int, int, int]]]:
+    """A file's block directory: first keys, last keys, and (offset, length, lines)."""
+    rows = [x.split("\t") for x in _block(uri, offset, length)]
+    return [r[0] for r in rows], [r[1] for r in rows], [(int(r[2]), int(r[3]), int(r[4])) for r in rows]
+
+
+def directory(files: DataFrame) -> DataFrame:
+    """All block directories, one row a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _batch([(a, b, uri, *x) for a, b, x in zip(*_page(uri, offset, length))], DIRECTORY)
+
+    return files.select("index_file", "page_offset", "page_length").mapInArrow(run, DIRECTORY)
+
+
+def _spanning(first: list[str], last: list[str], key: str) -> range:
+    """The entries, in sorted order, whose keys may be ``key``, by binary search on both ends."""
+    return range(bisect_left(last, key), bisect_right(first, key))
 
 
 def _range(uri: str, offset: int, length: int) -> bytes:
@@ -218,70 +261,118 @@ def _block(uri: str, offset: int, length: int) -> list[str]:
 
 
 def search(lines: list[str], key: str) -> list[str]:
-    """The lines of a sorted block whose key is ``key``, by binary search."""
-    keys = [x.partition("\t")[0] for x in lines]
-    hi = bisect_right(keys, key)
-    lo = hi
-    while lo and keys[lo - 1] == key:
-        lo -= 1
-    return lines[lo:hi]
+    """The lines of a sorted block whose key is ``key``, by binary search on both ends."""
+    own = lambda x: x.partition("\t")[0]
+    return lines[bisect_left(lines, key, key=own) : bisect_right(lines, key, key=own)]
 
 
-def lookup(directory: DataFrame, url: str) -> list[dict]:
+def lookup(files: DataFrame, url: str) -> list[dict]:
     """Records captured for one url.
 
-    Only the directory rows that can hold the key come to the driver: blocks overlap in key only
-    where one url fills several of them.
+    Only the files that can hold the key come to the driver: files overlap in key only where one
+    url fills several of them.
     """
     key = url_key(url)
-    blocks = directory.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "byte_offset").toLocalIterator()
     found = []
-    for b in blocks:
-        for line in search(_block(b["index_file"], b["byte_offset"], b["byte_length"]), key):
-            _, _, _, archive, offset, length = line.split("\t")
-            found.append(parse(zlib.decompress(_range(archive, int(offset), int(length)), 31)))
+    for f in files.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "last_key").toLocalIterator():
+        first, last, blocks = _page(f["index_file"], f["page_offset"], f["page_length"])
+        for k in _spanning(first, last, key):
+            for line in search(_block(f["index_file"], *blocks[k][:2]), key):
+                _, _, _, archive, offset, length = line.split("\t")
+                found.append(parse(zlib.decompress(_range(archive, int(offset), int(length)), 31)))
     return found
 
 
-def read_captures(directory: DataFrame) -> DataFrame:
-    """Every capture of the index: a block is read, its lines are grouped by archive, and their
-    byte ranges are read in file order.  ``intact``: a response's bytes have the digest named."""
+def _captures(lines: list[str]) -> list[tuple]:
+    """Records of index lines, read by byte range in file order."""
+    spans: dict[str, list[tuple[int, int]]] = {}
+    for line in lines:
+        _, _, _, archive, o, n = line.split("\t")
+        spans.setdefault(archive, []).append((int(o), int(n)))
+    rows = []
+    for archive, where in spans.items():
+        files, at = _fs(archive)
+        with files.open_input_file(at) as f:
+            for o, n in sorted(where):
+                r = parse(zlib.decompress(f.read_at(n, o), 31))
+                data = r["payload"]
+                ok = None if data is None else len(data) == r["payload_bytes"] and hashlib.sha256(data).hexdigest() == r["payload_digest"]
+                rows.append((r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], ok))
+    return rows
+
+
+def url_keys(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """``(url_key)``: the distinct keys of a column of urls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
-                spans: dict[str, list[tuple[int, int]]] = {}
-                for line in _block(uri, offset, length):
-                    _, _, _, archive, o, n = line.split("\t")
-                    spans.setdefault(archive, []).append((int(o), int(n)))
-                rows = []
-                for archive, where in spans.items():
-                    files, at = _fs(archive)
-                    with files.open_input_file(at) as f:
-                        for o, n in sorted(where):
-                            r = parse(zlib.decompress(f.read_at(n, o), 31))
-                            data = r["payload"]
-                            ok = None if data is None else len(data) == r["payload_bytes"] and hashlib.sha256(data).hexdigest() == r["payload_digest"]
-                            rows.append((r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], ok))
-                yield _batch(rows, CAPTURE)
+            yield _batch([(k,) for k in sorted({url_key(u) for u in batch.column(0).to_pylist()})], "url_key string")
+
+    return pages.select(url_col).mapInArrow(run, "url_key string").distinct()
+
+
+def find(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every capture of the keys (column ``url_key``, each once), through the two levels of the index.
+
+    ``intact``: a response's bytes have the digest named.  What is broadcast is one row per index file.
+    """
+    spark = files.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    top = sorted(map(tuple, files.select("first_key", "last_key", "index_file", "page_offset", "page_length").collect()))
+    shared = spark.sparkContext.broadcast(top)
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts = [t[0] for t in shared.value], [t[1] for t in shared.value]
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                for f in _spanning(firsts, lasts, key):
+                    first, last, blocks = _page(*shared.value[f][2:])
+                    rows += [(key, shared.value[f][2], *blocks[k][:2]) for k in _spanning(first, last, key)]
+            yield _batch(rows, "url_key string, index_file string, byte_offset long, byte_length long")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, lines, met = None, [], []
+        for batch in batches:
+            for key, *at in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != block:
+                    if met:
+                        yield _batch(_captures(met), CAPTURE)
+                    block, lines, met = at, _block(*at), []
+                met += search(lines, key)
+        if met:
+            yield _batch(_captures(met), CAPTURE)
+
+    # keys in order share directories and blocks
+    where = keys.select("url_key").repartitionByRange(tasks, "url_key").sortWithinPartitions("url_key").mapInArrow(blocks_of, "url_key string, index_file string, byte_offset long, byte_length long")
+    return where.repartition(tasks, "index_file", "byte_offset").sortWithinPartitions("index_file", "byte_offset", "url_key").mapInArrow(records, CAPTURE)
+
+
+def read_captures(blocks: DataFrame) -> DataFrame:
+    """Every capture of the blocks of a directory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _batch(_captures(_block(*at)), CAPTURE)
 
-    blocks = directory.select("index_file", "byte_offset", "byte_length")
-    slots = directory.sparkSession.sparkContext.defaultParallelism
-    return blocks.repartition(max(slots, int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, CAPTURE)
+    slots = blocks.sparkSession.sparkContext.defaultParallelism
+    return blocks.select("index_file", "byte_offset", "byte_length").repartition(max(slots, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, CAPTURE)
 
 
 def archive(pages: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
-    """Archives and index of ``pages`` in the shared folder: ``(manifest, directory)``."""
+    """Archives and index of ``pages`` in the shared folder: ``(manifest, files)``."""
     scratch = Scratch(pages.sparkSession, "warc")
-    manifest = scratch.table(write_archives(pages, f"{scratch.path}/archives", **kw), "manifest")
-    directory = scratch.table(build_index(manifest, f"{scratch.path}/index"), "directory")
-    scratch.close(directory)
-    return manifest, directory
+    manifest = scratch.table(write_archives(pages, scratch, f"{scratch.path}/archives", **kw), "manifest")
+    files = scratch.table(build_index(manifest, f"{scratch.path}/index"), "files")
+    scratch.close(files)
+    return manifest, files
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, directory = archive(read(spark, sf_dir, "pages"))
-    out = read_captures(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = read(spark, sf_dir, "pages")
+    _, files = archive(pages)
+    out = find(files, url_keys(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return out
 
 

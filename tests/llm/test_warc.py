@@ -40,8 +40,9 @@ def brute():
 
 
 def test_read_back(pages):
-    _, directory = warc.archive(pages)
-    rows = warc.read_captures(directory).collect()
+    _, files = warc.archive(pages)
+    rows = warc.find(files, warc.url_keys(pages)).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, warc.read_captures(warc.directory(files)).collect()), key=repr)
     got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows), key=repr)
     assert got == brute()
     assert all(r["intact"] == (None if r["record_type"] == "revisit" else True) for r in rows)
@@ -50,13 +51,15 @@ def test_read_back(pages):
 def test_lookup_and_blocks(pages, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300)
     scratch = warc.Scratch(pages.sparkSession, "t")
-    manifest = scratch.table(warc.write_archives(pages, f"{scratch.path}/a"), "m")
-    directory = scratch.table(warc.build_index(manifest, f"{scratch.path}/i", block_lines=2), "d")
-    assert directory.count() >= len(ROWS) // 2
-    assert sorted(r["page_id"] for r in warc.lookup(directory, "http://a.example/")) == [4, 5]
-    (one,) = warc.lookup(directory, "http://www.a.example/x?a=1&b=2")
+    manifest = scratch.table(warc.write_archives(pages, scratch, f"{scratch.path}/a"), "m")
+    files = scratch.table(warc.build_index(manifest, f"{scratch.path}/i", block_lines=2), "d")
+    assert warc.directory(files).count() >= len(ROWS) // 2
+    some = pages.sparkSession.createDataFrame([("example,a)/",), ("nowhere",), ("example,c)/z",)], "url_key string")
+    assert sorted(r["page_id"] for r in warc.find(files, some).collect()) == [4, 5, 9, 9]
+    assert sorted(r["page_id"] for r in warc.lookup(files, "http://a.example/")) == [4, 5]
+    (one,) = warc.lookup(files, "http://www.a.example/x?a=1&b=2")
     assert one["page_id"] == 1 and one["payload"] == LONG.encode() and one["url"] == ROWS[0][1]
-    assert warc.lookup(directory, "http://nowhere.example/") == []
+    assert warc.lookup(files, "http://nowhere.example/") == []
     # archives stand without their index
     total = 0
     for (uri,) in manifest.select("archive").distinct().collect():
@@ -69,8 +72,22 @@ def test_lookup_and_blocks(pages, monkeypatch):
 
 
 def test_empty_table(spark):
-    _, directory = warc.archive(spark.createDataFrame([], SCHEMA))
-    assert warc.read_captures(directory).count() == 0
+    none = spark.createDataFrame([], SCHEMA)
+    _, files = warc.archive(none)
+    assert warc.find(files, warc.url_keys(none)).count() == 0 and warc.read_captures(warc.directory(files)).count() == 0
+
+
+def test_one_url_over_many_blocks_and_a_very_long_page(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    rows = [(i, "http://hot.example/", f"<p>{i % 3}</p>" * 20, "d", 1, "r", "a") for i in range(200)] + [(500, "http://long.example", "y" * 3_000_000, "d", 1, "r", "a")]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    scratch = warc.Scratch(spark, "t")
+    manifest = scratch.table(warc.write_archives(pages, scratch, f"{scratch.path}/a"), "m")
+    files = scratch.table(warc.build_index(manifest, f"{scratch.path}/i", block_lines=7), "d")
+    got = {r["page_id"]: r for r in warc.find(files, warc.url_keys(pages)).collect()}
+    assert len(got) == 201 and got[500]["payload_bytes"] == 3_000_000
+    assert all(got[i]["refers_to"] == (None if i < 3 else i % 3) for i in range(200))
+    assert len(warc.lookup(files, "http://hot.example/")) == 200
 
 
 def test_keys_and_search():
