@@ -1,19 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A document is cut into clauses; a clause's words become classes (insult, threat, target,
-negation, reported speech, other) by a lexicon transducer whose insult entries and weights are
-learned from labels.  Four context transducers, composed with it into one machine, rewrite the
-symbols: an insult after a negation becomes a negated one, after a verb of reported speech a
-reported one, near a target an aimed one, and a threat verb with a target an aimed threat.  What
-is scored is the weight of the rewritten symbols of whole clauses, gathered into a few figures per
-document, whose logistic weights are learned as well.
-
-Lexicon entries are whole words and word beginnings of 4 to 6 letters whose smoothed log odds exceed
-``MIN_ODDS``, at most ``MAX_TERMS``, and that stand in enough toxic training documents: in so many
-that of the terms in just as many documents, all of them toxic, at most ``FALSE_SHARE`` would be
-expected by chance, and at least ``FEWEST_DOCS``.  Training documents that are near copies (equal in one of three minimum word-pair
-hashes) count once, so that one text copied often does not fill the lexicon.  The sample has at
-most ``TRAIN_ROWS`` labelled documents; scoring is one pass over every whole text, no shuffle.
+A document is cut into clauses.  A lexicon transducer turns a clause's words into class symbols
+(insult, threat verb, target, negation, reported speech, other) with a weight.  Five transducers,
+composed into one machine, rewrite the symbols and add weights of their own:
+
+* insult: an insult counts, one that follows another within a few words counts more;
+* threat: a target up to a few words after a threat verb completes a threat;
+* target: an insult or threat verb up to a few words after a target is aimed;
+* negation: up to a few words after a negation it is denied;
+* reported speech: after a verb of saying it is reported.
+
+A clause's total is the weight of its whole path, and its kind follows from the marks of its
+rewritten symbols (threat, aimed insult, insult, bare threat verb, reported, denied).  What a document's score is made of are
+totals of matched clauses by kind, the best of them and their number; what each counts for is
+fitted by a logistic regression on labels.
+
+Insult entries are a fixed list and what is learned: whole words and word beginnings of 4 to 6
+letters whose smoothed log odds exceed ``MIN_ODDS`` and that stand in enough toxic training
+documents, ``FEWEST_DOCS`` at least, and so many that of the terms in just as many documents, all
+of them toxic, at most ``FALSE_SHARE`` would be expected by chance.  Training documents that are
+near copies (equal in one of three minimum word-pair hashes) count once, so that one text copied
+often does not fill the lexicon.  The sample has at most ``TRAIN_ROWS`` labelled documents, which
+bounds the lexicon; scoring is one pass over every whole text, no shuffle.
 
 Defined cases: null and empty texts have no clause and get the score of a document without
 matches; repeated rows get equal scores; without labels, or with labels of one kind only, the
@@ -40,7 +48,7 @@ from .labelled import fold, training_sample
 TRAIN_ROWS = 12_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-FEWEST_DOCS, FALSE_SHARE, MIN_ODDS, MAX_TERMS = 3, 0.15, 3.0, 2000
+FEWEST_DOCS, FALSE_SHARE, MIN_ODDS = 3, 0.15, 3.0
 CACHE = 400_000
 
 # Closed classes of English, French, German and Spanish words.
@@ -95,47 +103,79 @@ def compose(a: Transducer, b: Transducer) -> Transducer:
     return made
 
 
-def _flags(symbol: str) -> str:
-    return symbol[0]
+MARKS = "!+@-\""  # insult or threat, piled up, aimed, denied, reported
+ALPHABET = [base + "".join(m for k, m in enumerate(MARKS) if n >> k & 1) for base in "IVNRTO" for n in range(1 << len(MARKS))]
 
 
-ALPHABET = [base + marks for base in "IVNRTO" for marks in ("", "-", '"', '-"', "@", "-@", '"@', '-"@')]
+def after(trigger: str, mark: str, on: str, reach: int, weight: float, again: bool = False) -> Transducer:
+    """Marks symbols of the kinds ``on`` that stand up to ``reach`` words after a ``trigger``.  With
+    ``again`` the state also counts from a symbol that it marks."""
+    t = Transducer(0)
+    for state in range(reach + 1):
+        for s in ALPHABET:
+            hit = state > 0 and s[0] in on and mark not in s
+            nxt = reach if s[0] == trigger or again and hit else max(0, state - 1)
+            t.arc(state, s, s + mark if hit else s, nxt, weight if hit else 0.0)
+    return t
 
 
-def within(trigger: str, mark: str, on: str, reach: int, discount: float) -> Transducer:
-    """Marks symbols of the kinds ``on`` that stand up to ``reach`` words after a ``trigger``."""
+def insult() -> Transducer:
+    """Every insult is marked; one up to six words after another is marked as piled up."""
     t = Transducer(0)
-    for state in range(reach + 1):
+    for state in range(7):
         for s in ALPHABET:
-            nxt = reach if _flags(s) == trigger else max(0, state - 1)
-            hit = state > 0 and _flags(s) in on and mark not in s
-            t.arc(state, s, s + mark if hit else s, nxt, discount if hit else 0.0)
+            out = s if s[0] != "I" or "!" in s else s + ("!+" if state else "!")
+            t.arc(state, s, out, 6 if s[0] == "I" else max(0, state - 1), 0.0 if s[0] != "I" else 1.5 if state else 1.0)
     return t
 
 
-def grammar() -> Transducer:
-    """Negation, reported speech and target in one machine.  A mark's weight is a prior only;
-    what it counts for in the end is learned."""
-    negation = within("N", "-", "IV", 3, -2.0)
-    reported = within("R", '"', "IV", 8, -1.0)
-    target = within("T", "@", "IV", 4, 1.0)
-    return compose(compose(negation, reported), target)
+def parts() -> list[Transducer]:
+    """The five, in the order in which they apply.  Weights are a prior only; what a kind of clause
+    counts for in the end is learned."""
+    return [insult(), after("V", "!", "T", 4, 1.0), after("T", "@", "IV", 4, 1.0), after("N", "-", "IV", 3, -2.0), after("R", '"', "IV", 8, -1.0)]
 
 
-PRIOR = {"I": 1.0, "V": 0.5}
-KINDS = ["I", "I@", "I-", 'I"', "V", "V@", "V-", 'V"']
+def grammar() -> Transducer:
+    """All five in one machine, over the symbols of the lexicon."""
+    first, *rest = parts()
+    out = Transducer(first.start, {state: {s: a for s, a in arcs.items() if len(s) == 1} for state, arcs in first.arcs.items()})
+    for t in rest:
+        out = compose(out, t)
+    return out
+
+
+KINDS = ["threat", "aimed", "insult", "verb", "reported", "denied"]
+WIDTH = len(KINDS) + 4
+
+
+def kind_of(marked: list[str]) -> str | None:
+    """A clause's kind by its rewritten symbols; None where nothing matches."""
+    hits = [s for s in marked if s[0] in "IV"]
+    if not hits:
+        return None
+    live = [s for s in hits if "-" not in s]
+    if not live:
+        return "denied"
+    spoken = [s for s in live if '"' in s]
+    if len(spoken) == len(live):
+        return "reported"
+    if any(s[0] == "T" and "!" in s for s in marked) or any(s[0] == "V" and "@" in s for s in live):
+        return "threat"
+    if any(s[0] == "I" and "@" in s for s in live):
+        return "aimed"
+    return "insult" if any(s[0] == "I" for s in live) else "verb"
 
 
 class Machine:
-    """The composed machine and a lexicon, run over clauses."""
+    """The lexicon and the composed machine, run over clauses."""
 
     def __init__(self, terms: dict[str, float]):
-        self.words = {w: (k, 1.0 if k == "I" else 0.0) for k, ws in CLASSES.items() for w in ws.split() if k != "I"}
+        self.words = {w: (k, 0.0) for k, ws in CLASSES.items() for w in ws.split()}
         self.whole = {t: w for t, w in terms.items() if not t.endswith("*")}
         self.heads = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.lengths = sorted({len(h) for h in self.heads}, reverse=True)
         self.grammar = grammar()
-        self.cache: dict[bytes, int] = {}
+        self.cache: dict[bytes, bool] = {}
 
     def entry(self, word: str) -> tuple[str, float]:
         """Class and weight of a word: the better of its own entry and its beginning's."""
@@ -151,10 +191,19 @@ class Machine:
         """Whether a blank-separated token holds an insult or threat; cached."""
         return any(self.entry(w)[0] in "IV" for w in _WORD.findall(token.decode("utf-8", "replace").lower()))
 
+    def clause(self, words: list[str]) -> tuple[str | None, float]:
+        """Kind and total weight of a clause."""
+        entries = [self.entry(w) for w in words]
+        if not any(k in "IV" for k, _ in entries):
+            return None, 0.0
+        marked, total = self.grammar.run([k for k, _ in entries])
+        return kind_of(marked), total + sum(w for _, w in entries)
+
     def figures(self, raw: bytes) -> np.ndarray:
-        """Per kind of rewritten symbol the log of one plus its weight; then the best clause, the
-        matched clauses, and the log of the text's words."""
-        out = np.zeros(len(KINDS) + 4)
+        """Per kind of clause the log of one plus the sum of totals; then the best clause, the number
+        of matched clauses, whether any is neither denied nor reported, and how dense they are.  All
+        are zero without a match, whatever the length of the text."""
+        out = np.zeros(WIDTH)
         tokens = raw.split()
         cache = self.cache
         if len(cache) > CACHE:
@@ -166,32 +215,22 @@ class Machine:
                 known = cache[t] = self.trigger(t)
             if known:
                 hit = True
-        out[-1] = math.log1p(len(tokens))
         if not hit:
             return out
-        clauses = best = matched = 0.0
+        best = matched = live = 0.0
         for line in raw.split(b"\n"):
             if not any(cache.get(t) for t in line.split()):
                 continue
             for clause in _BREAK.split(line.decode("utf-8", "replace").lower()):
-                entries = [self.entry(w) for w in _WORD.findall(clause)]
-                if not any(k in "IV" for k, _ in entries):
+                kind, total = self.clause(_WORD.findall(clause))
+                if kind is None:
                     continue
-                marked, prior = self.grammar.run([k for k, _ in entries])
-                total = prior
-                for s, (k, w) in zip(marked, entries):
-                    if k not in "IV":
-                        continue
-                    total += PRIOR[k] * max(w, 1.0)
-                    kind = k + ("-" if "-" in s else '"' if '"' in s else "@" if "@" in s else "")
-                    out[KINDS.index(kind)] += max(w, 1.0)
-                clauses += 1
-                matched += total > 0
+                out[KINDS.index(kind)] += max(total, 0.0)
+                matched += 1
                 best = max(best, total)
+                live = max(live, float(kind in KINDS[:3]))
         out[: len(KINDS)] = np.log1p(out[: len(KINDS)])
-        out[len(KINDS)] = math.log1p(best)
-        out[len(KINDS) + 1] = math.log1p(matched)
-        out[len(KINDS) + 2] = float(clauses > 0)
+        out[len(KINDS) :] = math.log1p(best), math.log1p(matched), live, math.log1p(100 * matched / len(tokens))
         return out
 
 
@@ -212,8 +251,8 @@ def _sketch(raw: bytes) -> list[int]:
         return [int((h * np.uint64(m) >> np.uint64(1)).min()) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def learn_terms(sample: DataFrame) -> dict[str, float]:
-    """Lexicon entries with their log odds; what reaches the driver is bounded by MAX_TERMS."""
+def learn_terms(sample: DataFrame, scratch: Scratch) -> dict[str, float]:
+    """Lexicon entries with their log odds; what reaches the driver is bounded by the sample."""
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,19 +281,19 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
         )
 
     counts = own.select("raw", F.col("y").cast("int").alias("y")).mapInArrow(counted, "term string, pos long, neg long")
-    counts = counts.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
+    counts = scratch.table(counts.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "terms")
     n = counts.filter("term = ''").first()
     if n is None or not n["pos"] or not n["neg"]:
-        counts.unpersist()
         return {}
     share = n["pos"] / (n["pos"] + n["neg"])
-    sizes = counts.filter("term <> '' AND pos + neg <= 20").groupBy((F.col("pos") + F.col("neg")).alias("k")).agg(F.count("*").alias("all"), F.count_if(F.col("neg") == 0).alias("toxic")).collect()
+    sizes = counts.filter("term <> ''").groupBy((F.col("pos") + F.col("neg")).alias("k")).agg(F.count("*").alias("all"), F.count_if(F.col("neg") == 0).alias("toxic")).collect()
     sure = [r["k"] for r in sizes if r["k"] >= FEWEST_DOCS and r["all"] * share ** r["k"] <= FALSE_SHARE * r["toxic"]]
-    least = min(sure, default=20)
+    if not sure:
+        return {}
+    least = min(sure)
     odds = F.log((F.col("pos") + 0.5) / F.lit(n["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n["neg"] + 1.0))
     rows = counts.filter(F.col("term") != "").withColumn("odds", odds).filter((F.col("pos") >= least) & (F.col("odds") >= MIN_ODDS))
-    found = {r["term"]: (r["odds"], r["pos"], r["neg"]) for r in rows.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(MAX_TERMS).collect()}
-    counts.unpersist()
+    found = {r["term"]: (r["odds"], r["pos"], r["neg"]) for r in rows.collect()}
     # a beginning says no more than a shorter one that is as sure
     kept = {}
     for t, (w, p, m) in found.items():
@@ -295,7 +334,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.nda
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = scratch.table(training_sample(docs, labels, label, folds, held_out, rows, id_col, text_col), "sample")
-    terms = learn_terms(sample)
+    terms = learn_terms(sample, scratch)
     kind = sample.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +346,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     got = sample.mapInArrow(run, f"id {kind}, y int, x binary").toPandas().sort_values(["id", "x"], kind="stable")
     scratch.close(sample)
     y = got["y"].to_numpy(float)
-    width = len(KINDS) + 4
+    width = WIDTH
     if len(np.unique(y)) < 2:
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return Model(terms, np.zeros(width), np.ones(width), np.zeros(width), math.log(p / (1 - p)))

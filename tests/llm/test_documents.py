@@ -495,25 +495,58 @@ def test_held_out_labels_are_not_read(labelled):
 
 
 def test_grammar_marks_context():
-    m = toxicity.Machine({"idiot": 2.0, "zorg*": 3.0})
+    m = toxicity.Machine({"zorg*": 3.0})
+    clause = lambda s: m.clause(toxicity._WORD.findall(s.lower()))
     run = lambda s: m.grammar.run([m.entry(w)[0] for w in s.split()])[0]
-    assert run("you are an idiot")[-1] == "I@"
-    assert run("not an idiot")[-1] == "I-"
-    assert run("report said the idiot")[-1] == 'I"'
-    assert run("plain zorgling")[-1] == "I"
-    assert run("never said you kill")[-1][0] == "V"
-    assert m.figures(b"all fine here")[:-1].sum() == 0 and m.figures(b"")[:-1].sum() == 0
+    assert run("you are an idiot")[-1] == "I!@" and clause("you are an idiot") == ("aimed", 2.0)
+    assert clause("not an idiot") == ("denied", -1.0) and clause("report said the idiot") == ("reported", 0.0)
+    assert clause("plain zorgling")[0] == "insult" and clause("plain zorgling")[1] == 4.0
+    assert clause("worthless idiot") == ("insult", 2.5)  # fixed insults count without learned ones
+    assert clause("i will kill you") == ("threat", 1.0) and clause("you they kill")[0] == "threat"
+    assert clause("he said they would kill you")[0] == "reported" and clause("never kill")[0] == "denied"
+    assert clause("machines crush stones") == ("verb", 0.0) and clause("all fine here") == (None, 0.0)
+    assert m.figures(b"all fine here").sum() == 0 and m.figures(b"").sum() == 0
+
+
+def test_composed_machine_is_sequential_application():
+    """Over random clauses, and over every clause of whole documents, the five applied in turn."""
+    steps, both = toxicity.parts(), toxicity.grammar()
+    assert len(steps) == 5
+
+    def in_turn(symbols):
+        total = 0.0
+        for t in steps:
+            symbols, w = t.run(symbols)
+            total += w
+        return symbols, total
 
-
-def test_compose_is_sequential_application():
-    a, b = toxicity.within("N", "-", "IV", 3, -2.0), toxicity.within("T", "@", "IV", 4, 1.0)
-    both = toxicity.compose(a, b)
     rng = random.Random(4)
-    for _ in range(200):
-        s = [rng.choice("INTOVR") for _ in range(rng.randrange(12))]
-        mid, w1 = a.run(s)
-        out, w2 = b.run(mid)
-        assert both.run(s) == (out, w1 + w2)
+    for _ in range(2000):
+        s = [rng.choice("INTOVR") for _ in range(rng.randrange(15))]
+        assert both.run(s) == in_turn(s)
+    m = toxicity.Machine({"g*": 2.0, "ba1": 4.0})
+    words = ["not", "said", "you", "kill", "idiot", "ba1", "go", "of", "they", "never", "scum"]
+    for k in range(30):
+        text = "".join(f"{rng.choice(words)}{rng.choice([' ', ' ', ' ', '. ', chr(10), '; '])}" for _ in range(120))
+        out, best, n, live = dict.fromkeys(toxicity.KINDS, 0.0), 0.0, 0, 0.0
+        for clause in toxicity._BREAK.split(text):
+            entries = [m.entry(w) for w in toxicity._WORD.findall(clause)]
+            marked, total = in_turn([k for k, _ in entries])
+            kind = toxicity.kind_of(marked)
+            if kind:
+                total += sum(w for _, w in entries)
+                out[kind] += max(total, 0.0)
+                best, n, live = max(best, total), n + 1, max(live, float(kind in ("threat", "aimed", "insult")))
+        want = [*(np.log1p(x) for x in out.values()), np.log1p(best), np.log1p(n), live, np.log1p(100 * n / len(text.split()))]
+        assert np.allclose(m.figures(text.encode()), want)
+
+
+def test_long_text_and_ties_score_alike(spark, labelled):
+    docs, labels, _ = labelled
+    model = toxicity.train(docs, labels)
+    text = ("calm words here. " * 40_000) + "you zorgling idiot"
+    got = [r["score"] for r in toxicity.score(frame(spark, [(1, text), (2, text), (1, text), (3, "calm words here. " * 40_000)]), model).collect()]
+    assert len(set(got)) == 2 and max(got) == sorted(got)[1]
 
 
 def test_temperature_and_network():
