@@ -1,22 +1,30 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Everything runs as DataFrame expressions.  A block (a line of the text) meets a template when it
-holds at least ``threshold`` of the template's distinct words.  Words are ordered by their
-frequency over the whole corpus, rarest first.  With ``a = ceil(threshold * |T|)`` words needed:
-
-* length filter: a block must have ``a`` words of the template vocabulary;
-* prefix filter: it must share a word among the first ``|T| - a + 1`` of the template's words
+Everything runs as DataFrame expressions.  A template is the set of its pairs of neighbouring words,
+so word order counts; a block is a run of ``2 * STRIDE`` words of the text, whatever its line breaks,
+and blocks start every ``STRIDE`` words, so a notice of up to ``STRIDE`` words lies whole in one.
+A block meets a template when it holds at least ``threshold`` of the template's pairs.  Pairs are
+ordered by their frequency over the whole corpus, rarest first.  With ``a = ceil(threshold * |T|)``
+pairs needed:
+
+* length filter: a block must have ``a`` pairs of the template vocabulary;
+* prefix filter: it must share a pair among the first ``|T| - a + 1`` of the template's pairs
   with the first ``|B| - a + 1`` of its own;
-* positional filter: from where the shared words stand, ``a`` words must still be reachable.
+* positional filter: from where the shared pairs stand, ``a`` pairs must still be reachable.
+
+Surviving pairs are verified by an exact intersection.  ``template_join`` returns all that meet the
+threshold.  ``scan`` gives labels: in a block, a template gives way to another whose matched pairs
+hold all of its own and more (or the same at a higher containment), so a notice of a longer name does
+not count as one of a shorter.
 
-Surviving pairs are verified by an exact intersection.  Templates are a fixed parameter, so what
-is broadcast and what the frequency table brings back is bounded by their vocabulary.  Blocks are
-never grouped: a block reaches its templates by a broadcast equi-join on word rank, so a notice
+One pass over the texts finds the vocabulary's pairs; from then on only those are moved.  Templates
+are a fixed parameter, so what is broadcast and what the frequency table brings back is bounded by
+their vocabulary.  A block reaches its templates by a broadcast equi-join on pair rank, so a notice
 that stands in a third of all documents is no hot key.
 
 Defined cases: null text is empty and has no words, places or labels; repeated rows get equal
-values; a null id is kept; ties do not arise (sets are unions, sorted); a very long line is one
-block; other columns are ignored.
+values; a null id is kept; templates that tie in a block both stay; a text of any length is read
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,32 +34,45 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read
 
 # Phrases and labels of the base scan.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# One-sentence license notices by label.
+# License notices by label, as words.
 TEMPLATES = {
-    "agpl-3.0": "licensed under the gnu affero general public license version 3",
-    "all-rights-reserved": "all rights reserved",
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-4.0": "licensed under a creative commons attribution 4 0 international license",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "cc-by-sa-4.0": "licensed under cc by sa 4 0",
-    "cc0-1.0": "dedicated to the public domain under cc0 1 0 universal",
-    "gpl-2.0": "licensed under the gnu general public license version 2",
-    "gpl-3.0": "licensed under the gnu general public license version 3",
-    "isc": "released under the isc license",
-    "lgpl-3.0": "licensed under the gnu lesser general public license version 3",
-    "mit": "released under the mit license",
-    "mpl-2.0": "subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "agpl-3.0": ["licensed under the gnu affero general public license version 3"],
+    "all-rights-reserved": ["all rights reserved"],
+    "apache-2.0": [
+        "licensed under the apache license version 2 0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ],
+    "bsd-3-clause": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "cc-by-4.0": ["licensed under a creative commons attribution 4 0 international license", "licensed under cc by 4 0"],
+    "cc-by-nc-4.0": ["licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "cc-by-sa-4.0": ["licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"],
+    "cc0-1.0": ["dedicated to the public domain under cc0 1 0 universal"],
+    "gpl-2.0": ["licensed under the gnu general public license version 2"],
+    "gpl-3.0": [
+        "licensed under the gnu general public license version 3",
+        "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "isc": [
+        "released under the isc license",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "lgpl-3.0": ["licensed under the gnu lesser general public license version 3"],
+    "mit": [
+        "released under the mit license",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    ],
+    "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-THRESHOLD = 0.8
+THRESHOLD = 0.7
+STRIDE = 64
 
 
 def _word_string(text: Column) -> Column:
@@ -98,50 +119,76 @@ def base_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     )
 
 
-def word_ranks(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
-    """Rank of each vocabulary word by its count over all texts, rarest first, ties by word."""
-    words = docs.select(F.explode(F.split(_word_string(F.col(text_col)), " ")).alias("w")).filter(F.col("w").isin(vocabulary))
-    counts = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-
-
-def template_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``(id, row_hash, block, label, containment)`` for every block that meets a template."""
-    templates = TEMPLATES if templates is None else templates
-    sets = {label: sorted(set(t.lower().split())) for label, t in templates.items()}
-    vocabulary = sorted(set().union(*sets.values()))
-    rank = word_ranks(docs, vocabulary, text_col)
-    need = {label: max(1, math.ceil(threshold * len(s) - 1e-9)) for label, s in sets.items()}
-    ordered = {label: sorted(rank[w] for w in s) for label, s in sets.items()}
-    least = min(need.values())
-
+def _pairs(text: str) -> list[str]:
+    """A template's distinct pairs of neighbouring words."""
+    words = text.lower().split()
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+
+
+def _notices(templates: dict[str, list[str]]) -> list[tuple[int, str, list[str]]]:
+    """``(number, label, pairs)`` of every notice."""
+    flat = [(label, t) for label, ts in sorted(templates.items()) for t in ts]
+    if max(len(t.split()) for _, t in flat) > STRIDE:
+        raise ValueError(f"a notice has at most {STRIDE} words")
+    return [(k, label, _pairs(t)) for k, (label, t) in enumerate(flat)]
+
+
+def vocabulary_hits(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, row_hash, pos, pair)``: where the vocabulary's pairs of words stand."""
+    firsts, seconds = (sorted({p.split()[k] for p in vocabulary}) for k in (0, 1))
+    rows = docs.select(F.col(id_col), F.xxhash64(text_col).alias("row_hash"), F.split(_word_string(F.col(text_col)), " ").alias("words"))
+    rows = rows.select(id_col, "row_hash", "words", F.posexplode("words").alias("pos", "w")).filter(F.col("w").isin(firsts))
+    rows = rows.withColumn("next", F.get("words", F.col("pos") + 1)).filter(F.col("next").isin(seconds))
+    return rows.select(id_col, "row_hash", "pos", F.concat_ws(" ", "w", "next").alias("pair")).filter(F.col("pair").isin(vocabulary))
+
+
+def template_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``(id, row_hash, block, notice, label, containment, matched)`` for every block that meets a
+    notice; ``matched`` are the ranks of the shared pairs."""
+    notices = _notices(TEMPLATES if templates is None else templates)
+    vocabulary = sorted({p for _, _, ps in notices for p in ps})
+    scratch = Scratch(docs.sparkSession, "licenses")
+    hits = scratch.table(vocabulary_hits(docs, vocabulary, id_col, text_col), "hits")
+    counts = {r["pair"]: r["n"] for r in hits.groupBy("pair").agg(F.count("*").alias("n")).collect()}
+    rank = {p: k for k, p in enumerate(sorted(vocabulary, key=lambda p: (counts.get(p, 0), p)))}
+    need = {k: max(1, math.ceil(threshold * len(ps) - 1e-9)) for k, _, ps in notices}
+    ordered = {k: sorted(rank[p] for p in ps) for k, _, ps in notices}
+    prefix = [(r, k, label, j, len(ordered[k]), need[k], ordered[k]) for k, label, _ in notices for j, r in enumerate(ordered[k][: len(ordered[k]) - need[k] + 1])]
     spark = docs.sparkSession
-    prefix = [(r, label, j, len(t), need[label], t) for label, t in ordered.items() for j, r in enumerate(t[: len(t) - need[label] + 1])]
-    index = F.broadcast(spark.createDataFrame(prefix, "rank int, label string, j int, t_size int, need int, t_ranks array<int>"))
-    ranks = F.create_map(*(F.lit(x) for w, r in rank.items() for x in (w, r)))
-
-    lines = docs.select(F.col(id_col), F.xxhash64(text_col).alias("row_hash"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("block", "line"))
-    rarest = "|".join(sorted({w for label, t in ordered.items() for w in vocabulary if rank[w] in t[: len(t) - need[label] + 1]}))
-    lines = lines.filter(F.col("line").rlike(f"(?i)(?:{rarest})"))
-    blocks = lines.select(id_col, "row_hash", "block", F.array_intersect(F.split(_word_string(F.col("line")), " "), F.array(*map(F.lit, vocabulary))).alias("b"))
-    blocks = blocks.filter(F.size("b") >= least).withColumn("b", F.array_sort(F.transform("b", lambda w: ranks[w])))
+    index = F.broadcast(spark.createDataFrame(prefix, "rank int, notice int, label string, j int, t_size int, need int, t_ranks array<int>"))
+    ranks = F.broadcast(spark.createDataFrame(sorted(rank.items()), "pair string, r int"))
+
+    own = F.floor(F.col("pos") / STRIDE).cast("int")
+    # a block holds 2 * STRIDE words, so the pair over its end belongs to the next one only
+    both = F.when((own > 0) & (F.col("pos") % STRIDE < STRIDE - 1), F.array(own - 1, own)).otherwise(F.array(own))
+    blocks = hits.join(ranks, "pair").select(id_col, "row_hash", F.explode(both).alias("block"), "r")
+    blocks = blocks.groupBy(id_col, "row_hash", "block").agg(F.array_sort(F.collect_set("r")).alias("b")).filter(F.size("b") >= min(need.values()))
     met = blocks.select(id_col, "row_hash", "block", "b", F.posexplode("b").alias("i", "rank")).join(index, "rank")
     met = met.filter("size(b) >= need and i <= size(b) - need and 1 + least(size(b) - i - 1, t_size - j - 1) >= need")
-    met = met.withColumn("shared", F.size(F.array_intersect("b", "t_ranks"))).filter("shared >= need")
-    return met.select(id_col, "row_hash", "block", "label", (F.col("shared") / F.col("t_size")).alias("containment")).distinct()
+    met = met.withColumn("matched", F.array_intersect("b", "t_ranks")).filter("size(matched) >= need")
+    met = met.select(id_col, "row_hash", "block", "notice", "label", (F.size("matched") / F.col("t_size")).alias("containment"), "matched").distinct()
+    return scratch.close(met)
+
+
+def _labels(met: DataFrame, id_col: str) -> DataFrame:
+    """``(id, row_hash, block, label, containment)`` without those that give way."""
+    block = met.groupBy(id_col, "row_hash", "block").agg(F.collect_list(F.struct("notice", "label", "containment", "matched")).alias("l"))
+
+    def gives_way(x: Column, y: Column) -> Column:
+        inside = F.size(F.array_except(x["matched"], y["matched"])) == 0
+        more = (F.size(y["matched"]) > F.size(x["matched"])) | (y["containment"] > x["containment"])
+        return (x["notice"] != y["notice"]) & inside & more
 
+    kept = F.filter("l", lambda x: ~F.exists(F.col("l"), lambda y: gives_way(x, y)))
+    out = block.select(id_col, "row_hash", "block", F.explode(kept).alias("x"))
+    return out.select(id_col, "row_hash", "block", "x.label", "x.containment")
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: the base scan's figures, all labels, and the best containment.
 
-    Notices share most of their words, so a block takes the label of the template that it holds
-    most of; of equal ones, all.
-    """
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: the base scan's figures, all labels, and the best containment."""
     base = base_scan(docs, id_col, text_col)
-    met = template_join(docs, id_col, text_col, templates, threshold)
-    block = met.groupBy(id_col, "row_hash", "block").agg(F.collect_list(F.struct("containment", "label")).alias("l"), F.max("containment").alias("best"))
-    block = block.select(id_col, "row_hash", "block", "best", F.explode(F.filter("l", lambda x: x["containment"] == F.col("best"))["label"]).alias("label"))
-    met = block.groupBy(id_col, "row_hash").agg(F.collect_set("label").alias("found"), F.max("best").alias("best"), F.countDistinct("block").alias("n_blocks"))
+    met = _labels(template_join(docs, id_col, text_col, templates, threshold), id_col)
+    met = met.groupBy(id_col, "row_hash").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.countDistinct("block").alias("n_blocks"))
     met = met.withColumnRenamed(id_col, "_id").withColumnRenamed("row_hash", "_hash")
     out = base.join(met, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left")
     every = F.array_sort(F.array_distinct(F.concat("base_label_set", F.coalesce("found", F.expr("cast(array() as array<string>)")))))
@@ -164,18 +211,22 @@ def _sql() -> str:
         f"SELECT r, i - 1 AS p, '{label}' AS label FROM w, unnest(range(1, len(words) + 1)) u(i) WHERE " + " AND ".join(f"words[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         for phrase, label in BASE.items()
     )
-    rows = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES.items())
+    rows = ", ".join(f"({k}, '{label}', {ps})" for k, label, ps in _notices(TEMPLATES))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS t FROM documents),
-w AS (SELECT r, doc_id, regexp_extract_all(t, '{word}') AS words, t FROM d),
+w AS (SELECT r, doc_id, regexp_extract_all(t, '{word}') AS words FROM d),
 p AS ({place}),
 b AS (SELECT r, count(*) AS n, min(p) AS lo, max(p) AS hi, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, list(DISTINCT label) AS ls FROM p GROUP BY r),
-t(label, ws) AS (VALUES {rows}),
-l AS (SELECT r, k, list_distinct(regexp_extract_all(string_split(t, chr(10))[k], '{word}')) AS ws FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) u(k)),
-m AS (SELECT r, k, t.label, len(list_intersect(l.ws, t.ws)) / cast(len(t.ws) AS double) AS c FROM l, t
-      WHERE len(list_intersect(l.ws, t.ws)) >= ceil({THRESHOLD} * len(t.ws) - 1e-9)),
-top AS (SELECT *, max(c) OVER (PARTITION BY r, k) AS most FROM m),
-g AS (SELECT r, list(DISTINCT label) AS ls, max(c) AS best, count(DISTINCT k) AS n FROM top WHERE c = most GROUP BY r)
+t(notice, label, ps) AS (VALUES {rows}),
+tp AS (SELECT notice, label, len(ps) AS size, unnest(ps) AS pair FROM t),
+h AS (SELECT r, i - 1 AS pos, words[i] || ' ' || words[i + 1] AS pair FROM w, unnest(range(1, len(words))) u(i)),
+k AS (SELECT r, pair, k FROM h, unnest([pos // {STRIDE}, pos // {STRIDE} - 1]) u(k)
+      WHERE pair IN (SELECT pair FROM tp) AND k >= 0 AND pos + 1 < (k + 2) * {STRIDE}),
+m AS (SELECT r, k, notice, label, count(DISTINCT pair) / cast(size AS double) AS c, list(DISTINCT pair) AS matched
+      FROM k JOIN tp USING (pair) GROUP BY r, k, notice, label, size HAVING count(DISTINCT pair) >= ceil({THRESHOLD} * size - 1e-9)),
+s AS (SELECT * FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE x.r = y.r AND x.k = y.k AND x.notice <> y.notice
+      AND list_has_all(y.matched, x.matched) AND (len(y.matched) > len(x.matched) OR y.c > x.c))),
+g AS (SELECT r, list(DISTINCT label) AS ls, max(c) AS best, count(DISTINCT k) AS n FROM s GROUP BY r)
 SELECT w.doc_id, cast(len(words) AS bigint) AS n_words, cast(coalesce(b.n, 0) AS bigint) AS n_base,
        cast(b.lo AS bigint) AS first_word, cast(b.hi AS bigint) AS last_word, coalesce(b.labels, '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(g.ls, [])))), ',') AS labels,

@@ -183,6 +183,14 @@ def test_license_scan(spark, empty):
         (3, "all rights\nreserved and cc by"),
         (4, "the license version apache nothing"),
         (5, "Kings licensed under the mit release\nReleased under the MIT License. " + LONG),
+        (6, "Licensed under the GNU Lesser General Public License version 3"),
+        (7, "x " * 100 + "Licensed under the GNU Affero General Public License version 3"),
+        (8, "Released under the license."),
+        (9, " ".join(f"w{i}" if i % 40 else ["released", "by", "under", "license", "the"][i // 40] for i in range(200))),
+        (10, LONG + "\nLicensed under the Apache\nLicense, Version 2.0"),
+        (11, "All rights reserved. Licensed under the Apache License, Version 2"),
+        (12, "Licensed under the GNU General Public License version 2 or licensed under the GNU General Public License version 3"),
+        (13, "y " * 60 + license_scan.TEMPLATES["mit"][1].replace("merge publish", "sell and publish")),
         *[(i + 50 if i else i, t) for i, t in ODD],
     ]
     got = {(r["doc_id"], r["n_words"]): r for r in license_scan.scan(frame(spark, rows)).collect()}
@@ -194,21 +202,39 @@ def test_license_scan(spark, empty):
     assert (by[3]["n_base"], by[3]["first_word"], by[3]["last_word"], by[3]["base_labels"]) == (2, 0, 4, "cc-by,reserved")
     assert by[4]["n_base"] == 0 and by[4]["labels"] == "" and by[4]["first_word"] is None and by[4]["score"] == 0
     assert by[5]["labels"] == "mit"
+    assert by[6]["labels"] == "gpl,lgpl-3.0" and by[7]["labels"] == "agpl-3.0,gpl"
+    assert by[8]["labels"] == "" and by[9]["labels"] == "" and by[10]["labels"] == "apache-2.0"
+    assert by[11]["labels"] == "all-rights-reserved,apache-2.0,reserved" and by[12]["labels"] == "gpl,gpl-2.0,gpl-3.0"
+    assert by[13]["labels"] == "mit"
     assert license_scan.scan(empty).count() == 0
 
 
 def test_license_containment_matches_brute_force(spark):
     rng = random.Random(3)
-    sets = {k: sorted(set(t.split())) for k, t in license_scan.TEMPLATES.items()}
-    words = sorted(set().union(*sets.values())) + ["x", "y", "z"]
-    rows = [(d, "\n".join(" ".join(rng.choices(words, k=rng.randrange(1, 20)) if rng.random() < 0.4 else rng.sample(s := rng.choice(list(sets.values())), max(1, len(s) - rng.randrange(3)))) for _ in range(4))) for d in range(60)]
+    notices = [(label, t.split()) for label, ts in license_scan.TEMPLATES.items() for t in ts]
+    rows = []
+    for d in range(80):
+        words = []
+        while len(words) < 300:
+            words += [f"w{rng.randrange(50)}" for _ in range(rng.randrange(30))]
+            own = list(rng.choice(notices)[1])
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = rng.choice(rng.choice(notices)[1])
+            words += own if rng.random() < 0.8 else own[: len(own) // 2]
+        rows.append((d, "".join(w + rng.choice([" ", " ", ", ", "\n"]) for w in words)))
     got = {(r["doc_id"], r["block"], r["label"], round(r["containment"], 9)) for r in license_scan.template_join(frame(spark, rows)).collect()}
-    want = {
-        (d, k, label, round(len(set(line.split()) & set(s)) / len(s), 9))
-        for d, text in rows for k, line in enumerate(text.split("\n")) for label, s in sets.items()
-        if len(set(line.split()) & set(s)) / len(s) >= 0.8 - 1e-12
-    }
-    assert got == want and len(want) > 20
+    want = set()
+    step = license_scan.STRIDE
+    for d, text in rows:
+        words = text.replace(",", " ").lower().split()
+        for k in range(len(words) // step + 1):
+            own = words[k * step : (k + 2) * step]
+            pairs = set(zip(own, own[1:]))
+            for label, t in notices:
+                have = set(zip(t, t[1:]))
+                if len(pairs & have) >= 0.7 * len(have) - 1e-9 and (k + 1) * step < len(words) + step:
+                    want.add((d, k, label, round(len(pairs & have) / len(have), 9)))
+    assert got == want and len(want) > 100
 
 
 # ------------------------------------------------------------------ decontamination
