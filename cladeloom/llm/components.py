@@ -8,18 +8,18 @@ join that hands it back is one that adaptive execution can split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
-def _stamp(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-    ).first()
-    return row["n"], row["x"]
+def _written(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and a hash of them all, taken while it is written."""
+    seen = Observation()
+    marked = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("x"))
+    out = scratch.table(marked, name)
+    return out, (seen.get["n"], seen.get["x"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,14 +42,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, src: str = "u", dst
     empty edge table gives an empty result.
     """
     pair = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-    now = scratch.table(pair.filter("u <> v").distinct(), "cc0")
-    before = _stamp(now)
+    now, before = _written(pair.filter("u <> v").distinct(), scratch, "cc0")
     for k in range(1, rounds + 1):
         if before[0] == 0:
             break
-        after_df = scratch.table(_small_star(_large_star(now)), f"cc{k}")
+        now, after = _written(_small_star(_large_star(now)), scratch, f"cc{k}")
         scratch.drop(f"cc{k - 1}")
-        now, after = after_df, _stamp(after_df)
         if after == before:
             break
         before = after

@@ -3,12 +3,12 @@
 A text is the set of its runs of five words, each as a 64-bit hash; two texts are linked when the
 Jaccard similarity of their sets is 0.8 or more.  Equal sets are folded into one representative.
 Candidates come from two sides.  The SimHash operator's ball hashing groups fingerprints (of the
-same shingles) that lie within two bits.  Texts at a similarity of 0.8 differ in ten bits on
+same shingles) that lie within two bits, and neighbours in such a group are candidates.  Texts at a similarity of 0.8 differ in ten bits on
 average, beyond any ball that can be emitted, so every set has ``BANDS`` keys of ``ROWS`` minima as
 well; two sets whose similarity is ``s`` share a key with a chance of
 ``1 - (1 - s ** ROWS) ** BANDS``: a pair at exactly 0.8 is missed with a chance of three in a
-million and a closer pair with less.  A group of fingerprints and a key are both buckets, and
-pairs of a bucket are verified on their whole sets, so no other pair is linked.
+million and a closer pair with less.  Sets that share a key or a fingerprint are in one bucket.
+Candidates are verified on their whole sets, so no other pair is linked.
 
 Not every pair of a bucket is verified: first each member meets one hub of its bucket, in
 ``STARS`` rounds with other hubs, and linked members become one component.  Then the pairs of a
@@ -129,13 +129,11 @@ def _fit(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _buckets(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(digest, n, key)``: band keys, and the SimHash group of a fingerprint that has links."""
-    groups = connected_components(simhash_links(reps.select("fp").distinct()), scratch, "fp", "other")
-    near = reps.join(groups.withColumnRenamed("node", "fp"), "fp").select("digest", "n", F.xxhash64(F.lit("simhash"), "component").alias("key"))
-    # equal fingerprints are one node; those of several sets meet by the fingerprint itself
-    same = reps.select("digest", "n", F.xxhash64(F.lit("equal"), "fp").alias("key"))
-    return reps.select("digest", "n", F.explode("keys").alias("key")).unionByName(near).unionByName(same)
+def _near_prints(reps: DataFrame) -> DataFrame:
+    """Pairs ``(x, na, y, nb)`` of sets whose fingerprints the ball hashing links, by one set each."""
+    one = reps.groupBy("fp").agg(F.min(F.struct("digest", "n")).alias("o"))
+    met = simhash_links(one.select("fp")).join(one, "fp").select("other", F.col("o.digest").alias("x"), F.col("o.n").alias("na"))
+    return met.join(one.withColumnRenamed("fp", "other"), "other").select("x", "na", F.col("o.digest").alias("y"), F.col("o.n").alias("nb"))
 
 
 def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -144,10 +142,14 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
     sig = scratch.table(_signatures(docs, id_col, text_col), "sig")
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")
     reps = scratch.table(sig.groupBy("digest").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "reps")
-    points = _buckets(reps, scratch)
+    # sets of one fingerprint meet by it; linked fingerprints by a set each
+    same = reps.select("digest", "n", F.xxhash64(F.lit("equal"), "fp").alias("key"))
+    points = reps.select("digest", "n", F.explode("keys").alias("key")).unionByName(same)
+    near = scratch.table(_near_prints(reps).filter(_fit(percent)), "near")
     shared = points.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     live = scratch.table(points.join(shared, "key").select("key", "digest", "n", F.col("digest").alias("comp")), "live0")
-    met = reps.join(live.select("digest").distinct(), "digest", "left_semi").select("rep.h1", "rep.h2")
+    needed = live.select("digest").unionByName(near.select(F.col("x").alias("digest"))).unionByName(near.select(F.col("y").alias("digest"))).distinct()
+    met = reps.join(needed, "digest", "left_semi").select("rep.h1", "rep.h2")
     texts = _slim(docs, id_col, text_col).join(met, ["h1", "h2"], "left_semi")
     sets = scratch.table(_sets(texts).dropDuplicates(["digest"]), "sets")
     links = None
@@ -159,6 +161,8 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
             most = live.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
             rest = live.join(most, "key").filter("comp <> top").select("key", F.col("digest").alias("x"), F.col("n").alias("na"), F.col("comp").alias("comp0"))
             pairs = rest.join(live.select("key", F.col("digest").alias("y"), F.col("n").alias("nb"), "comp"), "key").filter("comp <> comp0")
+        if not k:
+            pairs = pairs.select("x", "na", "y", "nb").unionByName(near)
         pairs = pairs.filter(_fit(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = scratch.table(_verified(pairs, sets, percent), f"links{k}")
         links = found if links is None else links.unionByName(found)

@@ -46,7 +46,7 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 ROUTING_DOCS = 8192
 LEAF_DOCS = 8
-DIM = 96
+DIM = 64
 SIGN_BITS = 4
 K1, B = 1.2, 0.75
 CACHE_PIECES = 500_000
@@ -136,13 +136,16 @@ class Router:
         for x in ids:
             df[np.unique(x)] += 1
         idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-        self.terms = (rng.standard_normal((VOCABULARY, DIM)) * idf[:, None]).astype(np.float32)
+        self.terms = rng.standard_normal((VOCABULARY, DIM), np.float32)
+        self.terms *= idf[:, None].astype(np.float32)
         self.tree: list[tuple[np.ndarray, float, int, int]] = []  # direction, cut, left, right; negative: leaf
         self.leaves = 0
-        rows = np.stack([self.vector(x) for x in ids]) if ids else np.zeros((1, DIM), np.float32)
+        rows = self.vectors([np.unique(x, return_counts=True) for x in ids]) if ids else np.zeros((1, DIM), np.float32)
         self.centre = rows.mean(axis=0)
         self.signs = rng.standard_normal((DIM, SIGN_BITS)).astype(np.float32)
         self.root = self._grow(rows, rng)
+        self.direction = np.stack([t[0] for t in self.tree]) if self.tree else np.zeros((0, DIM), np.float32)
+        self.cut, self.left, self.right = (np.array([t[k] for t in self.tree]) for k in (1, 2, 3))
 
     def _grow(self, rows: np.ndarray, rng: np.random.Generator) -> int:
         if len(rows) >= 2 * LEAF_DOCS:
@@ -164,19 +167,20 @@ class Router:
         self.leaves += 1
         return -self.leaves
 
-    def vector(self, ids: np.ndarray) -> np.ndarray:
-        """The projected weights of the distinct ids, of length one."""
-        t, tf = np.unique(ids, return_counts=True)
-        v = (1 + np.log(tf)).astype(np.float32) @ self.terms[t]
-        return v / max(float(np.linalg.norm(v)), 1e-9)
-
-    def bucket(self, ids: np.ndarray) -> int:
-        v, at = self.vector(ids), self.root
-        while at >= 0:
-            direction, cut, left, right = self.tree[at]
-            at = right if direction @ v > cut else left
+    def vectors(self, terms: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The projected weights of documents, given as distinct ids and their counts, of length one."""
+        v = np.stack([(1 + np.log(tf)).astype(np.float32) @ self.terms[t] for t, tf in terms])
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+    def buckets(self, terms: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        v = self.vectors(terms)
+        at = np.full(len(v), self.root)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            right = (self.direction[node] * v[inner]).sum(axis=1) > self.cut[node]
+            at[inner] = np.where(right, self.right[node], self.left[node])
         bits = (v - self.centre) @ self.signs > 0
-        return (-1 - at << SIGN_BITS) + int(bits @ (1 << np.arange(SIGN_BITS)))
+        return ((-1 - at << SIGN_BITS) + bits @ (1 << np.arange(SIGN_BITS))).astype(np.int32)
 
 
 def _encoder(path: str) -> Encoder:
@@ -224,12 +228,11 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 got = encoder.encode([x or "" for x in part.column(1).to_pylist()])
-                bucket = []
-                for raw in got:
-                    ids = np.frombuffer(raw, np.uint16)
-                    df[np.unique(ids)] += 1
-                    bucket.append(way.bucket(ids) if way else 0)
-                cols = [pa.array(got, pa.binary()), pa.array([len(x) // 2 for x in got], pa.int64()), pa.array(bucket, pa.int32()), pa.array(np.arange(row, row + len(got))), pa.array(np.zeros(len(got), np.int32))]
+                terms = [np.unique(np.frombuffer(raw, np.uint16), return_counts=True) for raw in got]
+                for t, _ in terms:
+                    df[t] += 1
+                bucket = way.buckets(terms) if way else np.zeros(len(got), np.int32)
+                cols = [pa.array(got, pa.binary()), pa.array([len(x) // 2 for x in got], pa.int64()), pa.array(bucket), pa.array(np.arange(row, row + len(got))), pa.array(np.zeros(len(got), np.int32))]
                 row += len(got)
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
         if none is not None:
