@@ -1,30 +1,49 @@
 """Hierarchical Pitman-Yor language model, trained and applied over the whole corpus.
 
 Tokens are the blank-separated words of the text with A-Z lower-cased, then one end token.  The
-model is a hierarchy of Pitman-Yor restaurants.  Dishes of the upper two levels are the
-``TOP_WORDS`` most frequent tokens and one dish for all rarer ones.  Every such token is also a
-context with a restaurant of its own (the first word's context is the end token), and all context
-restaurants share one parent, the unigram restaurant, whose own base is uniform.  What stands for
-the rare dish is shared out by a third restaurant over the rare words' exact counts, with a
-uniform base over the vocabulary and one unseen word; there a word has one table, the state of
-nearly all seatings when a new table is as improbable as under a base of millions of words.
-
-Seating is sampled by Gibbs sweeps: in every sweep each dish of each restaurant loses its
-customers and they are seated anew, a new table opening in proportion to strength plus discount
-times tables times the parent's probability, an old one in proportion to its customers less the
-discount.  The first ``ONE_BY_ONE`` customers of a dish are seated singly, later ones in blocks of
-an eighth of those seated.  The tables of all contexts are the customers of the parent.
-Predictive probabilities are averaged over the sweeps after burn-in.  Discounts come from the
-counts of counts (n1 / (n1 + 2 n2)) of each level.
-
-What grows with the corpus stays distributed: word counts are a shuffled table; only its
-``HEAD_WORDS`` most frequent rows and the model's matrix, both of fixed greatest size, come to the
-driver and go to all tasks.  The counts of other words reach the texts that hold them by a join.
+model spells words by the pieces of a public byte-level vocabulary whose last pieces mark the end of
+a word, so pieces and words give each other.  Frequent words are one piece.
+
+The restaurants: every word is a context with a restaurant of its own, which serves the first piece
+of the word after it (the end token is the context of a text's first word); every beginning of a
+word is a context as well, which serves the piece that follows in the word.  All word contexts share
+one parent, the unigram restaurant of first pieces; all beginnings share another, that of later
+pieces; both have a uniform base.  No word, context or pair is left out, however rare.
+
+A word that training does not hold parts from the known words at some piece.  It counts with the
+probability of all words that part there, and its further pieces count nothing: like the base
+score's one unseen word, that is the probability of meeting an unseen word, not of its spelling.
+With it, the probabilities of all known words and of all ways to part from them add up to one.
+
+Seating is sampled by Gibbs sweeps.  The weight of a restaurant's seating is
+``(strength | d)_T / (strength | 1)_C`` times, for each dish, ``S_d(c, t) P(w)^t``, where T are its
+tables, C its customers, P the parent's probability and S_d the generalised Stirling numbers, that
+is, the sum over all ways in which c customers sit at t tables.  ``(strength | d)_T`` is the moment
+of a gamma variable: given ``g ~ Gamma(strength / d + T)`` the dishes are independent, each with
+``p(t) ~ S_d(c, t) (d g P(w))^t``, which is drawn directly, all customers of a dish at once.
+Strengths are drawn as well, on a grid under their exact likelihood.  Contexts are seated against the
+parent's probabilities of the sweep before, as is usual where sampling is distributed.  Discounts
+come from the counts of counts (n1 / (n1 + 2 n2)).  Predictive probabilities are averaged over the
+sweeps after burn-in.
+
+Numbers: S_d is exact up to ``EXACT`` customers (and ``TABLES`` tables).  Beyond, the tables of a
+dish are drawn from the law that theirs tends to: one plus a Poisson number where they are few, and
+a normal number, by the saddle point, where they are many.
+
+What grows with the corpus stays distributed.  Documents are taken in blocks; a block sends to each
+bucket of contexts the pairs of context and piece that it holds, how often its training documents
+have them, and which documents have them.  A bucket adds up counts and draws tables in every sweep;
+its numbers are seeded, so nothing need be written, a lost task is repeated alike, and a later job
+draws the sweeps before it again.  It sends back to each block the sum of log probabilities per
+document.  A context serves at most as many dishes as there are pieces, so its pairs are one bucket's
+and yet bounded.  Per sweep, sums over pieces come to the driver; their number, and that of what goes
+to all tasks, is that of the vocabulary's pieces.  Counts of words, for the base score, are a shuffled
+table of which the ``HEAD_WORDS`` most frequent rows at most go to all tasks; others are joined.
 
 Defined cases: null and empty texts are one end token; repeated rows are scored alike; null ids
-belong to no held-out fold and train; without training documents all probabilities are uniform
-over the one unseen word (base_score 0); an empty table gives an empty result; a text of any
-length is read whole; other columns are ignored.
+belong to no held-out fold and train; without training documents every word is unseen, which is
+certain (score and base_score 0); an empty table gives an empty result; a text of any length is
+read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,16 +63,19 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read, with_bytes
 from .labelled import fold
+from .packing import Encoder, tokenizer_path
 
-TOP_WORDS = 2048
 HEAD_WORDS = 1 << 19
 FOLDS, HELD_OUT = 7, 2
-BURN_IN, SAMPLES = 2, 4
-ONE_BY_ONE = 32
-STRENGTH = 1.0
+BURN_IN, SAMPLES = 2, 3
+EXACT, TABLES = 4096, 512
+BLOCK_UNITS, BLOCK_DOCS = 1 << 21, 1 << 15
+BUCKET_UNITS = 1 << 23
+CHUNK = 1 << 18
 FLUSH = 300_000
-CACHE = 250_000
+CACHE = 200_000
 END = b" "  # no word holds a blank
+PIECES = 1 << 16
 
 
 def tokens_of(raw: bytes) -> list[bytes]:
@@ -66,7 +88,7 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-# ---------------------------------------------------------------- counts
+# ---------------------------------------------------------------- words
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -96,234 +118,534 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def head_words(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words: all those above a count that leaves at most
-    ``most`` of them, most frequent first, ties by hash."""
-    sizes = vocabulary.groupBy("c").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(_by_count())
-    least = sizes.withColumn("total", total).filter(F.col("total") <= most).agg(F.min("c")).first()[0]
+    """Hashes and counts of the most frequent words: all that stand as often as a power of two which
+    leaves at most ``most`` of them."""
+    sizes = {r["k"]: r["n"] for r in vocabulary.groupBy(F.length(F.bin("c")).alias("k")).agg(F.count("*").alias("n")).collect()}
+    total, least = 0, None
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > most:
+            break
+        least = 1 << k - 1
     if least is None:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    rows = vocabulary.filter(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=[False, True], kind="stable")
+    rows = vocabulary.filter(F.col("c") >= least).toPandas()
     return rows["h"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
 
 
-def _by_count():
-    from pyspark.sql.window import Window
+_MASK = (1 << 64) - 1
 
-    return Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+def _prefix(before: int, piece: int) -> int:
+    """The context of a word's beginning, from that of the beginning one piece shorter; odd."""
+    x = (before ^ piece + 1) * 0x9E3779B97F4A7C15 & _MASK
+    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK
+    return x ^ x >> 32 | 1
 
-class Codes(dict):
-    """Word to code: its row in the table of hashes, or -1.
 
-    A bounded cache over a binary search, so a worker holds two numbers a table row and no more.
+class Words(dict):
+    """A bounded cache from a word to its row in arrays: its code, its pieces and its contexts.
+
+    The code is the word's row in the table of head words, by binary search, or -1.  Contexts are
+    numbered; ``hash`` has their 64 bits, odd for beginnings of words and even for words.
     """
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, path: str):
         order = np.argsort(hashes, kind="stable")
         self.sorted, self.at = array("q", hashes[order].tobytes()), array("q", order.astype(np.int64).tobytes())
+        encoder = Encoder(path)
+        self.model, self.letters = encoder.model, encoder.letters
+        self.end_piece = encoder.tokenizer.get_vocab_size()
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.clear()
+        self.beginnings: dict[int, int] = {}
+        self.code, self.own, self.start, self.size, self.pieces, self.contexts = (array("q") for _ in range(6))
+        self.hash = array("Q")
+
+    def _number(self, h: int) -> int:
+        self.hash.append(h)
+        return len(self.hash) - 1
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
         h = word_hash(word)
         k = bisect_left(self.sorted, h)
-        code = self[word] = self.at[k] if k < len(self.sorted) and self.sorted[k] == h else -1
-        return code
+        at = self[word] = len(self.code)
+        self.code.append(self.at[k] if k < len(self.sorted) and self.sorted[k] == h else -1)
+        self.own.append(self._number(h & _MASK - 1))
+        own = [self.end_piece] if word == END else [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))]
+        self.start.append(len(self.pieces))
+        self.size.append(len(own))
+        self.pieces.extend(own)
+        self.contexts.append(-1)  # the first piece's context is the word before
+        begin = 0
+        for p in own[:-1]:
+            begin = _prefix(begin, p)
+            n = self.beginnings.get(begin)
+            if n is None:
+                n = self.beginnings[begin] = self._number(begin)
+            self.contexts.append(n)
+        return at
 
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the words (the last one is the end token), how many pieces each has, and for each
+        piece context and piece as one number."""
+        at = np.array([self[w] for w in words], np.int64)
+        code, own, start, size = (np.array(x, np.int64)[at] for x in (self.code, self.own, self.start, self.size))
+        first = np.cumsum(size) - size
+        where = np.repeat(start - first, size) + np.arange(size.sum())
+        context = np.array(self.contexts, np.int64)[where]
+        context[first] = np.concatenate([own[-1:], own[:-1]])
+        return code, size, context << 16 | np.array(self.pieces, np.int64)[where], own
 
-def pair_counts(texts: DataFrame, hashes: np.ndarray) -> np.ndarray:
-    """How often dish w follows context u; the last row and column stand for rarer words.
 
-    A task sends one compact row per context, and the rows of a context are added as they stream
-    in, so no task holds more than one matrix.
-    """
-    size = len(hashes) + 1
+# ---------------------------------------------------------------- arrays in rows
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    width = 1 if not len(values) else max(1, (int(values.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(values).to_bytes(7, "little") + bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total = Codes(hashes), np.zeros(size * size, np.int64)
-        end = codes[END]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 400):
-                words = [END]
-                for raw in batch.column(0).slice(lo, 400).to_pylist():
-                    words += raw.lower().split()
-                    words.append(END)
-                ids = np.array([codes[w] for w in words], np.int64)
-                ids[ids < 0] = size - 1
-                ids[0] = end if end >= 0 else size - 1
-                key, n = np.unique(ids[:-1] * size + ids[1:], return_counts=True)
-                total[key] += n
-        yield from _rows(total.reshape(size, size))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for u, ws, cs in zip(*(c.to_pylist() for c in batch.columns)):
-                np.add.at(rows.setdefault(u, np.zeros(size, np.int64)), np.frombuffer(ws, np.uint16), np.frombuffer(cs, np.int64))
-        for u, row in rows.items():
-            yield _packed(u, row)
-
-    def _packed(u: int, row: np.ndarray) -> pa.RecordBatch:
-        own = np.flatnonzero(row)
-        return pa.RecordBatch.from_arrays([pa.array([u], pa.int32()), pa.array([own.astype(np.uint16).tobytes()]), pa.array([row[own].tobytes()])], names=["u", "w", "c"])
-
-    def _rows(matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for u in np.flatnonzero(matrix.any(axis=1)).tolist():
-            yield _packed(u, matrix[u])
-
-    schema = "u int, w binary, c binary"
-    parts = texts.select("_bytes").mapInArrow(count, schema)
-    slots = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = np.zeros((size, size), np.int64)
-    for u, ws, cs in parts.repartition(slots, "u").mapInArrow(add, schema).toLocalIterator():
-        out[u, np.frombuffer(ws, np.uint16)] = np.frombuffer(cs, np.int64)
-    return out
+
+def _unpack(raw: bytes) -> np.ndarray:
+    n, width = int.from_bytes(raw[:7], "little"), raw[7]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw[8:], n * width, "zstd"), np.uint8).reshape(width, n).T if n else 0
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=0))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw))
 
 
 # ---------------------------------------------------------------- restaurants
 
 
-def discount(counts: np.ndarray) -> float:
-    n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 else 0.05))
+def discount(n1: int, n2: int) -> float:
+    return min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.1))
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, after moving small arguments up."""
+    x = np.array(x, float)
+    shift = np.zeros_like(x)
+    for _ in range(8):
+        low = x < 8
+        shift -= np.where(low, np.log(np.where(low, x, 1.0)), 0.0)
+        x = x + low
+    return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+class Seats:
+    """Numbers of tables of dishes: ``p(t) ~ S_d(c, t) x^t``."""
+
+    def __init__(self, d: float):
+        self.d = d
+        self.rows = [np.array([-np.inf]), np.array([0.0])]  # log S_d(c, t) for t from 1, by c
+
+    def row(self, c: int) -> np.ndarray:
+        """log S_d(c, t) for t = 1 .. min(c, TABLES)."""
+        while len(self.rows) <= c:
+            n, last = len(self.rows) - 1, self.rows[-1]
+            t = np.arange(1, len(last) + 1)
+            stay = last + np.log(n - self.d * t)
+            if len(last) < TABLES:
+                self.rows.append(np.logaddexp(np.append(stay, -np.inf), np.concatenate([[-np.inf], last])))
+            else:
+                self.rows.append(np.logaddexp(stay, np.concatenate([[-np.inf], last[:-1]])))
+        return self.rows[c]
+
+    def draw(self, c: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        out = np.ones(len(c), np.int64)
+        order = np.argsort(c, kind="stable")
+        sizes, first = np.unique(c[order], return_index=True)
+        for n, at in zip(sizes.tolist(), np.split(order, first[1:])):
+            if n == 2:
+                out[at] += rng.random(len(at)) * (x[at] + 1 - self.d) < x[at]
+            elif 2 < n <= EXACT:
+                log_s = self.row(n)
+                step = -np.diff(log_s)  # rises: the law is log-concave
+                mode = np.searchsorted(step, np.log(x[at])) + 1
+                reach = 2 * mode + 60
+                far = (reach > len(log_s)) & (len(log_s) < n)
+                if far.any():
+                    out[at[far]] = self.limit(c[at[far]], x[at[far]], rng)
+                at, reach = at[~far], reach[~far]
+                if not len(at):
+                    continue
+                wide = int(min(reach.max(), len(log_s)))
+                for lo in range(0, len(at), max(1, CHUNK // wide)):
+                    own = at[lo : lo + max(1, CHUNK // wide)]
+                    w = log_s[None, :wide] + np.log(x[own])[:, None] * np.arange(1, wide + 1)
+                    w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+                    out[own] = 1 + (w < rng.random((len(own), 1)) * w[:, -1:]).sum(axis=1)
+            elif n > EXACT:
+                out[at] = self.limit(c[at], x[at], rng)
+        return np.minimum(out, c)
+
+    def limit(self, c: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Tables as a compound Poisson sum that is c: the saddle point 1 - q solves
+        ``x (1 - q) q^(d - 1) = c``."""
+        d = self.d
+        lo, hi = np.full(len(c), -700.0), np.zeros(len(c))
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            up = np.log(x) + np.log1p(-np.exp(mid)) + (d - 1) * mid > np.log(c)
+            lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+        q = np.exp(lo)
+        mean = x * -np.expm1(d * lo) / d
+        spread = np.maximum(mean - c / (1 + (1 - d) * (1 - q) / np.maximum(q, 1e-300)), 1e-9)
+        normal = np.rint(mean + 0.5 + rng.standard_normal(len(c)) * np.sqrt(spread))
+        return np.clip(np.where(mean < 64, 1 + rng.poisson(np.minimum(mean, 64)), normal), 1, c).astype(np.int64)
+
+
+GRID = np.exp(np.linspace(math.log(0.01), math.log(10_000.0), 48))
+
+
+def _strength_likelihood(tables: np.ndarray, customers: np.ndarray, d: float) -> np.ndarray:
+    """By grid point, of all restaurants; those that are alike are reckoned once."""
+    if not len(tables):
+        return np.zeros(len(GRID))
+    alike, n = np.unique(tables << 32 | customers, return_counts=True)
+    t, c = (alike >> 32).astype(float)[:, None], (alike & 0xFFFFFFFF).astype(float)[:, None]
+    out = np.zeros(len(GRID))
+    for lo in range(0, len(n), CHUNK // 16):
+        at = slice(lo, lo + CHUNK // 16)
+        out += n[at] @ (log_gamma(GRID / d + t[at]) - log_gamma(GRID / d) + log_gamma(GRID) - log_gamma(GRID + c[at]))
+    return out
 
 
-def seat(c: np.ndarray, open_weight: np.ndarray, slope: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with ``c`` customers, seated anew.
+def _draw_strength(log: np.ndarray, rng: np.random.Generator) -> float:
+    p = np.cumsum(np.exp(log - log.max()))
+    return float(GRID[int((p < rng.random() * p[-1]).sum())])
 
-    A new table has weight ``open_weight + slope * own tables``; an old one the customers seated
-    less ``d`` per table.
-    """
-    t = np.ones(len(c), np.int64)
-    live = np.flatnonzero(c > 1)
-    live = live[np.argsort(-c[live], kind="stable")]  # the live ones are a prefix
-    left = c[live]
-    n = 1
-    while len(live):
-        block = 1 if n < ONE_BY_ONE else n // 8
-        take = np.minimum(block, left - n)
-        own = t[live]
-        fresh = open_weight[live] + slope[live] * own
-        p = fresh / (fresh + n - d * own)
-        t[live] += rng.random(len(live)) < p if block == 1 else rng.binomial(take, np.minimum(p, 1.0))
-        n += block
-        stay = np.searchsorted(-left, -n, side="left")  # counts above n
-        live, left = live[:stay], left[:stay]
-    return np.minimum(t, c)
-
-
-def fit(counts: np.ndarray, burn_in: int = BURN_IN, samples: int = SAMPLES, strength: float = STRENGTH, seed: int = 11) -> np.ndarray:
-    """Averaged predictive probabilities of dish w (column) after context u (row)."""
-    size = len(counts)
-    rng = np.random.default_rng(seed)
-    u, w = np.nonzero(counts)
-    c = counts[u, w]
-    customers = counts.sum(axis=1).astype(float)
-    d2 = discount(c)
-    tables = np.ones(len(c), np.int64)
-    parent = np.full(size, 1 / size)
-    total = np.zeros((size, size), np.float64)
-    for sweep in range(burn_in + samples):
-        open_tables = np.bincount(u, tables, minlength=size)
-        rest = open_tables[u] - tables  # the restaurant without this dish
-        tables = seat(c, (strength + d2 * rest) * parent[w], d2 * parent[w], d2, rng)
-        dish = np.bincount(w, tables, minlength=size).astype(np.int64)
-        served = np.flatnonzero(dish)
-        own = np.zeros(size, np.int64)
-        d1 = discount(dish[served])
-        if len(served):
-            before = own_before if sweep else np.minimum(dish, 1)
-            own[served] = seat(dish[served], (strength + d1 * (before.sum() - before[served])) / size, np.full(len(served), d1 / size), d1, rng)
-            own_before = own
-        parent = (np.maximum(dish - d1 * own, 0) + (strength + d1 * own.sum()) / size) / (strength + dish.sum())
-        if sweep >= burn_in:
-            spare = strength + d2 * np.bincount(u, tables, minlength=size)
-            probability = spare[:, None] * parent[None]
-            probability[u, w] += c - d2 * tables
-            total += probability / (strength + customers)[:, None]
-    return total / samples
+
+@dataclass
+class Root:
+    """A unigram restaurant: what it serves are the tables of the contexts."""
+
+    size: int  # pieces
+    tables: np.ndarray
+    strength: float = 1.0
+
+    def sweep(self, customers: np.ndarray, rng: np.random.Generator, times: int = 3) -> np.ndarray:
+        """Seats the customers anew; the probability of every piece."""
+        d = discount(int((customers == 1).sum()), int((customers == 2).sum()))
+        own = np.flatnonzero(customers)
+        seats = Seats(d)
+        self.tables = np.where(customers > 0, np.clip(self.tables, 1, np.maximum(customers, 1)), 0)
+        for _ in range(times if len(own) else 0):
+            g = rng.gamma(self.strength / d + self.tables.sum())
+            self.tables[own] = seats.draw(customers[own], np.full(len(own), d * g / self.size), rng)
+            self.strength = _draw_strength(_strength_likelihood(self.tables.sum(keepdims=True), customers.sum(keepdims=True), d), rng)
+        out = (customers - d * self.tables + (self.strength + d * self.tables.sum()) / self.size) / (self.strength + customers.sum())
+        out[self.size :] = 0.0
+        return out
+
+
+@dataclass
+class Pairs:
+    """A bucket's contexts, sorted by hash, and their dishes with their customers."""
+
+    bucket: int
+    context: np.ndarray
+    dishes: np.ndarray  # how many, by context
+    piece: np.ndarray
+    count: np.ndarray
+
+    def __post_init__(self):
+        self.kind = (self.context & 1).astype(np.int64)
+        self.at = np.repeat(np.arange(len(self.context)), self.dishes)
+        self.first = np.cumsum(self.dishes) - self.dishes
+        self.customers = self._by_context(self.count)
+        self.many = np.flatnonzero(self.count > 1)
+
+    def _by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.first) if len(self.first) else values[:0]
+
+    def sweeps(self, plan: list[Sweep]) -> Iterator[tuple[Sweep, np.ndarray, np.ndarray]]:
+        """The tables of every dish and of every context, sweep by sweep; seeded, so always the same."""
+        kind, all_tables = self.kind[self.at], self.dishes
+        for s in plan:
+            rng = np.random.default_rng([7, s.number, self.bucket])
+            d, strength = np.array(s.d), np.array(s.strength)
+            weight = d[self.kind] * rng.gamma((strength / d)[self.kind] + all_tables)
+            x = np.maximum(weight[self.at] * s.parent[kind, self.piece], 1e-300)
+            tables = np.ones(len(self.count), np.int64)
+            for k in (0, 1):
+                own = self.many[kind[self.many] == k]
+                for lo in range(0, len(own), 8 * CHUNK):
+                    part = own[lo : lo + 8 * CHUNK]
+                    tables[part] = _seats(s.d[k]).draw(self.count[part], x[part], rng)
+            all_tables = self._by_context(tables)
+            yield s, tables, all_tables
+
+
+@dataclass
+class Sweep:
+    """What a sweep is drawn against; ``after`` are the parents' probabilities once they are seated anew."""
+
+    number: int
+    d: tuple[float, float]
+    strength: tuple[float, float]
+    parent: np.ndarray  # by kind of context and piece
+    after: np.ndarray | None = None
 
 
 @dataclass
 class Model:
-    top: int  # dishes without the rare one
-    hashes: np.ndarray  # of the head words; the first `top` are dishes
-    counts: np.ndarray
-    log_next: np.ndarray  # log10 probability of dish after context
-    tokens: int  # N
-    vocabulary: int  # V
-    rare_discount: float
-    rare_spare: float  # what the base of the rare restaurant gives to each word
-    rare_total: float
-
-    def log_rare(self, c: np.ndarray) -> np.ndarray:
-        """log10 of a rare word's share of the rare dish."""
-        return np.log10((np.maximum(c - self.rare_discount, 0.0) + self.rare_spare) / self.rare_total)
-
-
-def train(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, top_words: int = TOP_WORDS, most: int = HEAD_WORDS) -> tuple[Model, DataFrame]:
-    """The model, and the table of all word counts."""
-    texts = with_bytes(docs.filter(F.coalesce(fold(F.col(id_col), folds) != held_out, F.lit(True))), text_col).select("_bytes")
-    vocabulary = scratch.table(word_counts(texts), "vocabulary")
-    v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    hashes, counts = head_words(vocabulary, most)
-    end = np.flatnonzero(hashes == word_hash(END))
-    if len(end) and end[0] >= top_words - 1:  # the end token is always a dish
-        order = np.concatenate([end, np.delete(np.arange(len(hashes)), end)])
-        hashes, counts = hashes[order], counts[order]
-    top = min(top_words, len(hashes))
-    matrix = pair_counts(texts, hashes[:top])
-    ones = vocabulary.filter("c <= 2").groupBy("c").agg(F.count("*").alias("n")).collect()
-    n1, n2 = (sum(r["n"] for r in ones if r["c"] == k) for k in (1, 2))
-    d = min(0.95, max(0.05, n1 / (n1 + 2 * n2) if n1 else 0.05))
-    rare_words, rare_tokens = v - top, n - int(counts[:top].sum())
-    spare = (STRENGTH + d * rare_words) / (v + 1)
-    # the base gives its share to every word of the vocabulary, so to the rare ones and the unseen
-    # one only what belongs to them
-    kept = spare * (rare_words + 1)
-    total = max(rare_tokens - d * rare_words, 0.0) + kept
-    return Model(top, hashes, counts, np.log10(fit(matrix)).astype(np.float32), int(n), int(v), d, spare, total), vocabulary
+    sweeps: list[Sweep]
+    burn_in: int
+    served: np.ndarray  # by kind of context and piece: whether training has it
+
+    def log_probability(self, pairs: Pairs, context: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """log10 of the averaged probability of each pair asked for, sorted by context and piece."""
+        kept = [s for s in self.sweeps if s.number >= self.burn_in]
+        known = np.minimum(np.searchsorted(pairs.context, context), max(len(pairs.context) - 1, 0))
+        is_known = pairs.context[known] == context if len(pairs.context) else np.zeros(len(context), bool)
+        key, asked = pairs.at << 16 | pairs.piece, known << 16 | piece
+        where = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
+        met = is_known & (key[where] == asked) if len(key) else is_known
+        word = (context & 1) == 0
+        total = np.zeros(len(context))
+        hit, new_w, new_b = np.flatnonzero(met), np.flatnonzero(~met & word), np.flatnonzero(~met & ~word & is_known)
+        for s, tables, all_tables in pairs.sweeps(self.sweeps):
+            if s.number < self.burn_in:
+                continue
+            d, strength = np.array(s.d), np.array(s.strength)
+            spare = (strength[pairs.kind] + d[pairs.kind] * all_tables) / (strength[pairs.kind] + pairs.customers)
+            base = s.after[pairs.kind[pairs.at], pairs.piece]
+            p = (pairs.count - d[pairs.kind[pairs.at]] * tables) / (strength[pairs.kind] + pairs.customers)[pairs.at] + spare[pairs.at] * base
+            total[hit] += p[where[hit]]
+            # a first piece that the context hasn't had, or that no context has had
+            unseen = s.after[0][~self.served[0]].sum()
+            back = np.where(self.served[0][piece[new_w]], s.after[0][piece[new_w]], unseen)
+            total[new_w] += np.where(is_known[new_w], spare[known[new_w]] if len(spare) else 1.0, 1.0) * back
+            # a later piece that parts from all known words; after an unknown beginning nothing counts
+            part = np.maximum(1 - pairs._by_context(base), 1e-12) * spare
+            total[new_b] += part[known[new_b]]
+        out = np.zeros(len(context))
+        counted = met | word | is_known
+        out[counted] = np.log10(total[counted] / len(kept))
+        return out
+
+
+_SEATS: dict[float, Seats] = {}
+
+
+def _seats(d: float) -> Seats:
+    if d not in _SEATS:
+        if len(_SEATS) > 3:
+            _SEATS.clear()
+        _SEATS[d] = Seats(d)
+    return _SEATS[d]
+
+
+SUMS = 2 * PIECES + 512
+
+
+def _sums(table: DataFrame, what) -> np.ndarray:
+    """The sum over all buckets of ``what(pairs)``, ``SUMS`` whole numbers.
+
+    Tasks add up what they read; their sums meet in ``SUMS / 512`` rows.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SUMS, np.int64)
+        for batch in batches:
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                total += what(_pairs_of(*row))
+        at = [j for j in range(0, SUMS, 512) if total[j : j + 512].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([j // 512 for j in at], pa.int32()), pa.array([_pack(total[j : j + 512]) for j in at], pa.binary())], names=["part", "n"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(_unpack(x.as_py()) for x in table.column("n"))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([_pack(total)], pa.binary())})
+
+    parts = table.mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
+    out = np.zeros(SUMS, np.int64)
+    for part, n in parts.toLocalIterator():
+        out[part * 512 : (part + 1) * 512] = _unpack(n)
+    return out
 
-# ---------------------------------------------------------------- scores
 
-HEADS = "row_key long, {id} {kind}, n_tokens long, known long, base double, score double, tail_h array<long>, tail_n array<long>"
+def _served(pairs: Pairs, tables: np.ndarray) -> np.ndarray:
+    return np.bincount(pairs.kind[pairs.at] * PIECES + pairs.piece, tables, minlength=2 * PIECES).astype(np.int64)
 
 
-def _head_scores(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
-    """Per document what its head words give, and the rest as (hash, count) lists.
+def _signed(values: np.ndarray) -> np.ndarray:
+    """Thousandths as two whole numbers, one of them zero."""
+    whole = np.rint(values * 1000).astype(np.int64)
+    return np.concatenate([np.maximum(whole, 0), np.maximum(-whole, 0)])
 
-    ``base`` is the sum of log10(c + 1); ``row_key`` numbers the rows of a partition.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def _likelihoods(pairs: Pairs, all_tables: np.ndarray, d: tuple[float, float]) -> np.ndarray:
+    out = np.zeros(512, np.int64)
+    for k in (0, 1):
+        own = pairs.kind == k
+        out[k * 128 :][: 2 * len(GRID)] = _signed(_strength_likelihood(all_tables[own], pairs.customers[own], d[k]))
+    return out
+
+
+def fit(table: DataFrame, size: int, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 11) -> Model:
+    """Gibbs sweeps over the table of a corpus's pairs."""
+
+    def counts_of_counts(pairs: Pairs) -> np.ndarray:
+        out = np.zeros(512, np.int64)
+        kind = pairs.kind[pairs.at]
+        out[:4] = [((pairs.count == n) & (kind == k)).sum() for k in (0, 1) for n in (1, 2)]
+        return np.concatenate([_served(pairs, np.ones(len(pairs.count))), out])
+
+    got = _sums(table, counts_of_counts)
+    d = tuple(discount(int(got[2 * PIECES + 2 * k]), int(got[2 * PIECES + 2 * k + 1])) for k in (0, 1))
+    served = got[: 2 * PIECES].reshape(2, PIECES)
+    model = Model([], burn_in, served > 0)
+    rng = np.random.default_rng(seed)
+    roots = [Root(size, np.minimum(served[k], 1)) for k in (0, 1)]
+    parent = np.stack([r.sweep(c, rng) for r, c in zip(roots, served)])
+    strength = (1.0, 1.0)
+    for number in range(burn_in + samples):
+        model.sweeps.append(Sweep(number, d, strength, parent))
+        plan = list(model.sweeps)
+
+        def draw(pairs: Pairs, plan=plan) -> np.ndarray:
+            for _, tables, all_tables in pairs.sweeps(plan):
+                pass
+            return np.concatenate([_served(pairs, tables), _likelihoods(pairs, all_tables, d)])
+
+        got = _sums(table, draw)
+        served = got[: 2 * PIECES].reshape(2, PIECES)
+        parent = model.sweeps[-1].after = np.stack([r.sweep(c, rng) for r, c in zip(roots, served)])
+        n = len(GRID)
+        logs = [got[2 * PIECES + 128 * k :][:n] - got[2 * PIECES + 128 * k + n :][:n] for k in (0, 1)]
+        strength = tuple(_draw_strength(x / 1000, rng) for x in logs)
+    return model
+
+
+# ---------------------------------------------------------------- blocks and buckets
+
+HEADS = "row_key long, {id} {kind}, n_tokens long, known long, base double, tail_h array<long>, tail_n array<long>"
+# per context: its hash and its number of pieces; per pair: piece, count in training, documents;
+# per pair and document: the document and the count there
+ASKED = "block long, bucket int, context binary, dishes binary, piece binary, count binary, docs binary, doc binary, n binary"
+KNOWN = "bucket int, context binary, dishes binary, piece binary, count binary"
+ASKED_NAMES, KNOWN_NAMES = ([x.split()[0] for x in s.split(", ")] for s in (ASKED, KNOWN))
+
+
+def _pairs_of(bucket: int, context: bytes, dishes: bytes, piece: bytes, count: bytes) -> Pairs:
+    return Pairs(bucket, _unpack_hashes(context), _unpack(dishes), _unpack(piece), _unpack(count))
+
+
+def _pack_hashes(values: np.ndarray) -> bytes:
+    """Sorted 64-bit hashes."""
+    return _pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def _unpack_hashes(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw).view(np.uint64))
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) * buckets >> 24
+
+
+def _spans(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+class Block:
+    """Documents whose pairs go to the buckets together."""
+
+    def __init__(self, first_row: int):
+        self.first_row, self.keys, self.sizes, self.train, self.units = first_row, [], [], [], 0
+
+    def add(self, keys: np.ndarray, train: bool) -> None:
+        self.keys.append(keys)
+        self.sizes.append(len(keys))
+        self.train.append(train)
+        self.units += len(keys)
+
+    def rows(self, hashes: np.ndarray, buckets: int) -> list[tuple]:
+        """One row a bucket; ``hashes`` are those of the numbered contexts."""
+        keys = np.concatenate(self.keys)
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        used = np.unique(keys >> 16)
+        order = used[np.lexsort((hashes[used], _bucket(hashes[used], buckets)))]
+        rank = np.zeros(len(hashes), np.int64)
+        rank[order] = np.arange(len(order))
+        keys = rank[keys >> 16] << 16 | keys & 0xFFFF
+        by = np.argsort(keys, kind="stable")
+        keys, doc = keys[by], doc[by]
+        new_pair = np.diff(keys, prepend=-1) != 0
+        at = np.flatnonzero(new_pair | (np.diff(doc, prepend=-1) != 0))
+        n = np.diff(at, append=len(keys))
+        doc = doc[at]
+        head = np.flatnonzero(new_pair[at])
+        pair = keys[at[head]]
+        count = np.add.reduceat(n * np.array(self.train)[doc], head)
+        dishes = np.bincount(pair >> 16, minlength=len(order))
+        context = hashes[order]
+        # where each bucket's contexts, pairs and entries begin
+        cut_c = np.flatnonzero(np.diff(_bucket(context, buckets), prepend=-1, append=-1))
+        cut_p = _spans(dishes)[cut_c]
+        cut_e = np.append(head, len(at))[cut_p]
+        docs = np.diff(head, append=len(at))
+        out = []
+        for j in range(len(cut_c) - 1):
+            c, p, e = (slice(x[j], x[j + 1]) for x in (cut_c, cut_p, cut_e))
+            out.append((self.first_row, int(_bucket(context[c][:1], buckets)[0]), _pack_hashes(context[c]), *map(_pack, (dishes[c], pair[p] & 0xFFFF, count[p], docs[p], doc[e], n[e]))))
+        return out
+
+
+def _heads_and_pairs(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, buckets: int, id_col: str, text_col: str, in_train: str, path: str) -> DataFrame:
+    """Rows of two parts.  Part 0, one a document: what its head words give to the base score
+    (``base`` is the sum of log10(c + 1)) and the rest as (hash, count) lists; ``row_key`` numbers the
+    rows of a partition.  Part 1: the pairs of a block for a bucket."""
+    shared = docs.sparkSession.sparkContext.broadcast((hashes, counts))
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"part int, {HEADS.format(id=f'`{id_col}`', kind=kind)}, {ASKED}"
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+    types = [pa.int32(), pa.int64(), None, pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), *[pa.binary()] * 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m = shared.value
-        codes = Codes(m.hashes)
-        end = codes[END]
-        end = end if 0 <= end < m.top else m.top
-        log_base = np.log10(np.append(m.counts, 0) + 1.0)  # the last row: words elsewhere
-        log_rare = np.append(m.log_rare(m.counts.astype(float)), 0.0)
-        log_rare[: m.top] = 0.0
+        head_hash, head_count = shared.value
+        words_of = Words(head_hash, path)
+        log_base = np.log10(np.append(head_count, 0) + 1.0)  # the last row: words elsewhere
         at = TaskContext.get().partitionId() << 40
+        block, id_type = Block(at), pa.int64()
+
+        def full(cols: dict, rows: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([cols[n] if n in cols else pa.nulls(rows, t or id_type) for n, t in zip(names, types)], names=names)
+
+        def flush() -> pa.RecordBatch:
+            got = list(zip(*block.rows(np.array(words_of.hash, np.uint64), buckets)))
+            cols = {n: pa.array(c, t) for n, c, t in zip(ASKED_NAMES, got, types[-9:])}
+            return full({"part": pa.array([1] * len(got[0]), pa.int32()), **cols}, len(got[0]))
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            id_type = batch.column(0).type
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                if block.units >= BLOCK_UNITS or len(block.sizes) >= BLOCK_DOCS:
+                    yield flush()
+                    block = Block(at)
+                if not block.units and len(words_of) > CACHE:
+                    words_of.fresh()
                 words, firsts = [], []
                 for raw in part.column(1).to_pylist():
                     firsts.append(len(words))
                     words += raw.lower().split()
                     words.append(END)
-                code = np.array([codes[w] for w in words], np.int64)
-                dish = np.where((code < 0) | (code >= m.top), m.top, code)
-                before = np.concatenate([[end], dish[:-1]])
-                before[firsts] = end
-                spot = np.where(code < 0, len(m.counts), code)
-                log = m.log_next[before, dish].astype(np.float64) + log_rare[spot]
+                code, size, keys, _ = words_of.read(words)
                 known = code >= 0
                 n = np.diff([*firsts, len(words)])
                 tail: list[list] = [[] for _ in firsts]
@@ -331,37 +653,119 @@ def _head_scores(docs: DataFrame, model: Model, id_col: str, text_col: str) -> D
                 for k, j in zip(np.searchsorted(firsts, where, side="right") - 1, where.tolist()):
                     tail[k].append(word_hash(words[j]))
                 tails = [np.unique(np.array(x, np.int64), return_counts=True) for x in tail]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(at, at + len(n))), part.column(0), pa.array(n.astype(np.int64)),
-                        pa.array(np.add.reduceat(known.astype(np.int64), firsts)), pa.array(np.add.reduceat(log_base[spot], firsts)), pa.array(np.add.reduceat(log, firsts)),
-                        pa.array([h.tolist() for h, _ in tails], pa.list_(pa.int64())), pa.array([c.tolist() for _, c in tails], pa.list_(pa.int64())),
-                    ],
-                    names=["row_key", id_col, "n_tokens", "known", "base", "score", "tail_h", "tail_n"],
+                spot = np.where(known, code, len(head_count))
+                yield full(
+                    {
+                        "part": pa.array(np.zeros(len(n), np.int32)), "row_key": pa.array(np.arange(at, at + len(n))), id_col: part.column(0), "n_tokens": pa.array(n.astype(np.int64)),
+                        "known": pa.array(np.add.reduceat(known.astype(np.int64), firsts)), "base": pa.array(np.add.reduceat(log_base[spot], firsts)),
+                        "tail_h": pa.array([h.tolist() for h, _ in tails], pa.list_(pa.int64())), "tail_n": pa.array([c.tolist() for _, c in tails], pa.list_(pa.int64())),
+                    },
+                    len(n),
                 )
                 at += len(n)
-
-    return with_bytes(docs, text_col).select(id_col, "_bytes").mapInArrow(run, HEADS.format(id=f"`{id_col}`", kind=kind))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, **kw) -> DataFrame:
+                # every document ends with the end token, which is also what the next one begins after
+                for own, train in zip(np.split(keys, np.cumsum(np.add.reduceat(size, firsts))[:-1]), part.column(2).to_pylist()):
+                    block.add(own, train)
+        if block.units:
+            yield flush()
+
+    return with_bytes(docs, text_col).select(id_col, "_bytes", in_train).mapInArrow(run, schema)
+
+
+def _merged(asked: DataFrame) -> DataFrame:
+    """A bucket's pairs that stand in training, with their counts; rows as ``Pairs`` takes them."""
+
+    def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c, p, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((p, c))
+        c, p, n = c[order], p[order], n[order]
+        first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (p[1:] != p[:-1]))[: len(c)])
+        return c[first], p[first], np.add.reduceat(n, first) if len(first) else n
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        held = 0
+        for context, dishes, piece, count in zip(*(table.column(x) for x in KNOWN_NAMES[1:])):
+            c, n = np.repeat(_unpack_hashes(context.as_py()), _unpack(dishes.as_py())), _unpack(count.as_py())
+            parts.append((c[n > 0], _unpack(piece.as_py())[n > 0], n[n > 0]))
+            held += len(parts[-1][0])
+            if held > len(parts[0][0]) + 4 * CHUNK:
+                parts, held = [added(parts)], 0
+        c, p, n = added(parts)
+        first = np.flatnonzero(np.append(True, c[1:] != c[:-1])[: len(c)])
+        got = (_pack_hashes(c[first]), _pack(np.diff(first, append=len(c))), _pack(p), _pack(n))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in got)], names=KNOWN_NAMES)
+
+    return asked.select(*KNOWN_NAMES).groupBy("bucket").applyInArrow(run, KNOWN)
+
+
+def _answers(asked: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
+    """``(block, doc, s)``: per block and bucket, packed documents and their sums of log probabilities."""
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
+
+    def run(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        own = _pairs_of(*(known.column(x)[0].as_py() for x in KNOWN_NAMES))
+        # all blocks' pairs at once, each once, so that the sweeps are drawn once
+        rows = [(_unpack_hashes(c.as_py()), _unpack(d.as_py()), _unpack(p.as_py())) for c, d, p in zip(*(asked.column(x) for x in ("context", "dishes", "piece")))]
+        sizes = _spans(np.array([len(p) for *_, p in rows]))
+        context, piece = np.concatenate([np.repeat(c, d) for c, d, _ in rows]), np.concatenate([p for *_, p in rows])
+        order = np.lexsort((piece, context))
+        first = np.flatnonzero(np.append(True, (np.diff(context[order]) != 0) | (np.diff(piece[order]) != 0)))
+        value = np.empty(len(context))
+        value[order] = np.repeat(shared.value.log_probability(own, context[order[first]], piece[order[first]]), np.diff(first, append=len(order)))
+        out = []
+        for j, (block, docs, doc, n) in enumerate(zip(*(asked.column(x) for x in ("block", "docs", "doc", "n")))):
+            where = _unpack(doc.as_py())
+            sums = np.bincount(where, np.repeat(value[sizes[j] : sizes[j + 1]], _unpack(docs.as_py())) * _unpack(n.as_py()))
+            present = np.unique(where)
+            out.append((block.as_py(), _pack_sorted(present), sums[present].astype(np.float32).tobytes()))
+        cols = list(zip(*out))
+        return pa.table({"block": pa.array(cols[0], pa.int64()), "doc": pa.array(cols[1], pa.binary()), "s": pa.array(cols[2], pa.binary())})
+
+    return asked.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(run, "block long, doc binary, s binary")
+
+
+def _row_scores(answers: DataFrame) -> DataFrame:
+    """``(row_key, score)``: the answers of all buckets to a block, added up."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK_DOCS + 64)
+        # in the order of their content, so that a repeated task adds in the same order
+        for doc, s in sorted(zip(table.column("doc").to_pylist(), table.column("s").to_pylist())):
+            total[_unpack_sorted(doc)] += np.frombuffer(s, np.float32)
+        own = np.flatnonzero(total)
+        return pa.table({"row_key": pa.array(own + key[0].as_py()), "score": pa.array(total[own])})
+
+    return answers.groupBy("block").applyInArrow(run, "row_key long, score double")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, tokenizer: str | None = None, most: int = HEAD_WORDS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every whole text."""
     scratch = Scratch(docs.sparkSession, "lm")
-    model, vocabulary = train(docs, scratch, id_col, text_col, folds, held_out, **kw)
-    heads = scratch.table(_head_scores(docs, model, id_col, text_col), "heads")
+    path = tokenizer or tokenizer_path()
+    marked = docs.select(F.col(id_col), F.col(text_col), F.coalesce(fold(F.col(id_col), folds) != held_out, F.lit(True)).alias("_train"))
+    vocabulary = scratch.table(word_counts(with_bytes(marked.filter("_train"), text_col)), "vocabulary")
+    v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    hashes, counts = head_words(vocabulary, most)
+    size = Encoder(path).tokenizer.get_vocab_size() + 1
+    buckets = max(16, n * 3 // 2 // BUCKET_UNITS)
+    both = scratch.table(_heads_and_pairs(marked, hashes, counts, buckets, id_col, text_col, "_train", path), "heads", by="part")
+    heads, asked = both.filter("part = 0"), both.filter("part = 1").select(*ASKED_NAMES)
+    pairs = scratch.table(_merged(asked), "pairs")
+    model = fit(pairs, size, burn_in, samples)
+    scores = _row_scores(_answers(asked, pairs, model))
+
+    heads = heads.select("row_key", id_col, "n_tokens", "known", "base", "tail_h", "tail_n")
     tail = heads.filter("size(tail_h) > 0").select("row_key", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("row_key", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("n"))
     met = tail.join(vocabulary, "h", "left").select("row_key", "n", F.coalesce("c", F.lit(0)).cast("double").alias("c"))
-    share = F.log10((F.greatest(F.col("c") - model.rare_discount, F.lit(0.0)) + model.rare_spare) / model.rare_total)
     sums = met.groupBy("row_key").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("t_known"),
         F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("t_base"),
-        F.sum(F.col("n") * share).alias("t_score"),
     )
     zero = F.lit(0.0)
-    out = heads.drop("tail_h", "tail_n").join(sums, "row_key", "left").select(
-        id_col, "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("t_base", zero) - F.col("n_tokens") * math.log10(model.tokens + model.vocabulary + 1)).alias("base_score"),
-        (F.col("score") + F.coalesce("t_score", zero)).alias("score"),
+    out = heads.drop("tail_h", "tail_n").join(sums, "row_key", "left").join(scores, "row_key", "left").select(
+        id_col, "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("t_base", zero) - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), F.coalesce("score", zero).alias("score"),
     )
     return scratch.close(out)
 

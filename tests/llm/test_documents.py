@@ -607,11 +607,13 @@ def brute_base(rows):
 
 @pytest.mark.parametrize("most", [1 << 19, 40])
 def test_language_model_base_and_gain(spark, empty, most):
-    rows = [(i, " ".join(f"{'abcdef'[i % 6]}{(i + k) % 9} then b{k % 4}" for k in range(30))) for i in range(60)] + ODD
-    got = language_model.score(frame(spark, rows), top_words=30, most=most).collect()
+    rows = [(i, " ".join(f"{'abcdef'[i % 6]}{(i + k) % 9} then b{k % 4}" for k in range(30))) for i in range(60)] + [(i and i + 1000, t) for i, t in ODD]
+    got = language_model.score(frame(spark, rows), most=most).collect()
     assert sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == brute_base(rows)
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 60 and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 and r["n_tokens"] > 60]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    alike = [{round(r["score"], 9) for r in got if r["doc_id"] in ids} for ids in ((1005, 1006, 1009), (1001, 1002, 1003))]
+    assert [len(x) for x in alike] == [1, 1] and max(r["score"] for r in got) < 0
     assert language_model.score(empty).count() == 0
 
 
@@ -619,24 +621,214 @@ def test_untrained_language_model(spark):
     rows = [(i, "a b") for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
     for r in language_model.score(frame(spark, rows)).collect():
         assert r["base_score"] == 0 and r["train_tokens"] == 0 and r["n_known"] == 0
+        assert abs(r["score"]) < 1e-6
 
 
-def test_predictive_probabilities_sum_to_one():
-    counts = np.random.default_rng(3).poisson(0.7, (30, 30)) * np.random.default_rng(4).integers(1, 60, (30, 30))
-    p = language_model.fit(counts)
-    assert np.allclose(p.sum(axis=1), 1) and p.min() > 0
-
-
-def test_seating_mean_matches_the_exact_chain():
-    """Table numbers of the block scheme against an exact simulation of single customers."""
-    rng = np.random.default_rng(8)
-    t = language_model.seat(np.full(4000, 200), np.full(4000, 0.8), np.full(4000, 0.1), 0.5, rng)
-    exact = []
-    for _ in range(1500):
-        own = 1
-        for n in range(1, 200):
-            fresh = 0.8 + 0.1 * own
-            own += rng.random() < fresh / (fresh + n - 0.5 * own)
-        exact.append(own)
-    assert abs(t.mean() - np.mean(exact)) < 0.25 and t.min() >= 1
-    assert (language_model.seat(np.array([1, 1]), np.ones(2), np.ones(2), 0.5, rng) == 1).all()
+def spelled(text, encoder=packing.Encoder(packing.tokenizer_path())):
+    """Per word its pieces; the end token last."""
+    words = (text or "").encode().lower().split()
+    return [(w, tuple(t.id for t in encoder.model.tokenize("".join(encoder.letters[b] for b in w)))) for w in words] + [(b" ", (encoder.tokenizer.get_vocab_size(),))]
+
+
+def steps(text):
+    """``(kind, context, piece)`` of every piece."""
+    words = spelled(text)
+    out = []
+    for (before, _), (_, pieces) in zip([words[-1], *words], words):
+        out.append((0, before, pieces[0]))
+        out += [(1, pieces[:k], pieces[k]) for k in range(1, len(pieces))]
+    return out
+
+
+class Restaurants:
+    """Brute force: every customer sits at a table; one is taken out and seated again at a time."""
+
+    def __init__(self, customers, size, d, rng):
+        self.size, self.d, self.d0, self.rng, self.theta, self.theta0 = size, d, 0.5, rng, 1.0, 1.0
+        self.rooms, self.root, self.customers = {}, {}, customers
+        for u, w in customers:
+            self.sit(u, w)
+
+    def parent(self, w):
+        tables, people = sum(map(len, self.root.values())), sum(map(sum, self.root.values()))
+        own = self.root.get(w, [])
+        return (sum(own) - self.d0 * len(own) + (self.theta0 + self.d0 * tables) / self.size) / (self.theta0 + people)
+
+    def probability(self, u, w):
+        room = self.rooms.get(u, {})
+        tables, people = sum(map(len, room.values())), sum(map(sum, room.values()))
+        own = room.get(w, [])
+        return (sum(own) - self.d * len(own) + (self.theta + self.d * tables) * self.parent(w)) / (self.theta + people)
+
+    def _pick(self, own, d, fresh):
+        weights = [n - d for n in own] + [fresh]
+        return self.rng.choices(range(len(weights)), weights)[0]
+
+    def sit(self, u, w):
+        room = self.rooms.setdefault(u, {})
+        own = room.setdefault(w, [])
+        k = self._pick(own, self.d, (self.theta + self.d * sum(map(len, room.values()))) * self.parent(w))
+        if k < len(own):
+            own[k] += 1
+            return
+        own.append(1)
+        up = self.root.setdefault(w, [])
+        k = self._pick(up, self.d0, (self.theta0 + self.d0 * sum(map(len, self.root.values()))) / self.size)
+        if k < len(up):
+            up[k] += 1
+        else:
+            up.append(1)
+
+    def leave(self, u, w):
+        own = self.rooms[u][w]
+        k = self.rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            up = self.root[w]
+            k = self.rng.choices(range(len(up)), up)[0]
+            up[k] -= 1
+            if not up[k]:
+                del up[k]
+
+    def sweep(self):
+        for u, w in self.customers:
+            self.leave(u, w)
+            self.sit(u, w)
+
+
+def test_language_model_against_single_customers(spark):
+    """Held-out probability of texts of known words against chains that move one customer at a time."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"{rng.choice('abc')}{rng.choice('xyz')}q{rng.choice('vw')} {rng.choice(['then', 'so', 'q'])}" for _ in range(25))) for i in range(40)]
+    got = {r["doc_id"]: r["score"] for r in language_model.score(frame(spark, rows), burn_in=6, samples=10).collect()}
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    every = [s for i, t in rows if i not in held for s in steps(t)]
+    size = spelled("")[0][1][0] + 1
+    chains = []
+    for kind in (0, 1):
+        customers = [(u, w) for k, u, w in every if k == kind]
+        n1, n2 = (sum(c == k for c in Counter(customers).values()) for k in (1, 2))
+        chains.append(Restaurants(customers, size, language_model.discount(n1, n2), random.Random(2)))
+    asked = [(i, s) for i, t in rows if i in held for s in steps(t)]
+    assert {(k, u) for _, (k, u, _) in asked} <= {(k, u) for k, u, _ in every} and any(k for _, (k, *_) in asked)
+    p = np.zeros(len(asked))
+    for sweep in range(12):
+        for chain in chains:
+            chain.sweep()
+        if sweep >= 4:
+            p += [chains[k].probability(u, w) / 8 for _, (k, u, w) in asked]
+    assert abs(sum(got[i] for i in held) - np.log10(p).sum()) / len(asked) < 0.02
+
+
+def test_probabilities_of_a_bucket_sum_to_one():
+    """All known pieces of a context and all ways to leave them."""
+    rng = np.random.default_rng(0)
+    size, pieces = 50, language_model.PIECES
+    context = np.array([2, 3, 8, 9], np.uint64)
+    dish = [np.sort(rng.choice(size - 10, 5, replace=False)) for _ in context]
+    pairs = language_model.Pairs(0, context, np.array([5] * 4), np.concatenate(dish), rng.integers(1, 9, 20))
+    base = np.zeros((2, pieces))
+    base[:, :size] = rng.dirichlet(np.ones(size), 2)
+    served = np.zeros((2, pieces), bool)
+    served[:, : size - 10] = True
+    model = language_model.Model([language_model.Sweep(k, (0.6, 0.7), (1.0, 2.0), base, base) for k in range(4)], 1, served)
+
+    def ask(c, p):
+        return 10 ** model.log_probability(pairs, np.array([c] * len(p), np.uint64), np.array(p))
+
+    for c, own in zip(context.tolist(), dish):
+        if c % 2:  # beginnings: known pieces, and one way to part
+            other = [p for p in range(size) if p not in own]
+            assert ask(c, own).sum() + ask(c, other)[0] == pytest.approx(1) and np.allclose(ask(c, other), ask(c, other)[0])
+        else:  # words: pieces that training has, and all others together
+            assert ask(c, list(range(size - 10))).sum() + ask(c, [size - 1])[0] == pytest.approx(1)
+    assert ask(4, list(range(size - 10))).sum() + ask(4, [size - 1])[0] == pytest.approx(1)
+    assert (ask(5, [1, 2]) == 1).all()  # after an unknown beginning nothing counts
+
+
+def stirling(c, d):
+    """log of the generalised Stirling numbers of c, by their recursion."""
+    row = {1: 0.0}
+    for n in range(1, c):
+        new = {}
+        for t in range(1, n + 2):
+            parts = [row[k] + w for k, w in ((t - 1, 0.0), (t, np.log(max(n - d * t, 1e-300)))) if k in row]
+            new[t] = float(np.logaddexp.reduce(parts))
+        row = new
+    return row
+
+
+@pytest.mark.parametrize("c,d,x", [(2, 0.5, 0.3), (10, 0.5, 0.8), (50, 0.7, 0.05), (200, 0.5, 0.8), (200, 0.8, 0.05), (200, 0.8, 30.0), (1500, 0.6, 3.0), (1500, 0.8, 200.0)])
+def test_tables_follow_the_exact_law(c, d, x):
+    log = {t: v + t * np.log(x) for t, v in stirling(c, d).items()}
+    p = np.exp(np.array(list(log.values())) - max(log.values()))
+    p /= p.sum()
+    t = np.arange(1, c + 1)
+    mean, sd = float(p @ t), float(np.sqrt(p @ t**2 - (p @ t) ** 2))
+    got = language_model.Seats(d).draw(np.full(20_000, c), np.full(20_000, x), np.random.default_rng(3))
+    assert abs(got.mean() - mean) < 5 * sd / np.sqrt(20_000) + 0.004 * mean * (mean > 150) and got.min() >= 1 and got.max() <= c
+    assert abs(got.std() - sd) < 0.05 * sd + 0.01
+
+
+@pytest.mark.parametrize("d,x", [(0.7, 0.4), (0.7, 40.0), (0.5, 3.0), (0.8, 300.0)])
+def test_the_limit_law_beyond_the_exact_numbers(d, x):
+    """Against the exact law at the last exact number of customers."""
+    c = 3000
+    rng = np.random.default_rng(5)
+    seats = language_model.Seats(d)
+    log = seats.row(c) + np.arange(1, language_model.TABLES + 1) * np.log(x)
+    p = np.exp(log - log.max())
+    p /= p.sum()
+    mean = float(p @ np.arange(1, len(p) + 1))
+    assert p[-1] < 1e-9
+    got = seats.limit(np.full(20_000, c), np.full(20_000, x), rng)
+    assert abs(got.mean() - mean) < 0.06 * mean
+
+
+def test_seating_of_one_restaurant_is_its_posterior():
+    """Tables of three dishes that share a restaurant, against all states of the exact posterior."""
+    c, parent, d, strength = [3, 5, 2], [0.2, 0.5, 0.1], 0.6, 1.5
+    logs = [stirling(n, d) for n in c]
+    rise = lambda n: sum(np.log(strength + d * k) for k in range(n))
+    states = {(a, b, e): rise(a + b + e) + logs[0][a] + logs[1][b] + logs[2][e] + a * np.log(parent[0]) + b * np.log(parent[1]) + e * np.log(parent[2]) for a in logs[0] for b in logs[1] for e in logs[2]}
+    z = np.logaddexp.reduce(list(states.values()))
+    want = np.sum([np.array(s) * np.exp(v - z) for s, v in states.items()], axis=0)
+    rng, seats, t, total = np.random.default_rng(1), language_model.Seats(d), np.ones(3), np.zeros(3)
+    for k in range(20_500):
+        g = rng.gamma(strength / d + t.sum())
+        t = seats.draw(np.array(c), d * g * np.array(parent), rng)
+        total += t * (k >= 500)
+    assert np.allclose(total / 20_000, want, atol=0.03)
+
+
+def test_log_gamma_and_packed_arrays():
+    import math
+
+    x = np.array([0.01, 0.5, 1, 2, 7.9, 30, 1e6])
+    assert np.allclose(language_model.log_gamma(x), [math.lgamma(v) for v in x])
+    for values in ([], [0], [5, 5, 300, 70_000, 1 << 34], list(range(1000))):
+        a = np.array(values, np.int64)
+        assert (language_model._unpack(language_model._pack(a)) == a).all()
+        assert (language_model._unpack_sorted(language_model._pack_sorted(a)) == a).all()
+
+
+def test_blocks_give_every_pair_to_one_bucket():
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 1 << 63, 40, np.uint64) * np.uint64(2) + np.arange(40, dtype=np.uint64) % np.uint64(2)
+    block, want, docs = language_model.Block(100), Counter(), Counter()
+    for j in range(50):
+        keys = rng.integers(0, 40, 200) << 16 | rng.integers(0, 30, 200) * 1700
+        block.add(keys, bool(j % 3))
+        named = [(int(hashes[k >> 16]), k & 0xFFFF) for k in keys.tolist()]
+        want.update(named if j % 3 else [])
+        docs.update((k, j) for k in named)
+    got, met = Counter(), Counter()
+    for first, bucket, context, dishes, piece, count, per, doc, n in block.rows(hashes, 7):
+        own = language_model._pairs_of(bucket, context, dishes, piece, count)
+        assert first == 100 and (language_model._bucket(own.context, 7) == bucket).all() and (np.diff(own.context.astype(float)) > 0).all()
+        names = [(int(own.context[a]), int(p)) for a, p in zip(own.at, own.piece)]
+        got.update(dict(zip(names, own.count.tolist())))
+        each = [k for k, m in zip(names, language_model._unpack(per)) for _ in range(m)]
+        met.update(dict(zip(zip(each, language_model._unpack(doc).tolist()), language_model._unpack(n).tolist())))
+    assert +got == want and met == docs
