@@ -68,3 +68,8 @@ def hashed_int(text: Column, modulus: Column) -> Column:
     Deterministic across engines and runs, unlike a seeded generator that depends on partitions.
     """
     return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long"), modulus)
+
+
+def packed(kmer: Column, k: int) -> Column:
+    """A plain upper-case k-mer as one number, two bits a base, up to 31 bases; longer ones stay text."""
+    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long") if k <= 31 else kmer

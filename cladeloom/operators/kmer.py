@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from . import chunks
+
+PIECE = 512
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -16,10 +19,39 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
+def positions(rows: DataFrame, k: int, seq: str = "seq", start: str | None = None, own: str | None = None, pos: str = "pos", step: int = 1) -> DataFrame:
+    """One row per k-mer: the other columns of ``rows``, ``pos`` and ``kmer`` (upper case).
+
+    A row's bases are cut into pieces, one row each, before the k-mers of a piece are listed, so
+    nothing is held that grows with the length of a record.  ``start`` is added to positions; only
+    k-mers that begin in the first ``own`` bases count.
+    """
+    rest = [c for c in rows.columns if c not in (seq, start, own)]
+    bytes_ = F.upper(F.col(seq)).cast("binary")
+    n = F.octet_length(F.col(seq)) - (k - 1)
+    n = n if own is None else F.least(n, F.col(own).cast("int"))
+    base = F.lit(0).cast("long") if start is None else F.col(start).cast("long")
+    cut = rows.select(*rest, bytes_.alias("_b"), n.alias("_n"), base.alias("_base")).filter("_n > 0")
+    cut = cut.select(*rest, "_b", "_n", "_base", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(PIECE))).alias("_at"))
+    piece = F.substring("_b", F.col("_at") + 1, F.least(F.lit(PIECE), F.col("_n") - F.col("_at")) + (k - 1)).cast("string")
+    cut = cut.select(*rest, (F.col("_base") + F.col("_at")).alias("_at"), piece.alias("_piece"))
+    listed = F.transform(F.sequence(F.lit(1), F.length("_piece") - (k - 1)), lambda i: F.substring(F.col("_piece"), i, F.lit(k)))
+    out = cut.select(*rest, "_at", F.posexplode(listed).alias("_i", "kmer")).select(*rest, (F.col("_at") + F.col("_i")).alias(pos), "kmer")
+    return out if step == 1 else out.filter(F.col(pos) % step == 0)
+
+
+def _in_genome(genome: DataFrame, k: int, *keep: str, pos: str = "pos") -> DataFrame:
+    c = chunks.chunked(genome, k)
+    return positions(_spread(c).select(*keep, "start", "own", "seq"), k, start="start", own="own", pos=pos)
+
+
 def profile(genome: DataFrame, k: int, by: str = "species") -> DataFrame:
-    """``(by, n_kmers, n_distinct)`` over plain, upper-cased k-mers."""
-    rows = _spread(genome.select(by, "seq")).select(by, F.explode(dna.kmers(F.upper("seq"), k)).alias("kmer")).filter(dna.is_plain(F.col("kmer")))
-    once = rows.groupBy(by, "kmer").agg(F.count("*").alias("n"))
+    """``(by, n_kmers, n_distinct)`` over plain, upper-cased k-mers.
+
+    k-mers are counted by hash and k-mer, partly before the shuffle.
+    """
+    rows = _in_genome(genome, k, by).filter(dna.is_plain(F.col("kmer")))
+    once = rows.groupBy(by, dna.packed(F.col("kmer"), k).alias("kmer")).agg(F.count("*").alias("n"))
     return once.groupBy(by).agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct"))
 
 
@@ -44,29 +76,40 @@ def mash_distance(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("distance", F.round(F.abs(d), 9))
 
 
-def seeds(genes: DataFrame, genome: DataFrame, k: int, step: int = 1) -> DataFrame:
-    """``(gene_id, strand, q_pos, species, rec, t_pos)``: exact k-mer matches on both strands.
+def seeds(genes: DataFrame, genome: DataFrame, k: int, step: int = 1, transitions: bool = False) -> DataFrame:
+    """``(gene_id, strand, q_pos, species, rec, t_pos)``: k-mer matches on both strands.
 
-    An equi-join on the k-mer's hash and the k-mer.  Gene k-mers are few (genes times length);
-    Spark broadcasts them where they are below its threshold and shuffles them else, and a
-    frequent k-mer is a skewed key that adaptive execution splits.  ``step`` thins the query seeds
-    before the join.
+    An equi-join on the k-mer.  Gene k-mers are few (genes times length); Spark broadcasts them
+    where they are below its threshold and shuffles them else, and a frequent k-mer is a skewed key
+    that adaptive execution splits.  ``step`` thins the query seeds before the join.  With
+    ``transitions``, a seed also matches where one of its bases is changed for the other purine or
+    the other pyrimidine.
     """
     both = genes.select("gene_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("s")), F.struct(F.lit("-").alias("strand"), dna.reverse_complement(F.upper("seq")).alias("s")))).alias("g"))
-    query = both.select("gene_id", "g.strand", F.posexplode(dna.kmers(F.col("g.s"), k)).alias("q_pos", "kmer")).filter((F.col("q_pos") % step == 0) & dna.is_plain(F.col("kmer")))
-    target = _spread(genome.select("species", "rec", "seq")).select("species", "rec", F.posexplode(dna.kmers(F.upper("seq"), k)).alias("t_pos", "kmer"))
-    return target.join(query, "kmer").select("gene_id", "strand", "q_pos", "species", "rec", "t_pos")
+    query = positions(both.select("gene_id", "g.strand", F.col("g.s").alias("s")), k, seq="s", pos="q_pos", step=step).filter(dna.is_plain(F.col("kmer")))
+    if transitions:
+        # F.col("kmer") is bound once, as a lambda's variable
+        near = F.transform(F.array("kmer"), lambda x: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.overlay(x, F.translate(F.substring(x, i, F.lit(1)), "ACGT", "GTAC"), i)))[0]
+        query = query.withColumn("kmer", F.explode(F.concat(F.array("kmer"), near)))
+    target = _in_genome(genome, k, "species", "rec", pos="t_pos")
+    return target.join(query, "kmer").select("gene_id", "strand", F.col("q_pos").cast("int").alias("q_pos"), "species", "rec", "t_pos")
 
 
 def seed_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("gene_id", "species").agg(F.count("*").alias("seeds"), F.countDistinct("rec").alias("records"))
 
 
-def diagonals(found: DataFrame, band: int = 32, least: int = 2) -> DataFrame:
-    """Bands of diagonals with at least ``least`` seeds: candidates for extension."""
-    d = F.floor((F.col("t_pos") - F.col("q_pos")) / band).cast("long")
+def diagonals(found: DataFrame, band: int = 32, least: int = 2, overlapping: bool = False) -> DataFrame:
+    """Bands of diagonals with at least ``least`` seeds: candidates for extension.
+
+    With ``overlapping``, a band begins every half band (``diagonal`` counts half bands), so seeds up
+    to half a band apart always share one.
+    """
+    step = band // 2 if overlapping else band
+    d = F.floor((F.col("t_pos") - F.col("q_pos")) / step).cast("long")
+    rows = found.withColumn("diagonal", F.explode(F.array(d - 1, d)) if overlapping else d)
     return (
-        found.groupBy("gene_id", "species", "rec", "strand", d.alias("diagonal"))
+        rows.groupBy("gene_id", "species", "rec", "strand", "diagonal")
         .agg(F.count("*").alias("seeds"), F.min("t_pos").alias("t_start"), F.max("t_pos").alias("t_end"))
         .filter(F.col("seeds") >= least)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.storage import settle
 from .ranges import prefix_sum
 
 
@@ -37,13 +38,26 @@ def stops(number: int, percent: float | None, change: float | None, most: int =
     return number >= 2 and (number >= most or (change is not None and change < 1))
 
 
-def elapsed(stamps: DataFrame) -> DataFrame:
-    """Seconds since the start and since the previous stamp."""
-    w = Window.orderBy("ts")
-    s = F.unix_timestamp("ts")
+def elapsed(stamps: DataFrame, by: str | None = None, tie: str | None = None) -> DataFrame:
+    """Seconds since the start and since the previous stamp, of all stamps or of each ``by``; stamps
+    of one time stand in the order of ``tie``."""
+    w = Window.partitionBy(*([by] if by else [])).orderBy("ts", *([tie] if tie else []))
+    s = F.floor(F.unix_micros("ts") / 1_000_000).cast("long")
     return stamps.select("*", (s - F.first(s).over(w)).alias("since_start"), (s - F.lag(s).over(w)).alias("since_last"))
 
 
+def text_order(ids: DataFrame, column: str = "id") -> DataFrame:
+    """Adds ``place``: where an id stands, from 0, when ids are sorted as text (1, 10, 2).
+
+    A global rank without a global task: rows are dealt by range and counted per range.
+    """
+    text = ids.withColumn("_t", F.col(column).cast("string"))
+    dealt = text.repartitionByRange("_t").sortWithinPartitions("_t").withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() % (1 << 33))
+    rows = settle(dealt)
+    before = prefix_sum(rows.groupBy(F.lit(0).alias("_g"), F.col("_p").cast("long").alias("_p")).agg(F.count("*").alias("_n")), "_g", "_p", "_n", "_before").select("_p", "_before")
+    return rows.join(F.broadcast(before), "_p").withColumn("place", F.col("_before") + F.col("_k")).drop("_t", "_p", "_k", "_before")
+
+
 def step_totals(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("step").agg(F.round(F.sum("wall_min"), 4).alias("wall_min"), F.round(F.sum("cpu_min"), 4).alias("cpu_min"), F.count("*").alias("jobs"))
 

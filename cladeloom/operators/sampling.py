@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import dna
+from ..functions.storage import settle
+from . import chunks
 from .ranges import locate, prefix_sum
 
 
@@ -33,7 +35,10 @@ def quota(species: DataFrame, gene_count: int, seed: int = 0, compat_ids: bool =
 
 def record_spans(genome: DataFrame, order: str = "rec") -> DataFrame:
     """``(species, rec, len, lo, hi)``: where each record lies in its species' joined sequence."""
-    rows = genome.select("species", order, F.length("seq").cast("long").alias("len"))
+    if chunks.is_chunked(genome):
+        rows = genome.groupBy("species", order).agg(F.sum("own").alias("len"))
+    else:
+        rows = genome.select("species", order, F.length("seq").cast("long").alias("len"))
     return prefix_sum(rows, "species", order, "len").withColumn("hi", F.col("lo") + F.col("len"))
 
 
@@ -52,8 +57,7 @@ def windows(genome: DataFrame, points: DataFrame, length: int, spans: DataFrame
     end of their record are rejected."""
     spans = record_spans(genome) if spans is None else spans
     at = locate(points, spans, "species").withColumn("start", F.col("off") - F.col("lo")).filter(F.col("start") + length <= F.col("len"))
-    seqs = genome.select("species", "rec", F.col("seq").alias("_seq"))
-    return at.join(seqs, ["species", "rec"]).select("species", "j", "rec", "start", F.substring("_seq", F.col("start") + 1, F.lit(length)).alias("seq"))
+    return chunks.at(at, chunks.chunked(genome, length), "start", length).select("species", "j", "rec", "start", "seq")
 
 
 def passes(length: int, upper_case: float) -> F.Column:
@@ -61,21 +65,37 @@ def passes(length: int, upper_case: float) -> F.Column:
     return dna.is_plain(F.col("seq")) & (dna.upper_count(F.col("seq")) > dna.upper_threshold(upper_case, length))
 
 
-def sample_genes(genome: DataFrame, gene_count: int, length: int, upper_case: float = 0.9, tries: int = 50, seed: int = 0) -> DataFrame:
+def sample_genes(genome: DataFrame, gene_count: int, length: int, upper_case: float = 0.9, tries: int = 50, most: int = 1_000_000, seed: int = 0) -> DataFrame:
     """``(gene_id, species, rec, start, seq)``: one accepted window per quota id.
 
-    Every id has ``tries`` fixed offsets; the first that passes is taken, and an id without one
-    keeps a row with nulls.  All tries are drawn at once: they cost rows, not rounds.
+    Every id has a fixed series of offsets; the first that passes is taken.  ``tries`` are drawn at
+    once for all ids, then ten times as many for those still open, and so on up to ``most``: that
+    costs rows for the open ones only.  An id without a passing offset keeps a row with nulls; so do,
+    at once, ids of species in which no window can pass: no record is long enough, or no chunk has
+    more upper-case bases than a window needs.
     """
+    own = chunks.chunked(genome, length)
     spans = record_spans(genome)
-    totals = spans.groupBy("species").agg(F.sum("len").alias("total"))
+    # whatever begins in a chunk lies in its bases, so they bound the upper-case bases of its windows
+    likely = own.groupBy("species").agg(F.max(dna.upper_count(F.col("seq"))).alias("upper")).filter(F.col("upper") > dna.upper_threshold(upper_case, length)).select("species")
+    totals = spans.groupBy("species").agg(F.sum("len").alias("total"), F.max("len").alias("longest")).filter(F.col("longest") >= length).join(likely, "species", "left_semi")
     ids = quota(genome, gene_count, seed).filter("draws > 0").withColumn("gene_id", F.explode(F.sequence(F.col("start_id"), F.col("end_id") - 1))).select("species", "gene_id")
-    drawn = ids.join(totals.filter("total > 0"), "species").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    key = F.concat_ws("#", F.lit(seed), "species", F.col("gene_id"), F.col("try"))
-    points = drawn.select("species", F.struct("gene_id", "try").alias("j"), dna.hashed_int(key, F.col("total")).alias("off"))
-    good = windows(genome, points, length, spans).filter(passes(length, upper_case))
-    first = good.groupBy(F.col("j.gene_id").alias("gene_id")).agg(F.min_by(F.struct("rec", "start", "seq"), F.col("j.try")).alias("w"))
-    return ids.join(first, "gene_id", "left").select(F.col("gene_id").cast("int").alias("gene_id"), "species", "w.rec", "w.start", "w.seq")
+    open_ids, first, found = settle(ids.join(totals.select("species", "total"), "species")), 0, None
+    while first < most and not open_ids.isEmpty():
+        last = min(most, first + tries)
+        drawn = open_ids.withColumn("try", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+        key = F.concat_ws("#", F.lit(seed), "species", F.col("gene_id"), F.col("try"))
+        points = drawn.select("species", F.struct("gene_id", "try").alias("j"), dna.hashed_int(key, F.col("total")).alias("off"))
+        good = windows(own, points, length, spans).filter(passes(length, upper_case))
+        got = settle(good.groupBy(F.col("j.gene_id").alias("gene_id")).agg(F.min_by(F.struct("rec", "start", "seq"), F.col("j.try")).alias("w")))
+        found = got if found is None else found.unionByName(got)
+        open_ids = settle(open_ids.join(got, "gene_id", "left_anti"))
+        first, tries = last, tries * 10
+    none = F.lit(None)
+    if found is None:
+        kind = genome.schema["rec"].dataType
+        return ids.select(F.col("gene_id").cast("int").alias("gene_id"), "species", none.cast(kind).alias("rec"), none.cast("long").alias("start"), none.cast("string").alias("seq"))
+    return ids.join(found, "gene_id", "left").select(F.col("gene_id").cast("int").alias("gene_id"), "species", "w.rec", "w.start", "w.seq")
 
 
 def fragments_per_species(genes: DataFrame) -> DataFrame:

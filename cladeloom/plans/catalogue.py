@@ -100,11 +100,10 @@ def sample_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.windows(g, sampling.offsets(spans, 50), LENGTH, spans)
 
 
-@query("sample_filter", f"{fx.GENOME_SQL}, w AS (SELECT species, rec, substring(seq, 1, {LENGTH}) AS seq FROM genome WHERE length(seq) >= {LENGTH}) SELECT species, rec, length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS upper FROM w WHERE regexp_full_match(seq, '[ACGTacgt]*') AND length(regexp_replace(seq, '[^ACGT]', '', 'g')) > 25")
+@query("sample_filter", f"{_WINDOWS} SELECT species, j, rec, start, length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS upper FROM windows WHERE regexp_full_match(seq, '[ACGTacgt]*') AND length(regexp_replace(seq, '[^ACGT]', '', 'g')) > 25")
 def sample_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = fx.genome(spark, sf_dir).filter(F.length("seq") >= LENGTH).withColumn("seq", F.substring("seq", 1, LENGTH))
-    kept = w.filter(sampling.passes(LENGTH, 0.05))
-    return kept.select("species", "rec", dna.upper_count(F.col("seq")).cast("long").alias("upper"))
+    kept = sample_locate(spark, sf_dir).filter(sampling.passes(LENGTH, 0.05))
+    return kept.select("species", "j", "rec", "start", dna.upper_count(F.col("seq")).cast("long").alias("upper"))
 
 
 @query("sample_per_species", f"{_WINDOWS} SELECT species, count(*) AS fragments FROM windows GROUP BY species")
@@ -118,7 +117,18 @@ def sample_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.filter("j < 10").unionByName(w.filter("j >= 40"))
 
 
-@query("sample_genes")
+_SAMPLED = f"""{_DRAWS}, totals AS (SELECT source AS species, cast(sum(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) AS bigint) AS total FROM documents GROUP BY source),
+quota AS (SELECT species, cast(draws AS bigint) AS draws, cast(coalesce(sum(draws) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS bigint) AS start_id FROM counts),
+ids AS (SELECT species, cast(start_id + i AS int) AS gene_id FROM quota, unnest(range(0, draws)) u(i)),
+tries AS (SELECT ids.*, t AS try, cast(concat('0x', substring(md5(concat_ws('#', '0', species, gene_id, t)), 1, 12)) AS bigint) % total AS off FROM ids JOIN totals USING (species), range(0, 50) u(t)),
+located AS (SELECT gene_id, t.species, try, s.rec, off - lo AS start, substring(s.seq, off - lo + 1, 200) AS seq
+            FROM tries t JOIN (SELECT species, rec, cast(length(seq) AS bigint) AS len, cast(coalesce(sum(length(seq)) OVER (PARTITION BY species ORDER BY rec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS lo, seq FROM genome) s
+              ON t.species = s.species AND off >= lo AND off < lo + len WHERE off - lo + 200 <= len),
+sampled AS (SELECT gene_id, arg_min(struct_pack(rec := rec, start := cast(start AS bigint), seq := seq), try) AS w FROM located
+            WHERE regexp_full_match(seq, '[ACGTacgt]*') AND length(regexp_replace(seq, '[^ACGT]', '', 'g')) > 10 GROUP BY gene_id)"""
+
+
+@query("sample_genes", f"{_SAMPLED} SELECT gene_id, species, w.rec AS rec, w.start AS start, w.seq AS seq FROM ids LEFT JOIN sampled USING (gene_id)")
 def sample_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_genes(fx.genome(spark, sf_dir), GENES, 200, 0.05)
 
@@ -245,9 +255,9 @@ def num_gene_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.gene_tree_count(_few(spark, sf_dir), 7)
 
 
-@query("gene_padding", f"{fx.HITS_SQL}, m AS (SELECT gene_id, count(*) AS n FROM hits WHERE gene_id % 3 > 0 GROUP BY gene_id) SELECT cast(i AS int) AS gene_id, coalesce(n, 0) AS members FROM range(1, {GENES + 1}) r(i) LEFT JOIN m ON i = gene_id")
+@query("gene_padding", f"{fx.HITS_SQL}, m AS (SELECT gene_id, count(*) AS n FROM hits GROUP BY gene_id) SELECT cast(i AS int) AS gene_id, coalesce(n, 0) AS members FROM range(1, {GENES + 11}) r(i) LEFT JOIN m ON i = gene_id")
 def gene_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.padded(fx.hits(spark, sf_dir).filter("gene_id % 3 > 0"), GENES)
+    return families.padded(fx.hits(spark, sf_dir), GENES + 10)
 
 
 _LEN = f"{_FAMILY}, l AS (SELECT gene_id, count(*) AS n_seq, cast((sum(length(seq)) + count(*) - 1) // count(*) AS bigint) AS mean_len FROM family GROUP BY gene_id)"
@@ -268,19 +278,20 @@ def tree_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.tree_gate(_family(spark, sf_dir), 150, 25, 65)
 
 
-@query("identical_shortcut", f"{fx.HITS_SQL}, s AS (SELECT cast(line_no % 997 AS int) AS gene_id, substring(seq, 1, 1) AS seq FROM hits WHERE line_no % 5 = 0 AND pos < 20000) SELECT gene_id FROM s GROUP BY gene_id HAVING count(DISTINCT upper(seq)) = 1")
+# order keys are rare enough for some genes to have rows of one sequence only
+@query("identical_shortcut", f"SELECT cast(l_orderkey AS int) AS gene_id FROM lineitem GROUP BY 1 HAVING count(DISTINCT upper(l_returnflag || l_linestatus)) = 1")
 def identical_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = fx.hits(spark, sf_dir).filter("line_no % 5 = 0 AND pos < 20000")
-    return families.identical_genes(h.select((F.col("line_no") % 997).cast("int").alias("gene_id"), F.substring("seq", 1, 1).alias("seq")))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return families.identical_genes(rows.select(F.col("l_orderkey").cast("int").alias("gene_id"), F.concat("l_returnflag", "l_linestatus").alias("seq")))
 
 
 # ------------------------------------------------------------------ alignments
 
-_ALIGNED = f"{fx.HITS_SQL}, aligned AS (SELECT species, gene_id, line_no, pos, score, substring(seq, 1, 32) AS aligned FROM hits), sites AS (SELECT gene_id, cast(i AS int) - 1 AS site, count(*) AS n_rows, count(*) FILTER (substring(aligned, i, 1) <> '-') AS filled FROM aligned, range(1, 33) r(i) GROUP BY ALL)"
+_ALIGNED = f"{fx.HITS_SQL}, aligned AS (SELECT species, gene_id, line_no, pos, score, rpad(seq, 33, '-') AS aligned FROM hits), sites AS (SELECT gene_id, cast(i AS int) - 1 AS site, count(*) AS n_rows, count(*) FILTER (substring(aligned, i, 1) <> '-') AS filled FROM aligned, range(1, 34) r(i) GROUP BY ALL)"
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.hits(spark, sf_dir).select("species", "gene_id", "line_no", "pos", "score", F.substring("seq", 1, 32).alias("aligned"))
+    return fx.hits(spark, sf_dir).select("species", "gene_id", "line_no", "pos", "score", F.rpad("seq", 33, "-").alias("aligned"))
 
 
 @query("site_gap_fraction", f"{_ALIGNED} SELECT gene_id, cast(site AS int) AS site, n_rows, filled FROM sites")
@@ -296,7 +307,7 @@ def masked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "mask_sites",
     f"""{_ALIGNED}, gone AS (SELECT gene_id, list(site) AS s FROM sites WHERE cast(filled AS double) / n_rows < 0.94 GROUP BY gene_id)
-    SELECT species, a.gene_id, line_no, pos, score, array_to_string([substring(aligned, i + 1, 1) FOR i IN range(0, 32) IF NOT list_contains(coalesce(s, []), i)], '') AS aligned FROM aligned a LEFT JOIN gone USING (gene_id)""",
+    SELECT species, a.gene_id, line_no, pos, score, array_to_string([substring(aligned, i + 1, 1) FOR i IN range(0, 33) IF NOT list_contains(coalesce(s, []), i)], '') AS aligned FROM aligned a LEFT JOIN gone USING (gene_id)""",
 )
 def mask_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _aligned(spark, sf_dir)
@@ -308,17 +319,17 @@ def filter_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments.filter_fragments(_aligned(spark, sf_dir), 0.9)
 
 
-_PAIRS = f"""{_RANKED}, pairs AS (SELECT x.species, x.gene_id, substring(x.seq, 1, 32) AS a, substring(y.seq, 1, 32) AS b, 30 AS gene_length FROM ranked x JOIN ranked y USING (species, gene_id) WHERE x.rn = 1 AND y.rn = 2),
+_PAIRS = f"""{_RANKED}, pairs AS (SELECT x.species, x.gene_id, rpad(x.seq, 33, '-') AS a, rpad(y.seq, 33, '-') AS b, 30 AS gene_length FROM ranked x JOIN ranked y USING (species, gene_id) WHERE x.rn = 1 AND y.rn = 2),
 m AS (SELECT species, gene_id,
-  len([i FOR i IN range(1, 33) IF substring(a, i, 1) <> '-' AND substring(b, i, 1) <> '-']) AS solid,
-  len([i FOR i IN range(1, 33) IF upper(substring(a, i, 1)) = upper(substring(b, i, 1)) AND substring(a, i, 1) <> '-']) AS same FROM pairs),
-p AS (SELECT species, gene_id, round(CASE WHEN solid > 0 THEN 100 * cast(same AS double) / solid END, 6) AS identity, round(100 * cast(solid AS double) / 30, 6) AS coverage, round(100 * cast(solid AS double) / 32, 6) AS continuity FROM m)"""
+  len([i FOR i IN range(1, 34) IF substring(a, i, 1) <> '-' AND substring(b, i, 1) <> '-']) AS solid,
+  len([i FOR i IN range(1, 34) IF upper(substring(a, i, 1)) = upper(substring(b, i, 1)) AND substring(a, i, 1) <> '-']) AS same FROM pairs),
+p AS (SELECT species, gene_id, round(CASE WHEN solid > 0 THEN 100 * cast(same AS double) / solid END, 6) AS identity, round(100 * cast(solid AS double) / 30, 6) AS coverage, round(100 * cast(solid AS double) / 33, 6) AS continuity FROM m)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = hits.ranked(fx.hits(spark, sf_dir), 2)
-    x = r.filter("rn = 1").select("species", "gene_id", F.substring("seq", 1, 32).alias("a"))
-    y = r.filter("rn = 2").select("species", "gene_id", F.substring("seq", 1, 32).alias("b"))
+    x = r.filter("rn = 1").select("species", "gene_id", F.rpad("seq", 33, "-").alias("a"))
+    y = r.filter("rn = 2").select("species", "gene_id", F.rpad("seq", 33, "-").alias("b"))
     return x.join(y, ["species", "gene_id"]).withColumn("gene_length", F.lit(30))
 
 
@@ -365,17 +376,17 @@ def mash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmer.mash_distance(kmer_jaccard(spark, sf_dir), 3)
 
 
-_SEEDS = f"""{fx.GENOME_SQL}, genes AS (SELECT cast(rec AS int) AS gene_id, upper(substring(seq, 1, 200)) AS seq FROM genome WHERE rec % 20 = 0),
+_SEEDS = f"""{_SAMPLED}, genes AS (SELECT gene_id, upper(w.seq) AS seq FROM sampled),
 strands AS (SELECT gene_id, '+' AS strand, seq AS s FROM genes UNION ALL SELECT gene_id, '-', reverse(translate(seq, '{dna.CODES}', '{dna.COMPLEMENTS}')) FROM genes),
 q AS (SELECT gene_id, strand, i - 1 AS q_pos, substring(s, i, 24) AS kmer FROM strands, unnest(range(1, length(s) - 22)) u(i) WHERE regexp_full_match(substring(s, i, 24), '[ACGT]*')),
 t AS (SELECT species, rec, i - 1 AS t_pos, upper(substring(seq, i, 24)) AS kmer FROM genome, unnest(range(1, length(seq) - 22)) u(i)),
 found AS (SELECT gene_id, strand, q_pos, species, rec, t_pos FROM t JOIN q USING (kmer))"""
 
 
-def _seeds(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
-    g = fx.genome(spark, sf_dir)
-    genes = g.filter("rec % 20 = 0").select(F.col("rec").cast("int").alias("gene_id"), F.substring("seq", 1, 200).alias("seq"))
-    return kmer.seeds(genes, g, 24, step)
+def _seeds(spark: SparkSession, sf_dir: str, step: int = 1, transitions: bool = False) -> DataFrame:
+    """Seeds of all sampled genes in all records."""
+    genes = sample_genes(spark, sf_dir).filter("seq is not null").select("gene_id", "seq")
+    return kmer.seeds(genes, fx.genome(spark, sf_dir), 24, step, transitions)
 
 
 @query("seed_join", f"{_SEEDS} SELECT gene_id, species, count(*) AS seeds, count(DISTINCT rec) AS records FROM found GROUP BY ALL")
@@ -393,8 +404,26 @@ def seed_join_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_SEEDS} SELECT gene_id, species, rec, strand, cast(floor((t_pos - q_pos) / 32.0) AS bigint) AS diagonal, count(*) AS seeds, min(t_pos) AS t_start, max(t_pos) AS t_end FROM found GROUP BY ALL HAVING count(*) >= 2",
 )
 def seed_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = kmer.diagonals(_seeds(spark, sf_dir))
-    return d.withColumn("t_start", F.col("t_start").cast("long")).withColumn("t_end", F.col("t_end").cast("long"))
+    return kmer.diagonals(_seeds(spark, sf_dir))
+
+
+@query(
+    "seed_bands",
+    f"{_SEEDS} SELECT gene_id, species, rec, strand, b AS diagonal, count(*) AS seeds, min(t_pos) AS t_start, max(t_pos) AS t_end FROM found, unnest([cast(floor((t_pos - q_pos) / 16.0) AS bigint) - 1, cast(floor((t_pos - q_pos) / 16.0) AS bigint)]) u(b) GROUP BY ALL HAVING count(*) >= 2",
+)
+def seed_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer.diagonals(_seeds(spark, sf_dir), overlapping=True)
+
+
+_TURNED = "[substring(kmer, 1, i - 1) || translate(substring(kmer, i, 1), 'ACGT', 'GTAC') || substring(kmer, i + 1) FOR i IN range(1, 25)]"
+
+
+@query(
+    "seed_transitions",
+    f"{_SEEDS}, near AS (SELECT gene_id, strand, q_pos, unnest(list_append({_TURNED}, kmer)) AS kmer FROM q) SELECT gene_id, species, count(*) AS seeds, count(DISTINCT rec) AS records FROM t JOIN near USING (kmer) GROUP BY ALL",
+)
+def seed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer.seed_counts(_seeds(spark, sf_dir, transitions=True))
 
 
 # ------------------------------------------------------------------ reports
@@ -425,13 +454,15 @@ def step_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.long_form(fx.jobs(spark, sf_dir))
 
 
-@query("elapsed_times", "SELECT event_id, cast(floor(epoch(ts)) AS bigint) - min(cast(floor(epoch(ts)) AS bigint)) OVER () AS since_start, cast(floor(epoch(ts)) AS bigint) - lag(cast(floor(epoch(ts)) AS bigint)) OVER (ORDER BY ts, event_id) AS since_last FROM events WHERE user_id = 7")
+@query("elapsed_times", "SELECT event_id, cast(floor(epoch(ts)) AS bigint) - min(cast(floor(epoch(ts)) AS bigint)) OVER (PARTITION BY user_id) AS since_start, cast(floor(epoch(ts)) AS bigint) - lag(cast(floor(epoch(ts)) AS bigint)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since_last FROM events")
 def elapsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id = 7").select("event_id", F.struct("ts", "event_id").alias("o"), "ts")
-    from pyspark.sql.window import Window
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return reports.elapsed(e, by="user_id", tie="event_id").select("event_id", "since_start", "since_last")
+
 
-    s, w = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long"), Window.orderBy("o")
-    return e.select("event_id", (s - F.min(s).over(Window.partitionBy())).alias("since_start"), (s - F.lag(s).over(w)).alias("since_last"))
+@query("ids_in_text_order", "SELECT p_partkey AS id, row_number() OVER (ORDER BY cast(p_partkey AS varchar)) - 1 AS place FROM part")
+def ids_in_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.text_order(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id")))
 
 
 @query("master_accumulate", f"{fx.HITS_SQL}, n AS (SELECT gene_id % 9 + 1 AS iteration, count(*) AS added FROM hits GROUP BY 1) SELECT cast(iteration AS bigint) AS iteration, added, cast(sum(added) OVER (ORDER BY iteration) AS bigint) AS total FROM n")
@@ -444,23 +475,23 @@ def master_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tips_per_tree", f"{fx.TREES_SQL} SELECT t AS tree_id, count(*) AS n_tips, count(DISTINCT regexp_replace(tip, '_[^_]*$', '')) AS n_species FROM ordered GROUP BY t")
 def tips_per_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.tips_per_tree(fx.newicks(spark))
+    return trees.tips_per_tree(fx.newicks(spark, sf_dir))
 
 
-# pre-order of a caterpillar: inner clade of the first k tips is node 20 - k; tip r is node 19 + (r - 1), but for the root
+# pre-order of a caterpillar of n tips: the inner clade of the first k is node n - k, tip r is node n - 2 + r
 _CLADES = f"""{fx.TREES_SQL}, want AS (SELECT tip FROM ordered WHERE t = 1 AND r <= 7),
-clades AS (SELECT o.t, 20 - k AS node_id, k AS own, count(w.tip) AS shared FROM ordered o JOIN range(2, 20) c(k) ON o.r <= k LEFT JOIN want w USING (tip) GROUP BY o.t, k
-  UNION ALL SELECT o.t, 18 + o.r, 1, count(w.tip) FROM ordered o LEFT JOIN want w USING (tip) GROUP BY o.t, o.r),
-scores AS (SELECT t AS tree_id, cast(node_id AS int) AS node_id, cast(20 - 7 - own + 2 * shared AS bigint) AS score FROM clades)"""
+clades AS (SELECT o.t, o.n - k AS node_id, k AS own, count(w.tip) AS shared FROM ordered o JOIN range(2, {fx.TIPS}) c(k) ON o.r <= k AND k < o.n LEFT JOIN want w USING (tip) GROUP BY o.t, o.n, k
+  UNION ALL SELECT o.t, o.n - 2 + o.r, 1, count(w.tip) FROM ordered o LEFT JOIN want w USING (tip) GROUP BY o.t, o.n, o.r),
+scores AS (SELECT t AS tree_id, cast(node_id AS int) AS node_id, cast({fx.TIPS} - 7 - own + 2 * shared AS bigint) AS score FROM clades)"""
 
 
-def _wanted(spark: SparkSession) -> DataFrame:
-    return fx.tree_order(spark).filter("t = 1 AND r <= 7").select(fx.tip_name(F.col("i")).alias("tip"))
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.tree_order(spark, sf_dir).filter("t = 1 AND r <= 7").select("tip")
 
 
 @query("clade_scores", f"{_CLADES} SELECT * FROM scores")
 def clade_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.clade_scores(trees.nodes(fx.newicks(spark)), _wanted(spark), fx.TIPS)
+    return trees.clade_scores(trees.nodes(fx.newicks(spark, sf_dir)), _wanted(spark, sf_dir), fx.TIPS)
 
 
 @query("reroot_choice", f"{_CLADES}, b AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY score DESC, node_id) AS k FROM scores WHERE score > 0) SELECT tree_id, node_id, score FROM b WHERE k = 1")
@@ -469,13 +500,13 @@ def reroot_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPLITS = f"""{fx.TREES_SQL}, first AS (SELECT t, min(tip) AS f FROM ordered GROUP BY t),
-sides AS (SELECT o.t, k, list_sort(list(o.tip) FILTER (o.r <= k)) AS s, list_sort(list(o.tip) FILTER (o.r > k)) AS rest, any_value(f) AS f FROM ordered o JOIN first USING (t), range(2, 19) c(k) GROUP BY o.t, k),
+sides AS (SELECT o.t, k, list_sort(list(o.tip) FILTER (o.r <= k)) AS s, list_sort(list(o.tip) FILTER (o.r > k)) AS rest, any_value(f) AS f FROM ordered o JOIN first USING (t), range(2, 19) c(k) WHERE k <= o.n - 2 GROUP BY o.t, k),
 splits AS (SELECT DISTINCT t, CASE WHEN list_contains(s, f) THEN array_to_string(rest, ',') ELSE array_to_string(s, ',') END AS split FROM sides)"""
 
 
 @query("tree_splits", f"{_SPLITS} SELECT t AS tree_id, split FROM splits")
 def tree_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.splits(trees.nodes(fx.newicks(spark)))
+    return trees.splits(trees.nodes(fx.newicks(spark, sf_dir)))
 
 
 @query("split_rf", f"{_SPLITS}, r AS (SELECT split FROM splits WHERE t = 1) SELECT t AS tree_id, count(*) + (SELECT count(*) FROM r) - 2 * count(r.split) AS rf, round(cast(count(*) + (SELECT count(*) FROM r) - 2 * count(r.split) AS double) / (count(*) + (SELECT count(*) FROM r)), 9) AS norm_rf FROM splits s LEFT JOIN r USING (split) GROUP BY t")
@@ -484,10 +515,10 @@ def split_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.robinson_foulds(s, s.filter("tree_id = 1").select("split"))
 
 
-@query("gene_tree_list", f"{fx.TREES_SQL} SELECT cast(i AS int) AS gene_id, CASE WHEN i <= {fx.TREES} THEN {fx.TIPS} END AS n_tips FROM range(1, 61) r(i)")
+@query("gene_tree_list", f"{fx.TREES_SQL}, c AS (SELECT t, count(*) AS n_tips FROM ordered GROUP BY t) SELECT cast(i AS int) AS gene_id, cast(n_tips AS int) AS n_tips FROM range(1, {GENES + 11}) r(i) LEFT JOIN c ON i = t")
 def gene_tree_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.range(1, 61).select(F.col("id").cast("int").alias("gene_id"))
-    n = trees.tips_per_tree(fx.newicks(spark)).select(F.col("tree_id").alias("gene_id"), F.col("n_tips").cast("int").alias("n_tips"))
+    ids = spark.range(1, GENES + 11).select(F.col("id").cast("int").alias("gene_id"))
+    n = trees.tips_per_tree(fx.newicks(spark, sf_dir)).select(F.col("tree_id").alias("gene_id"), F.col("n_tips").cast("int").alias("n_tips"))
     return ids.join(n, "gene_id", "left")
 
 
@@ -521,7 +552,7 @@ def mash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("species_tree")
 def species_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.species_tree(fx.newicks(spark).withColumnRenamed("tree_id", "gene_id"))
+    return modes.species_tree(fx.newicks(spark, sf_dir).withColumnRenamed("tree_id", "gene_id"))
 
 
 @query("pipeline_fast")

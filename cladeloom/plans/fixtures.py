@@ -50,26 +50,21 @@ def iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.round(F.lit(100.0) * F.sum(F.when(F.col("value") >= 50, 1).otherwise(0)) / F.count("*"), 6).alias("pct")).select(F.date_format("iteration", "yyyy-MM-dd").alias("iteration"), "pct")
 
 
-TREES, TIPS = 40, 20
+TIPS = 20  # species of the hits
 
 
-def tree_order(spark: SparkSession) -> DataFrame:
-    """``(t, i, r)``: caterpillars over 20 tips; each tree but the first has one tip moved last."""
+def tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(t, r, tip)``: a caterpillar per gene over the species that hit it, best first."""
     from pyspark.sql.window import Window
 
-    rows = spark.range(1, TREES + 1).select(F.col("id").cast("int").alias("t")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(TIPS - 1))))
-    moved = F.when((F.col("t") > 1) & (F.col("i") == (F.col("t") * 7) % TIPS), 1).otherwise(0)
-    w = Window.partitionBy("t").orderBy(moved, F.md5(F.col("i").cast("string").cast("binary")))
-    return rows.withColumn("r", F.row_number().over(w))
+    best = hits(spark, sf_dir).groupBy(F.col("gene_id").alias("t"), "species").agg(F.max("score").alias("score"))
+    tip = F.concat("species", F.lit("_"), (F.substring_index("species", "_", -1).cast("int") % 3).cast("string"))
+    return best.select("t", tip.alias("tip"), F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "species")).alias("r"))
 
 
-def tip_name(i: F.Column) -> F.Column:
-    return F.concat(F.lit("tip"), F.lpad(i.cast("string"), 2, "0"), F.lit("_"), (i % 3).cast("string"))
-
-
-def newicks(spark: SparkSession) -> DataFrame:
+def newicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(tree_id, newick)``: the caterpillars as text, nested from the first tip outwards."""
-    listed = tree_order(spark).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("r", tip_name(F.col("i")).alias("n")))).alias("l"))
+    listed = tree_order(spark, sf_dir).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("r", F.col("tip").alias("n")))).alias("l"))
     body = F.aggregate(F.slice("l", 2, TIPS), F.col("l")[0]["n"], lambda acc, x: F.concat(F.lit("("), acc, F.lit(","), x["n"], F.lit(")")))
     return listed.select(F.col("t").alias("tree_id"), F.concat(body, F.lit(";")).alias("newick"))
 
@@ -88,8 +83,6 @@ JOBS_SQL = """jobs AS (
          cast(o_orderkey AS varchar) AS job, round(cast(o_totalprice AS double) / 60, 6) AS wall_min, round(cast(o_totalprice AS double) * cast(0.8 AS double) / 60, 6) AS cpu_min FROM orders)"""
 ITERATIONS_SQL = """iterations AS (
   SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS iteration, round(cast(100 AS double) * sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) / count(*), 6) AS pct FROM events GROUP BY 1)"""
-TREES_SQL = f"""ordered AS (
-  SELECT cast(t AS int) AS t, cast(i AS int) AS i,
-         row_number() OVER (PARTITION BY t ORDER BY CASE WHEN t > 1 AND i = (t * 7) % {TIPS} THEN 1 ELSE 0 END, md5(cast(i AS varchar))) AS r,
-         'tip' || lpad(cast(i AS varchar), 2, '0') || '_' || cast(i % 3 AS varchar) AS tip
-  FROM range(1, {TREES + 1}) a(t), range(0, {TIPS}) b(i))"""
+TREES_SQL = f"""{HITS_SQL}, best AS (SELECT gene_id AS t, species, max(score) AS score FROM hits GROUP BY ALL),
+ordered AS (SELECT t, species || '_' || cast(cast(split_part(species, '_', 2) AS int) % 3 AS varchar) AS tip,
+                   row_number() OVER (PARTITION BY t ORDER BY score DESC, species) AS r, count(*) OVER (PARTITION BY t) AS n FROM best)"""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, msa, quartets, trees
 from ..functions.storage import settle
-from ..operators import alignments, families, hits, kmer, sampling
+from ..operators import alignments, chunks, families, hits, kmer, sampling
 from ..sources.tables import Config
 
 K = {"fast": 10}
@@ -34,23 +34,22 @@ HIT_SCHEMA = "species string, gene_id int, score long, line_no long, pos long, s
 def similarity_join(genes: DataFrame, genome: DataFrame, cfg: Config, band: int = 32) -> DataFrame:
     """Hits of every gene in every genome, on both strands: ``HIT_SCHEMA``.
 
-    Exact seeds by an equi-join; bands of diagonals with two seeds or more; local alignment of each
-    candidate window; then the identity, coverage and continuity filters and the best
-    ``2 * max_dup`` hits.  ``strand`` is the gene's; ``seq`` is the target's aligned row, turned to
-    the gene's direction; ``pos`` the offset in the target record.
+    Seeds by an equi-join (in the modes with alignment, with a transition at one base); overlapping
+    bands of diagonals with two seeds or more; local alignment of each candidate window; then the
+    identity, coverage and continuity filters and the best ``2 * max_dup`` hits.  ``strand`` is the
+    gene's; ``seq`` is the target's aligned row, turned to the gene's direction; ``pos`` the offset in
+    the target record.  Windows are cut from chunks, so no row holds a whole record.
     """
     seed = cfg.seed_length
-    found = kmer.diagonals(kmer.seeds(genes, genome, seed, cfg.steps), band)
-    whole = found.groupBy("gene_id", "species", "rec", "strand", F.floor((F.col("diagonal") * band) / cfg.length).cast("long").alias("zone"))
+    own = chunks.chunked(genome, 4 * cfg.length + 2 * seed)
+    found = kmer.diagonals(kmer.seeds(genes, own, seed, cfg.steps, cfg.mode != "fast"), band, overlapping=True)
+    whole = found.groupBy("gene_id", "species", "rec", "strand", F.floor((F.col("diagonal") * (band // 2)) / cfg.length).cast("long").alias("zone"))
     spans = whole.agg(F.sum("seeds").alias("seeds"), F.min("t_start").alias("lo"), F.max("t_end").alias("hi"))
     cand = spans.join(genes.select("gene_id", F.col("seq").alias("gene")), "gene_id")
-    seqs = genome.select("species", "rec", F.col("seq").alias("_seq"))
     lo = F.greatest(F.col("lo") - F.length("gene"), F.lit(0))
-    cand = cand.join(seqs, ["species", "rec"]).select(
-        "species", "gene_id", "rec", "strand", lo.cast("long").alias("at"), "gene",
-        F.substring("_seq", lo.cast("int") + 1, (F.col("hi") - lo + F.length("gene") + seed).cast("int")).alias("window"),
-    )
-    matrix = msa.HOXD55 if cfg.deep else None
+    cand = cand.select("species", "gene_id", "rec", "strand", lo.cast("long").alias("at"), "gene", (F.col("hi") - lo + F.length("gene") + seed).alias("_n"))
+    cand = chunks.at(cand, own, "at", "_n", name="window").select("species", "gene_id", "rec", "strand", "at", "gene", "window")
+    matrix = (cfg.matrix or msa.HOXD55) if cfg.deep else None
     gap = 120.0 if cfg.deep else 3.0
 
     def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,36 +190,68 @@ def species_of(tip: str) -> str:
     return tip.rsplit("_", 1)[0]
 
 
-def quartet_counts(gene_tree_table: DataFrame, names: list[str]) -> tuple[dict, np.ndarray]:
-    """Quartet topology counts and mean distances over all gene trees.
-
-    What comes back is bounded by the species: three numbers for each four of them.
-    """
-    order = {n: k for k, n in enumerate(names)}
+def mean_distances(gene_tree_table: DataFrame, names: list[str]) -> np.ndarray:
+    """Mean branches between species over the gene trees that have both; species that never meet are
+    as far apart as there are species.  What comes back is a number for each two species."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, seen = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)), np.int64)
         for frame in frames:
-            rows = []
             for text in frame["newick"]:
                 tree = trees.parse(text)
-                if not set(map(species_of, tree.tips())) <= set(order):
+                if not set(map(species_of, tree.tips())) <= set(names):
                     raise ValueError("a tip of an unknown species")
                 steps = quartets.species_steps(tree, species_of, names)
-                rows += [(*t, 1.0) for t in quartets.topologies(steps)]
-                rows += [(i, j, -1, -1, -1, float(steps[i, j])) for i in range(len(names)) for j in range(i) if not np.isnan(steps[i, j])]
-            yield pd.DataFrame(rows, columns=["a", "b", "c", "d", "pairing", "x"])
+                seen += ~np.isnan(steps)
+                total += np.nan_to_num(steps)
+        i, j = np.nonzero(np.tril(seen, -1))
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "x": total[i, j], "n": seen[i, j]})
 
-    counted = gene_tree_table.filter("newick is not null").select("newick").mapInPandas(run, "a int, b int, c int, d int, pairing int, x double")
-    rows = counted.groupBy("a", "b", "c", "d", "pairing").agg(F.sum("x").alias("x"), F.count("*").alias("n")).collect()
-    weight: dict[tuple, np.ndarray] = {}
+    found = gene_tree_table.filter("newick is not null").select("newick").mapInPandas(run, "i int, j int, x double, n long")
+    rows = found.groupBy("i", "j").agg((F.sum("x") / F.sum("n")).alias("d")).toPandas()
     distance = np.full((len(names), len(names)), float(len(names)))
     np.fill_diagonal(distance, 0)
-    for r in rows:
-        if r["pairing"] < 0:
-            distance[r["a"], r["b"]] = distance[r["b"], r["a"]] = r["x"] / r["n"]
-        else:
-            weight.setdefault((r["a"], r["b"], r["c"], r["d"]), np.zeros(3))[r["pairing"]] += r["x"]
-    return weight, distance
+    distance[rows["i"], rows["j"]] = distance[rows["j"], rows["i"]] = rows["d"]
+    return distance
+
+
+def quartet_weights(gene_tree_table: DataFrame, names: list[str]) -> dict[tuple, np.ndarray]:
+    """Votes for the three pairings of every four species, of ``quartets.EXHAUSTIVE`` species at most."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [t for text in frame["newick"] for t in quartets.topologies(quartets.species_steps(trees.parse(text), species_of, names))]
+            yield pd.DataFrame(rows, columns=["a", "b", "c", "d", "pairing"])
+
+    found = gene_tree_table.filter("newick is not null").select("newick").mapInPandas(run, "a int, b int, c int, d int, pairing int")
+    weight: dict[tuple, np.ndarray] = {}
+    for r in found.groupBy("a", "b", "c", "d", "pairing").agg(F.count("*").alias("n")).collect():
+        weight.setdefault((r["a"], r["b"], r["c"], r["d"]), np.zeros(3))[r["pairing"]] += r["n"]
+    return weight
+
+
+def branch_counts(gene_tree_table: DataFrame, names: list[str], own: list[quartets.Branch]) -> tuple[np.ndarray, np.ndarray]:
+    """Per branch its quartets by pairing, summed over the gene trees; and the effective number of gene
+    trees for each pairing.  What comes back is six numbers a branch."""
+    at = {n: k for k, n in enumerate(names)}
+    colours = np.zeros((4, len(own), len(names)))
+    for b, branch in enumerate(own):
+        for side in range(4):
+            colours[side, b, [at[n] for n in branch.sides[side]]] = 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, share = np.zeros((3, len(own))), np.zeros((3, len(own)))
+        for frame in frames:
+            for text in frame["newick"]:
+                n, all_ = quartets.branch_counts(trees.parse(text), species_of, at, colours)
+                number += n
+                share += n / np.maximum(all_, 1)
+        yield pd.DataFrame({"b": np.arange(len(own), dtype="int32"), **{f"n{k}": number[k] for k in range(3)}, **{f"z{k}": share[k] for k in range(3)}})
+
+    cols = [f"{x}{k}" for x in "nz" for k in range(3)]
+    found = gene_tree_table.filter("newick is not null").select("newick").mapInPandas(run, "b int, " + ", ".join(f"{c} double" for c in cols))
+    rows = found.groupBy("b").agg(*(F.sum(c).alias(c) for c in cols)).toPandas().sort_values("b")
+    return np.round(rows[cols[:3]].to_numpy(), 9), rows[cols[3:]].to_numpy()
 
 
 def species_names(gene_tree_table: DataFrame) -> list[str]:
@@ -232,18 +263,28 @@ def species_names(gene_tree_table: DataFrame) -> list[str]:
 
 
 def species_tree_and_stats(gene_tree_table: DataFrame) -> tuple[trees.Node | None, list[tuple]]:
-    """The species tree and, per branch, split, topology counts and posteriors."""
+    """The species tree and, per branch, split, effective gene trees per pairing, and posteriors.
+
+    Up to ``quartets.EXHAUSTIVE`` species, the best of all trees; beyond, neighbour joining on mean
+    distances, improved by interchanges under the quartet score.
+    """
     names = species_names(gene_tree_table)
     if len(names) < 2:
         return None, []
-    weight, distance = quartet_counts(gene_tree_table, names)
-    tree = quartets.search(names, weight, distance)
-    stats = quartets.branch_supports(tree, names, weight)
-    support = {side: p[0] for side, _, p in stats}
+    if len(names) <= quartets.EXHAUSTIVE:
+        tree = quartets.exhaustive(names, quartet_weights(gene_tree_table, names))
+    else:
+        start = trees.neighbour_joining(names, mean_distances(gene_tree_table, names))
+        tree = quartets.improve(start, lambda own: branch_counts(gene_tree_table, names, own)[0])
+    own = quartets.branches(tree)
+    z = branch_counts(gene_tree_table, names, own)[1] if own else []
     every = frozenset(names)
-    for node in tree.walk():
-        side = frozenset(node.tips())
-        node.support = support.get(side, support.get(every - side)) if node.children and node is not tree else None
+    stats = []
+    for branch, counts in zip(own, z):
+        posterior = quartets.supports(counts)
+        branch.node.support = posterior[0]
+        side = branch.sides[0] | branch.sides[1]
+        stats.append((min(side, every - side, key=lambda s: (len(s), sorted(s))), counts.tolist(), posterior))
     return tree, stats
 
 

@@ -58,6 +58,13 @@ def job_timings(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("wall_min is not null and cpu_min is not null")
 
 
+def newest(spark: SparkSession, path: str, pattern: str = "*") -> str | None:
+    """The file of a folder that was changed last; of several, the last by name."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "modificationTime")
+    row = files.orderBy(F.desc("modificationTime"), F.desc("path")).first()
+    return row["path"] if row else None
+
+
 def matrix(text: str) -> list[list[int]]:
     """A 4 x 4 scoring matrix, with or without a header of bases."""
     rows = [line.split() for line in text.splitlines() if line.strip() and not line.startswith("#")]
@@ -92,6 +99,7 @@ class Config:
     support_threshold: float = 0.95
     num_instances: int = 4
     scores: str | None = None
+    matrix: tuple | None = None  # what the file ``scores`` names holds
     min_align: int | None = None
     mode: str = "accurate"
     deep: bool = False
@@ -123,7 +131,7 @@ def config(text: str, **given) -> Config:
     for line in text.splitlines():
         key, colon, value = line.split("#", 1)[0].partition(":")
         name, value = key.strip().lower(), value.strip().strip("'\"")
-        if not colon or name not in known or value == "":
+        if not colon or name not in known or name == "matrix" or value == "":
             continue
         if value.upper() == "NULL":
             out[name] = None

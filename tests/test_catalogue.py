@@ -49,10 +49,27 @@ def test_entry_module_without_the_llm_folder(spark, monkeypatch):
 
     def without(name, *a, **k):
         if name.startswith(("cladeloom.llm", "corpus_pipeline")):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name.removesuffix(".queries"))
         return real(name, *a, **k)
 
     monkeypatch.setattr(builtins, "__import__", without)
     importlib.reload(e)
     assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLE_SQL)
     assert e.entry(spark).count() > 0
+
+
+def test_entry_module_doesnt_hide_a_missing_dependency(monkeypatch):
+    import builtins
+
+    import __spark_entry__ as e
+
+    real = builtins.__import__
+
+    def without(name, *a, **k):
+        if name.startswith("cladeloom.llm"):
+            raise ModuleNotFoundError("xxhash", name="xxhash")
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    with pytest.raises(ModuleNotFoundError):
+        e.queries()
