@@ -1,8 +1,8 @@
 """Hierarchical Pitman-Yor language model, trained and applied over the whole corpus.
 
 Tokens are the blank-separated words of the text with A-Z lower-cased, then one end token.  The
-model spells words by the pieces of a public byte-level vocabulary whose last pieces mark the end of
-a word, so pieces and words give each other.  Frequent words are one piece.
+model spells words by the pieces of a public byte-level vocabulary, the longest that fits first;
+last pieces mark the end of a word, so pieces and words give each other.  Frequent words are one piece.
 
 The restaurants: every word is a context with a restaurant of its own, which serves the first piece
 of the word after it (the end token is the context of a text's first word); every beginning of a
@@ -30,15 +30,18 @@ Numbers: S_d is exact up to ``EXACT`` customers (and ``TABLES`` tables).  Beyond
 dish are drawn from the law that theirs tends to: one plus a Poisson number where they are few, and
 a normal number, by the saddle point, where they are many.
 
-What grows with the corpus stays distributed.  Documents are taken in blocks; a block sends to each
-bucket of contexts the pairs of context and piece that it holds, how often its training documents
-have them, and which documents have them.  A bucket adds up counts and draws tables in every sweep;
-its numbers are seeded, so nothing need be written, a lost task is repeated alike, and a later job
-draws the sweeps before it again.  It sends back to each block the sum of log probabilities per
-document.  A context serves at most as many dishes as there are pieces, so its pairs are one bucket's
-and yet bounded.  Per sweep, sums over pieces come to the driver; their number, and that of what goes
-to all tasks, is that of the vocabulary's pieces.  Counts of words, for the base score, are a shuffled
-table of which the ``HEAD_WORDS`` most frequent rows at most go to all tasks; others are joined.
+What grows with the corpus stays distributed.  Words are a shuffled table of hash, bytes and count,
+which gives the beginnings their customers.  Pairs of word and first piece are counted in tasks and
+added up in buckets by context; a context serves at most as many dishes as there are pieces, so its
+pairs are one bucket's and yet bounded.  A bucket draws tables in every sweep; its numbers are seeded,
+so nothing need be written, a lost task is repeated alike, and a later job draws the sweeps before it
+again.  Per sweep, sums over pieces come to the driver; their number, and that of what goes to all
+tasks, is that of the vocabulary's pieces.
+
+Scores: what follows a word's first piece depends on the word alone, so it is reckoned once a word.
+The ``HEAD_WORDS`` and ``HEAD_PAIRS`` most frequent words and pairs, at most, go to all tasks with
+their figures.  Other words are joined.  Other pairs go from blocks of documents to the buckets, each
+with the documents that have it, and a bucket sends back to each block the sum per document.
 
 Defined cases: null and empty texts are one end token; repeated rows are scored alike; null ids
 belong to no held-out fold and train; without training documents every word is unseen, which is
@@ -60,19 +63,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, read, with_bytes
 from .labelled import fold
 from .packing import Encoder, tokenizer_path
 
-HEAD_WORDS = 1 << 19
+HEAD_WORDS = 1 << 18
+HEAD_PAIRS = 1 << 20
 FOLDS, HELD_OUT = 7, 2
 BURN_IN, SAMPLES = 2, 3
 EXACT, TABLES = 4096, 512
-BLOCK_UNITS, BLOCK_DOCS = 1 << 21, 1 << 15
+BLOCK_UNITS, BLOCK_ROWS = 1 << 20, 1 << 19
 BUCKET_UNITS = 1 << 23
 CHUNK = 1 << 18
-FLUSH = 300_000
+FLUSH = 200_000
 CACHE = 200_000
 END = b" "  # no word holds a blank
 PIECES = 1 << 16
@@ -91,8 +96,8 @@ def word_hash(word: bytes) -> int:
 # ---------------------------------------------------------------- words
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``(h, c)``: how often each word, by its hash, stands in ``texts`` (column ``_bytes``).
+def word_counts(texts: DataFrame, in_train: str) -> DataFrame:
+    """``(h, word, c)``: the distinct words and how often each stands in training texts.
 
     Tasks count before the shuffle, and empty their counter whenever it is large.
     """
@@ -102,35 +107,39 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             h = np.fromiter(map(word_hash, counts), np.int64, len(counts))
-            c = np.fromiter(counts.values(), np.int64, len(counts))
+            cols = [pa.array(h), pa.array(list(counts), pa.binary()), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c)], names=["h", "c"])
+            return pa.RecordBatch.from_arrays(cols, names=["h", "word", "c"])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 400):
-                for raw in batch.column(0).slice(lo, 400).to_pylist():
-                    counts.update(tokens_of(raw))
+                part = batch.slice(lo, 400)
+                for raw, train in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    words = tokens_of(raw)
+                    if train:
+                        counts.update(words)
+                    else:
+                        for w in words:
+                            if w not in counts:
+                                counts[w] = 0
                     if len(counts) >= FLUSH:
                         yield out()
         yield out()
 
-    return texts.select("_bytes").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    counted = texts.select("_bytes", in_train).mapInArrow(run, "h long, word binary, c long")
+    return counted.groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
 
 
-def head_words(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words: all that stand as often as a power of two which
-    leaves at most ``most`` of them."""
-    sizes = {r["k"]: r["n"] for r in vocabulary.groupBy(F.length(F.bin("c")).alias("k")).agg(F.count("*").alias("n")).collect()}
+def frequent(sizes: dict[int, int], most: int) -> int | None:
+    """The least power of two such that at most ``most`` things are as frequent; ``sizes`` has how
+    many there are by bit length of their count."""
     total, least = 0, None
     for k in sorted(sizes, reverse=True):
         total += sizes[k]
-        if total > most:
+        if total > most or not k:
             break
         least = 1 << k - 1
-    if least is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    rows = vocabulary.filter(F.col("c") >= least).toPandas()
-    return rows["h"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
+    return least
 
 
 _MASK = (1 << 64) - 1
@@ -143,61 +152,81 @@ def _prefix(before: int, piece: int) -> int:
     return x ^ x >> 32 | 1
 
 
+class Speller:
+    """A word's pieces: the longest of the vocabulary first."""
+
+    def __init__(self, path: str):
+        encoder = Encoder(path)
+        byte = {c: bytes([k]) for k, c in enumerate(encoder.letters)}
+        self.inner, self.last = {}, {}
+        for token, n in encoder.tokenizer.get_vocab(with_added_tokens=False).items():
+            text = token.removesuffix("</w>")
+            if text and all(c in byte for c in text):
+                (self.last if text != token else self.inner)[b"".join(byte[c] for c in text)] = n
+        if any(bytes([k]) not in d for k in range(256) for d in (self.inner, self.last)):
+            raise ValueError("the vocabulary has no piece for some byte")
+        self.longest = max(map(len, self.inner))
+        self.end = encoder.tokenizer.get_vocab_size()
+
+    def first(self, word: bytes) -> tuple[int, int]:
+        """The first piece and its length."""
+        if word == END:
+            return self.end, 1
+        n = self.last.get(word)
+        if n is not None:
+            return n, len(word)
+        for k in range(min(len(word) - 1, self.longest), 0, -1):
+            n = self.inner.get(word[:k])
+            if n is not None:
+                return n, k
+
+    def pieces(self, word: bytes) -> list[int]:
+        out = []
+        while word:
+            n, k = self.first(word)
+            out.append(n)
+            word = word[k:]
+        return out
+
+
 class Words(dict):
-    """A bounded cache from a word to its row in arrays: its code, its pieces and its contexts.
+    """A bounded cache from a word to its row in arrays: its code, its first piece, its context.
 
-    The code is the word's row in the table of head words, by binary search, or -1.  Contexts are
-    numbered; ``hash`` has their 64 bits, odd for beginnings of words and even for words.
+    The code is the word's row in the table of head words, by binary search, or -1.  A word's context
+    is its hash, made even; contexts are numbered by the rows here.
     """
 
-    def __init__(self, hashes: np.ndarray, path: str):
+    def __init__(self, hashes: np.ndarray, speller: Speller):
         order = np.argsort(hashes, kind="stable")
         self.sorted, self.at = array("q", hashes[order].tobytes()), array("q", order.astype(np.int64).tobytes())
-        encoder = Encoder(path)
-        self.model, self.letters = encoder.model, encoder.letters
-        self.end_piece = encoder.tokenizer.get_vocab_size()
+        self.first_of = speller.first
         self.fresh()
 
     def fresh(self) -> None:
         self.clear()
-        self.beginnings: dict[int, int] = {}
-        self.code, self.own, self.start, self.size, self.pieces, self.contexts = (array("q") for _ in range(6))
-        self.hash = array("Q")
-
-    def _number(self, h: int) -> int:
-        self.hash.append(h)
-        return len(self.hash) - 1
+        self.code, self.first, self.hash = array("q"), array("q"), array("Q")
 
     def __missing__(self, word: bytes) -> int:
         h = word_hash(word)
         k = bisect_left(self.sorted, h)
         at = self[word] = len(self.code)
         self.code.append(self.at[k] if k < len(self.sorted) and self.sorted[k] == h else -1)
-        self.own.append(self._number(h & _MASK - 1))
-        own = [self.end_piece] if word == END else [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))]
-        self.start.append(len(self.pieces))
-        self.size.append(len(own))
-        self.pieces.extend(own)
-        self.contexts.append(-1)  # the first piece's context is the word before
-        begin = 0
-        for p in own[:-1]:
-            begin = _prefix(begin, p)
-            n = self.beginnings.get(begin)
-            if n is None:
-                n = self.beginnings[begin] = self._number(begin)
-            self.contexts.append(n)
+        self.first.append(self.first_of(word)[0])
+        self.hash.append(h & _MASK - 1)
         return at
 
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of the words (the last one is the end token), how many pieces each has, and for each
-        piece context and piece as one number."""
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the words, and context and first piece of each as one number; the last word is the
+        end token, and so is what each text's first word stands after."""
         at = np.array([self[w] for w in words], np.int64)
-        code, own, start, size = (np.array(x, np.int64)[at] for x in (self.code, self.own, self.start, self.size))
-        first = np.cumsum(size) - size
-        where = np.repeat(start - first, size) + np.arange(size.sum())
-        context = np.array(self.contexts, np.int64)[where]
-        context[first] = np.concatenate([own[-1:], own[:-1]])
-        return code, size, context << 16 | np.array(self.pieces, np.int64)[where], own
+        before = np.concatenate([at[-1:], at[:-1]])
+        return at, before << 16 | np.frombuffer(self.first, np.int64)[at]
+
+    def codes(self, at: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.code, np.int64)[at]
+
+    def hashes(self) -> np.ndarray:
+        return np.array(self.hash, np.uint64)
 
 
 # ---------------------------------------------------------------- arrays in rows
@@ -531,12 +560,12 @@ def fit(table: DataFrame, size: int, burn_in: int = BURN_IN, samples: int = SAMP
 
 # ---------------------------------------------------------------- blocks and buckets
 
-HEADS = "row_key long, {id} {kind}, n_tokens long, known long, base double, tail_h array<long>, tail_n array<long>"
-# per context: its hash and its number of pieces; per pair: piece, count in training, documents;
-# per pair and document: the document and the count there
-ASKED = "block long, bucket int, context binary, dishes binary, piece binary, count binary, docs binary, doc binary, n binary"
+# per context: its hash and its number of pieces; per pair: piece, count in training, rows that have
+# it; per pair and row: the row and the count there
+ASKED = "block long, bucket int, context binary, dishes binary, piece binary, count binary, rows binary, row binary, n binary"
 KNOWN = "bucket int, context binary, dishes binary, piece binary, count binary"
 ASKED_NAMES, KNOWN_NAMES = ([x.split()[0] for x in s.split(", ")] for s in (ASKED, KNOWN))
+ASKED_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
 
 
 def _pairs_of(bucket: int, context: bytes, dishes: bytes, piece: bytes, count: bytes) -> Pairs:
@@ -556,123 +585,129 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) * buckets >> 24
 
 
-def _spans(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(sizes)])
+def _pair_key(context: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """64 bits that name a pair."""
+    x = (context ^ piece.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(31)
 
 
-class Block:
-    """Documents whose pairs go to the buckets together."""
-
-    def __init__(self, first_row: int):
-        self.first_row, self.keys, self.sizes, self.train, self.units = first_row, [], [], [], 0
-
-    def add(self, keys: np.ndarray, train: bool) -> None:
-        self.keys.append(keys)
-        self.sizes.append(len(keys))
-        self.train.append(train)
-        self.units += len(keys)
-
-    def rows(self, hashes: np.ndarray, buckets: int) -> list[tuple]:
-        """One row a bucket; ``hashes`` are those of the numbered contexts."""
-        keys = np.concatenate(self.keys)
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        used = np.unique(keys >> 16)
-        order = used[np.lexsort((hashes[used], _bucket(hashes[used], buckets)))]
-        rank = np.zeros(len(hashes), np.int64)
-        rank[order] = np.arange(len(order))
-        keys = rank[keys >> 16] << 16 | keys & 0xFFFF
-        by = np.argsort(keys, kind="stable")
-        keys, doc = keys[by], doc[by]
-        new_pair = np.diff(keys, prepend=-1) != 0
-        at = np.flatnonzero(new_pair | (np.diff(doc, prepend=-1) != 0))
-        n = np.diff(at, append=len(keys))
-        doc = doc[at]
-        head = np.flatnonzero(new_pair[at])
-        pair = keys[at[head]]
-        count = np.add.reduceat(n * np.array(self.train)[doc], head)
-        dishes = np.bincount(pair >> 16, minlength=len(order))
-        context = hashes[order]
-        # where each bucket's contexts, pairs and entries begin
-        cut_c = np.flatnonzero(np.diff(_bucket(context, buckets), prepend=-1, append=-1))
-        cut_p = _spans(dishes)[cut_c]
-        cut_e = np.append(head, len(at))[cut_p]
-        docs = np.diff(head, append=len(at))
-        out = []
-        for j in range(len(cut_c) - 1):
-            c, p, e = (slice(x[j], x[j + 1]) for x in (cut_c, cut_p, cut_e))
-            out.append((self.first_row, int(_bucket(context[c][:1], buckets)[0]), _pack_hashes(context[c]), *map(_pack, (dishes[c], pair[p] & 0xFFFF, count[p], docs[p], doc[e], n[e]))))
-        return out
+def _spans(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _heads_and_pairs(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, buckets: int, id_col: str, text_col: str, in_train: str, path: str) -> DataFrame:
-    """Rows of two parts.  Part 0, one a document: what its head words give to the base score
-    (``base`` is the sum of log10(c + 1)) and the rest as (hash, count) lists; ``row_key`` numbers the
-    rows of a partition.  Part 1: the pairs of a block for a bucket."""
-    shared = docs.sparkSession.sparkContext.broadcast((hashes, counts))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"part int, {HEADS.format(id=f'`{id_col}`', kind=kind)}, {ASKED}"
-    names = [x.split()[0].strip("`") for x in schema.split(", ")]
-    types = [pa.int32(), pa.int64(), None, pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), *[pa.binary()] * 7]
+def asked_rows(first_row: int, keys: np.ndarray, row: np.ndarray, weight: np.ndarray, hashes: np.ndarray, buckets: int, with_rows: bool = True) -> pa.RecordBatch:
+    """One row a bucket.  ``keys`` are numbered context and piece, ``row`` who has the pair (sorted),
+    ``weight`` how often it counts in training, ``hashes`` those of the numbered contexts."""
+    used = np.unique(keys >> 16)
+    order = used[np.lexsort((hashes[used], _bucket(hashes[used], buckets)))]
+    rank = np.zeros(len(hashes), np.int64)
+    rank[order] = np.arange(len(order))
+    keys = rank[keys >> 16] << 16 | keys & 0xFFFF
+    by = np.argsort(keys, kind="stable")
+    keys, row, weight = keys[by], row[by], weight[by]
+    new_pair = np.diff(keys, prepend=-1) != 0
+    at = np.flatnonzero(new_pair | (np.diff(row, prepend=-1) != 0)) if with_rows else np.flatnonzero(new_pair)
+    head = np.flatnonzero(new_pair[at])
+    pair = keys[at[head]]
+    count = np.add.reduceat(weight, at[head])
+    dishes, context = np.bincount(pair >> 16, minlength=len(order)), hashes[order]
+    n, row, rows = np.diff(at, append=len(keys)), row[at], np.diff(head, append=len(at))
+    # where each bucket's contexts, pairs and entries begin
+    cut_c = np.flatnonzero(np.diff(_bucket(context, buckets), prepend=-1, append=-1))
+    cut_p = _spans(dishes)[cut_c]
+    cut_e = np.append(head, len(at))[cut_p]
+    out = []
+    for j in range(len(cut_c) - 1):
+        c, p, e = (slice(x[j], x[j + 1]) for x in (cut_c, cut_p, cut_e))
+        own = (rows[p], row[e], n[e]) if with_rows else (rows[:0],) * 3
+        out.append((first_row, int(_bucket(context[c][:1], buckets)[0]), _pack_hashes(context[c]), *map(_pack, (dishes[c], pair[p] & 0xFFFF, count[p], *own))))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), ASKED_TYPES)], names=ASKED_NAMES)
+
+
+def _wide(batch: pa.RecordBatch | dict, names: list[str], types: list, part: int) -> pa.RecordBatch:
+    """A batch with nulls for the columns that the other part has."""
+    cols = batch if isinstance(batch, dict) else dict(zip(batch.schema.names, batch.columns))
+    rows = len(next(iter(cols.values())))
+    cols = {**cols, "part": pa.array(np.full(rows, part, np.int32))}
+    return pa.RecordBatch.from_arrays([cols[n] if n in cols else pa.nulls(rows, t) for n, t in zip(names, types)], names=names)
+
+
+def word_pairs(vocabulary: DataFrame, buckets: int, path: str) -> DataFrame:
+    """Rows of two parts.  Part 0: ``(row_key, h, c)``, the words.  Part 1: for blocks of words, the
+    pairs of beginning and next piece, for the buckets; a word is a row."""
+    names = ["part", "row_key", "h", "c", *ASKED_NAMES]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *ASKED_TYPES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        head_hash, head_count = shared.value
-        words_of = Words(head_hash, path)
-        log_base = np.log10(np.append(head_count, 0) + 1.0)  # the last row: words elsewhere
-        at = TaskContext.get().partitionId() << 40
-        block, id_type = Block(at), pa.int64()
+        speller, at = Speller(path), TaskContext.get().partitionId() << 40
+        number: dict[int, int] = {}
+        keys, row, weight, first, rows = array("q"), array("q"), array("q"), at, 0
+
+        def flush() -> pa.RecordBatch:
+            hashes = np.fromiter(number, np.uint64, len(number))
+            got = asked_rows(first, *(np.array(x, np.int64) for x in (keys, row, weight)), hashes, buckets)
+            number.clear()
+            for x in (keys, row, weight):
+                del x[:]
+            return _wide(got, names, types, 1)
 
-        def full(cols: dict, rows: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([cols[n] if n in cols else pa.nulls(rows, t or id_type) for n, t in zip(names, types)], names=names)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 5000):
+                part = batch.slice(lo, 5000)
+                for word, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    own, begin = speller.pieces(word), 0
+                    for a, b in zip(own, own[1:]):
+                        begin = _prefix(begin, a)
+                        keys.append(number.setdefault(begin, len(number)) << 16 | b)
+                        row.append(rows)
+                        weight.append(c)
+                    rows += 1
+                yield _wide({"row_key": pa.array(np.arange(at, at + part.num_rows)), "h": part.column(0), "c": part.column(2)}, names, types, 0)
+                at += part.num_rows
+                if len(keys) >= BLOCK_UNITS or rows > BLOCK_ROWS - 5000:
+                    if len(keys):
+                        yield flush()
+                    first, rows = at, 0
+        if len(keys):
+            yield flush()
+
+    return vocabulary.select("h", "word", "c").mapInArrow(run, f"part int, row_key long, h long, c long, {ASKED}")
+
+
+def first_pairs(texts: DataFrame, buckets: int, path: str) -> DataFrame:
+    """How often each first piece follows each word in ``texts``, by block and bucket (``KNOWN``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of, keys, units = Words(np.empty(0, np.int64), Speller(path)), [], 0
 
         def flush() -> pa.RecordBatch:
-            got = list(zip(*block.rows(np.array(words_of.hash, np.uint64), buckets)))
-            cols = {n: pa.array(c, t) for n, c, t in zip(ASKED_NAMES, got, types[-9:])}
-            return full({"part": pa.array([1] * len(got[0]), pa.int32()), **cols}, len(got[0]))
+            pair, n = np.unique(np.concatenate(keys), return_counts=True)
+            got = asked_rows(0, pair, np.zeros(len(pair), np.int64), n, words_of.hashes(), buckets, with_rows=False)
+            keys.clear()
+            return got.select(KNOWN_NAMES)
 
         for batch in batches:
-            id_type = batch.column(0).type
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                if block.units >= BLOCK_UNITS or len(block.sizes) >= BLOCK_DOCS:
-                    yield flush()
-                    block = Block(at)
-                if not block.units and len(words_of) > CACHE:
-                    words_of.fresh()
-                words, firsts = [], []
-                for raw in part.column(1).to_pylist():
-                    firsts.append(len(words))
+            for lo in range(0, batch.num_rows, 128):
+                words: list[bytes] = []
+                for raw in batch.column(0).slice(lo, 128).to_pylist():
                     words += raw.lower().split()
                     words.append(END)
-                code, size, keys, _ = words_of.read(words)
-                known = code >= 0
-                n = np.diff([*firsts, len(words)])
-                tail: list[list] = [[] for _ in firsts]
-                where = np.flatnonzero(~known)
-                for k, j in zip(np.searchsorted(firsts, where, side="right") - 1, where.tolist()):
-                    tail[k].append(word_hash(words[j]))
-                tails = [np.unique(np.array(x, np.int64), return_counts=True) for x in tail]
-                spot = np.where(known, code, len(head_count))
-                yield full(
-                    {
-                        "part": pa.array(np.zeros(len(n), np.int32)), "row_key": pa.array(np.arange(at, at + len(n))), id_col: part.column(0), "n_tokens": pa.array(n.astype(np.int64)),
-                        "known": pa.array(np.add.reduceat(known.astype(np.int64), firsts)), "base": pa.array(np.add.reduceat(log_base[spot], firsts)),
-                        "tail_h": pa.array([h.tolist() for h, _ in tails], pa.list_(pa.int64())), "tail_n": pa.array([c.tolist() for _, c in tails], pa.list_(pa.int64())),
-                    },
-                    len(n),
-                )
-                at += len(n)
-                # every document ends with the end token, which is also what the next one begins after
-                for own, train in zip(np.split(keys, np.cumsum(np.add.reduceat(size, firsts))[:-1]), part.column(2).to_pylist()):
-                    block.add(own, train)
-        if block.units:
+                keys.append(words_of.read(words)[1])
+                units += len(words)
+                if units >= 2 * BLOCK_UNITS:
+                    yield flush()
+                    units = 0
+                    if len(words_of) > CACHE:
+                        words_of.fresh()
+        if units:
             yield flush()
 
-    return with_bytes(docs, text_col).select(id_col, "_bytes", in_train).mapInArrow(run, schema)
+    return texts.select("_bytes").mapInArrow(run, KNOWN)
 
 
-def _merged(asked: DataFrame) -> DataFrame:
+def merged(counted: DataFrame) -> DataFrame:
     """A bucket's pairs that stand in training, with their counts; rows as ``Pairs`` takes them."""
 
     def added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -696,17 +731,141 @@ def _merged(asked: DataFrame) -> DataFrame:
         got = (_pack_hashes(c[first]), _pack(np.diff(first, append=len(c))), _pack(p), _pack(n))
         return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in got)], names=KNOWN_NAMES)
 
-    return asked.select(*KNOWN_NAMES).groupBy("bucket").applyInArrow(run, KNOWN)
+    return counted.select(*KNOWN_NAMES).groupBy("bucket").applyInArrow(run, KNOWN)
+
+
+def head_pairs(pairs: DataFrame, model: Model, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names, sorted, and log probabilities of the most frequent pairs of word and first piece."""
+
+    def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(64, np.int64)
+        for batch in batches:
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                own = _pairs_of(*row)
+                total += np.bincount(np.frexp(own.count[own.kind[own.at] == 0].astype(float))[1], minlength=64)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], names=["k", "n"])
+
+    sizes = {r["k"]: r["n"] for r in pairs.mapInArrow(by_size, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    least = frequent(sizes, most)
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0)
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                own = _pairs_of(*row)
+                at = np.flatnonzero((own.count >= least) & (own.kind[own.at] == 0))
+                context, piece = own.context[own.at[at]], own.piece[at]
+                log = shared.value.log_probability(own, context, piece)
+                yield pa.RecordBatch.from_arrays([pa.array([_pair_key(context, piece).tobytes()], pa.binary()), pa.array([log.astype(np.float32).tobytes()], pa.binary())], names=["k", "p"])
+
+    rows = list(pairs.mapInArrow(run, "k binary, p binary").toLocalIterator())
+    key = np.concatenate([np.frombuffer(r["k"], np.uint64) for r in rows])
+    log = np.concatenate([np.frombuffer(r["p"], np.float32) for r in rows])
+    order = np.argsort(key)
+    return key[order], log[order]
+
+
+HEADS = "row_key long, {id} {kind}, n_tokens long, known long, base double, score double, tail_h array<long>, tail_n array<long>"
+
+
+def document_heads(docs: DataFrame, lexicon: tuple, pairs: tuple, buckets: int, id_col: str, text_col: str, path: str) -> DataFrame:
+    """Rows of two parts.  Part 0, one a document: what its head words give to the base score
+    (``base`` is the sum of log10(c + 1)), what head words and head pairs give to the score, and the
+    other words as (hash, count) lists; ``row_key`` numbers the rows of a partition.  Part 1: for
+    blocks of documents, the other pairs, for the buckets."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, pairs))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"part int, {HEADS.format(id=f'`{id_col}`', kind=kind)}, {ASKED}"
+    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    types = [pa.int32(), pa.int64(), id_type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *ASKED_TYPES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        (head_hash, head_count, head_rest), (pair_key, pair_log) = shared.value
+        words_of = Words(head_hash, Speller(path))
+        log_base = np.append(np.log10(head_count + 1.0), 0.0)  # the last row: words elsewhere
+        rest = np.append(head_rest, 0.0)
+        at = TaskContext.get().partitionId() << 40
+        first, keys, row, rows, units = at, [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            pair, who = np.concatenate(keys), np.concatenate(row)
+            got = asked_rows(first, pair, who, np.zeros(len(pair), np.int64), words_of.hashes(), buckets)
+            keys.clear()
+            row.clear()
+            return _wide(got, names, types, 1)
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                words, firsts = [], []
+                for raw in part.column(1).to_pylist():
+                    firsts.append(len(words))
+                    words += raw.lower().split()
+                    words.append(END)
+                own, pair = words_of.read(words)
+                code = words_of.codes(own)
+                known = code >= 0
+                n = np.diff([*firsts, len(words)])
+                who = np.repeat(np.arange(len(n)), n)
+                spot = np.where(known, code, len(head_count))
+                # head pairs are looked up here, others by their bucket
+                score = rest[spot]
+                far = np.ones(len(pair), bool)
+                if len(pair_key):
+                    name = _pair_key(words_of.hashes()[pair >> 16], pair & 0xFFFF)
+                    where = np.minimum(np.searchsorted(pair_key, name), len(pair_key) - 1)
+                    far = pair_key[where] != name
+                    score = score + np.where(far, 0.0, pair_log[where])
+                tail = np.flatnonzero(~known)
+                tail_hash = np.array([word_hash(words[j]) for j in tail.tolist()], np.int64)
+                tails = [np.unique(h, return_counts=True) for h in np.split(tail_hash, np.searchsorted(tail, firsts[1:]))]
+                yield _wide(
+                    {
+                        "row_key": pa.array(np.arange(at, at + len(n))), id_col: part.column(0), "n_tokens": pa.array(n.astype(np.int64)),
+                        "known": pa.array(np.add.reduceat((known & (spot < len(head_count))).astype(np.int64), firsts)),
+                        "base": pa.array(np.add.reduceat(log_base[spot], firsts)), "score": pa.array(np.add.reduceat(score, firsts)),
+                        "tail_h": pa.array([h.tolist() for h, _ in tails], pa.list_(pa.int64())), "tail_n": pa.array([c.tolist() for _, c in tails], pa.list_(pa.int64())),
+                    },
+                    names, types, 0,
+                )
+                keys.append(pair[far])
+                row.append(who[far] + rows)
+                units += int(far.sum())
+                at += len(n)
+                rows += len(n)
+                if units >= BLOCK_UNITS or rows > BLOCK_ROWS - 64:
+                    if units:
+                        yield flush()
+                    first, rows, units = at, 0, 0
+                    keys.clear()
+                    row.clear()
+                    if len(words_of) > CACHE:
+                        words_of.fresh()
+        if units:
+            yield flush()
+
+    return with_bytes(docs, text_col).select(id_col, "_bytes").mapInArrow(run, schema)
 
 
-def _answers(asked: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
-    """``(block, doc, s)``: per block and bucket, packed documents and their sums of log probabilities."""
+def row_scores(asked: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
+    """``(row_key, s)``: the sum of log probabilities of the pairs that each row asks for."""
     shared = pairs.sparkSession.sparkContext.broadcast(model)
 
-    def run(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        own = _pairs_of(*(known.column(x)[0].as_py() for x in KNOWN_NAMES))
+    def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        if known.num_rows:
+            own = _pairs_of(*(known.column(x)[0].as_py() for x in KNOWN_NAMES))
+        else:
+            own = Pairs(key[0].as_py(), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
         # all blocks' pairs at once, each once, so that the sweeps are drawn once
         rows = [(_unpack_hashes(c.as_py()), _unpack(d.as_py()), _unpack(p.as_py())) for c, d, p in zip(*(asked.column(x) for x in ("context", "dishes", "piece")))]
+        if not rows:
+            return pa.table({"block": pa.array([], pa.int64()), "row": pa.array([], pa.binary()), "s": pa.array([], pa.binary())})
         sizes = _spans(np.array([len(p) for *_, p in rows]))
         context, piece = np.concatenate([np.repeat(c, d) for c, d, _ in rows]), np.concatenate([p for *_, p in rows])
         order = np.lexsort((piece, context))
@@ -714,58 +873,65 @@ def _answers(asked: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
         value = np.empty(len(context))
         value[order] = np.repeat(shared.value.log_probability(own, context[order[first]], piece[order[first]]), np.diff(first, append=len(order)))
         out = []
-        for j, (block, docs, doc, n) in enumerate(zip(*(asked.column(x) for x in ("block", "docs", "doc", "n")))):
-            where = _unpack(doc.as_py())
-            sums = np.bincount(where, np.repeat(value[sizes[j] : sizes[j + 1]], _unpack(docs.as_py())) * _unpack(n.as_py()))
+        for j, (block, per, row, n) in enumerate(zip(*(asked.column(x) for x in ("block", "rows", "row", "n")))):
+            where = _unpack(row.as_py())
+            sums = np.bincount(where, np.repeat(value[sizes[j] : sizes[j + 1]], _unpack(per.as_py())) * _unpack(n.as_py()))
             present = np.unique(where)
             out.append((block.as_py(), _pack_sorted(present), sums[present].astype(np.float32).tobytes()))
         cols = list(zip(*out))
-        return pa.table({"block": pa.array(cols[0], pa.int64()), "doc": pa.array(cols[1], pa.binary()), "s": pa.array(cols[2], pa.binary())})
+        return pa.table({"block": pa.array(cols[0], pa.int64()), "row": pa.array(cols[1], pa.binary()), "s": pa.array(cols[2], pa.binary())})
 
-    return asked.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(run, "block long, doc binary, s binary")
-
-
-def _row_scores(answers: DataFrame) -> DataFrame:
-    """``(row_key, score)``: the answers of all buckets to a block, added up."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK_DOCS + 64)
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total, seen = np.zeros(BLOCK_ROWS), np.zeros(BLOCK_ROWS, bool)
         # in the order of their content, so that a repeated task adds in the same order
-        for doc, s in sorted(zip(table.column("doc").to_pylist(), table.column("s").to_pylist())):
-            total[_unpack_sorted(doc)] += np.frombuffer(s, np.float32)
-        own = np.flatnonzero(total)
-        return pa.table({"row_key": pa.array(own + key[0].as_py()), "score": pa.array(total[own])})
+        for row, s in sorted(zip(table.column("row").to_pylist(), table.column("s").to_pylist())):
+            at = _unpack_sorted(row)
+            total[at] += np.frombuffer(s, np.float32)
+            seen[at] = True
+        own = np.flatnonzero(seen)
+        return pa.table({"row_key": pa.array(own + key[0].as_py()), "s": pa.array(total[own])})
 
-    return answers.groupBy("block").applyInArrow(run, "row_key long, score double")
+    answers = asked.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(answer, "block long, row binary, s binary")
+    return answers.groupBy("block").applyInArrow(add, "row_key long, s double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, tokenizer: str | None = None, most: int = HEAD_WORDS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, tokenizer: str | None = None, most: int = HEAD_WORDS, most_pairs: int = HEAD_PAIRS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every whole text."""
     scratch = Scratch(docs.sparkSession, "lm")
     path = tokenizer or tokenizer_path()
     marked = docs.select(F.col(id_col), F.col(text_col), F.coalesce(fold(F.col(id_col), folds) != held_out, F.lit(True)).alias("_train"))
-    vocabulary = scratch.table(word_counts(with_bytes(marked.filter("_train"), text_col)), "vocabulary")
-    v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    hashes, counts = head_words(vocabulary, most)
-    size = Encoder(path).tokenizer.get_vocab_size() + 1
-    buckets = max(16, n * 3 // 2 // BUCKET_UNITS)
-    both = scratch.table(_heads_and_pairs(marked, hashes, counts, buckets, id_col, text_col, "_train", path), "heads", by="part")
-    heads, asked = both.filter("part = 0"), both.filter("part = 1").select(*ASKED_NAMES)
-    pairs = scratch.table(_merged(asked), "pairs")
-    model = fit(pairs, size, burn_in, samples)
-    scores = _row_scores(_answers(asked, pairs, model))
-
-    heads = heads.select("row_key", id_col, "n_tokens", "known", "base", "tail_h", "tail_n")
+    vocabulary = scratch.table(word_counts(with_bytes(marked, text_col), "_train"), "vocabulary")
+    v, n = vocabulary.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
+    buckets = max(16, n * 2 // BUCKET_UNITS)
+
+    words = scratch.table(word_pairs(vocabulary, buckets, path), "words", by="part")
+    beginnings = words.filter("part = 1")
+    counted = first_pairs(with_bytes(marked.filter("_train"), text_col), buckets, path)
+    pairs = scratch.table(merged(counted.unionByName(beginnings.select(*KNOWN_NAMES))), "pairs")
+    model = fit(pairs, Speller(path).end + 1, burn_in, samples)
+
+    rest = row_scores(beginnings.select(*ASKED_NAMES), pairs, model)
+    lexicon = words.filter("part = 0").select("row_key", "h", "c").join(rest, "row_key", "left").select("h", "c", F.coalesce("s", F.lit(0.0)).alias("rest"))
+    lexicon = scratch.table(lexicon, "lexicon")
+    least = frequent({r["k"]: r["n"] for r in lexicon.filter("c > 0").groupBy(F.length(F.bin("c")).alias("k")).agg(F.count("*").alias("n")).collect()}, most)
+    head = lexicon.filter(F.col("c") >= least).toPandas() if least else lexicon.limit(0).toPandas()
+    lexicon_head = head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64), head["rest"].to_numpy(float)
+    both = scratch.table(document_heads(marked, lexicon_head, head_pairs(pairs, model, most_pairs), buckets, id_col, text_col, path), "heads", by="part")
+    scratch.drop("vocabulary", "words")
+    heads = both.filter("part = 0").select("row_key", id_col, "n_tokens", "known", "base", "score", "tail_h", "tail_n")
+    far = row_scores(both.filter("part = 1").select(*ASKED_NAMES), pairs, model)
+
     tail = heads.filter("size(tail_h) > 0").select("row_key", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("row_key", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("n"))
-    met = tail.join(vocabulary, "h", "left").select("row_key", "n", F.coalesce("c", F.lit(0)).cast("double").alias("c"))
-    sums = met.groupBy("row_key").agg(
+    sums = tail.join(lexicon, "h").groupBy("row_key").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("t_known"),
         F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("t_base"),
+        F.sum(F.col("n") * F.col("rest")).alias("t_rest"),
     )
     zero = F.lit(0.0)
-    out = heads.drop("tail_h", "tail_n").join(sums, "row_key", "left").join(scores, "row_key", "left").select(
+    out = heads.drop("tail_h", "tail_n").join(sums, "row_key", "left").join(far, "row_key", "left").select(
         id_col, "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("t_base", zero) - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), F.coalesce("score", zero).alias("score"),
+        (F.col("base") + F.coalesce("t_base", zero) - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+        (F.col("score") + F.coalesce("t_rest", zero) + F.coalesce("s", zero)).alias("score"),
     )
     return scratch.close(out)
 

@@ -625,9 +625,16 @@ def test_untrained_language_model(spark):
 
 
 def spelled(text, encoder=packing.Encoder(packing.tokenizer_path())):
-    """Per word its pieces; the end token last."""
-    words = (text or "").encode().lower().split()
-    return [(w, tuple(t.id for t in encoder.model.tokenize("".join(encoder.letters[b] for b in w)))) for w in words] + [(b" ", (encoder.tokenizer.get_vocab_size(),))]
+    """Per word its pieces, the longest first; the end token last."""
+    vocabulary, out = encoder.tokenizer.get_vocab(with_added_tokens=False), []
+    for w in (text or "").encode().lower().split():
+        letters, own = "".join(encoder.letters[b] for b in w), []
+        while letters:
+            k = next(k for k in range(len(letters), 0, -1) if letters[:k] + "</w>" * (k == len(letters)) in vocabulary)
+            own.append(vocabulary[letters[:k] + "</w>" * (k == len(letters))])
+            letters = letters[k:]
+        out.append((w, tuple(own)))
+    return [*out, (b" ", (encoder.tokenizer.get_vocab_size(),))]
 
 
 def steps(text):
@@ -816,19 +823,30 @@ def test_log_gamma_and_packed_arrays():
 def test_blocks_give_every_pair_to_one_bucket():
     rng = np.random.default_rng(2)
     hashes = rng.integers(0, 1 << 63, 40, np.uint64) * np.uint64(2) + np.arange(40, dtype=np.uint64) % np.uint64(2)
-    block, want, docs = language_model.Block(100), Counter(), Counter()
-    for j in range(50):
-        keys = rng.integers(0, 40, 200) << 16 | rng.integers(0, 30, 200) * 1700
-        block.add(keys, bool(j % 3))
-        named = [(int(hashes[k >> 16]), k & 0xFFFF) for k in keys.tolist()]
-        want.update(named if j % 3 else [])
-        docs.update((k, j) for k in named)
+    keys = rng.integers(0, 40, 10_000) << 16 | rng.integers(0, 30, 10_000) * 1700
+    row, weight = np.sort(rng.integers(0, 50, 10_000)), rng.integers(0, 3, 10_000)
+    named = [(int(hashes[k >> 16]), k & 0xFFFF) for k in keys.tolist()]
+    want, rows = Counter(), Counter(zip(named, row.tolist()))
+    for k, w in zip(named, weight.tolist()):
+        want[k] += w
     got, met = Counter(), Counter()
-    for first, bucket, context, dishes, piece, count, per, doc, n in block.rows(hashes, 7):
+    for first, bucket, context, dishes, piece, count, per, who, n in zip(*(c.to_pylist() for c in language_model.asked_rows(100, keys, row, weight, hashes, 7).columns)):
         own = language_model._pairs_of(bucket, context, dishes, piece, count)
         assert first == 100 and (language_model._bucket(own.context, 7) == bucket).all() and (np.diff(own.context.astype(float)) > 0).all()
         names = [(int(own.context[a]), int(p)) for a, p in zip(own.at, own.piece)]
         got.update(dict(zip(names, own.count.tolist())))
         each = [k for k, m in zip(names, language_model._unpack(per)) for _ in range(m)]
-        met.update(dict(zip(zip(each, language_model._unpack(doc).tolist()), language_model._unpack(n).tolist())))
-    assert +got == want and met == docs
+        met.update(dict(zip(zip(each, language_model._unpack(who).tolist()), language_model._unpack(n).tolist())))
+    assert got == want and met == rows
+
+
+def test_head_tables_do_not_change_scores(spark):
+    """With all words and pairs in tables, with some, and with none."""
+    rows = [(i, " ".join(f"{'abcdef'[i % 6]}{(i + k) % 9} then b{k % 4}" for k in range(30))) for i in range(40)] + ODD
+    found = []
+    for most, most_pairs in ((1 << 18, 1 << 20), (10, 20), (0, 0)):
+        got = language_model.score(frame(spark, rows), most=most, most_pairs=most_pairs).collect()
+        found.append(sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], r["score"], r["base_score"]) for r in got))
+    for other in found[1:]:
+        for a, b in zip(found[0], other):
+            assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-2, rel=1e-5)
