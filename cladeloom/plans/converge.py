@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import trees
 from ..operators import reports
 from ..sources.tables import Config
-from . import modes
+from . import modes, outputs
 
 ITERATIONS = "iteration int, genes int, gene_trees long, support double, delta double, norm_rf double, newick string, finished timestamp"
 
@@ -40,7 +40,9 @@ def one_round(spark: SparkSession, genome: DataFrame, cfg: Config, out: str, num
     count = gene_counts(cfg, number)[-1]
     first = sum(gene_counts(cfg, number)) - count
     own = Config(**{**cfg.__dict__, "gene_count": count, "seed": cfg.seed + number})
-    modes.gene_trees(genome, own, first).write.mode("overwrite").parquet(f"{out}/gene_trees/iteration={number}")
+    done = modes.stages(genome, own, first)
+    modes.trees_of(done, own).write.mode("overwrite").parquet(f"{out}/gene_trees/iteration={number}")
+    outputs.round_files(done, own, f"{out}/iteration_{number:02}")
     master = spark.read.parquet(f"{out}/gene_trees").filter(F.col("iteration") <= number)
     tree, stats = modes.species_tree_and_stats(master)
     table = spark.createDataFrame(modes.stat_rows(stats), "line_no long, branch string, topology int, support double")

@@ -13,6 +13,7 @@ filters stand before ``applyInPandas``, which the optimizer does not push them t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -160,22 +161,40 @@ def sketch_trees(members: DataFrame, k: int = 10) -> DataFrame:
 # ------------------------------------------------------------------ modes
 
 
+@dataclass
+class Stages:
+    """The tables of a round, up to its gene families."""
+
+    genes: DataFrame  # sampled; ids without a window have nulls
+    found: DataFrame  # hits
+    members: DataFrame  # (gene_id, species, copy, seq) of the families that pass the species gate
+    least: int  # species that a family needs
+    species: int
+
+
+def stages(genome: DataFrame, cfg: Config, first_id: int = 0) -> Stages:
+    """Sampling, similarity join and families.  ``first_id`` shifts gene ids, so that rounds of the
+    convergence loop don't share any."""
+    genes = settle(sampling.sample_genes(genome, cfg.gene_count, cfg.length, cfg.upper_case, seed=cfg.seed))
+    genes = genes.withColumn("gene_id", F.col("gene_id") + first_id) if first_id else genes
+    found = settle(similarity_join(genes.filter("seq is not null").select("gene_id", "seq"), genome, cfg))
+    species = genome.select("species").distinct().count()
+    members = families.with_min_species(hits.family(found, cfg.max_dup), cfg.min_species(species))
+    return Stages(genes, found, members, cfg.min_species(species), species)
+
+
 def gene_families(genome: DataFrame, cfg: Config, first_id: int = 0) -> DataFrame:
-    """``(gene_id, species, copy, seq)`` that pass the species gate.  ``first_id`` shifts gene ids,
-    so that rounds of the convergence loop don't share any."""
-    genes = sampling.sample_genes(genome, cfg.gene_count, cfg.length, cfg.upper_case, seed=cfg.seed).filter("seq is not null")
-    genes = settle(genes.select("gene_id", "seq"))
-    found = settle(similarity_join(genes, genome, cfg))
-    members = hits.family(found, cfg.max_dup)
-    if first_id:
-        members = members.withColumn("gene_id", F.col("gene_id") + first_id)
-    return families.with_min_species(members, cfg.min_species(genome.select("species").distinct().count()))
+    """``(gene_id, species, copy, seq)`` that pass the species gate."""
+    return stages(genome, cfg, first_id).members
 
 
 def gene_trees(genome: DataFrame, cfg: Config, first_id: int = 0) -> DataFrame:
     """``(gene_id, newick)``; tips are ``<species>_<copy>``."""
-    members = gene_families(genome, cfg, first_id).withColumn("taxon", F.concat_ws("_", "species", "copy"))
-    least = cfg.min_species(genome.select("species").distinct().count())
+    return trees_of(stages(genome, cfg, first_id), cfg)
+
+
+def trees_of(done: Stages, cfg: Config) -> DataFrame:
+    members, least = done.members.withColumn("taxon", F.concat_ws("_", "species", "copy")), done.least
     gate = families.alignment_gate(members, least, cfg.length).select("gene_id")
     members = members.join(gate, "gene_id", "left_semi")
     if cfg.mode == "fast":

@@ -47,6 +47,12 @@ def family_files(found: DataFrame, members: DataFrame, cfg: Config, species: int
     _lines(families.gene_tree_count(members, least), f"{stats}/num_gt")
 
 
+def round_files(done: modes.Stages, cfg: Config, out: str) -> None:
+    """What a round samples and finds: samples, families, mapping and statistics."""
+    sampling_files(done.genes, out)
+    family_files(done.found, done.members, cfg, done.species, out)
+
+
 def tree_files(gene_trees: DataFrame, gene_count: int, out: str) -> None:
     """Gene trees, the list of all gene ids with their tree (blank where there is none), the species
     per tree, and the species tree."""

@@ -1,7 +1,8 @@
 """FASTA and FASTQ, plain or gzip, as a Spark data source, and their writer.
 
-``spark.read.format("fasta").load(folder)`` gives one row per record.  Every file is a partition
-(gzip can't be split); files are listed and opened with ``pyarrow.fs`` by URI, so any store that it
+``spark.read.format("fasta").load(folder)`` gives one row per record; with the options ``chunk`` and
+``overlap`` of the format ``fasta_chunks``, records of any length come as rows of bounded size, and a
+task holds one of them.  Every file is a partition (gzip can't be split); files are listed and opened with ``pyarrow.fs`` by URI, so any store that it
 reaches will do.  Writing gives one file per partition and ``species`` value.
 """
 
@@ -107,6 +108,71 @@ class FastaSource(DataSource):
         return FastaReader(self.options)
 
 
+CHUNK_SCHEMA = "species string, rec_idx bigint, name string, start bigint, own bigint, seq string"
+PART = 1 << 16
+
+
+def chunks(parts: Iterator[str], size: int, overlap: int) -> Iterator[tuple[int, str, int, int, str]]:
+    """``(record, name, start, own, seq)`` of FASTA text that comes in parts of lines: a line may be
+    cut anywhere, as long as its end still ends a part."""
+    record, name, start, held, line_goes_on, head = -1, "", 0, "", False, ""
+
+    def cut(last: bool) -> Iterator[tuple[int, str, int, int, str]]:
+        nonlocal start, held
+        while len(held) >= size + overlap or last and held:
+            own = min(size, len(held))
+            yield record, name, start, own, held[: size + overlap]
+            start, held = start + own, held[own:]
+
+    for part in parts:
+        if not line_goes_on:
+            head = part[:1] if part[:1] == ">" else ""
+            if head:
+                yield from cut(True)
+                record, name, start = record + 1, "", 0
+        if head:
+            name += part
+        elif record >= 0:
+            held += "".join(part.split())
+            yield from cut(False)
+        line_goes_on = not part.endswith("\n")
+        if head and not line_goes_on:
+            name = (name[1:].split(None, 1) or [""])[0] if not name[1:2].isspace() else ""
+    yield from cut(True)
+
+
+class ChunkReader(FastaReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.size, self.overlap = int(options["chunk"]), int(options["overlap"])
+
+    def read(self, partition: File) -> Iterator[tuple]:
+        store, _ = pafs.FileSystem.from_uri(partition.root)
+        plain, gzipped = partition.path.removesuffix(".gz"), partition.path.endswith(".gz")
+        species = SUFFIX.sub("", partition.path.rsplit("/", 1)[-1])
+        with store.open_input_stream(partition.path, compression="gzip" if gzipped else None) as raw:
+            text = io.TextIOWrapper(raw, "utf-8", newline="\n")
+            if plain.endswith((".fq", ".fastq")):  # reads are short
+                for k, (name, _, seq, _) in enumerate(records(text)):
+                    for at in range(0, len(seq), self.size):
+                        yield species, k, name, at, min(self.size, len(seq) - at), seq[at : at + self.size + self.overlap]
+            else:
+                for k, name, start, own, seq in chunks(iter(lambda: text.readline(PART), ""), self.size, self.overlap):
+                    yield species, k, name, start, own, seq
+
+
+class ChunkSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fasta_chunks"
+
+    def schema(self) -> str:
+        return CHUNK_SCHEMA
+
+    def reader(self, schema) -> ChunkReader:
+        return ChunkReader(self.options)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(FastaSource)
     return spark.read.format("fasta").load(path)
@@ -117,6 +183,13 @@ def read_genomes(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path).select("species", F.col("rec_idx").alias("rec"), "seq")
 
 
+def read_chunks(spark: SparkSession, path: str, overlap: int, size: int = 1 << 16) -> DataFrame:
+    """``(species, rec, start, own, seq)`` of a folder of genomes; see ``operators.chunks``."""
+    spark.dataSource.register(ChunkSource)
+    rows = spark.read.format("fasta_chunks").option("chunk", size).option("overlap", overlap).load(path)
+    return rows.select("species", F.col("rec_idx").alias("rec"), "start", "own", "seq")
+
+
 def write(df: DataFrame, path: str, header: str = "name", seq: str = "seq", by: str | None = None, compression: str = "none") -> None:
     """Text files of FASTA records.
 

@@ -164,3 +164,64 @@ def test_empty_inputs(spark, limit):
     assert hits.family(df, 10).count() == 0 and hits.selected_spaced(df, 10).count() == 0
     g = spark.createDataFrame([("a", 0, "ACGT")], "species string, rec long, seq string").limit(limit)
     assert sampling.record_spans(g).count() == 0 and kmer.profile(g, 3).count() == 0
+
+
+def test_chunked_genomes_give_what_whole_records_give(spark, monkeypatch):
+    from cladeloom.operators import chunks
+
+    rng = random.Random(8)
+    rows = [(sp, r, "".join(rng.choice("ACGTacgtN"[: 9 if r else 8]) for _ in range(n))) for sp in "ab" for r, n in enumerate((1500, 37, 800))]
+    whole = spark.createDataFrame(rows, "species string, rec long, seq string")
+    for name in ("chunked", "at"):
+        monkeypatch.setattr(chunks, name, partial_size(getattr(chunks, name), 128))
+    own = chunks.chunked(whole, 200)
+    assert own.count() > 30
+    assert sorted(map(tuple, sampling.record_spans(own).collect())) == sorted(map(tuple, sampling.record_spans(whole).collect()))
+    text = {(sp, r): s for sp, r, s in rows}
+    for r in sampling.windows(own, sampling.offsets(sampling.record_spans(own), 60), 150).collect():
+        assert r["seq"] == text[r["species"], r["rec"]][r["start"] : r["start"] + 150] and len(r["seq"]) == 150
+    want = {}
+    for sp, _, s in rows:
+        for i in range(len(s) - 8):
+            k = s[i : i + 9].upper()
+            if set(k) <= set("ACGT"):
+                want.setdefault(sp, []).append(k)
+    got = {r["species"]: (r["n_kmers"], r["n_distinct"]) for r in kmer.profile(own, 9).collect()}
+    assert got == {sp: (len(k), len(set(k))) for sp, k in want.items()}
+    genes = spark.createDataFrame([(1, rows[0][2][200:420])], "gene_id int, seq string")
+    turned = {(r["q_pos"], r["species"], r["rec"], r["t_pos"]) for r in kmer.seeds(genes, own, 9, transitions=True).filter("strand = '+'").collect()}
+    swap = str.maketrans("ACGT", "GTAC")
+    brute, gene = set(), rows[0][2][200:420].upper()
+    for sp, rec, s in rows:
+        at = {}
+        for i in range(len(s) - 8):
+            at.setdefault(s[i : i + 9].upper(), []).append(i)
+        for q in range(len(gene) - 8):
+            k = gene[q : q + 9]
+            for x in {k, *(k[:i] + k[i].translate(swap) + k[i + 1 :] for i in range(9))}:
+                brute |= {(q, sp, rec, t) for t in at.get(x, ())}
+    assert turned == brute and len(brute) > 220
+
+
+def partial_size(f, size):
+    return lambda *a, **k: f(*a, **{**k, "size": size}) if not (f.__name__ == "chunked" and len(a) > 2) else f(*a, **k)
+
+
+def test_sampling_goes_on_until_its_tries_are_used(spark):
+    """One window in two thousand passes: fixed early tries miss it."""
+    seq = "acgt" * 2000
+    g = spark.createDataFrame([("a", 0, seq[:5000] + "ACGTACGTAC" + seq[5010:])], "species string, rec long, seq string")
+    rows = sampling.sample_genes(g, 5, 10, 0.9, tries=20).collect()
+    assert len(rows) == 5 and all(r["start"] == 5000 and r["seq"] == "ACGTACGTAC" for r in rows)
+    assert all(r["seq"] is None for r in sampling.sample_genes(g, 5, 10, 0.9, tries=20, most=40).collect())
+
+
+def test_bands_hold_seeds_on_either_side_of_an_edge(spark):
+    found = spark.createDataFrame([(1, "+", 0, "a", 0, 31), (1, "+", 5, "a", 0, 38)], "gene_id int, strand string, q_pos int, species string, rec long, t_pos long")
+    assert kmer.diagonals(found).count() == 0 and kmer.diagonals(found, overlapping=True).count() >= 1
+
+
+def test_text_order(spark):
+    ids = [*range(0, 300, 7), 10, 100]
+    got = [r["id"] for r in sorted(reports.text_order(spark.createDataFrame([(i,) for i in ids], "id long")).collect(), key=lambda r: r["place"])]
+    assert got == sorted(ids, key=str)

@@ -8,6 +8,7 @@ import pytest
 
 from cladeloom.functions import trees
 from cladeloom.plans import converge, modes
+from cladeloom.sources import fasta
 from cladeloom.sources.tables import Config
 
 TRUTH = "(((a,b),c),((d,e),f));"
@@ -94,6 +95,10 @@ def test_command_line_and_output_files(spark, genome, tmp_path):
     (tree,) = spark.read.text(str(tmp_path / "out/species_tree")).collect()
     assert set(trees.parse(tree[0]).tips()) == set("abcdef")
     assert spark.read.csv(str(tmp_path / "all/ref_dist"), header=True).count() == 1
+    first = tmp_path / "all/iteration_01"
+    for name in ("samples", "samples_all", "genes", "genes/mapping", "statistics/sampling", "statistics/num_genes", "statistics/homologs", "statistics/gene_dup", "statistics/gene_to_species", "statistics/num_gt"):
+        assert (first / name).is_dir(), name
+    assert 1 <= fasta.read_text(spark, str(first / "samples_all")).count() <= 4
 
     members = modes.gene_families(genome, CFG)
     found = members.selectExpr("species", "gene_id", "1L score", "2L line_no", "3L pos", "'+' strand", "seq")
@@ -102,3 +107,28 @@ def test_command_line_and_output_files(spark, genome, tmp_path):
     jobs = spark.createDataFrame([("a", "1", 2.0, 1.0)], "step string, job string, wall_min double, cpu_min double")
     outputs.job_report(jobs, str(tmp_path / "jobs"))
     assert spark.read.csv(str(tmp_path / "jobs/slowest_long"), header=True).count() == 2
+
+
+def test_many_species(spark):
+    """Gene trees of 60 species, each with interchanges: the species tree is found."""
+    rng = random.Random(5)
+    names = [f"s{k:02}" for k in range(60)]
+    nodes = [trees.Node(n) for n in names]
+    while len(nodes) > 1:
+        a, b = rng.sample(range(len(nodes)), 2)
+        nodes = [n for k, n in enumerate(nodes) if k not in (a, b)] + [trees.Node(children=[nodes[a], nodes[b]])]
+    truth = nodes[0]
+    rows = []
+    for g in range(40):
+        t = trees.parse(trees.text_of(truth, lengths=False))
+        for n in t.walk():
+            if not n.children:
+                n.name += "_0"
+        for _ in range(4):
+            from cladeloom.functions import quartets
+
+            quartets.interchange(rng.choice(quartets.branches(t)), rng.choice([1, 2]))
+        rows.append((g, trees.text_of(t, lengths=False)))
+    tree, stats = modes.species_tree_and_stats(spark.createDataFrame(rows, "gene_id int, newick string"))
+    assert trees.robinson_foulds(tree, truth) <= 0.02 and len(stats) == 57
+    assert sum(p[0] > 0.9 for _, _, p in stats) >= 54

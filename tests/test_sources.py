@@ -107,3 +107,38 @@ def test_gene_tree_stream(spark, tmp_path):
     assert {r["newick"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"(a,b,c);", "(a,(b,c));", "(x,y,z);"}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert gene_trees.arrivals(gene_trees.stream(spark, str(src))).isStreaming
+
+
+def test_fasta_in_chunks(spark, tmp_path):
+    import gzip
+    import random
+
+    from cladeloom.operators import chunks
+
+    rng = random.Random(4)
+    recs = [("a1", "".join(rng.choice("ACGTacgtN") for _ in range(n))) for n in (0, 1, 99, 100, 101, 1234)]
+    text = "".join(f">{n} note {k}\n" + "\n".join(s[i : i + 70] for i in range(0, len(s), 70)) + "\r\n\n" for k, (n, s) in enumerate(recs))
+    (tmp_path / "x.fa").write_text(text)
+    with gzip.open(tmp_path / "y.fasta.gz", "wt") as f:
+        f.write(">one\n" + recs[-1][1])  # one line without an end
+    (tmp_path / "z.fq").write_text("@r\n" + "ACGT" * 60 + "\n+\n" + "I" * 240 + "\n")
+    got = fasta.read_chunks(spark, str(tmp_path), 7, 100)
+    want = set()
+    for species, own in (("x", [s for _, s in recs]), ("y", [recs[-1][1]]), ("z", ["ACGT" * 60])):
+        for k, s in enumerate(own):
+            want |= {(species, k, at, min(100, len(s) - at), s[at : at + 107]) for at in range(0, len(s), 100)}
+    assert {tuple(r) for r in got.collect()} == want
+    whole = spark.createDataFrame([("x", k, s) for k, (_, s) in enumerate(recs)], "species string, rec long, seq string")
+    assert {tuple(r) for r in chunks.chunked(whole, 7, 100).collect()} == {r for r in want if r[0] == "x"}
+    for part in (1, 3, 64):
+        cut = [line[i : i + part] for line in text.splitlines(keepends=True) for i in range(0, len(line), part)]
+        assert {("x", k, at, own, s) for k, _, at, own, s in fasta.chunks(iter(cut), 100, 7)} == {r for r in want if r[0] == "x"}
+
+
+def test_newest_file(spark, tmp_path):
+    import os
+
+    for k, n in enumerate(("b.log", "a.log", "c.txt")):
+        (tmp_path / n).write_text("x")
+        os.utime(tmp_path / n, (1_000_000 + k, 1_000_000 + k))
+    assert tables.newest(spark, str(tmp_path), "*.log").endswith("/a.log")

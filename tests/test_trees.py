@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -116,18 +117,92 @@ def test_distances_and_local_alignment():
     assert msa.local_align("ACGT", "ACGT", msa.HOXD55, 120.0)[0] == 382
 
 
-def test_quartet_search_finds_the_tree():
+def test_exhaustive_search_finds_the_tree():
     rng = random.Random(6)
-    for n in (5, 7, 10):
+    for n in (4, 5, 7):
         names = [f"s{k}" for k in range(n)]
         truth = random_tree(names, rng)
         weight = {}
         for t in quartets.topologies(trees.tip_steps(truth, names)):
             weight.setdefault(t[:4], np.zeros(3))[t[4]] += 5
-        found = quartets.search(names, weight, trees.tip_steps(truth, names))
-        assert trees.splits(found) == trees.splits(truth)
-        stats = quartets.branch_supports(found, names, weight)
-        assert len(stats) == n - 3 and all(z[0] == 5 and p[0] > 0.9 for _, z, p in stats)
+        assert trees.splits(quartets.exhaustive(names, weight)) == trees.splits(truth)
+
+
+def brute_counts(gene, own, species_of):
+    """Quartets of species by listing every one, and every choice of copies."""
+    tips = gene.tips()
+    steps = trees.tip_steps(gene, tips)
+    copies = {}
+    for k, t in enumerate(tips):
+        copies.setdefault(species_of(t), []).append(k)
+    out, every = np.zeros((3, len(own))), np.zeros(len(own))
+    for b, branch in enumerate(own):
+        for four in itertools.product(*(sorted(s & set(copies)) for s in branch.sides)):
+            every[b] += 1
+            n = np.prod([len(copies[x]) for x in four])
+            for p, q, r, s in itertools.product(*(copies[x] for x in four)):
+                sums = [steps[p, q] + steps[r, s], steps[p, r] + steps[q, s], steps[p, s] + steps[q, r]]
+                low = sorted(sums)
+                if low[0] < low[1]:
+                    out[sums.index(low[0]), b] += 1 / n
+    return out, every
+
+
+def test_branch_counts_match_all_quartets():
+    rng = random.Random(9)
+    names = [f"s{k}" for k in range(9)]
+    at = {n: k for k, n in enumerate(names)}
+    for trial in range(6):
+        own = quartets.branches(random_tree(names, rng))
+        assert len(own) == len(names) - 3 and all(frozenset().union(*b.sides) == frozenset(names) and sum(map(len, b.sides)) == len(names) for b in own)
+        colours = np.zeros((4, len(own), len(names)))
+        for b, branch in enumerate(own):
+            for side in range(4):
+                colours[side, b, [at[n] for n in branch.sides[side]]] = 1
+        tips = [f"{n}_{c}" for n in rng.sample(names, 8) for c in range(rng.choice([1, 1, 2]))]
+        gene = random_tree(tips, rng)
+        if trial % 2:  # a polytomy
+            inner = [n for n in gene.walk() if n.children and n is not gene]
+            gone = rng.choice(inner)
+            up = next(n for n in gene.walk() if any(c is gone for c in n.children))
+            up.children = [c for c in up.children if c is not gone] + gone.children
+        species_of = lambda t: t.rsplit("_", 1)[0]
+        got, want = quartets.branch_counts(gene, species_of, at, colours), brute_counts(gene, own, species_of)
+        assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+
+
+def test_interchanges_find_the_tree_and_each_gain_is_exact():
+    rng = random.Random(3)
+    names = [f"s{k:02}" for k in range(12)]
+    at = {n: k for k, n in enumerate(names)}
+    truth = random_tree(names, rng)
+    genes = [truth] * 3
+
+    def counts_of(own):
+        colours = np.zeros((4, len(own), len(names)))
+        for b, branch in enumerate(own):
+            for side in range(4):
+                colours[side, b, [at[n] for n in branch.sides[side]]] = 1
+        return sum(quartets.branch_counts(g, lambda t: t, at, colours)[0] for g in genes).T
+
+    weight = {}
+    for g in genes:
+        for t in quartets.topologies(trees.tip_steps(g, names)):
+            weight.setdefault(t[:4], np.zeros(3))[t[4]] += 1
+    for _ in range(3):
+        start = random_tree(names, rng)
+        own = quartets.branches(start)
+        counts = counts_of(own)
+        k = int((counts[:, 1:].max(axis=1) - counts[:, 0]).argmax())
+        before = quartets.tree_score(start, names, weight)
+        pairing = 1 + int(counts[k, 1:].argmax())
+        quartets.interchange(own[k], pairing)
+        assert quartets.tree_score(start, names, weight) - before == pytest.approx(counts[k, pairing] - counts[k, 0])
+        near = trees.parse(trees.text_of(truth, lengths=False))
+        for b in rng.sample(quartets.branches(near), 1):
+            quartets.interchange(b, 1)
+        assert trees.splits(near) != trees.splits(truth)
+        assert trees.splits(quartets.improve(near, counts_of)) == trees.splits(truth)
 
 
 def test_local_posterior():
