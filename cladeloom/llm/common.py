@@ -50,7 +50,8 @@ class Scratch:
     A written table cuts lineage the way ``checkpoint()`` does, survives lost executors, and is
     compressed and columnar.  A folder goes when no plan reads its tables any more: every plan over
     a table holds that table's file index, which is watched by a weak reference in the JVM, and
-    folders without a living index are removed whenever a new one is made.
+    folders without a living index are removed whenever a new one is made.  What is left then goes
+    when the application ends.
     """
 
     _kept: list[Scratch] = []
@@ -81,6 +82,9 @@ class Scratch:
         at = f"{self.path}/{name}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(at)
+        sc = self.spark.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
         out = self.spark.read.schema(df.schema).parquet(at)
         index = out._jdf.queryExecution().analyzed().relation().location()
         self._watched.append(self.spark.sparkContext._jvm.java.lang.ref.WeakReference(index))

@@ -6,11 +6,11 @@ Candidates come from two sides.  The SimHash operator's ball hashing groups fing
 same shingles) that lie within two bits, and neighbours in such a group are candidates.  Texts at a similarity of 0.8 differ in ten bits on
 average, beyond any ball that can be emitted, so every set has ``BANDS`` keys of ``ROWS`` minima as
 well; two sets whose similarity is ``s`` share a key with a chance of
-``1 - (1 - s ** ROWS) ** BANDS``: a pair at exactly 0.8 is missed with a chance of three in a
-million and a closer pair with less.  Sets that share a key or a fingerprint are in one bucket.
+``1 - (1 - s ** ROWS) ** BANDS``: a pair at exactly 0.8 is missed with a chance of one in nine
+thousand and a closer pair with less.  Sets that share a key or a fingerprint are in one bucket.
 Candidates are verified on their whole sets, so no other pair is linked.
 
-Not every pair of a bucket is verified: first each member meets one hub of its bucket, in
+Not every pair of a bucket is verified: first each set meets one hub of its largest bucket, in
 ``STARS`` rounds with other hubs, and linked members become one component.  Then the pairs of a
 bucket that still lie in different components are verified, all of them, so the components are those
 of all pairs that share a bucket.  The largest component of a bucket is never joined with itself.
@@ -41,7 +41,7 @@ from .simhash import links as simhash_links
 from .simhash import of_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 30, 6
 STARS = 2
 _CHUNK = 1 << 10
 _RNG = np.random.default_rng(42)
@@ -155,8 +155,9 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
     links = None
     for k in range(STARS + 1):
         if k < STARS:
-            hub = live.groupBy("key").agg(F.min_by(F.struct("digest", "n", "comp"), F.xxhash64("digest", F.lit(k))).alias("h"))
-            pairs = live.join(hub, "key").filter("comp <> h.comp").select(F.col("digest").alias("x"), F.col("n").alias("na"), F.col("h.digest").alias("y"), F.col("h.n").alias("nb"))
+            hub = live.groupBy("key").agg(F.min_by(F.struct("digest", "n", "comp"), F.xxhash64("digest", F.lit(k))).alias("h"), F.count("*").alias("m"))
+            own = live.join(hub, "key").groupBy("digest").agg(F.max_by(F.struct("n", "comp", "h"), F.struct("m", "key")).alias("o")).select("digest", "o.*")
+            pairs = own.filter("comp <> h.comp").select(F.col("digest").alias("x"), F.col("n").alias("na"), F.col("h.digest").alias("y"), F.col("h.n").alias("nb"))
         else:
             most = live.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
             rest = live.join(most, "key").filter("comp <> top").select("key", F.col("digest").alias("x"), F.col("n").alias("na"), F.col("comp").alias("comp0"))
@@ -166,8 +167,8 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
         pairs = pairs.filter(_fit(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = scratch.table(_verified(pairs, sets, percent), f"links{k}")
         links = found if links is None else links.unionByName(found)
-        own = Scratch(spark, "near-groups")
-        groups = own.close(scratch.table(connected_components(links, own, "a", "b"), f"groups{k}"))
+        inner = Scratch(spark, "near-groups")
+        groups = inner.close(scratch.table(connected_components(links, inner, "a", "b"), f"groups{k}"))
         if k < STARS:
             moved = live.drop("comp").join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("component", "digest")).drop("component")
             several = moved.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
