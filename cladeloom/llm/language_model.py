@@ -400,20 +400,27 @@ class Pairs:
         return np.add.reduceat(values, self.first) if len(self.first) else values[:0]
 
     def sweeps(self, plan: list[Sweep]) -> Iterator[tuple[Sweep, np.ndarray, np.ndarray]]:
-        """The tables of every dish and of every context, sweep by sweep; seeded, so always the same."""
-        kind, all_tables = self.kind[self.at], self.dishes
+        """The tables of every dish and of every context, sweep by sweep; seeded, so always the same.
+
+        A dish with one customer has one table, so only others are drawn.
+        """
+        context, piece, count = self.at[self.many], self.piece[self.many], self.count[self.many]
+        kind, all_tables = self.kind[context], self.dishes
+        own, where = np.unique(context, return_inverse=True)
         for s in plan:
             rng = np.random.default_rng([7, s.number, self.bucket])
             d, strength = np.array(s.d), np.array(s.strength)
-            weight = d[self.kind] * rng.gamma((strength / d)[self.kind] + all_tables)
-            x = np.maximum(weight[self.at] * s.parent[kind, self.piece], 1e-300)
-            tables = np.ones(len(self.count), np.int64)
+            weight = d[self.kind[own]] * rng.gamma((strength / d)[self.kind[own]] + all_tables[own])
+            x = np.maximum(weight[where] * s.parent[kind, piece], 1e-300)
+            drawn = np.ones(len(count), np.int64)
             for k in (0, 1):
-                own = self.many[kind[self.many] == k]
-                for lo in range(0, len(own), 8 * CHUNK):
-                    part = own[lo : lo + 8 * CHUNK]
-                    tables[part] = _seats(s.d[k]).draw(self.count[part], x[part], rng)
-            all_tables = self._by_context(tables)
+                mine = np.flatnonzero(kind == k)
+                for lo in range(0, len(mine), 8 * CHUNK):
+                    part = mine[lo : lo + 8 * CHUNK]
+                    drawn[part] = _seats(s.d[k]).draw(count[part], x[part], rng)
+            tables = np.ones(len(self.count), np.int64)
+            tables[self.many] = drawn
+            all_tables = self.dishes + np.bincount(context, drawn - 1, minlength=len(self.dishes)).astype(np.int64)
             yield s, tables, all_tables
 
 
@@ -761,7 +768,7 @@ def head_pairs(pairs: DataFrame, model: Model, most: int) -> tuple[np.ndarray, n
                 log = shared.value.log_probability(own, context, piece)
                 yield pa.RecordBatch.from_arrays([pa.array([_pair_key(context, piece).tobytes()], pa.binary()), pa.array([log.astype(np.float32).tobytes()], pa.binary())], names=["k", "p"])
 
-    rows = list(pairs.mapInArrow(run, "k binary, p binary").toLocalIterator())
+    rows = pairs.mapInArrow(run, "k binary, p binary").collect()  # ``most`` numbers at most
     key = np.concatenate([np.frombuffer(r["k"], np.uint64) for r in rows])
     log = np.concatenate([np.frombuffer(r["p"], np.float32) for r in rows])
     order = np.argsort(key)
