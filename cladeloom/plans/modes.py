@@ -1,7 +1,7 @@
 """The pipeline's stages and its three modes, from genomes to a species tree.
 
 * accurate: alignment, masking and fragment filter, then a distance tree improved by
-  nearest-neighbour interchange under a likelihood (Jukes-Cantor) of the alignment;
+  nearest-neighbour interchange under a Jukes-Cantor likelihood with fitted branch lengths;
 * balanced: the same alignment, then neighbour joining improved under minimum evolution;
 * fast: no alignment; neighbour joining on k-mer sketch distances.
 
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna, msa, quartets, trees
+from ..functions import dna, likelihood, msa, quartets, trees
 from ..functions.storage import settle
 from ..operators import alignments, chunks, families, hits, kmer, sampling
 from ..sources.tables import Config
@@ -98,27 +98,17 @@ def _improve(tree: trees.Node, score) -> trees.Node:
         top, _, tree = max(found, key=lambda x: x[:2])
 
 
-def _likelihood(tree: trees.Node, rows: dict[str, str], length: float = 0.1) -> float:
-    """Jukes-Cantor log likelihood with one branch length throughout; gaps are unknown."""
-    same = 0.25 + 0.75 * np.exp(-4 * length / 3)
-    p = np.full((4, 4), (1 - same) / 3)
-    np.fill_diagonal(p, same)
-    below: dict[int, np.ndarray] = {}
-    scale = 0.0
-    for node in reversed(list(tree.walk())):
-        if not node.children:
-            c = msa.codes(rows[node.name])
-            part = np.ones((len(c), 4))
-            known = c < 4
-            part[known] = 0
-            part[np.flatnonzero(known), c[known]] = 1
-        else:
-            part = np.prod([below.pop(id(x)) @ p for x in node.children], axis=0)
-            top = part.max(axis=1, keepdims=True)
-            scale += float(np.log(top).sum())
-            part = part / top
-        below[id(node)] = part
-    return scale + float(np.log(part.mean(axis=1)).sum())
+def _climb(tree: trees.Node, score) -> trees.Node:
+    """As ``_improve``, but each interchange that gains is made at once: fewer scores."""
+    top, found = score(tree), True
+    while found:
+        found = False
+        for t in trees.neighbours(tree):
+            own = score(t)
+            if own > top + 1e-6:
+                tree, top, found = t, own, True
+                break
+    return tree
 
 
 def distance_trees(aligned: DataFrame, mode: str = "balanced") -> DataFrame:
@@ -131,8 +121,12 @@ def distance_trees(aligned: DataFrame, mode: str = "balanced") -> DataFrame:
         tree = trees.neighbour_joining(names, d)
         if len(names) > 3:
             own = dict(zip(names, rows))
-            better = _improve(tree, (lambda t: _likelihood(t, own)) if mode == "accurate" else (lambda t: -msa.balanced_length(d, t, names)))
-            tree = better
+            if mode == "accurate":
+                tips, weight = likelihood.patterns(own)
+                tree = _climb(tree, lambda t: likelihood.fit(t, tips, weight, 1))
+                likelihood.fit(tree, tips, weight, 6)
+            else:
+                tree = _improve(tree, lambda t: -msa.balanced_length(d, t, names))
         return pd.DataFrame({"gene_id": [frame["gene_id"].iloc[0]], "newick": [trees.text_of(tree)]})
 
     enough = aligned.groupBy("gene_id").agg(F.count("*").alias("n")).filter("n >= 3").select("gene_id")

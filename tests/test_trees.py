@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cladeloom.functions import msa, quartets, trees
+from cladeloom.functions import likelihood, msa, quartets, trees
 from cladeloom.functions.trees import Node
 
 
@@ -215,3 +215,54 @@ def test_multi_copy_steps():
     t = trees.parse("((a_0,a_1),(b_0,(c_0,d_0)));")
     steps = quartets.species_steps(t, lambda x: x.rsplit("_", 1)[0], list("abcde"))
     assert np.isnan(steps[0, 4]) and quartets.topologies(steps) == [(0, 1, 2, 3, 0)]
+
+
+def simulate(tree, length, rng):
+    """Sequences along a tree by the Jukes-Cantor model, from the lengths of its branches."""
+    out = {}
+
+    def walk(node, seq):
+        for c in node.children:
+            p = 0.75 * (1 - np.exp(-4 * c.length / 3))
+            walk(c, [rng.choice([x for x in "ACGT" if x != b]) if rng.random() < p else b for b in seq])
+        if not node.children:
+            out[node.name] = "".join(seq)
+
+    walk(tree, [rng.choice("ACGT") for _ in range(length)])
+    return out
+
+
+def test_likelihood_fits_branch_lengths():
+    rng = random.Random(2)
+    # two sequences: the distance is known in closed form
+    two = simulate(trees.parse("(a:0.2,b:0.1);"), 3000, rng)
+    t = trees.parse("(a,b);")
+    tips, weight = likelihood.patterns(two)
+    score = likelihood.fit(t, tips, weight, 8)
+    p = np.mean([x != y for x, y in zip(two["a"], two["b"])])
+    assert sum(c.length for c in t.children) == pytest.approx(-0.75 * np.log(1 - 4 * p / 3), rel=0.02)
+    assert score == pytest.approx(3000 * (np.log(1 / 4) + (1 - p) * np.log(1 - p) + p * np.log(p / 3)), rel=1e-4)
+    # lengths of a five-taxon tree come back, and no small change of one is better
+    truth = trees.parse("((a:0.3,b:0.05):0.1,(c:0.2,d:0.02):0.15,e:0.4);")
+    rows = simulate(truth, 4000, rng)
+    tips, weight = likelihood.patterns(rows)
+    t = trees.parse("((a,b),(c,d),e);")
+    best = likelihood.fit(t, tips, weight, 12)
+    for x, y in zip(list(t.walk())[1:], list(truth.walk())[1:]):
+        assert abs(x.length - y.length) < 0.04
+        was = x.length
+        for f in (0.9, 1.1):
+            x.length = was * f
+            assert likelihood.fit(t, tips, weight, 0) <= best + 0.05
+        x.length = was
+    assert likelihood.fit(trees.parse("((a,c),(b,d),e);"), tips, weight, 12) < best - 20
+
+
+def test_long_branches_do_not_attract_each_other():
+    """Two long branches on either side: fitted lengths tell the tree, one length for all would not."""
+    rng = random.Random(5)
+    truth = trees.parse("((a:0.6,b:0.05):0.06,(c:0.6,d:0.05):0.06);")
+    rows = simulate(truth, 4000, rng)
+    tips, weight = likelihood.patterns(rows)
+    scores = {text: likelihood.fit(trees.parse(text), tips, weight, 10) for text in ("((a,b),c,d);", "((a,c),b,d);", "((a,d),b,c);")}
+    assert max(scores, key=scores.get) == "((a,b),c,d);"
