@@ -57,6 +57,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +190,12 @@ class Speller:
         return out
 
 
+@lru_cache(maxsize=2)
+def speller_of(path: str) -> Speller:
+    """One a worker process: reading the vocabulary takes longer than many a task."""
+    return Speller(path)
+
+
 class Words(dict):
     """A bounded cache from a word to its row in arrays: its code, its first piece, its context.
 
@@ -648,7 +655,7 @@ def word_pairs(vocabulary: DataFrame, buckets: int, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        speller, at = Speller(path), TaskContext.get().partitionId() << 40
+        speller, at = speller_of(path), TaskContext.get().partitionId() << 40
         number: dict[int, int] = {}
         keys, row, weight, first, rows = array("q"), array("q"), array("q"), at, 0
 
@@ -687,7 +694,7 @@ def first_pairs(texts: DataFrame, buckets: int, path: str) -> DataFrame:
     """How often each first piece follows each word in ``texts``, by block and bucket (``KNOWN``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, keys, units = Words(np.empty(0, np.int64), Speller(path)), [], 0
+        words_of, keys, units = Words(np.empty(0, np.int64), speller_of(path)), [], 0
 
         def flush() -> pa.RecordBatch:
             pair, n = np.unique(np.concatenate(keys), return_counts=True)
@@ -794,7 +801,7 @@ def document_heads(docs: DataFrame, lexicon: tuple, pairs: tuple, buckets: int,
         from pyspark import TaskContext
 
         (head_hash, head_count, head_rest), (pair_key, pair_log) = shared.value
-        words_of = Words(head_hash, Speller(path))
+        words_of = Words(head_hash, speller_of(path))
         log_base = np.append(np.log10(head_count + 1.0), 0.0)  # the last row: words elsewhere
         rest = np.append(head_rest, 0.0)
         at = TaskContext.get().partitionId() << 40
@@ -915,7 +922,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     beginnings = words.filter("part = 1")
     counted = first_pairs(with_bytes(marked.filter("_train"), text_col), buckets, path)
     pairs = scratch.table(merged(counted.unionByName(beginnings.select(*KNOWN_NAMES))), "pairs")
-    model = fit(pairs, Speller(path).end + 1, burn_in, samples)
+    model = fit(pairs, speller_of(path).end + 1, burn_in, samples)
 
     rest = row_scores(beginnings.select(*ASKED_NAMES), pairs, model)
     lexicon = words.filter("part = 0").select("row_key", "h", "c").join(rest, "row_key", "left").select("h", "c", F.coalesce("s", F.lit(0.0)).alias("rest"))
