@@ -476,7 +476,7 @@ def test_matroska_round_trip(n):
     assert matroska.payload_of(data, media) == payload
     assert [c[2] for c in media.cues] == media.cluster_at
     assert [p.timestamp_ms for p in media.packets] == [12 * k for k in range(len(payload) // 576)]
-    assert media.tracks == [(1, "A_PCM/INT/LIT", 48000.0, 8)]
+    assert media.tracks == [matroska.Track(number=1, codec="A_PCM/INT/LIT", rate=48000.0, bits=8, channels=1, frame_ns=12_000_000)]
     assert matroska.seek(media, 10**9) == media.cluster_at[-1]
 
 
