@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_model, license_scan, line_dedup, matroska, packing, quality, simhash, toxicity, warc
+from . import collocations, decontaminate, language_model, license_scan, line_dedup, matroska, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_media": matroska.query,
     "op9_warc": warc.query,
     "op10_decontaminate": decontaminate.query,
+    "op13_collocations": collocations.query,
 }
 
 SQL = {
     "op2_license_scan": license_scan.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_warc": warc.SQL,
+    "op13_collocations": collocations.SQL,
 }
