@@ -113,11 +113,11 @@ class Encoder(dict):
             pieces = self.pieces(unicodedata.normalize("NFC", text).lower())
         return b"".join(map(self.__getitem__, pieces))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         if len(self) > CACHE_PIECES:  # pieces in use come back from the older generation
             self.older = dict(self)
             self.clear()
-        end = np.array([END_ID], np.uint16).tobytes()
+        end = np.array([end_id], np.uint16).tobytes()
         return [self.text(x) + end for x in texts]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, decontaminate, language_model, license_scan, line_dedup, matroska, packing, prefix_trie, quality, simhash, toxicity, warc
+from . import bin_packing, collocations, decontaminate, language_model, license_scan, line_dedup, matroska, packing, prefix_trie, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media": matroska.query,
     "op9_warc": warc.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_bin_packing": bin_packing.query,
     "op12_prefix_trie": prefix_trie.query,
     "op13_collocations": collocations.query,
 }
