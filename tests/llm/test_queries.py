@@ -15,12 +15,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op7_line_dedup", "op9_warc"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op7_line_dedup", "op9_warc", "op12_prefix_trie", "op13_collocations"])
 def test_sql(spark, con, name):
     from cladeloom.llm.queries import QUERIES, SQL
 
