@@ -175,8 +175,12 @@ class Island:
 _STATE = "shard long, island int, sizes array<int>, members array<binary>"
 
 
-def epochs(shards: DataFrame, window: int, islands: int, n_epochs: int, offspring: int, population: int) -> DataFrame:
-    """``(shard, sizes)`` to ``(shard, bins)``: the best packing of all islands after all epochs."""
+def epochs(shards: DataFrame, n_shards: int, window: int, islands: int, n_epochs: int, offspring: int, population: int) -> DataFrame:
+    """``(shard, sizes)`` to ``(shard, bins)``: the best packing of all islands after all epochs.
+
+    Populations are few bytes and much work, so the number of tasks is set here: by size alone, adaptive
+    execution would put all islands into one.
+    """
 
     def step(epoch: int):
         def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -198,10 +202,12 @@ def epochs(shards: DataFrame, window: int, islands: int, n_epochs: int, offsprin
 
         return run
 
+    spark = shards.sparkSession
+    tasks = min(n_shards * islands, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", F.expr("CAST(array() AS array<binary>)").alias("members"))
     for k in range(n_epochs - 1):
-        state = state.groupBy("shard", "island").applyInArrow(step(k), _STATE)
-    last = state.groupBy("shard", "island").applyInArrow(step(n_epochs - 1), "shard long, bins binary, n_bins long, unevenness long")
+        state = state.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInArrow(step(k), _STATE)
+    last = state.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInArrow(step(n_epochs - 1), "shard long, bins binary, n_bins long, unevenness long")
     return last.groupBy("shard").agg(F.min_by("bins", F.struct("n_bins", "unevenness", "bins")).alias("bins"))
 
 
@@ -245,7 +251,7 @@ def pack(
         shards = max(1, min(-(-n // shard_pieces), tokens // (SHARD_BINS * window)))
         dealt = open_pieces.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)))
         sizes = dealt.groupBy("shard").agg(F.reverse(F.array_sort(F.collect_list(F.col("length").cast("int")))).alias("sizes"))  # a shard is bounded
-        best = epochs(sizes, window, islands, n_epochs, offspring, population)
+        best = epochs(sizes, shards, window, islands, n_epochs, offspring, population)
 
         schema = f"row long, `{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose int"
         placed = dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(_placing(level, shards == 1, window), schema)
