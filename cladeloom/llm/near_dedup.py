@@ -3,17 +3,21 @@
 A text is the set of its runs of five words, each as a 64-bit hash; two texts are linked when the
 Jaccard similarity of their sets is 0.8 or more.  Equal sets are folded into one representative.
 Candidates come from two sides.  The SimHash operator's ball hashing groups fingerprints (of the
-same shingles) that lie within two bits, and neighbours in such a group are candidates.  Texts at a similarity of 0.8 differ in ten bits on
-average, beyond any ball that can be emitted, so every set has ``BANDS`` keys of ``ROWS`` minima as
-well; two sets whose similarity is ``s`` share a key with a chance of
-``1 - (1 - s ** ROWS) ** BANDS``: a pair at exactly 0.8 is missed with a chance of one in nine
-thousand and a closer pair with less.  Sets that share a key or a fingerprint are in one bucket.
-Candidates are verified on their whole sets, so no other pair is linked.
-
-Not every pair of a bucket is verified: first each set meets one hub of its largest bucket, in
+same shingles) that lie within two bits, and neighbours in such a group are candidates.  Texts at a
+similarity of 0.8 differ in ten bits on average, beyond any ball that can be emitted, so a
+prefix-filtered join finds every other pair: sets are put in one order of all shingles, rarest first,
+and two sets that are similar enough share a shingle among the first ``n - ceil(0.8 n) + 1`` of each.
+No pair is left out; candidates are verified on their whole sets, so no other pair is linked.
+
+Any one order gives the same links, and frequencies only make it fast: shingles that repeat within
+``CHUNK`` shingles of a task are counted, over all texts, and the ``LISTED`` most frequent come last.
+A first pass finds the prefix shingles that several texts have; a bitmap of these, of fixed size, tells
+the second which shingles to list.
+
+Not every pair that shares a shingle is verified: first each set meets one hub of its largest bucket, in
 ``STARS`` rounds with other hubs, and linked members become one component.  Then the pairs of a
-bucket that still lie in different components are verified, all of them, so the components are those
-of all pairs that share a bucket.  The largest component of a bucket is never joined with itself.
+bucket that still lie in different components are joined, but for those whose sizes, or whose shingle's
+places, leave too little to share.  The largest component of a bucket is never joined with itself.
 
 Rows, not ids, are told apart (by a 128-bit hash of id and text): rows that share an id but not
 their text are two documents, and rows without an id take part like any other.
@@ -41,12 +45,11 @@ from .simhash import links as simhash_links
 from .simhash import of_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 30, 6
 STARS = 2
-_CHUNK = 1 << 10
-_RNG = np.random.default_rng(42)
-_XOR = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
-_MUL = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+CHUNK = 1 << 21
+LISTED = 1 << 18
+BITMAP_BITS = 27
+SEEN = 1 << 16
 
 
 def shingle_set(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -62,12 +65,24 @@ def shingle_set(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64))
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band; the band's number is part of it."""
-    low = np.full(len(_XOR), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), _CHUNK):
-        low = np.minimum(low, ((values[at : at + _CHUNK] ^ _XOR) * _MUL).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
+class Order:
+    """The common order of shingles: unlisted ones by value, then the listed ones, rarest first."""
+
+    def __init__(self, often: np.ndarray, counts: np.ndarray):
+        rank = np.empty(len(often), np.int32)
+        rank[np.lexsort((often, counts))] = np.arange(1, len(often) + 1)
+        by_value = np.argsort(often)
+        self.often, self.rank = often[by_value], rank[by_value]
+
+    def prefix(self, values: np.ndarray, percent: int) -> np.ndarray:
+        """The first shingles of a set, enough to share one with any set that is similar enough."""
+        size = len(values) - -(-percent * len(values) // 100) + 1
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often, values), len(self.often) - 1)
+            rank = np.where(self.often[at] == values, self.rank[at], 0)
+            if rank.any():
+                values = values[np.argsort(rank, kind="stable")]
+        return values[:size]
 
 
 def _row_key(id_col: str, text_col: str) -> list[Column]:
@@ -81,31 +96,113 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, h1, h2, digest, n, fp, keys)``."""
+    """``(id, h1, h2, digest, n, fp, kind)``; rows of kind 1 hold, in ``digest``, shingles that repeat
+    within ``CHUNK`` shingles and their counts."""
+    names = ["id", "h1", "h2", "digest", "n", "fp", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, kind_of = [], 0, pa.null()
+
+        def often() -> pa.RecordBatch:
+            got, n = np.unique(np.concatenate(held), return_counts=True)
+            raw = np.stack([got[n > 1], n[n > 1].astype(np.uint64)]).tobytes()
+            return pa.RecordBatch.from_arrays([pa.nulls(1, kind_of), *(pa.array([x], t) for x, t in ((0, pa.int64()), (0, pa.int64()), (raw, pa.binary()), (0, pa.int64()), (0, pa.int64()), (1, pa.int32())))], names=names)
+
         for batch in batches:
-            sets = [shingle_set(x) for x in batch.column(3).to_pylist()]
-            keys = [band_keys(s).view(np.int64) for s in sets]
-            cols = [
-                *batch.columns[:3], pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "h1", "h2", "digest", "n", "fp", "keys"])
+            kind_of = batch.column(0).type
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                sets = [shingle_set(x) for x in part.column(3).to_pylist()]
+                held += sets
+                size += sum(map(len, sets))
+                cols = [
+                    *part.columns[:3], pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64)), pa.array([0] * len(sets), pa.int32()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+                if size >= CHUNK:
+                    yield often()
+                    held, size = [], 0
+        if held:
+            yield often()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _slim(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h1 long, h2 long, digest binary, n long, fp long, keys array<long>")
+    return _slim(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h1 long, h2 long, digest binary, n long, fp long, kind int")
+
+
+def _order(often: DataFrame) -> Order:
+    """The most frequent repeated shingles of all texts; at most ``LISTED`` rows come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                values, n = np.frombuffer(raw, np.uint64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["value", "n"])
 
+    rows = often.select("digest").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    top = rows.orderBy(F.desc("n"), "value").limit(LISTED).toPandas()
+    return Order(top["value"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """``(digest, s)``: whole shingle sets, as bytes."""
+
+def _prefix_keys(docs: DataFrame, text_col: str, order, percent: int) -> DataFrame:
+    """``(key, n)``: in how many texts' prefixes a shingle stands; a task counts a text that it met not
+    long ago only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            sets = [shingle_set(x).tobytes() for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "s"])
+            out = []
+            for raw in batch.column(0).to_pylist():
+                values = shingle_set(raw)
+                digest = xxhash.xxh128_digest(values.tobytes())
+                if digest not in seen:
+                    seen.add(digest)
+                    out.append(order.value.prefix(values, percent))
+            if len(seen) > SEEN:
+                seen.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["key"])
+
+    return with_bytes(docs, text_col).select("_bytes").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n"))
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the low ``bits`` bits of every key; what comes back has a fixed size."""
+    word, bit = F.shiftright("key", 6).bitwiseAND((1 << bits - 6) - 1), F.col("key").bitwiseAND(63).cast("int")
+    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b")).toPandas()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _live_sets(docs: DataFrame, text_col: str, order, bitmap, percent: int) -> DataFrame:
+    """``(digest, n, s, keys)`` of the texts that may share a prefix shingle: the whole set as bytes, and
+    the shared shingles with their places in the set's order."""
 
-    return rows.select("_bytes").mapInArrow(run, "digest binary, s binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = bitmap.value, set()
+        mask = np.uint64(64 * len(bits) - 1)
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+        for batch in batches:
+            out = []
+            for raw in batch.column(0).to_pylist():
+                values = shingle_set(raw)
+                digest = xxhash.xxh128_digest(values.tobytes())
+                if digest in seen:
+                    continue
+                first = order.value.prefix(values, percent)
+                slot = first & mask
+                at = np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+                if len(at):
+                    seen.add(digest)
+                    out.append((digest, len(values), values.tobytes(), [{"key": k, "at": a} for k, a in zip(first[at].view(np.int64).tolist(), at.tolist())]))
+            if len(seen) > SEEN:
+                seen.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.binary(), kind))], names=["digest", "n", "s", "keys"])
+
+    rows = with_bytes(docs, text_col).select("_bytes").mapInArrow(run, "digest binary, n long, s binary, keys array<struct<key:long,at:int>>")
+    return rows.dropDuplicates(["digest"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,6 +226,12 @@ def _fit(percent: int) -> Column:
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+def _room(percent: int) -> Column:
+    """What two sets can share from the places of a shingle on, if it is the first that they share, has to be enough."""
+    rest = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    return rest * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+
+
 def _near_prints(reps: DataFrame) -> DataFrame:
     """Pairs ``(x, na, y, nb)`` of sets whose fingerprints the ball hashing links, by one set each."""
     one = reps.groupBy("fp").agg(F.min(F.struct("digest", "n")).alias("o"))
@@ -139,19 +242,17 @@ def _near_prints(reps: DataFrame) -> DataFrame:
 def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows as ``(id, h1, h2, digest)`` and, per digest, the row that its group keeps: ``(digest, keep)``."""
     spark = docs.sparkSession
-    sig = scratch.table(_signatures(docs, id_col, text_col), "sig")
+    signed = scratch.table(_signatures(docs, id_col, text_col), "sig", by="kind")
+    sig = signed.filter("kind = 0").drop("kind")
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")
-    reps = scratch.table(sig.groupBy("digest").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "reps")
-    # sets of one fingerprint meet by it; linked fingerprints by a set each
-    same = reps.select("digest", "n", F.xxhash64(F.lit("equal"), "fp").alias("key"))
-    points = reps.select("digest", "n", F.explode("keys").alias("key")).unionByName(same)
+    reps = scratch.table(sig.groupBy("digest").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")), "reps")
     near = scratch.table(_near_prints(reps).filter(_fit(percent)), "near")
+    order = spark.sparkContext.broadcast(_order(signed.filter("kind = 1")))
+    bitmap = spark.sparkContext.broadcast(_bitmap(_prefix_keys(docs, text_col, order, percent).filter("n > 1"), BITMAP_BITS))
+    sets = scratch.table(_live_sets(docs, text_col, order, bitmap, percent), "sets")
+    points = sets.select("digest", "n", F.explode("keys").alias("k")).select("k.key", "k.at", "digest", "n")
     shared = points.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    live = scratch.table(points.join(shared, "key").select("key", "digest", "n", F.col("digest").alias("comp")), "live0")
-    needed = live.select("digest").unionByName(near.select(F.col("x").alias("digest"))).unionByName(near.select(F.col("y").alias("digest"))).distinct()
-    met = reps.join(needed, "digest", "left_semi").select("rep.h1", "rep.h2")
-    texts = _slim(docs, id_col, text_col).join(met, ["h1", "h2"], "left_semi")
-    sets = scratch.table(_sets(texts).dropDuplicates(["digest"]), "sets")
+    live = scratch.table(points.join(shared, "key").select("key", "at", "digest", "n", F.col("digest").alias("comp")), "live0")
     links = None
     for k in range(STARS + 1):
         if k < STARS:
@@ -160,8 +261,8 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
             pairs = own.filter("comp <> h.comp").select(F.col("digest").alias("x"), F.col("n").alias("na"), F.col("h.digest").alias("y"), F.col("h.n").alias("nb"))
         else:
             most = live.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
-            rest = live.join(most, "key").filter("comp <> top").select("key", F.col("digest").alias("x"), F.col("n").alias("na"), F.col("comp").alias("comp0"))
-            pairs = rest.join(live.select("key", F.col("digest").alias("y"), F.col("n").alias("nb"), "comp"), "key").filter("comp <> comp0")
+            rest = live.join(most, "key").filter("comp <> top").select("key", F.col("at").alias("ata"), F.col("digest").alias("x"), F.col("n").alias("na"), F.col("comp").alias("comp0"))
+            pairs = rest.join(live.select("key", F.col("at").alias("atb"), F.col("digest").alias("y"), F.col("n").alias("nb"), "comp"), "key").filter(F.col("comp") != F.col("comp0")).filter(_room(percent))
         if not k:
             pairs = pairs.select("x", "na", "y", "nb").unionByName(near)
         pairs = pairs.filter(_fit(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -172,7 +273,7 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
         if k < STARS:
             moved = live.drop("comp").join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("component", "digest")).drop("component")
             several = moved.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            live = scratch.table(moved.join(several, "key").select("key", "digest", "n", "comp"), f"live{k + 1}")
+            live = scratch.table(moved.join(several, "key").select("key", "at", "digest", "n", "comp"), f"live{k + 1}")
     at = reps.select("digest", "rep").join(groups.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("comp"))
     low = at.groupBy("comp").agg(F.min("rep").alias("keep"))
     return sig.select("id", "h1", "h2", "digest"), at.join(low, "comp").select("digest", "keep")

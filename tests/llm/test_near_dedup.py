@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from cladeloom.llm import near_dedup
 
@@ -71,3 +74,44 @@ def test_rows_are_told_apart_not_ids(spark):
     assert got == sorted([(1, a), (1, b), (2, c + " end"), (None, prose(4, 50))], key=repr)
     groups = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
     assert groups == {(1, 1), (None, 2), (None, 1), (2, 2), (None, None)}
+
+
+@pytest.mark.parametrize("stars,listed", [(0, 1 << 18), (2, 1 << 18), (2, 5), (1, 0)])
+def test_every_pair_at_the_threshold_is_met(spark, monkeypatch, stars, listed):
+    """One large group of short texts, most of them a little below the threshold, beside chains and copies."""
+    monkeypatch.setattr(near_dedup, "LISTED", listed)
+    monkeypatch.setattr(near_dedup, "STARS", stars)
+    monkeypatch.setattr(near_dedup, "CHUNK", 200)
+    monkeypatch.setattr(near_dedup, "SEEN", 7)
+    rng = random.Random(stars + listed)
+    base = prose(9, 24).split()
+    texts = [" ".join(base[: rng.randrange(5, 25)]) for _ in range(20)] + near_rows_texts(rng)
+    for _ in range(120):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            words[rng.choice([0, 0, 1, 23, 23, 12])] = f"y{rng.randrange(12)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want, _ = brute_kept(rows)
+    got = sorted(r["doc_id"] for r in near_dedup.keep_one(frame(spark, rows)).collect())
+    assert got == want
+
+
+def near_rows_texts(rng):
+    return [t for _, t in near_rows()[:60]]
+
+
+def test_prefixes_of_similar_sets_meet():
+    """In any order, sets at the threshold share a prefix shingle whose places leave enough room."""
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        often = rng.choice(60, rng.integers(0, 30), replace=False).astype(np.uint64)
+        order = near_dedup.Order(often, rng.integers(1, 9, len(often)))
+        a = np.sort(rng.choice(60, rng.integers(1, 40), replace=False)).astype(np.uint64)
+        b = np.unique(np.concatenate([rng.choice(a, max(1, len(a) - rng.integers(0, 5)), replace=False), rng.choice(60, rng.integers(0, 4)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 5 * both < 4 * (len(a) + len(b) - both):
+            continue
+        p, q = order.prefix(a, 80).tolist(), order.prefix(b, 80).tolist()
+        assert any(180 * min(len(a) - p.index(x), len(b) - q.index(x)) >= 80 * (len(a) + len(b)) for x in set(p) & set(q))
