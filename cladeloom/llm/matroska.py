@@ -172,11 +172,15 @@ def _size(buf: bytes, at: int) -> tuple[int | None, int]:
 def _frames(buf: bytes, at: int, end: int) -> tuple[int, int, bool, int, list[tuple[int, int]]]:
     """track, relative time, keyframe, lacing kind and (offset, size) of each frame."""
     track, at = _size(buf, at)
+    if track is None or at + 3 > end:
+        raise ValueError(f"no block header before byte {end}")
     relative, flags = struct.unpack_from(">hB", buf, at)
     at += 3
     kind = flags >> 1 & 3
     if kind == NO_LACE:
         return track, relative, bool(flags & 0x80), kind, [(at, end - at)]
+    if at >= end:
+        raise ValueError(f"no lace count before byte {end}")
     n = buf[at] + 1
     at += 1
     sizes: list[int] = []
@@ -186,14 +190,17 @@ def _frames(buf: bytes, at: int, end: int) -> tuple[int, int, bool, int, list[tu
         sizes = [(end - at) // n] * n
     elif kind == XIPH:
         for _ in range(n - 1):
-            total = 0
-            while buf[at] == 255:
-                total += 255
+            run = at
+            while at < end and buf[at] == 255:
                 at += 1
-            sizes.append(total + buf[at])
+            if at >= end:
+                raise ValueError("lacing beyond its block")
+            sizes.append(255 * (at - run) + buf[at])
             at += 1
     elif n > 1:
         first, at = _size(buf, at)
+        if first is None:
+            raise ValueError("unknown size in a lace")
         sizes.append(first)
         for _ in range(n - 2):
             was = at
@@ -212,6 +219,13 @@ def _frames(buf: bytes, at: int, end: int) -> tuple[int, int, bool, int, list[tu
     return track, relative, bool(flags & 0x80), kind, out
 
 
+def _float(body: bytes) -> float:
+    """A float element; an empty one is zero."""
+    if len(body) not in (0, 4, 8):
+        raise ValueError("a float has 0, 4 or 8 bytes")
+    return struct.unpack(">d" if len(body) == 8 else ">f", body)[0] if body else 0.0
+
+
 def demux(buf: bytes) -> Media:
     doc_type, scale, ticks = "", 1_000_000, 0.0
     blocks: list[tuple[int, int, int, list[tuple[int, int]], bool]] = []  # track, time in ticks, cluster, frames, keyframe
@@ -219,7 +233,7 @@ def demux(buf: bytes) -> Media:
     cues: list[tuple[int, int, int]] = []
     cluster_at: list[int] = []
     laced = [0, 0, 0, 0]
-    segment_at, base, track, cue, in_group = 0, 0, {}, {}, 0
+    segment_at, base, track, place, positions, cue_time, in_group = -1, 0, {}, {}, [], 0, 0
     stack: list[tuple[int, int]] = [(0, len(buf))]
     at = 0
     while True:
@@ -227,8 +241,10 @@ def demux(buf: bytes) -> Media:
             ident, _ = stack.pop()
             if ident == TRACK_ENTRY:
                 tracks.append(Track(track.get(TRACK_NUMBER, 0), track.get(CODEC_ID, ""), track.get(SAMPLING_FREQUENCY, 0.0), track.get(BIT_DEPTH, 0), track.get(CHANNELS, 1), track.get(DEFAULT_DURATION, 0)))
+            elif ident == CUE_TRACK_POSITIONS:
+                positions.append((place.get(CUE_TRACK, 0), place.get(CUE_CLUSTER_POSITION, 0)))
             elif ident == CUE_POINT:
-                cues.append((cue.get(CUE_TIME, 0), cue.get(CUE_TRACK, 0), cue.get(CUE_CLUSTER_POSITION, 0)))
+                cues += [(cue_time, *where) for where in positions]
         if at >= len(buf):
             break
         start = at
@@ -252,7 +268,9 @@ def demux(buf: bytes) -> Media:
             elif ident == TRACK_ENTRY:
                 track = {}
             elif ident == CUE_POINT:
-                cue = {}
+                positions, cue_time = [], 0
+            elif ident == CUE_TRACK_POSITIONS:
+                place = {}
             continue
         if ident in (SIMPLE_BLOCK, BLOCK):
             number, relative, key, kind, spans = _frames(buf, at, end)
@@ -267,18 +285,20 @@ def demux(buf: bytes) -> Media:
         elif ident == DOC_TYPE:
             doc_type = buf[at:end].decode()
         elif ident == DURATION:
-            ticks = struct.unpack(">d" if size == 8 else ">f", buf[at:end])[0]
+            ticks = _float(buf[at:end])
         elif ident == SAMPLING_FREQUENCY:
-            track[ident] = struct.unpack(">d" if size == 8 else ">f", buf[at:end])[0]
+            track[ident] = _float(buf[at:end])
         elif ident == CODEC_ID:
             track[ident] = buf[at:end].decode()
         elif ident in (TRACK_NUMBER, BIT_DEPTH, CHANNELS, DEFAULT_DURATION):
             track[ident] = int.from_bytes(buf[at:end], "big")
-        elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION):
-            cue[ident] = int.from_bytes(buf[at:end], "big")
+        elif ident == CUE_TIME:
+            cue_time = int.from_bytes(buf[at:end], "big")
+        elif ident in (CUE_TRACK, CUE_CLUSTER_POSITION):
+            place[ident] = int.from_bytes(buf[at:end], "big")
         at = end
-    if doc_type != "matroska":
-        raise ValueError("not a Matroska file")
+    if doc_type != "matroska" or segment_at < 0:
+        raise ValueError("not a Matroska file with a segment")
     # scale and tracks may stand behind what they are needed for, so times are reckoned at the end
     known = {t.number: t for t in tracks}
     packets = [
@@ -321,7 +341,7 @@ def feature(payload: bytes, media: Media) -> str:
     spans = [p.size for p in media.packets]
     cued = int([c[2] for c in media.cues] == media.cluster_at)
     none, xiph, fixed, ebml = media.laced
-    return f"tracks={len(media.tracks)};clusters={len(media.cluster_at)};blocks={sum(media.laced)};packets={len(spans)};laced={none}/{xiph}/{fixed}/{ebml};cues={len(media.cues)};cues_exact={cued};duration_ms={int(media.duration_ms)};last_ms={media.packets[-1].timestamp_ms};sample_sum={int(samples.sum(dtype=np.int64))};peak={int(samples.max())};crossings={turns}"
+    return f"tracks={len(media.tracks)};clusters={len(media.cluster_at)};blocks={sum(media.laced)};packets={len(spans)};laced={none}/{xiph}/{fixed}/{ebml};cues={len(media.cues)};cues_exact={cued};duration_ms={int(media.duration_ms)};last_ms={media.packets[-1].timestamp_ms if spans else 0};sample_sum={int(samples.sum(dtype=np.int64))};peak={int(samples.max(initial=0))};crossings={turns}"
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
