@@ -284,7 +284,8 @@ def lookup(files: DataFrame, url: str) -> list[dict]:
 
 
 def _captures(lines: list[str]) -> list[tuple]:
-    """Records of index lines, read by byte range in file order."""
+    """Records of index lines, read by byte range in file order; a response's size and digest are those of
+    the bytes that were read."""
     spans: dict[str, list[tuple[int, int]]] = {}
     for line in lines:
         _, _, _, archive, o, n = line.split("\t")
@@ -295,9 +296,11 @@ def _captures(lines: list[str]) -> list[tuple]:
         with files.open_input_file(at) as f:
             for o, n in sorted(where):
                 r = parse(zlib.decompress(f.read_at(n, o), 31))
-                data = r["payload"]
-                ok = None if data is None else len(data) == r["payload_bytes"] and hashlib.sha256(data).hexdigest() == r["payload_digest"]
-                rows.append((r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], ok))
+                size, digest, ok = r["payload_bytes"], r["payload_digest"], None
+                if r["payload"] is not None:
+                    size, digest = len(r["payload"]), hashlib.sha256(r["payload"]).hexdigest()
+                    ok = (size, digest) == (r["payload_bytes"], r["payload_digest"])
+                rows.append((r["page_id"], r["url"], size, digest, r["record_type"], r["refers_to"], ok))
     return rows
 
 
@@ -369,11 +372,26 @@ def archive(pages: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     return manifest, files
 
 
+def checked(captures: DataFrame, scratch: Scratch) -> DataFrame:
+    """``captures``, written, if each response's bytes are those that its header names and each revisit
+    names the bytes of its response; a ``ValueError`` with their number else."""
+    got = scratch.table(captures, "captures")
+    damaged = got.filter("record_type = 'response' AND NOT intact").count()
+    # what many revisits say of one response is said once
+    said = got.filter("record_type = 'revisit'").select("refers_to", "payload_bytes", "payload_digest").distinct()
+    responses = got.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    unanswered = said.join(responses, ["refers_to", "payload_bytes", "payload_digest"], "left_anti").count()
+    if damaged or unanswered:
+        raise ValueError(f"damaged archive: {damaged} responses differ from their headers, {unanswered} revisits from their responses")
+    return got
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     _, files = archive(pages)
-    out = find(files, url_keys(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return out
+    scratch = Scratch(spark, "captures")
+    got = checked(find(files, url_keys(pages)), scratch)
+    return scratch.close(got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 SQL = """

@@ -104,3 +104,22 @@ def test_damage_is_noticed():
         with pytest.raises(ValueError):
             warc.parse(bad)
     assert list(warc.members(warc._gzip(b"a") + warc._gzip(b"b")))[1][2] == b"b" and zlib.crc32(b"") == 0
+
+
+def test_bytes_that_differ_from_their_header_are_told(tmp_path):
+    raw = warc._gzip(warc.record(1, "http://a", b"hello", hashlib.sha256(b"jello").hexdigest(), None, "2025-01-01T00:00:00Z"))
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    (row,) = warc._captures([f"a)/\t-\t-\tfile://{tmp_path}/a.warc.gz\t0\t{len(raw)}"])
+    assert row[2:5] == (5, hashlib.sha256(b"hello").hexdigest(), "response") and row[6] is False
+
+
+def test_a_damaged_archive_fails_the_check(spark):
+    good = [(1, "u", 5, "d", "response", None, True), (2, "u", 5, "d", "revisit", 1, None), (None, "u", 5, "d", "response", None, True)]
+    for bad in ([], [(3, "u", 5, "e", "response", None, False)], [(4, "u", 6, "d", "revisit", 1, None)], [(4, "u", 5, "d", "revisit", 9, None)]):
+        scratch = warc.Scratch(spark, "t")
+        captures = spark.createDataFrame(good + bad, warc.CAPTURE)
+        if bad:
+            with pytest.raises(ValueError, match="damaged"):
+                warc.checked(captures, scratch)
+        else:
+            assert warc.checked(captures, scratch).count() == 3
