@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 CODES = "ACGTUacgtuRYKMBVDHrykmbvdh"
 COMPLEMENTS = "TGCAAtgcaaYRMKVBHDyrmkvbhd"
 
+# Fixed value: the widespread spaced seed of weight 12 and span 19.
+SPACED = "1110100110010101111"
+
 ALPHABET = "^[ACGTacgt]*$"
 
 

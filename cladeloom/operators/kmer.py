@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from . import chunks
+from .seeds import matches
 
 PIECE = 512
 
@@ -77,22 +76,11 @@ def mash_distance(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def seeds(genes: DataFrame, genome: DataFrame, k: int, step: int = 1, transitions: bool = False) -> DataFrame:
-    """``(gene_id, strand, q_pos, species, rec, t_pos)``: k-mer matches on both strands.
+    """``(gene_id, strand, q_pos, species, rec, t_pos)``: k-mer matches on both strands, up to 31 bases.
 
-    An equi-join on the k-mer.  Gene k-mers are few (genes times length); Spark broadcasts them
-    where they are below its threshold and shuffles them else, and a frequent k-mer is a skewed key
-    that adaptive execution splits.  ``step`` thins the query seeds before the join.  With
-    ``transitions``, a seed also matches where one of its bases is changed for the other purine or
-    the other pyrimidine.
+    Every base counts and ambiguity codes match none; see ``seeds.matches``, which has patterns and codes.
     """
-    both = genes.select("gene_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.upper("seq").alias("s")), F.struct(F.lit("-").alias("strand"), dna.reverse_complement(F.upper("seq")).alias("s")))).alias("g"))
-    query = positions(both.select("gene_id", "g.strand", F.col("g.s").alias("s")), k, seq="s", pos="q_pos", step=step).filter(dna.is_plain(F.col("kmer")))
-    if transitions:
-        # F.col("kmer") is bound once, as a lambda's variable
-        near = F.transform(F.array("kmer"), lambda x: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.overlay(x, F.translate(F.substring(x, i, F.lit(1)), "ACGT", "GTAC"), i)))[0]
-        query = query.withColumn("kmer", F.explode(F.concat(F.array("kmer"), near)))
-    target = _in_genome(genome, k, "species", "rec", pos="t_pos")
-    return target.join(query, "kmer").select("gene_id", "strand", F.col("q_pos").cast("int").alias("q_pos"), "species", "rec", "t_pos")
+    return matches(genes, genome, "1" * k, step, transitions)
 
 
 def seed_counts(found: DataFrame) -> DataFrame:
@@ -113,8 +101,3 @@ def diagonals(found: DataFrame, band: int = 32, least: int = 2, overlapping: boo
         .agg(F.count("*").alias("seeds"), F.min("t_pos").alias("t_start"), F.max("t_pos").alias("t_end"))
         .filter(F.col("seeds") >= least)
     )
-
-
-def sketch_tree_distance(j: float, k: int) -> float:
-    """The distance of a Jaccard index; unrelated sequences are at 1."""
-    return 1.0 if j <= 0 else min(1.0, -math.log(2 * j / (1 + j)) / k)

@@ -5,12 +5,14 @@ Thresholds here are those at which an operator has a visible effect on the test
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..functions.storage import shared_folder
-from ..operators import alignments, families, hits, kmer, ranges, reports, sampling, trees
+from ..operators import alignments, families, hits, kmer, ranges, reports, sampling, seeds, trees
 from ..sources import fasta
 from . import fixtures as fx
 from . import modes
@@ -426,6 +428,42 @@ def seed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmer.seed_counts(_seeds(spark, sf_dir, transitions=True))
 
 
+# Spaced words: two patterns of weight 12 end to end; a window with two N at most has a word for every choice.
+_PATTERN = 2 * dna.SPACED
+_FIRST_N = "unnest(CASE WHEN contains(w, 'N') THEN [regexp_replace(w, 'N', b) FOR b IN ['A', 'C', 'G', 'T']] ELSE [w] END) AS w"
+
+
+def _spaced(s: str) -> str:
+    return " || ".join(f"substring({s}, i + {m.start()}, {len(m[0])})" for m in re.finditer("1+", _PATTERN))
+
+
+@query(
+    "seed_spaced",
+    f"""{_SEEDS}, sq AS (SELECT gene_id, {_spaced("s")} AS w FROM strands, unnest(range(1, length(s) - {len(_PATTERN) - 2})) u(i)),
+st0 AS (SELECT species, rec, {_spaced("upper(seq)")} AS w FROM genome, unnest(range(1, length(seq) - {len(_PATTERN) - 2})) u(i)),
+st AS (SELECT species, rec, {_FIRST_N} FROM (SELECT species, rec, {_FIRST_N} FROM st0))
+SELECT gene_id, species, count(*) AS seeds, count(DISTINCT rec) AS records FROM st JOIN sq USING (w) WHERE NOT contains(w, 'N') GROUP BY ALL""",
+)
+def seed_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genes = sample_genes(spark, sf_dir).filter("seq is not null").select("gene_id", "seq")
+    return kmer.seed_counts(seeds.matches(genes, fx.genome(spark, sf_dir), _PATTERN, most=seeds.CODE_WORDS))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genes = sample_genes(spark, sf_dir).filter("seq is not null").select("gene_id", "seq")
+    return seeds.segments(genes, fx.genome(spark, sf_dir), 200, _PATTERN, most=seeds.CODE_WORDS, least=3000)
+
+
+@query("seed_segments")
+def seed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir)
+
+
+@query("seed_chains")
+def seed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.chains(_segments(spark, sf_dir), 800)
+
+
 # ------------------------------------------------------------------ reports
 
 
@@ -560,4 +598,4 @@ def pipeline_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import Config
 
     g = fx.genome(spark, sf_dir)
-    return modes.gene_trees(g, Config(gene_count=20, length=200, upper_case=0.02, mode="fast", min_align=3, identity=50, coverage=60, continuity=60, seed_length=24))
+    return modes.gene_trees(g, Config(gene_count=GENES, length=200, upper_case=0.02, mode="fast", min_align=3, identity=50, coverage=60, continuity=60, seed_length=24))

@@ -17,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, likelihood, msa, quartets, trees
 from ..functions.storage import settle
-from ..operators import alignments, chunks, families, hits, kmer, sampling
+from ..operators import alignments, chunks, families, gapped, hits, kmer, sampling, seeds
 from ..sources.tables import Config
 
 K = {"fast": 10}
@@ -32,41 +33,52 @@ HIT_SCHEMA = "species string, gene_id int, score long, line_no long, pos long, s
 # ------------------------------------------------------------------ similarity join
 
 
-def similarity_join(genes: DataFrame, genome: DataFrame, cfg: Config, band: int = 32) -> DataFrame:
+def candidates(genes: DataFrame, genome: DataFrame, cfg: Config) -> DataFrame:
+    """``(species, gene_id, rec, strand, at, length)``: windows of records that are worth an alignment.
+
+    Seeds (in the modes with alignment with a transition at one base) grow into gap-free segments; those
+    of ``cfg.segment_score`` or more are chained; the best ``2 * max_dup`` chains of a gene in a genome
+    count, and a chain's window has room for the rest of the gene and some gaps at both ends.
+    """
+    reach, room = 2 * cfg.length, cfg.length // 4
+    matrix = (cfg.matrix or msa.HOXD55) if cfg.deep else msa.HOXD55
+    found = seeds.segments(genes, genome, cfg.length, cfg.pattern, cfg.steps, cfg.mode != "fast", seeds.CODE_WORDS, matrix, cfg.segment_drop, cfg.segment_score)
+    best = Window.partitionBy("species", "gene_id").orderBy(F.desc("score"), "rec", "t_start", "strand")
+    kept = seeds.chains(found, reach).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= 2 * cfg.max_dup)
+    at = F.greatest(F.col("t_start") - F.col("q_start") - room, F.lit(0)).cast("long")
+    own = kept.join(genes.select("gene_id", F.length("seq").alias("n")), "gene_id").withColumn("at", at)
+    return own.select("species", "gene_id", "rec", "strand", "at", (F.col("t_end") + F.col("n") - F.col("q_end") + room - F.col("at")).alias("length"))
+
+
+def similarity_join(genes: DataFrame, genome: DataFrame, cfg: Config) -> DataFrame:
     """Hits of every gene in every genome, on both strands: ``HIT_SCHEMA``.
 
-    Seeds by an equi-join (in the modes with alignment, with a transition at one base); overlapping
-    bands of diagonals with two seeds or more; local alignment of each candidate window; then the
-    identity, coverage and continuity filters and the best ``2 * max_dup`` hits.  ``strand`` is the
-    gene's; ``seq`` is the target's aligned row, turned to the gene's direction; ``pos`` the offset in
-    the target record.  Windows are cut from chunks, so no row holds a whole record.
+    Local alignment, with affine gaps, of each candidate window; then the identity, coverage and
+    continuity filters and the best ``2 * max_dup`` hits.  ``strand`` is the gene's; ``seq`` is the
+    target's aligned row, turned to the gene's direction; ``pos`` the offset in the target record.
+    Windows are cut from chunks, so no row holds a whole record; a table of chunks must reach
+    ``4 * length + 2 * seed_length`` bases beyond each.
     """
-    seed = cfg.seed_length
-    own = chunks.chunked(genome, 4 * cfg.length + 2 * seed)
-    found = kmer.diagonals(kmer.seeds(genes, own, seed, cfg.steps, cfg.mode != "fast"), band, overlapping=True)
-    whole = found.groupBy("gene_id", "species", "rec", "strand", F.floor((F.col("diagonal") * (band // 2)) / cfg.length).cast("long").alias("zone"))
-    spans = whole.agg(F.sum("seeds").alias("seeds"), F.min("t_start").alias("lo"), F.max("t_end").alias("hi"))
-    cand = spans.join(genes.select("gene_id", F.col("seq").alias("gene")), "gene_id")
-    lo = F.greatest(F.col("lo") - F.length("gene"), F.lit(0))
-    cand = cand.select("species", "gene_id", "rec", "strand", lo.cast("long").alias("at"), "gene", (F.col("hi") - lo + F.length("gene") + seed).alias("_n"))
-    cand = chunks.at(cand, own, "at", "_n", name="window").select("species", "gene_id", "rec", "strand", "at", "gene", "window")
-    matrix = (cfg.matrix or msa.HOXD55) if cfg.deep else None
-    gap = 120.0 if cfg.deep else 3.0
-
-    def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = chunks.chunked(genome, 4 * cfg.length + 2 * cfg.seed_length)
+    cand = candidates(genes, own, cfg).join(genes.select("gene_id", F.col("seq").alias("gene")), "gene_id")
+    cand = chunks.at(cand, own, "at", "length", name="window").select("species", "gene_id", "rec", "strand", "at", "gene", "window")
+    costs = {"matrix": cfg.matrix or msa.HOXD55, "start": 400, "step": 30} if cfg.deep else {"start": 4, "step": 2}
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = str.maketrans(dna.CODES, dna.COMPLEMENTS)
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                gene = r.gene if r.strand == "+" else r.gene.translate(turn)[::-1]
-                score, start, a, b = msa.local_align(gene.upper(), r.window.upper(), matrix, gap)
-                if a:
-                    kept = len(b.replace("-", ""))
-                    bare = r.window[start : start + kept]
-                    rows.append((r.species, r.gene_id, round(score), r.rec, r.at + start, r.strand, a, b, len(gene), bare))
-            yield pd.DataFrame(rows, columns=["species", "gene_id", "score", "line_no", "pos", "strand", "a", "b", "gene_length", "seq"])
-
-    pairs = cand.mapInPandas(extend, "species string, gene_id int, score long, line_no long, pos long, strand string, a string, b string, gene_length int, seq string")
+        names = ["species", "gene_id", "score", "line_no", "pos", "strand", "a", "b", "gene_length", "seq"]
+        for batch in batches:
+            strand, at, gene, window = (batch.column(c).to_pylist() for c in ("strand", "at", "gene", "window"))
+            turned = [(g if s == "+" else g.translate(turn)[::-1]).upper() for g, s in zip(gene, strand)]
+            got = list(gapped.local_alignments(turned, [w.upper() for w in window], **costs))
+            keep = [k for k, x in enumerate(got) if x[2]]
+            rows = [(got[k][0], at[k] + got[k][1], got[k][2], got[k][3], len(gene[k]), window[k][got[k][1] :][: len(got[k][3].replace("-", ""))]) for k in keep]
+            score, pos, a, b, length, bare = (pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())))
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column("species"), own.column("gene_id"), score, own.column("rec").cast(pa.int64()), pos, own.column("strand"), a, b, length, bare], names=names)
+
+    kind = genes.schema["gene_id"].dataType.simpleString()
+    pairs = cand.mapInArrow(extend, f"species string, gene_id {kind}, score long, line_no long, pos long, strand string, a string, b string, gene_length int, seq string")
     good = alignments.pair_filter(pairs, cfg.identity_deep if cfg.deep else cfg.identity, cfg.coverage, cfg.continuity)
     best = hits.query_best(good.dropDuplicates(["species", "gene_id", "line_no", "pos", "strand"]), cfg.max_dup)
     return best.select("species", "gene_id", "score", "line_no", "pos", "strand", "seq")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions.dna import SPACED
+
 
 def newick(spark: SparkSession, path: str) -> DataFrame:
     """``(tree_id, newick)``: one tree per line, or ``id, tree``; blank trees are left out.
@@ -105,6 +107,9 @@ class Config:
     deep: bool = False
     seed: int = 0
     seed_length: int = 12
+    seed_pattern: str = ""
+    segment_score: int = 2000
+    segment_drop: int = 910
 
     def __post_init__(self):
         if self.mode not in ("accurate", "balanced", "fast"):
@@ -116,6 +121,11 @@ class Config:
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must be between 0 and 1")
 
+    @property
+    def pattern(self) -> str:
+        """The given seed pattern; else the spaced one for seeds of 12 bases, and bases in a row for others."""
+        return self.seed_pattern or (SPACED if self.seed_length == 12 else "1" * self.seed_length)
+
     def min_species(self, species: int) -> int:
         """Given, or a tenth of the species, rounded up, and at least 4."""
         return self.min_align if self.min_align is not None else max(4, -(-species // 10))
