@@ -47,8 +47,8 @@ from .simhash import of_hashes
 SHINGLE = 5
 STARS = 2
 CHUNK = 1 << 21
-LISTED = 1 << 18
-BITMAP_BITS = 27
+LISTED = 1 << 17
+BITMAP_BITS = 26
 SEEN = 1 << 16
 
 
@@ -140,8 +140,8 @@ def _order(often: DataFrame) -> Order:
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["value", "n"])
 
     rows = often.select("digest").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "value").limit(LISTED).toPandas()
-    return Order(top["value"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64))
+    top = rows.orderBy(F.desc("n"), "value").limit(LISTED).toArrow()
+    return Order(top.column("value").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64))
 
 
 def _prefix_keys(docs: DataFrame, text_col: str, order, percent: int) -> DataFrame:
@@ -169,9 +169,9 @@ def _prefix_keys(docs: DataFrame, text_col: str, order, percent: int) -> DataFra
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     """A bit for the low ``bits`` bits of every key; what comes back has a fixed size."""
     word, bit = F.shiftright("key", 6).bitwiseAND((1 << bits - 6) - 1), F.col("key").bitwiseAND(63).cast("int")
-    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b")).toPandas()
+    rows = keys.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b")).toArrow()
     out = np.zeros(1 << bits - 6, np.uint64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
