@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trees
 
-NODES = "node_id int, parent_id int, name string, length double, support double, tips array<string>"
+NODES = "node_id int, parent_id int, name string, length double, support double, tips array<string>, last int"
 
 
 def nodes(table: DataFrame, tree_id: str = "tree_id", newick: str = "newick") -> DataFrame:

@@ -1,7 +1,8 @@
 """The convergence loop: rounds of new genes until branch support settles.
 
 Each round appends its gene trees and its line of the iteration table to Parquet folders keyed by
-``iteration``; the species tree is built from all rounds so far.  Rounds use N, N, 2N, 4N, ... genes.
+``iteration``; the species tree is built from all rounds so far, whose speciations are kept as a table
+that each round adds its own to.  Rounds use N, N, 2N, 4N, ... genes.
 A round that is already in the tables is not run again, so a run that was stopped goes on where it
 was.  The configuration is never changed on disk.
 """
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trees
-from ..operators import reports
+from ..operators import reports, tripartitions
 from ..sources.tables import Config
-from . import modes, outputs
+from . import modes, outputs, species
 
 ITERATIONS = "iteration int, genes int, gene_trees long, support double, delta double, norm_rf double, newick string, finished timestamp"
 
@@ -35,6 +36,24 @@ def _rows(spark: SparkSession, path: str) -> list:
         raise
 
 
+def state_of(spark: SparkSession, out: str, number: int) -> tuple[DataFrame, list[str]]:
+    """The speciations and species of all rounds up to ``number``.
+
+    Only that round's trees and the state of the round before are read; the state has a row for each
+    distinct speciation.  A state that is there already, of a run that was stopped, is made again.
+    """
+    own = spark.read.parquet(f"{out}/gene_trees/iteration={number}")
+    state = species.speciations(own)
+    names = spark.createDataFrame([(n,) for n in species.species_names(own)], "species string")
+    if number > 1:
+        state = tripartitions.merge(spark.read.schema(tripartitions.STATE).parquet(f"{out}/speciations/iteration={number - 1}"), state)
+        names = names.union(spark.read.schema("species string").parquet(f"{out}/species/iteration={number - 1}")).distinct()
+    state.write.mode("overwrite").parquet(f"{out}/speciations/iteration={number}")
+    names.write.mode("overwrite").parquet(f"{out}/species/iteration={number}")
+    table = spark.read.schema(tripartitions.STATE).parquet(f"{out}/speciations/iteration={number}")
+    return table, sorted(r[0] for r in spark.read.schema("species string").parquet(f"{out}/species/iteration={number}").collect())
+
+
 def one_round(spark: SparkSession, genome: DataFrame, cfg: Config, out: str, number: int, rerooted_by: trees.Node | None = None) -> dict:
     """Run one round and append it; returns its row."""
     count = gene_counts(cfg, number)[-1]
@@ -44,8 +63,9 @@ def one_round(spark: SparkSession, genome: DataFrame, cfg: Config, out: str, num
     modes.trees_of(done, own).write.mode("overwrite").parquet(f"{out}/gene_trees/iteration={number}")
     outputs.round_files(done, own, f"{out}/iteration_{number:02}")
     master = spark.read.parquet(f"{out}/gene_trees").filter(F.col("iteration") <= number)
-    tree, stats = modes.species_tree_and_stats(master)
-    table = spark.createDataFrame(modes.stat_rows(stats), "line_no long, branch string, topology int, support double")
+    tree, stats = species.tree_and_stats(*state_of(spark, out, number))
+    spark.createDataFrame(stats, species.STATS).coalesce(1).write.mode("overwrite").parquet(f"{out}/branch_stats/iteration={number}")
+    table = spark.read.schema(species.STATS).parquet(f"{out}/branch_stats/iteration={number}")
     percent = reports.support_percent(table, cfg.support_threshold).first()["percent"]
     rf = None
     if tree is not None and rerooted_by is not None:

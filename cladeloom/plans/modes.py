@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dna, likelihood, msa, quartets, trees
+from ..functions import dna, likelihood, msa, trees
 from ..functions.storage import settle
 from ..operators import alignments, chunks, families, gapped, hits, kmer, sampling, seeds
 from ..sources.tables import Config
+from . import species
 
 K = {"fast": 10}
 HIT_SCHEMA = "species string, gene_id int, score long, line_no long, pos long, strand string, target string, seq string, gene_length int"
@@ -184,9 +185,9 @@ def stages(genome: DataFrame, cfg: Config, first_id: int = 0) -> Stages:
     genes = settle(sampling.sample_genes(genome, cfg.gene_count, cfg.length, cfg.upper_case, seed=cfg.seed))
     genes = genes.withColumn("gene_id", F.col("gene_id") + first_id) if first_id else genes
     found = settle(similarity_join(genes.filter("seq is not null").select("gene_id", "seq"), genome, cfg))
-    species = genome.select("species").distinct().count()
-    members = families.with_min_species(hits.family(found, cfg.max_dup), cfg.min_species(species))
-    return Stages(genes, found, members, cfg.min_species(species), species)
+    many = genome.select("species").distinct().count()
+    members = families.with_min_species(hits.family(found, cfg.max_dup), cfg.min_species(many))
+    return Stages(genes, found, members, cfg.min_species(many), many)
 
 
 def gene_families(genome: DataFrame, cfg: Config, first_id: int = 0) -> DataFrame:
@@ -215,111 +216,13 @@ def species_of(tip: str) -> str:
     return tip.rsplit("_", 1)[0]
 
 
-def mean_distances(gene_tree_table: DataFrame, names: list[str]) -> np.ndarray:
-    """Mean branches between species over the gene trees that have both; species that never meet are
-    as far apart as there are species.  What comes back is a number for each two species."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)), np.int64)
-        for frame in frames:
-            for text in frame["newick"]:
-                tree = trees.parse(text)
-                if not set(map(species_of, tree.tips())) <= set(names):
-                    raise ValueError("a tip of an unknown species")
-                steps = quartets.species_steps(tree, species_of, names)
-                seen += ~np.isnan(steps)
-                total += np.nan_to_num(steps)
-        i, j = np.nonzero(np.tril(seen, -1))
-        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "x": total[i, j], "n": seen[i, j]})
-
-    found = gene_tree_table.filter("newick is not null").select("newick").mapInPandas(run, "i int, j int, x double, n long")
-    rows = found.groupBy("i", "j").agg((F.sum("x") / F.sum("n")).alias("d")).toPandas()
-    distance = np.full((len(names), len(names)), float(len(names)))
-    np.fill_diagonal(distance, 0)
-    distance[rows["i"], rows["j"]] = distance[rows["j"], rows["i"]] = rows["d"]
-    return distance
-
-
-def quartet_weights(gene_tree_table: DataFrame, names: list[str]) -> dict[tuple, np.ndarray]:
-    """Votes for the three pairings of every four species, of ``quartets.EXHAUSTIVE`` species at most."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [t for text in frame["newick"] for t in quartets.topologies(quartets.species_steps(trees.parse(text), species_of, names))]
-            yield pd.DataFrame(rows, columns=["a", "b", "c", "d", "pairing"])
-
-    found = gene_tree_table.filter("newick is not null").select("newick").mapInPandas(run, "a int, b int, c int, d int, pairing int")
-    weight: dict[tuple, np.ndarray] = {}
-    for r in found.groupBy("a", "b", "c", "d", "pairing").agg(F.count("*").alias("n")).collect():
-        weight.setdefault((r["a"], r["b"], r["c"], r["d"]), np.zeros(3))[r["pairing"]] += r["n"]
-    return weight
-
-
-def branch_counts(gene_tree_table: DataFrame, names: list[str], own: list[quartets.Branch]) -> tuple[np.ndarray, np.ndarray]:
-    """Per branch its quartets by pairing, summed over the gene trees; and the effective number of gene
-    trees for each pairing.  What comes back is six numbers a branch."""
-    at = {n: k for k, n in enumerate(names)}
-    colours = np.zeros((4, len(own), len(names)))
-    for b, branch in enumerate(own):
-        for side in range(4):
-            colours[side, b, [at[n] for n in branch.sides[side]]] = 1
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, share = np.zeros((3, len(own))), np.zeros((3, len(own)))
-        for frame in frames:
-            for text in frame["newick"]:
-                n, all_ = quartets.branch_counts(trees.parse(text), species_of, at, colours)
-                number += n
-                share += n / np.maximum(all_, 1)
-        yield pd.DataFrame({"b": np.arange(len(own), dtype="int32"), **{f"n{k}": number[k] for k in range(3)}, **{f"z{k}": share[k] for k in range(3)}})
-
-    cols = [f"{x}{k}" for x in "nz" for k in range(3)]
-    found = gene_tree_table.filter("newick is not null").select("newick").mapInPandas(run, "b int, " + ", ".join(f"{c} double" for c in cols))
-    rows = found.groupBy("b").agg(*(F.sum(c).alias(c) for c in cols)).toPandas().sort_values("b")
-    return np.round(rows[cols[:3]].to_numpy(), 9), rows[cols[3:]].to_numpy()
-
-
-def species_names(gene_tree_table: DataFrame) -> list[str]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"species": sorted({species_of(t) for text in frame["newick"] for t in trees.parse(text).tips()})}, dtype=object)
-
-    return sorted(r[0] for r in gene_tree_table.filter("newick is not null").select("newick").mapInPandas(run, "species string").distinct().collect())
-
-
 def species_tree_and_stats(gene_tree_table: DataFrame) -> tuple[trees.Node | None, list[tuple]]:
-    """The species tree and, per branch, split, effective gene trees per pairing, and posteriors.
-
-    Up to ``quartets.EXHAUSTIVE`` species, the best of all trees; beyond, neighbour joining on mean
-    distances, improved by interchanges under the quartet score.
-    """
-    names = species_names(gene_tree_table)
-    if len(names) < 2:
-        return None, []
-    if len(names) <= quartets.EXHAUSTIVE:
-        tree = quartets.exhaustive(names, quartet_weights(gene_tree_table, names))
-    else:
-        start = trees.neighbour_joining(names, mean_distances(gene_tree_table, names))
-        tree = quartets.improve(start, lambda own: branch_counts(gene_tree_table, names, own)[0])
-    own = quartets.branches(tree)
-    z = branch_counts(gene_tree_table, names, own)[1] if own else []
-    every = frozenset(names)
-    stats = []
-    for branch, counts in zip(own, z):
-        posterior = quartets.supports(counts)
-        branch.node.support = posterior[0]
-        side = branch.sides[0] | branch.sides[1]
-        stats.append((min(side, every - side, key=lambda s: (len(s), sorted(s))), counts.tolist(), posterior))
-    return tree, stats
+    """The species tree and the statistics of its branches, ``species.STATS``."""
+    return species.tree_and_stats(species.speciations(gene_tree_table), species.species_names(gene_tree_table))
 
 
 def species_tree(gene_tree_table: DataFrame) -> DataFrame:
     """``(newick, n_species, n_branches)``, one row; none without gene trees."""
     tree, stats = species_tree_and_stats(gene_tree_table)
-    rows = [] if tree is None else [(trees.text_of(tree), len(tree.tips()), len(stats))]
+    rows = [] if tree is None else [(trees.text_of(tree), len(tree.tips()), len(stats) // 3)]
     return gene_tree_table.sparkSession.createDataFrame(rows, "newick string, n_species int, n_branches int")
-
-
-def stat_rows(stats: list[tuple]) -> list[tuple[int, str, int, float]]:
-    """``(line_no, branch, topology, support)``: three rows per branch, the tree's own first."""
-    return [(3 * b + k, ",".join(sorted(side)), k + 1, float(p[k])) for b, (side, _, p) in enumerate(stats) for k in range(3)]

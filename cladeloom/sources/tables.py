@@ -23,7 +23,7 @@ def newick(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce(F.when(given != "", given.cast("int")), F.col("line_no") + 1).alias("tree_id"), tree.alias("newick")).filter(F.col("newick").contains("("))
 
 
-@udtf(returnType="node_id int, parent_id int, name string, length double, support double, tips array<string>")
+@udtf(returnType="node_id int, parent_id int, name string, length double, support double, tips array<string>, last int")
 class NewickNodes:
     """``SELECT ... FROM trees, LATERAL newick_nodes(newick)``."""
 
