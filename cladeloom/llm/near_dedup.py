@@ -45,7 +45,8 @@ from .simhash import links as simhash_links
 from .simhash import of_hashes
 
 SHINGLE = 5
-STARS = 2
+STARS = 1
+HUB_KEYS = 8
 CHUNK = 1 << 21
 LISTED = 1 << 17
 BITMAP_BITS = 26
@@ -175,34 +176,52 @@ def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _live_sets(docs: DataFrame, text_col: str, order, bitmap, percent: int) -> DataFrame:
-    """``(digest, n, s, keys)`` of the texts that may share a prefix shingle: the whole set as bytes, and
-    the shared shingles with their places in the set's order."""
+def _each_text(docs: DataFrame, text_col: str, found, columns: str) -> DataFrame:
+    """What ``found(digest, values)`` gives for every text, but for those that the task met not long ago."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = bitmap.value, set()
-        mask = np.uint64(64 * len(bits) - 1)
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+        seen: set[bytes] = set()
         for batch in batches:
             out = []
             for raw in batch.column(0).to_pylist():
                 values = shingle_set(raw)
                 digest = xxhash.xxh128_digest(values.tobytes())
-                if digest in seen:
-                    continue
-                first = order.value.prefix(values, percent)
-                slot = first & mask
-                at = np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
-                if len(at):
+                if digest not in seen and (got := found(digest, values)) is not None:
                     seen.add(digest)
-                    out.append((digest, len(values), values.tobytes(), [{"key": k, "at": a} for k, a in zip(first[at].view(np.int64).tolist(), at.tolist())]))
+                    out.append(got)
             if len(seen) > SEEN:
                 seen.clear()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.binary(), kind))], names=["digest", "n", "s", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out)], names=[x.split()[0] for x in columns.split(", ")])
+
+    return with_bytes(docs, text_col).select("_bytes").mapInArrow(run, columns)
+
+
+def _points(docs: DataFrame, text_col: str, order, bitmap, percent: int) -> DataFrame:
+    """``(key, at, digest, n)``: the prefix shingles that other texts may share, with their places in the
+    set's order."""
+
+    def found(digest: bytes, values: np.ndarray) -> list[pa.Array] | None:
+        bits, first = bitmap.value, order.value.prefix(values, percent)
+        slot = first & np.uint64(64 * len(bits) - 1)
+        at = np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+        if not len(at):
+            return None
+        return [pa.array(first[at].view(np.int64)), pa.array(at.astype(np.int32)), pa.array([digest] * len(at), pa.binary()), pa.array(np.full(len(at), len(values)))]
+
+    return _each_text(docs, text_col, found, "key long, at int, digest binary, n long").dropDuplicates(["key", "digest"])
 
-    rows = with_bytes(docs, text_col).select("_bytes").mapInArrow(run, "digest binary, n long, s binary, keys array<struct<key:long,at:int>>")
-    return rows.dropDuplicates(["digest"])
+
+def _sets(docs: DataFrame, text_col: str, needed) -> DataFrame:
+    """``(digest, s)``: the whole sets, as bytes, of the digests whose bit is set, and of few others."""
+
+    def found(digest: bytes, values: np.ndarray) -> list[pa.Array] | None:
+        slot = int.from_bytes(digest[:8], "big") & 64 * len(needed.value) - 1
+        if not int(needed.value[slot >> 6]) >> (slot & 63) & 1:
+            return None
+        return [pa.array([digest], pa.binary()), pa.array([values.tobytes()], pa.binary())]
+
+    return _each_text(docs, text_col, found, "digest binary, s binary").dropDuplicates(["digest"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,20 +268,34 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
     near = scratch.table(_near_prints(reps).filter(_fit(percent)), "near")
     order = spark.sparkContext.broadcast(_order(signed.filter("kind = 1")))
     bitmap = spark.sparkContext.broadcast(_bitmap(_prefix_keys(docs, text_col, order, percent).filter("n > 1"), BITMAP_BITS))
-    sets = scratch.table(_live_sets(docs, text_col, order, bitmap, percent), "sets")
-    points = sets.select("digest", "n", F.explode("keys").alias("k")).select("k.key", "k.at", "digest", "n")
+    points = scratch.table(_points(docs, text_col, order, bitmap, percent), "points")
     shared = points.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    live = scratch.table(points.join(shared, "key").select("key", "at", "digest", "n", F.col("digest").alias("comp")), "live0")
-    links = None
+    live = scratch.table(points.join(shared, "key"), "live")
+    front = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    needed = spark.sparkContext.broadcast(_bitmap(live.select("digest").distinct().select(front.alias("key")), BITMAP_BITS - 4))
+    sets = scratch.table(_sets(docs, text_col, needed), "sets")
+    # for the hubs, a set's first few shared shingles do
+    few = live.groupBy("digest").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, HUB_KEYS).alias("keys"))
+    few = scratch.table(few.select("digest", "n", F.explode("keys.key").alias("key")), "few")
+    links, groups = None, None
     for k in range(STARS + 1):
+        if groups is not None:
+            known = groups.withColumnRenamed("node", "digest")
+            comp = lambda df: df.join(known, "digest", "left").withColumn("comp", F.coalesce("component", "digest")).drop("component")  # noqa: B023, E731
+        else:
+            comp = lambda df: df.withColumn("comp", F.col("digest"))
         if k < STARS:
-            hub = live.groupBy("key").agg(F.min_by(F.struct("digest", "n", "comp"), F.xxhash64("digest", F.lit(k))).alias("h"), F.count("*").alias("m"))
-            own = live.join(hub, "key").groupBy("digest").agg(F.max_by(F.struct("n", "comp", "h"), F.struct("m", "key")).alias("o")).select("digest", "o.*")
+            own = comp(few)
+            hub = own.groupBy("key").agg(F.min_by(F.struct("digest", "n", "comp"), F.xxhash64("digest", F.lit(k))).alias("h"), F.count("*").alias("m"))
+            own = own.join(hub, "key").groupBy("digest").agg(F.max_by(F.struct("n", "comp", "h"), F.struct("m", "key")).alias("o")).select("digest", "o.*")
             pairs = own.filter("comp <> h.comp").select(F.col("digest").alias("x"), F.col("n").alias("na"), F.col("h.digest").alias("y"), F.col("h.n").alias("nb"))
         else:
-            most = live.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
-            rest = live.join(most, "key").filter("comp <> top").select("key", F.col("at").alias("ata"), F.col("digest").alias("x"), F.col("n").alias("na"), F.col("comp").alias("comp0"))
-            pairs = rest.join(live.select("key", F.col("at").alias("atb"), F.col("digest").alias("y"), F.col("n").alias("nb"), "comp"), "key").filter(F.col("comp") != F.col("comp0")).filter(_room(percent))
+            own = scratch.table(comp(live), "comps")
+            several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+            own = scratch.table(own.join(several, "key"), "several")
+            most = own.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
+            rest = own.join(most, "key").filter("comp <> top").select("key", F.col("at").alias("ata"), F.col("digest").alias("x"), F.col("n").alias("na"), F.col("comp").alias("comp0"))
+            pairs = rest.join(own.select("key", F.col("at").alias("atb"), F.col("digest").alias("y"), F.col("n").alias("nb"), "comp"), "key").filter(F.col("comp") != F.col("comp0")).filter(_room(percent))
         if not k:
             pairs = pairs.select("x", "na", "y", "nb").unionByName(near)
         pairs = pairs.filter(_fit(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -270,10 +303,6 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
         links = found if links is None else links.unionByName(found)
         inner = Scratch(spark, "near-groups")
         groups = inner.close(scratch.table(connected_components(links, inner, "a", "b"), f"groups{k}"))
-        if k < STARS:
-            moved = live.drop("comp").join(groups.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("component", "digest")).drop("component")
-            several = moved.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            live = scratch.table(moved.join(several, "key").select("key", "at", "digest", "n", "comp"), f"live{k + 1}")
     at = reps.select("digest", "rep").join(groups.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("comp"))
     low = at.groupBy("comp").agg(F.min("rep").alias("keep"))
     return sig.select("id", "h1", "h2", "digest"), at.join(low, "comp").select("digest", "keep")
