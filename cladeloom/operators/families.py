@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +76,38 @@ def tree_gate(aligned: DataFrame, more_than: int, length: int, identity: int, se
 def identical_genes(members: DataFrame) -> DataFrame:
     """Genes whose sequences are all equal, ignoring case: their own alignment."""
     return members.groupBy("gene_id").agg(F.countDistinct(F.upper("seq")).alias("n_distinct")).filter("n_distinct = 1").select("gene_id")
+
+
+def density_bins(values: DataFrame, value: str, step: float) -> DataFrame:
+    """``(bin, weight, n, total, squares)``: each value is split over the two lattice points beside it, the
+    nearer one taking more; with the moments of the values at the lower one.
+
+    Bins add up, so parts of a table can be binned apart and merged; there are as many as the values'
+    range has steps.  Nulls do not count.
+    """
+    x = F.col(value).cast("double")
+    low = F.floor(x / step)
+    right = x / step - low
+    rows = values.filter(x.isNotNull()).groupBy(low.cast("long").alias("low")).agg(F.count("*").alias("n"), F.sum(right).alias("right"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"))
+    none = [F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("squares")]
+    lower = rows.select(F.col("low").alias("bin"), (F.col("n") - F.col("right")).alias("weight"), "n", "total", "squares")
+    upper = rows.select((F.col("low") + 1).alias("bin"), F.col("right").alias("weight"), *none)
+    return lower.unionByName(upper).groupBy("bin").agg(*(F.sum(c).alias(c) for c in ("weight", "n", "total", "squares"))).filter("weight > 0 OR n > 0")
+
+
+def density(bins: DataFrame, step: float, points: int = 200, cut: float = 3.0) -> DataFrame:
+    """``(x, density)``: a Gaussian kernel density of binned values at ``points`` places, from ``cut``
+    bandwidths below the lowest bin to as far above the highest.
+
+    The bandwidth is the standard deviation times ``n ** -0.2``.  No rows for fewer than two values or
+    equal ones.  The bins come together in one row.
+    """
+    one = bins.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.array_sort(F.collect_list(F.struct("bin", "weight"))).alias("own"))
+    variance = (F.col("squares") - F.col("total") * F.col("total") / F.col("n")) / (F.col("n") - 1)
+    one = one.filter("n > 1").withColumn("v", variance).filter("v > 1e-12").withColumn("h", F.sqrt("v") * F.pow("n", F.lit(-0.2)))
+    first, last = F.col("lo") * step - cut * F.col("h"), F.col("hi") * step + cut * F.col("h")
+    rows = one.select("n", "h", "own", first.alias("first"), ((last - first) / (points - 1)).alias("gap"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
+    at = F.col("first") + F.col("k") * F.col("gap")
+    kernel = lambda z: F.exp(-z * z / 2)
+    total = F.aggregate("own", F.lit(0.0), lambda acc, b: acc + b["weight"] * kernel((at - b["bin"] * step) / F.col("h")))
+    return rows.select(at.alias("x"), (total / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from . import chunks
-from .seeds import matches
+from .seeds import TURNED, base_sets, matches, words
 
 PIECE = 512
 
@@ -68,11 +72,84 @@ def jaccard(members: DataFrame, k: int, group: str = "gene_id", taxon: str = "ta
     return out.select(group, "a", "b", "shared", F.round(F.col("shared").cast("double") / (F.col("na") + F.col("nb") - F.col("shared")), 9).alias("jaccard"))
 
 
+def sketches(genome: DataFrame, k: int, size: int = 1000, by: str = "species") -> DataFrame:
+    """``(by, sketch)``: the ``size`` smallest hashes of a group's distinct canonical k-mers, ascending.
+
+    A k-mer and its reverse complement are one.  Sketches merge: that of several chunks is the smallest
+    of theirs together, so a task sends one of at most ``size`` numbers a group, whatever it read.
+    k-mers with ambiguity codes don't count; a group without k-mers has no row.
+    """
+    chunked = _spread(chunks.chunked(genome, k).select(by, "own", F.col("seq").cast("binary").alias("seq")))
+    kind = chunked.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for group, own, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = sketch_of(seq.as_py(), k, size, own)
+                held[group] = np.unique(np.concatenate([held[group], found]))[:size] if group in held else found
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), batch.column(0).type), pa.array([x.tolist() for x in held.values()], pa.list_(pa.int64()))], names=[by, "part"])
+
+    parts = chunked.mapInArrow(run, f"`{by}` {kind}, part array<long>")
+    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("part")))), 1, size)
+    return parts.groupBy(by).agg(merged.alias("sketch")).filter(F.size("sketch") > 0)
+
+
+def row_sketches(rows: DataFrame, k: int, size: int = 1000, seq: str = "seq") -> DataFrame:
+    """The other columns of ``rows`` and the ``sketch`` of each row's short sequence; rows without k-mers go."""
+    rest = [f for f in rows.schema if f.name != seq]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch_of(x or b"", k, size).tolist() for x in batch.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*(f.name for f in rest), "sketch"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "sketch array<long>"])
+    return rows.select(*(f.name for f in rest), F.col(seq).cast("binary")).mapInArrow(run, schema).filter(F.size("sketch") > 0)
+
+
+# Odd multipliers of a published 64-bit mix.
+_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+
+
+def sketch_of(seq: bytes, k: int, size: int, own: int | None = None) -> np.ndarray:
+    """The smallest hashes, 63 bits each, of the canonical k-mers that begin in the first ``own`` bases."""
+    sets = base_sets(seq if own is None else seq[: own + k - 1])
+    at, word = words(sets, "1" * k)
+    turned = np.zeros(max(0, len(sets) - k + 1), np.int64)
+    back, other = words(TURNED[sets[::-1]], "1" * k)
+    turned[len(turned) - 1 - back] = other
+    x = np.minimum(word, turned[at]).view(np.uint64)
+    for factor in _MIX:
+        x = x * factor
+        x ^= x >> np.uint64(32)
+    return np.unique((x >> np.uint64(1)).view(np.int64))[:size]
+
+
+def sketch_similarity(a: Column, b: Column, size: int = 1000) -> Column:
+    """The estimated Jaccard index of two sketches: the share of their union's smallest hashes that both have."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
+    both = F.size(F.array_intersect(F.array_intersect(union, a), b))
+    return F.when(F.size(union) > 0, F.round(both.cast("double") / F.size(union), 9))
+
+
+def sketch_pairs(table: DataFrame, by: str = "species", within: str | None = None, size: int = 1000) -> DataFrame:
+    """``(within, a, b, jaccard)`` of every two sketches, of a group if ``within`` names one, a < b.
+
+    Groups are genomes, or the members of a gene, of which there are at most species times copies.
+    """
+    group = [within] if within else []
+    left, right = (table.select(*group, F.col(by).alias(n), F.col("sketch").alias(f"s{n}")) for n in "ab")
+    met = left.join(right, [*group] or F.lit(True)).filter("a < b")
+    return met.select(*group, "a", "b", sketch_similarity(F.col("sa"), F.col("sb"), size).alias("jaccard"))
+
+
 def mash_distance(pairs: DataFrame, k: int) -> DataFrame:
     """Adds ``distance``: -ln(2 j / (1 + j)) / k; 0 at j = 1."""
     j = F.col("jaccard")
     d = -F.log(2 * j / (1 + j)) / k
-    return pairs.withColumn("distance", F.round(F.abs(d), 9))
+    return pairs.filter(j > 0).withColumn("distance", F.round(F.abs(d), 9))
 
 
 def seeds(genes: DataFrame, genome: DataFrame, k: int, step: int = 1, transitions: bool = False) -> DataFrame:

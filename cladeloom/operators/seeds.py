@@ -46,7 +46,7 @@ for _c, _s in BASES.items():
     _SETS[ord(_c)] = _SETS[ord(_c.lower())] = _s
 _COUNT = np.array([bin(s).count("1") for s in range(16)], np.int64)
 _CHOICE = np.array([([k for k in range(4) if s >> k & 1] + [0] * 4)[:4] for s in range(16)], np.int64)
-_TURNED = np.array([sum((s >> k & 1) << 3 - k for k in range(4)) for s in range(16)], np.uint8)
+TURNED = np.array([sum((s >> k & 1) << 3 - k for k in range(4)) for s in range(16)], np.uint8)
 _CODE = np.array([4, 0, 1, 4, 2, 4, 4, 4, 3, 4, 4, 4, 4, 4, 4, 4], np.uint8)  # of a set: one base, or 4
 
 
@@ -86,7 +86,7 @@ class Index:
     def __init__(self, ids: pa.Array, seqs: list[bytes], pattern: str, step: int, transitions: bool, most: int):
         self.ids, self.pattern, self.most = ids, pattern, most
         #: row 2 * gene + (strand is minus)
-        self.rows = [x for s in map(base_sets, seqs) for x in (s, _TURNED[s[::-1]])]
+        self.rows = [x for s in map(base_sets, seqs) for x in (s, TURNED[s[::-1]])]
         word, row, at = [], [], []
         for k, sets in enumerate(self.rows):
             p, w = words(sets, pattern, most)

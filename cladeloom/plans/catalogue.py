@@ -226,6 +226,21 @@ def gene_dup_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.histogram(gene_dup(spark, sf_dir).select(F.floor(2 * F.col("duplicity")).cast("long").alias("half")), "half")
 
 
+_DENSITY = f"""{fx.HITS_SQL}, h AS (SELECT cast(score AS double) AS x FROM hits),
+low AS (SELECT cast(floor(x / 500) AS bigint) AS low, count(*) AS n, sum(x / 500 - floor(x / 500)) AS w, sum(x) AS t, sum(x * x) AS s FROM h GROUP BY 1),
+bins AS (SELECT bin, sum(weight) AS weight FROM (SELECT low AS bin, n - w AS weight FROM low UNION ALL SELECT low + 1, w FROM low) GROUP BY bin),
+m AS (SELECT cast(sum(n) AS double) AS n, sqrt((sum(s) - sum(t) * sum(t) / sum(n)) / (sum(n) - 1)) * pow(sum(n), -0.2) AS h FROM low),
+grid AS (SELECT n, h, (SELECT min(bin) FROM bins) * 500 - 3 * h AS first, ((SELECT max(bin) FROM bins) * 500 + 3 * h - ((SELECT min(bin) FROM bins) * 500 - 3 * h)) / 199 AS gap FROM m)
+SELECT round(first + k * gap, 3) AS x, round(1000 * sum(weight * exp(-power((first + k * gap - bin * 500) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 5) AS density FROM grid, range(0, 200) r(k), bins GROUP BY k, first, gap, n, h"""
+
+
+@query("score_density", _DENSITY)
+def score_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density curve over the scores of all hits, per thousand."""
+    rows = families.density(families.density_bins(fx.hits(spark, sf_dir), "score", 500.0), 500.0)
+    return rows.select(F.round("x", 3).alias("x"), F.round(1000 * F.col("density"), 5).alias("density"))
+
+
 @query("gene_to_species", f"{fx.HITS_SQL} SELECT species, gene_id, count(*) AS n_hits, string_agg('(' || score || ',' || line_no || ',' || pos || ')', ';' ORDER BY line_no, score, pos) AS hit_list FROM hits GROUP BY ALL")
 def gene_to_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.gene_lists(fx.hits(spark, sf_dir))
@@ -378,6 +393,38 @@ def mash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmer.mash_distance(kmer_jaccard(spark, sf_dir), 3)
 
 
+# Bottom sketches of canonical 21-mers: two rounds of multiplying and folding 64 bits.
+_UP = "translate(s, 'ACGT', '0123')"
+_FOLD = "xor(x, x >> 32)"
+_SKETCH = f"""{fx.GENOME_SQL}, k AS (SELECT species, substring(upper(seq), i, 21) AS s FROM genome, unnest(range(1, length(seq) - 19)) u(i)),
+plain AS (SELECT DISTINCT species, s FROM k WHERE regexp_full_match(s, '[ACGT]*')),
+canonical AS (SELECT DISTINCT species, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS s FROM plain),
+packed AS (SELECT species, list_reduce(list_prepend(0::UHUGEINT, list_transform(string_split({_UP}, ''), lambda c: c::UHUGEINT)), lambda a, c: a * 4 + c) AS w FROM canonical),
+one AS (SELECT species, ((w * {0xFF51AFD7ED558CCD}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS x FROM packed),
+two AS (SELECT species, (({_FOLD}::UHUGEINT * {0xC4CEB9FE1A85EC53}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS x FROM one),
+hashed AS (SELECT species, ({_FOLD} >> 1)::BIGINT AS h FROM two),
+bottom AS (SELECT species, h FROM hashed QUALIFY row_number() OVER (PARTITION BY species ORDER BY h) <= 1000)"""
+
+
+@query("sketch_bottom", f"{_SKETCH} SELECT species, count(*) AS size, min(h) AS least, max(h) AS greatest, cast(sum(h % 1000003) AS bigint) AS digest FROM bottom GROUP BY species")
+def sketch_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = kmer.sketches(fx.genome(spark, sf_dir), 21)
+    h = F.explode("sketch").alias("h")
+    return own.select("species", h).groupBy("species").agg(F.count("*").alias("size"), F.min("h").alias("least"), F.max("h").alias("greatest"), F.sum(F.col("h") % 1000003).alias("digest"))
+
+
+@query(
+    "sketch_distance",
+    f"""{_SKETCH}, pairs AS (SELECT a.species AS a, b.species AS b FROM (SELECT DISTINCT species FROM bottom) a, (SELECT DISTINCT species FROM bottom) b WHERE a.species < b.species),
+united AS (SELECT a, b, h, count(*) AS n FROM pairs JOIN bottom ON species = a OR species = b GROUP BY ALL),
+top AS (SELECT a, b, n FROM united QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY h) <= 1000),
+j AS (SELECT a, b, round(cast(count(*) FILTER (n = 2) AS double) / count(*), 9) AS jaccard FROM top GROUP BY a, b)
+SELECT a, b, jaccard, round(abs(-ln(2 * jaccard / (1 + jaccard)) / 21), 9) AS distance FROM j WHERE jaccard > 0""",
+)
+def sketch_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer.mash_distance(kmer.sketch_pairs(kmer.sketches(fx.genome(spark, sf_dir), 21)), 21)
+
+
 _SEEDS = f"""{_SAMPLED}, genes AS (SELECT gene_id, upper(w.seq) AS seq FROM sampled),
 strands AS (SELECT gene_id, '+' AS strand, seq AS s FROM genes UNION ALL SELECT gene_id, '-', reverse(translate(seq, '{dna.CODES}', '{dna.COMPLEMENTS}')) FROM genes),
 q AS (SELECT gene_id, strand, i - 1 AS q_pos, substring(s, i, 24) AS kmer FROM strands, unnest(range(1, length(s) - 22)) u(i) WHERE regexp_full_match(substring(s, i, 24), '[ACGT]*')),

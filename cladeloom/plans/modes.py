@@ -147,8 +147,10 @@ def distance_trees(aligned: DataFrame, mode: str = "balanced") -> DataFrame:
 
 
 def sketch_trees(members: DataFrame, k: int = 10) -> DataFrame:
-    """``(gene_id, newick)`` from k-mer sketch distances; pairs that share none are at 1."""
-    pairs = kmer.mash_distance(kmer.jaccard(members, k), k).select("gene_id", "a", "b", "distance")
+    """``(gene_id, newick)`` from distances between bottom sketches of canonical k-mers; pairs that share
+    none are at 1.  A member is one bounded row, so no k-mer is joined."""
+    table = kmer.row_sketches(members.select("gene_id", "taxon", "seq"), k)
+    pairs = kmer.mash_distance(kmer.sketch_pairs(table, "taxon", "gene_id"), k).select("gene_id", "a", "b", "distance")
     taxa = members.select("gene_id", F.col("taxon").alias("a"), F.col("taxon").alias("b"), F.lit(0.0).alias("distance")).distinct()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
