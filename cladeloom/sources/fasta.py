@@ -2,7 +2,7 @@
 
 ``spark.read.format("fasta").load(folder)`` gives one row per record; with the options ``chunk`` and
 ``overlap`` of the format ``fasta_chunks``, records of any length come as rows of bounded size, and a
-task holds one of them.  Every file is a partition (gzip can't be split); files are listed and opened with ``pyarrow.fs`` by URI, so any store that it
+task holds one of them.  Every file is a partition there; ``read_chunks`` splits files (``sources.split``).  Files are listed and opened with ``pyarrow.fs`` by URI, so any store that it
 reaches will do.  Writing gives one file per partition and ``species`` value.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .split import SPLIT, fasta_chunks
+
 SCHEMA = "species string, rec_idx bigint, name string, comment string, seq string, qual string, is_fastq boolean, len bigint"
 SUFFIX = re.compile(r"\.(fa|fasta|fna|fq|fastq)(\.gz)?$")
 
@@ -78,13 +80,14 @@ class File(InputPartition):
 class FastaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options.get("path", "")
+        self.wanted = FASTQ if options.get("only") == "fastq" else SUFFIX
 
     def partitions(self) -> list[File]:
         uri = self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}"
         store, at = pafs.FileSystem.from_uri(uri)
         info = store.get_file_info(at)
         found = [info] if info.type == pafs.FileType.File else store.get_file_info(pafs.FileSelector(at, recursive=True))
-        own = sorted(x.path for x in found if x.type == pafs.FileType.File and SUFFIX.search(x.path))
+        own = sorted(x.path for x in found if x.type == pafs.FileType.File and self.wanted.search(x.path))
         return [File(p, uri) for p in own]
 
     def read(self, partition: File) -> Iterator[tuple]:
@@ -183,10 +186,20 @@ def read_genomes(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path).select("species", F.col("rec_idx").alias("rec"), "seq")
 
 
-def read_chunks(spark: SparkSession, path: str, overlap: int, size: int = 1 << 16) -> DataFrame:
-    """``(species, rec, start, own, seq)`` of a folder of genomes; see ``operators.chunks``."""
+FASTA = re.compile(r"\.(fa|fasta|fna)(\.gz)?$")
+FASTQ = re.compile(r"\.(fq|fastq)(\.gz)?$")
+
+
+def read_chunks(spark: SparkSession, path: str, overlap: int, size: int = 1 << 16, split: int = SPLIT) -> DataFrame:
+    """``(species, rec, start, own, seq)`` of a folder of genomes; see ``operators.chunks``.
+
+    FASTA files are read in byte ranges of ``split``; FASTQ files, whose lines can't be told apart from
+    the middle, one a task.
+    """
     spark.dataSource.register(ChunkSource)
-    rows = spark.read.format("fasta_chunks").option("chunk", size).option("overlap", overlap).load(path)
+    rows = fasta_chunks(spark, path, FASTA, size, overlap, split)
+    reads = spark.read.format("fasta_chunks").option("chunk", size).option("overlap", overlap).option("only", "fastq").load(path)
+    rows = rows.unionByName(reads.select(*rows.columns))
     return rows.select("species", F.col("rec_idx").alias("rec"), "start", "own", "seq")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .split import SPLIT, maf_lines
 
 SCHEMA = "species string, gene_id int, score bigint, line_no bigint, pos bigint, strand string, target string, seq string"
 
@@ -29,22 +31,24 @@ def blocks(lines: Iterator[str]) -> Iterator[tuple]:
                 score = None
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+FILES = re.compile(r"\.maf[^/]*$")
+
+
+def read(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """All ``.maf`` files of a folder; the species is the file's stem.
 
-    A file is one value of the whole-text reader, so a block never straddles tasks; an aligner's
-    run per genome keeps files small.
+    Files are read in byte ranges (``sources.split``); a block is that range's in which its first line
+    begins.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for frame in frames:
             rows = []
-            for species, text in zip(frame["species"], frame["value"]):
-                for gene, *rest in blocks(text.splitlines()):
-                    rows.append((species, int(gene.rsplit("_", 1)[-1]), *rest))
+            for file, first, text in zip(frame["path"], frame["first"], frame["text"]):
+                species = FILES.sub("", file.rsplit("/", 1)[-1])
+                for gene, score, at, *rest in blocks(text.split("\n")):
+                    rows.append((species, int(gene.rsplit("_", 1)[-1]), score, first + at, *rest))
             yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.maf*", recursiveFileLookup=True)
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)\.maf[^/]*$", 1)
-    return files.select(stem.alias("species"), "value").mapInPandas(run, SCHEMA)
+    return maf_lines(spark, path, FILES, split).mapInPandas(run, SCHEMA)
