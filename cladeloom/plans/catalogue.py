@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..functions.storage import shared_folder
 from ..operators import alignments, families, hits, kmer, ranges, reports, sampling, seeds, trees
-from ..sources import fasta
+from ..sources import fasta, maf, named
 from . import fixtures as fx
 from . import modes
 
@@ -85,6 +85,24 @@ draws AS (SELECT cast(concat('0x', substring(md5(concat('0#', cast(id AS varchar
 counts AS (SELECT species, k, coalesce(n, 0) AS draws FROM names LEFT JOIN draws USING (k))"""
 
 
+@query("genome_files", f"{fx.GENOME_SQL}, g AS (SELECT species, row_number() OVER (PARTITION BY species ORDER BY rec) - 1 AS rec_idx, seq FROM genome) SELECT species, rec_idx, cast(ceil(length(seq) / 4096.0) AS bigint) AS chunks, cast(length(seq) AS bigint) AS len, md5(substring(seq, 1, 4096)) AS first FROM g WHERE length(seq) > 0")
+def genome_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genomes, written as one FASTA file a species and read back in byte ranges of a megabyte."""
+    path = shared_folder(spark, "genomes")
+    g = fx.genome(spark, sf_dir)
+    named.write(g, path, F.concat("species", F.lit(".fa")), named.fasta_record(F.col("rec"), F.col("seq")), "rec")
+    rows = fasta.read_chunks(spark, path, 0, 4096, 1 << 20).groupBy("species", F.col("rec").alias("rec_idx"))
+    return rows.agg(F.count("*").alias("chunks"), F.sum("own").alias("len"), F.max(F.when(F.col("start") == 0, F.md5(F.col("seq").cast("binary")))).alias("first"))
+
+
+@query("maf_files", f"{fx.HITS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY species ORDER BY line_no, pos, gene_id, score) AS k FROM hits) SELECT species, gene_id, score, 4 * (k - 1) + 1 AS line_no, pos, strand, seq AS target, seq FROM h")
+def maf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits, written as one alignment file a species and read back in byte ranges of a megabyte."""
+    path = shared_folder(spark, "maf")
+    named.maf_files(fx.hits(spark, sf_dir).withColumn("target", F.col("seq")), path, "line_no", "pos", "gene_id", "score")
+    return maf.read(spark, path, 1 << 20)
+
+
 @query("sample_quota", f"{_DRAWS} SELECT species, draws, cast(coalesce(sum(draws) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS bigint) AS start_id, cast(sum(draws) OVER (ORDER BY k) + 1 AS bigint) AS end_id FROM counts")
 def sample_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.quota(fx.genome(spark, sf_dir), GENES)

@@ -1,4 +1,4 @@
-"""The files of a run, as text tables in any store that Spark writes.
+"""The files of a run: text tables in any store that Spark writes, and sequences under exact names.
 
 Every output is overwritten, so a repeated run leaves no doubled lines.
 """
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import families, hits, reports, sampling, trees
-from ..sources import fasta
+from ..sources import fasta, named
 from ..sources.tables import Config
 from . import modes
 
@@ -25,24 +25,26 @@ def _lines(df: DataFrame, path: str) -> None:
 def sampling_files(genes: DataFrame, out: str) -> None:
     """Sampled genes as FASTA per species and in one folder, and their counts."""
     own = genes.filter("seq is not null").withColumn("name", F.concat(F.lit("gene_"), "gene_id"))
-    fasta.write(own, f"{out}/samples", by="species")
+    named.write(own, f"{out}/samples", F.concat("species", F.lit("_temp.fa")), named.fasta_record(F.col("name"), F.col("seq")), "gene_id")
     fasta.write(own, f"{out}/samples_all")
     _csv(sampling.fragments_per_species(own), f"{out}/statistics/sampling")
 
 
-def family_files(found: DataFrame, members: DataFrame, cfg: Config, species: int, out: str) -> None:
-    """Gene families, the copy mapping, and the statistics of the hit stage."""
-    named = members.withColumn("name", F.concat_ws("_", "species", "copy"))
-    fasta.write(named, f"{out}/genes", by="gene_id")
+def family_files(found: DataFrame, members: DataFrame, cfg: Config, species: int, out: str, ids: DataFrame | None = None) -> None:
+    """Gene families as ``gene_<id>.fa``, empty for ids without one, the copy mapping, and the statistics of
+    the hit stage."""
+    named.gene_files(members, members if ids is None else ids, f"{out}/genes")
     _lines(hits.copy_mapping(members).select(F.concat_ws(" ", "taxon", "species")), f"{out}/genes/mapping")
     least = cfg.min_species(species)
     stats = f"{out}/statistics"
     _csv(families.genes_per_species(found), f"{stats}/num_genes")
     _csv(families.homologs(found), f"{stats}/homologs")
     _csv(families.histogram(families.homologs(found), "num_species"), f"{stats}/homologs_histogram")
+    _csv(families.density(families.density_bins(families.homologs(found), "num_species", 0.25), 0.25), f"{stats}/homologs_density")
     dup = families.duplicity(members, found)
     _csv(dup, f"{stats}/gene_dup")
     _csv(families.histogram(dup, "duplicity"), f"{stats}/gene_dup_histogram")
+    _csv(families.density(families.density_bins(dup, "duplicity", 0.05), 0.05), f"{stats}/gene_dup_density")
     _csv(families.gene_lists(found), f"{stats}/gene_to_species", "\t")
     _lines(families.gene_tree_count(members, least), f"{stats}/num_gt")
 
@@ -50,7 +52,7 @@ def family_files(found: DataFrame, members: DataFrame, cfg: Config, species: int
 def round_files(done: modes.Stages, cfg: Config, out: str) -> None:
     """What a round samples and finds: samples, families, mapping and statistics."""
     sampling_files(done.genes, out)
-    family_files(done.found, done.members, cfg, done.species, out)
+    family_files(done.found, done.members, cfg, done.species, out, done.genes)
 
 
 def tree_files(gene_trees: DataFrame, gene_count: int, out: str) -> None:

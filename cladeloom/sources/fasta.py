@@ -90,7 +90,9 @@ class FastaReader(DataSourceReader):
         own = sorted(x.path for x in found if x.type == pafs.FileType.File and self.wanted.search(x.path))
         return [File(p, uri) for p in own]
 
-    def read(self, partition: File) -> Iterator[tuple]:
+    def read(self, partition: File | None) -> Iterator[tuple]:
+        if partition is None:  # no file
+            return
         store, _ = pafs.FileSystem.from_uri(partition.root)
         compression = "gzip" if partition.path.endswith(".gz") else None
         species = SUFFIX.sub("", partition.path.rsplit("/", 1)[-1])
@@ -149,7 +151,9 @@ class ChunkReader(FastaReader):
         super().__init__(options)
         self.size, self.overlap = int(options["chunk"]), int(options["overlap"])
 
-    def read(self, partition: File) -> Iterator[tuple]:
+    def read(self, partition: File | None) -> Iterator[tuple]:
+        if partition is None:  # no file
+            return
         store, _ = pafs.FileSystem.from_uri(partition.root)
         plain, gzipped = partition.path.removesuffix(".gz"), partition.path.endswith(".gz")
         species = SUFFIX.sub("", partition.path.rsplit("/", 1)[-1])
