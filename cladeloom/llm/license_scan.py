@@ -2,8 +2,10 @@
 
 Everything runs as DataFrame expressions.  A template is the set of its pairs of neighbouring words,
 so word order counts; a block is a run of ``2 * STRIDE`` words of the text, whatever its line breaks,
-and blocks start every ``STRIDE`` words, so a notice of up to ``STRIDE`` words lies whole in one.
-A block meets a template when it holds at least ``threshold`` of the template's pairs.  Pairs are
+and blocks start every ``STRIDE`` words (or as many as the longest template has), so every notice lies
+whole in one.  A block meets a template when it holds at least ``threshold`` of the template's pairs,
+and all that decide: those with a number, and those that tell it from a template of another label that
+is nearly the same.  Pairs are
 ordered by their frequency over the whole corpus, rarest first.  With ``a = ceil(threshold * |T|)``
 pairs needed:
 
@@ -125,12 +127,29 @@ def _pairs(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def _notices(templates: dict[str, list[str]]) -> list[tuple[int, str, list[str]]]:
-    """``(number, label, pairs)`` of every notice."""
+def _notices(templates: dict[str, list[str]]) -> list[tuple[int, str, list[str], list[str]]]:
+    """``(number, label, pairs, deciding pairs)`` of every notice.
+
+    Deciding pairs have to be met whatever the containment is: those with a number in them, so that no
+    version is claimed that a text does not name, and those that a notice of another label, which holds
+    enough of this one to be taken for it, has not.
+    """
     flat = [(label, t) for label, ts in sorted(templates.items()) for t in ts]
-    if max(len(t.split()) for _, t in flat) > STRIDE:
-        raise ValueError(f"a notice has at most {STRIDE} words")
-    return [(k, label, _pairs(t)) for k, (label, t) in enumerate(flat)]
+    pairs = [_pairs(t) for _, t in flat]
+    out = []
+    for k, (label, _) in enumerate(flat):
+        own = set(pairs[k])
+        must = {p for p in own if any(w.isdigit() for w in p.split())}
+        for j, (other, _) in enumerate(flat):
+            if other != label and len(own & set(pairs[j])) >= THRESHOLD * len(own):
+                must |= own - set(pairs[j])
+        out.append((k, label, pairs[k], sorted(must)))
+    return out
+
+
+def _stride(templates: dict[str, list[str]]) -> int:
+    """Words from one block to the next: no fewer than the longest notice has."""
+    return max(STRIDE, *(len(t.split()) for ts in templates.values() for t in ts))
 
 
 def vocabulary_hits(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,27 +164,29 @@ def vocabulary_hits(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_i
 def template_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``(id, row_hash, block, notice, label, containment, matched)`` for every block that meets a
     notice; ``matched`` are the ranks of the shared pairs."""
-    notices = _notices(TEMPLATES if templates is None else templates)
-    vocabulary = sorted({p for _, _, ps in notices for p in ps})
+    templates = TEMPLATES if templates is None else templates
+    notices, stride = _notices(templates), _stride(templates)
+    vocabulary = sorted({p for _, _, ps, _ in notices for p in ps})
     scratch = Scratch(docs.sparkSession, "licenses")
     hits = scratch.table(vocabulary_hits(docs, vocabulary, id_col, text_col), "hits")
     counts = {r["pair"]: r["n"] for r in hits.groupBy("pair").agg(F.count("*").alias("n")).collect()}
     rank = {p: k for k, p in enumerate(sorted(vocabulary, key=lambda p: (counts.get(p, 0), p)))}
-    need = {k: max(1, math.ceil(threshold * len(ps) - 1e-9)) for k, _, ps in notices}
-    ordered = {k: sorted(rank[p] for p in ps) for k, _, ps in notices}
-    prefix = [(r, k, label, j, len(ordered[k]), need[k], ordered[k]) for k, label, _ in notices for j, r in enumerate(ordered[k][: len(ordered[k]) - need[k] + 1])]
+    need = {k: max(1, math.ceil(threshold * len(ps) - 1e-9)) for k, _, ps, _ in notices}
+    ordered = {k: sorted(rank[p] for p in ps) for k, _, ps, _ in notices}
+    must = {k: sorted(rank[p] for p in ps) for k, _, _, ps in notices}
+    prefix = [(r, k, label, j, len(ordered[k]), need[k], ordered[k], must[k]) for k, label, _, _ in notices for j, r in enumerate(ordered[k][: len(ordered[k]) - need[k] + 1])]
     spark = docs.sparkSession
-    index = F.broadcast(spark.createDataFrame(prefix, "rank int, notice int, label string, j int, t_size int, need int, t_ranks array<int>"))
+    index = F.broadcast(spark.createDataFrame(prefix, "rank int, notice int, label string, j int, t_size int, need int, t_ranks array<int>, must array<int>"))
     ranks = F.broadcast(spark.createDataFrame(sorted(rank.items()), "pair string, r int"))
 
-    own = F.floor(F.col("pos") / STRIDE).cast("int")
-    # a block holds 2 * STRIDE words, so the pair over its end belongs to the next one only
-    both = F.when((own > 0) & (F.col("pos") % STRIDE < STRIDE - 1), F.array(own - 1, own)).otherwise(F.array(own))
+    own = F.floor(F.col("pos") / stride).cast("int")
+    # a block holds 2 * stride words, so the pair over its end belongs to the next one only
+    both = F.when((own > 0) & (F.col("pos") % stride < stride - 1), F.array(own - 1, own)).otherwise(F.array(own))
     blocks = hits.join(ranks, "pair").select(id_col, "row_hash", F.explode(both).alias("block"), "r")
     blocks = blocks.groupBy(id_col, "row_hash", "block").agg(F.array_sort(F.collect_set("r")).alias("b")).filter(F.size("b") >= min(need.values()))
     met = blocks.select(id_col, "row_hash", "block", "b", F.posexplode("b").alias("i", "rank")).join(index, "rank")
     met = met.filter("size(b) >= need and i <= size(b) - need and 1 + least(size(b) - i - 1, t_size - j - 1) >= need")
-    met = met.withColumn("matched", F.array_intersect("b", "t_ranks")).filter("size(matched) >= need")
+    met = met.withColumn("matched", F.array_intersect("b", "t_ranks")).filter("size(matched) >= need AND size(array_except(must, matched)) = 0")
     met = met.select(id_col, "row_hash", "block", "notice", "label", (F.size("matched") / F.col("t_size")).alias("containment"), "matched").distinct()
     return scratch.close(met)
 
@@ -211,19 +232,20 @@ def _sql() -> str:
         f"SELECT r, i - 1 AS p, '{label}' AS label FROM w, unnest(range(1, len(words) + 1)) u(i) WHERE " + " AND ".join(f"words[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         for phrase, label in BASE.items()
     )
-    rows = ", ".join(f"({k}, '{label}', {ps})" for k, label, ps in _notices(TEMPLATES))
+    rows = ", ".join(f"({k}, '{label}', {ps}, {must or '[]::VARCHAR[]'})" for k, label, ps, must in _notices(TEMPLATES))
+    stride = _stride(TEMPLATES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS t FROM documents),
 w AS (SELECT r, doc_id, regexp_extract_all(t, '{word}') AS words FROM d),
 p AS ({place}),
 b AS (SELECT r, count(*) AS n, min(p) AS lo, max(p) AS hi, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, list(DISTINCT label) AS ls FROM p GROUP BY r),
-t(notice, label, ps) AS (VALUES {rows}),
-tp AS (SELECT notice, label, len(ps) AS size, unnest(ps) AS pair FROM t),
+t(notice, label, ps, must) AS (VALUES {rows}),
+tp AS (SELECT notice, label, must, len(ps) AS size, unnest(ps) AS pair FROM t),
 h AS (SELECT r, i - 1 AS pos, words[i] || ' ' || words[i + 1] AS pair FROM w, unnest(range(1, len(words))) u(i)),
-k AS (SELECT r, pair, k FROM h, unnest([pos // {STRIDE}, pos // {STRIDE} - 1]) u(k)
-      WHERE pair IN (SELECT pair FROM tp) AND k >= 0 AND pos + 1 < (k + 2) * {STRIDE}),
+k AS (SELECT r, pair, k FROM h, unnest([pos // {stride}, pos // {stride} - 1]) u(k)
+      WHERE pair IN (SELECT pair FROM tp) AND k >= 0 AND pos + 1 < (k + 2) * {stride}),
 m AS (SELECT r, k, notice, label, count(DISTINCT pair) / cast(size AS double) AS c, list(DISTINCT pair) AS matched
-      FROM k JOIN tp USING (pair) GROUP BY r, k, notice, label, size HAVING count(DISTINCT pair) >= ceil({THRESHOLD} * size - 1e-9)),
+      FROM k JOIN tp USING (pair) GROUP BY r, k, notice, label, size, must HAVING count(DISTINCT pair) >= ceil({THRESHOLD} * size - 1e-9) AND list_has_all(list(DISTINCT pair), must)),
 s AS (SELECT * FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE x.r = y.r AND x.k = y.k AND x.notice <> y.notice
       AND list_has_all(y.matched, x.matched) AND (len(y.matched) > len(x.matched) OR y.c > x.c))),
 g AS (SELECT r, list(DISTINCT label) AS ls, max(c) AS best, count(DISTINCT k) AS n FROM s GROUP BY r)
