@@ -3,9 +3,7 @@
 Everything runs as DataFrame expressions.  A template is the set of its pairs of neighbouring words,
 so word order counts; a block is a run of ``2 * STRIDE`` words of the text, whatever its line breaks,
 and blocks start every ``STRIDE`` words (or as many as the longest template has), so every notice lies
-whole in one.  A block meets a template when it holds at least ``threshold`` of the template's pairs,
-and all that decide: those with a number, and those that tell it from a template of another label that
-is nearly the same.  Pairs are
+whole in one.  A block meets a template when it holds at least ``threshold`` of the template's pairs.  Pairs are
 ordered by their frequency over the whole corpus, rarest first.  With ``a = ceil(threshold * |T|)``
 pairs needed:
 
@@ -15,7 +13,8 @@ pairs needed:
 * positional filter: from where the shared pairs stand, ``a`` pairs must still be reachable.
 
 Surviving pairs are verified by an exact intersection.  ``template_join`` returns all that meet the
-threshold.  ``scan`` gives labels: in a block, a template gives way to another whose matched pairs
+threshold.  ``scan`` gives labels, of templates all whose deciding pairs are met (a word and the number
+behind it, and what tells a template from one of another label that is nearly the same): in a block, a template gives way to another whose matched pairs
 hold all of its own and more (or the same at a higher containment), so a notice of a longer name does
 not count as one of a shorter.
 
@@ -130,8 +129,8 @@ def _pairs(text: str) -> list[str]:
 def _notices(templates: dict[str, list[str]]) -> list[tuple[int, str, list[str], list[str]]]:
     """``(number, label, pairs, deciding pairs)`` of every notice.
 
-    Deciding pairs have to be met whatever the containment is: those with a number in them, so that no
-    version is claimed that a text does not name, and those that a notice of another label, which holds
+    A label needs its deciding pairs whatever the containment is: a word and the number behind it, so that
+    no version is claimed that a text does not name, and those that a notice of another label, which holds
     enough of this one to be taken for it, has not.
     """
     flat = [(label, t) for label, ts in sorted(templates.items()) for t in ts]
@@ -139,7 +138,7 @@ def _notices(templates: dict[str, list[str]]) -> list[tuple[int, str, list[str],
     out = []
     for k, (label, _) in enumerate(flat):
         own = set(pairs[k])
-        must = {p for p in own if any(w.isdigit() for w in p.split())}
+        must = {p for p in own if p.split()[1].isdigit() and not p.split()[0].isdigit()}
         for j, (other, _) in enumerate(flat):
             if other != label and len(own & set(pairs[j])) >= THRESHOLD * len(own):
                 must |= own - set(pairs[j])
@@ -162,8 +161,8 @@ def vocabulary_hits(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_i
 
 
 def template_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``(id, row_hash, block, notice, label, containment, matched)`` for every block that meets a
-    notice; ``matched`` are the ranks of the shared pairs."""
+    """``(id, row_hash, block, notice, label, containment, matched, lacking)`` for every block that meets a
+    notice; ``matched`` are the ranks of the shared pairs, ``lacking`` is how many deciding pairs are not among them."""
     templates = TEMPLATES if templates is None else templates
     notices, stride = _notices(templates), _stride(templates)
     vocabulary = sorted({p for _, _, ps, _ in notices for p in ps})
@@ -186,14 +185,14 @@ def template_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = blocks.groupBy(id_col, "row_hash", "block").agg(F.array_sort(F.collect_set("r")).alias("b")).filter(F.size("b") >= min(need.values()))
     met = blocks.select(id_col, "row_hash", "block", "b", F.posexplode("b").alias("i", "rank")).join(index, "rank")
     met = met.filter("size(b) >= need and i <= size(b) - need and 1 + least(size(b) - i - 1, t_size - j - 1) >= need")
-    met = met.withColumn("matched", F.array_intersect("b", "t_ranks")).filter("size(matched) >= need AND size(array_except(must, matched)) = 0")
-    met = met.select(id_col, "row_hash", "block", "notice", "label", (F.size("matched") / F.col("t_size")).alias("containment"), "matched").distinct()
+    met = met.withColumn("matched", F.array_intersect("b", "t_ranks")).filter("size(matched) >= need")
+    met = met.select(id_col, "row_hash", "block", "notice", "label", (F.size("matched") / F.col("t_size")).alias("containment"), "matched", F.size(F.array_except("must", "matched")).alias("lacking")).distinct()
     return scratch.close(met)
 
 
 def _labels(met: DataFrame, id_col: str) -> DataFrame:
-    """``(id, row_hash, block, label, containment)`` without those that give way."""
-    block = met.groupBy(id_col, "row_hash", "block").agg(F.collect_list(F.struct("notice", "label", "containment", "matched")).alias("l"))
+    """``(id, row_hash, block, label, containment)`` without those that lack what decides or give way."""
+    block = met.filter("lacking = 0").groupBy(id_col, "row_hash", "block").agg(F.collect_list(F.struct("notice", "label", "containment", "matched")).alias("l"))
 
     def gives_way(x: Column, y: Column) -> Column:
         inside = F.size(F.array_except(x["matched"], y["matched"])) == 0
