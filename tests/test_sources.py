@@ -74,10 +74,10 @@ def test_statistics_and_timings(spark, tmp_path):
     assert [(r["line_no"], r["support"]) for r in rows] == [(0, 0.9), (1, None)]
     jobs = tmp_path / "jobs"
     jobs.mkdir()
-    put(jobs, "gene_1.pasta.txt", "s\th:m:s\tcpu\n120\t0:02:00\t60\n")
-    put(jobs, "gene_2.pasta.txt", "s\th:m:s\tcpu\n120\t0:02:00\tNA\n")
-    put(jobs, "gene_3.lastz.txt", "s\th:m:s\tcpu\n")
-    assert [tuple(r) for r in tables.job_timings(spark, str(jobs)).collect()] == [("pasta", "gene_1", 2.0, 1.0)]
+    put(jobs, "gene_1.align.txt", "s\th:m:s\tcpu\n120\t0:02:00\t60\n")
+    put(jobs, "gene_2.align.txt", "s\th:m:s\tcpu\n120\t0:02:00\tNA\n")
+    put(jobs, "gene_3.search.txt", "s\th:m:s\tcpu\n")
+    assert [tuple(r) for r in tables.job_timings(spark, str(jobs)).collect()] == [("align", "gene_1", 2.0, 1.0)]
 
 
 def test_matrix_and_config():
