@@ -271,6 +271,7 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
     points = scratch.table(_points(docs, text_col, order, bitmap, percent), "points")
     shared = points.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     live = scratch.table(points.join(shared, "key"), "live")
+    scratch.drop("points")  # tables that no later plan reads make room
     front = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     needed = spark.sparkContext.broadcast(_bitmap(live.select("digest").distinct().select(front.alias("key")), BITMAP_BITS - 4))
     sets = scratch.table(_sets(docs, text_col, needed), "sets")
@@ -290,9 +291,12 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
             own = own.join(hub, "key").groupBy("digest").agg(F.max_by(F.struct("n", "comp", "h"), F.struct("m", "key")).alias("o")).select("digest", "o.*")
             pairs = own.filter("comp <> h.comp").select(F.col("digest").alias("x"), F.col("n").alias("na"), F.col("h.digest").alias("y"), F.col("h.n").alias("nb"))
         else:
+            scratch.drop("few")
             own = scratch.table(comp(live), "comps")
+            scratch.drop("live")
             several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
             own = scratch.table(own.join(several, "key"), "several")
+            scratch.drop("comps")
             most = own.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"))
             rest = own.join(most, "key").filter("comp <> top").select("key", F.col("at").alias("ata"), F.col("digest").alias("x"), F.col("n").alias("na"), F.col("comp").alias("comp0"))
             pairs = rest.join(own.select("key", F.col("at").alias("atb"), F.col("digest").alias("y"), F.col("n").alias("nb"), "comp"), "key").filter(F.col("comp") != F.col("comp0")).filter(_room(percent))
