@@ -33,10 +33,10 @@ a normal number, by the saddle point, where they are many.
 What grows with the corpus stays distributed.  Words are a shuffled table of hash, bytes and count,
 which gives the beginnings their customers.  Pairs of word and first piece are counted in tasks and
 added up in buckets by context; a context serves at most as many dishes as there are pieces, so its
-pairs are one bucket's and yet bounded.  A bucket draws tables in every sweep; its numbers are seeded,
-so nothing need be written, a lost task is repeated alike, and a later job draws the sweeps before it
-again.  Per sweep, sums over pieces come to the driver; their number, and that of what goes to all
-tasks, is that of the vocabulary's pieces.
+pairs are one bucket's and yet bounded.  A bucket draws tables in every sweep, once: a sweep is a job
+that writes its draws, with those of the kept sweeps before it, and later jobs read them.  Its numbers
+are seeded, so a lost task is repeated alike.  Per sweep, sums over pieces come to the driver; their
+number, and that of what goes to all tasks, is that of the vocabulary's pieces.
 
 Scores: what follows a word's first piece depends on the word alone, so it is reckoned once a word.
 The ``HEAD_WORDS`` and ``HEAD_PAIRS`` most frequent words and pairs, at most, go to all tasks with
@@ -56,7 +56,7 @@ from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -388,13 +388,18 @@ class Root:
 
 @dataclass
 class Pairs:
-    """A bucket's contexts, sorted by hash, and their dishes with their customers."""
+    """A bucket's contexts, sorted by hash, and their dishes with their customers.
+
+    ``draws`` holds, for the kept sweeps or else for the last one, how many tables more than one each
+    dish with several customers has; a dish with one customer has one table.
+    """
 
     bucket: int
     context: np.ndarray
     dishes: np.ndarray  # how many, by context
     piece: np.ndarray
     count: np.ndarray
+    draws: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self):
         self.kind = (self.context & 1).astype(np.int64)
@@ -406,29 +411,30 @@ class Pairs:
     def _by_context(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.first) if len(self.first) else values[:0]
 
-    def sweeps(self, plan: list[Sweep]) -> Iterator[tuple[Sweep, np.ndarray, np.ndarray]]:
-        """The tables of every dish and of every context, sweep by sweep; seeded, so always the same.
+    def seated(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tables of every dish and of every context, by the draw with number k; one a dish before the first."""
+        tables = np.ones(len(self.count), np.int64)
+        if not self.draws:
+            return tables, self.dishes
+        tables[self.many] += self.draws[k]
+        return tables, self.dishes + np.bincount(self.at[self.many], self.draws[k], minlength=len(self.dishes)).astype(np.int64)
 
-        A dish with one customer has one table, so only others are drawn.
-        """
+    def sweep(self, s: Sweep, keep: bool) -> None:
+        """Draws the tables anew from those of the last draw, which goes unless it is to be kept."""
         context, piece, count = self.at[self.many], self.piece[self.many], self.count[self.many]
-        kind, all_tables = self.kind[context], self.dishes
+        kind, all_tables = self.kind[context], self.seated(-1)[1]
         own, where = np.unique(context, return_inverse=True)
-        for s in plan:
-            rng = np.random.default_rng([7, s.number, self.bucket])
-            d, strength = np.array(s.d), np.array(s.strength)
-            weight = d[self.kind[own]] * rng.gamma((strength / d)[self.kind[own]] + all_tables[own])
-            x = np.maximum(weight[where] * s.parent[kind, piece], 1e-300)
-            drawn = np.ones(len(count), np.int64)
-            for k in (0, 1):
-                mine = np.flatnonzero(kind == k)
-                for lo in range(0, len(mine), 8 * CHUNK):
-                    part = mine[lo : lo + 8 * CHUNK]
-                    drawn[part] = _seats(s.d[k]).draw(count[part], x[part], rng)
-            tables = np.ones(len(self.count), np.int64)
-            tables[self.many] = drawn
-            all_tables = self.dishes + np.bincount(context, drawn - 1, minlength=len(self.dishes)).astype(np.int64)
-            yield s, tables, all_tables
+        rng = np.random.default_rng([7, s.number, self.bucket])
+        d, strength = np.array(s.d), np.array(s.strength)
+        weight = d[self.kind[own]] * rng.gamma((strength / d)[self.kind[own]] + all_tables[own])
+        x = np.maximum(weight[where] * s.parent[kind, piece], 1e-300)
+        drawn = np.ones(len(count), np.int64)
+        for k in (0, 1):
+            mine = np.flatnonzero(kind == k)
+            for lo in range(0, len(mine), 8 * CHUNK):
+                part = mine[lo : lo + 8 * CHUNK]
+                drawn[part] = _seats(s.d[k]).draw(count[part], x[part], rng)
+        self.draws = [*(self.draws if keep else []), drawn - 1]
 
 
 @dataclass
@@ -459,9 +465,8 @@ class Model:
         word = (context & 1) == 0
         total = np.zeros(len(context))
         hit, new_w, new_b = np.flatnonzero(met), np.flatnonzero(~met & word), np.flatnonzero(~met & ~word & is_known)
-        for s, tables, all_tables in pairs.sweeps(self.sweeps):
-            if s.number < self.burn_in:
-                continue
+        for k, s in enumerate(kept):
+            tables, all_tables = pairs.seated(k)
             d, strength = np.array(s.d), np.array(s.strength)
             spare = (strength[pairs.kind] + d[pairs.kind] * all_tables) / (strength[pairs.kind] + pairs.customers)
             base = s.after[pairs.kind[pairs.at], pairs.piece]
@@ -495,30 +500,61 @@ SUMS = 2 * PIECES + 512
 
 
 def _sums(table: DataFrame, what) -> np.ndarray:
-    """The sum over all buckets of ``what(pairs)``, ``SUMS`` whole numbers.
-
-    Tasks add up what they read; their sums meet in ``SUMS / 512`` rows.
-    """
+    """The sum over all buckets of ``what(pairs)``, ``SUMS`` whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SUMS, np.int64)
         for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns)):
-                total += what(_pairs_of(*row))
-        at = [j for j in range(0, SUMS, 512) if total[j : j + 512].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([j // 512 for j in at], pa.int32()), pa.array([_pack(total[j : j + 512]) for j in at], pa.binary())], names=["part", "n"])
+            for row in zip(*batch.columns):
+                total += what(_pairs_of(*(x.as_py() for x in row)))
+        part, n = _parts(total)
+        yield pa.RecordBatch.from_arrays([part, n], names=["bucket", "count"])
+
+    return _total(table.mapInArrow(run, "bucket int, count binary"))
+
+
+def _parts(total: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A task's sums in rows of 512, those that are not all zero."""
+    at = [j for j in range(0, SUMS, 512) if total[j : j + 512].any()]
+    return pa.array([j // 512 for j in at], pa.int32()), pa.array([_pack(total[j : j + 512]) for j in at], pa.binary())
+
+
+def _total(parts: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sums; they meet in ``SUMS / 512`` rows."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(_unpack(x.as_py()) for x in table.column("n"))
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([_pack(total)], pa.binary())})
+        total = sum(_unpack(x.as_py()) for x in table.column("count"))
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "count": pa.array([_pack(total)], pa.binary())})
 
-    parts = table.mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
     out = np.zeros(SUMS, np.int64)
-    for part, n in parts.toLocalIterator():
+    for part, n in parts.select("bucket", "count").groupBy("bucket").applyInArrow(add, "bucket int, count binary").toLocalIterator():
         out[part * 512 : (part + 1) * 512] = _unpack(n)
     return out
 
 
+def drawn_once(table: DataFrame, what, s: Sweep, keep: bool) -> DataFrame:
+    """Rows of two parts.  Part 0: the buckets of ``table`` with a further draw.  Part 1: the sums over
+    each task's buckets of ``what(pairs)``, in their columns ``bucket`` and ``count``."""
+    shared = table.sparkSession.sparkContext.broadcast(s)
+    names = [*SEATED_NAMES, "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SUMS, np.int64)
+        for batch in batches:
+            for j in range(batch.num_rows):
+                row = [x[j].as_py() for x in batch.columns]
+                own = _pairs_of(*row)
+                own.sweep(shared.value, keep)
+                total += what(own)
+                cols = [pa.array([x], t) for x, t in zip([*row[:5], [*(row[5] if keep else []), _pack(own.draws[-1])], 0], SEATED_TYPES)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        part, n = _parts(total)
+        none = [pa.nulls(len(n), t) for t in SEATED_TYPES]
+        yield pa.RecordBatch.from_arrays([part, *none[1:4], n, none[5], pa.array([1] * len(n), pa.int32())], names=names)
+
+    return table.mapInArrow(run, f"{SEATED}, part int")
+
+
 def _served(pairs: Pairs, tables: np.ndarray) -> np.ndarray:
     return np.bincount(pairs.kind[pairs.at] * PIECES + pairs.piece, tables, minlength=2 * PIECES).astype(np.int64)
 
@@ -537,8 +573,9 @@ def _likelihoods(pairs: Pairs, all_tables: np.ndarray, d: tuple[float, float]) -
     return out
 
 
-def fit(table: DataFrame, size: int, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 11) -> Model:
-    """Gibbs sweeps over the table of a corpus's pairs."""
+def fit(scratch: Scratch, table: DataFrame, size: int, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 11) -> tuple[Model, DataFrame]:
+    """Gibbs sweeps over the table of a corpus's pairs; the model, and the table with the draws of
+    the kept sweeps (``SEATED``).  A sweep's table goes when the next one is written."""
 
     def counts_of_counts(pairs: Pairs) -> np.ndarray:
         out = np.zeros(512, np.int64)
@@ -546,6 +583,10 @@ def fit(table: DataFrame, size: int, burn_in: int = BURN_IN, samples: int = SAMP
         out[:4] = [((pairs.count == n) & (kind == k)).sum() for k in (0, 1) for n in (1, 2)]
         return np.concatenate([_served(pairs, np.ones(len(pairs.count))), out])
 
+    def sums(pairs: Pairs) -> np.ndarray:
+        tables, all_tables = pairs.seated(-1)
+        return np.concatenate([_served(pairs, tables), _likelihoods(pairs, all_tables, d)])
+
     got = _sums(table, counts_of_counts)
     d = tuple(discount(int(got[2 * PIECES + 2 * k]), int(got[2 * PIECES + 2 * k + 1])) for k in (0, 1))
     served = got[: 2 * PIECES].reshape(2, PIECES)
@@ -556,20 +597,15 @@ def fit(table: DataFrame, size: int, burn_in: int = BURN_IN, samples: int = SAMP
     strength = (1.0, 1.0)
     for number in range(burn_in + samples):
         model.sweeps.append(Sweep(number, d, strength, parent))
-        plan = list(model.sweeps)
-
-        def draw(pairs: Pairs, plan=plan) -> np.ndarray:
-            for _, tables, all_tables in pairs.sweeps(plan):
-                pass
-            return np.concatenate([_served(pairs, tables), _likelihoods(pairs, all_tables, d)])
-
-        got = _sums(table, draw)
+        both = scratch.table(drawn_once(table, sums, model.sweeps[-1], number > burn_in), f"sweep{number}", by="part")
+        scratch.drop(f"sweep{number - 1}" if number else "pairs")
+        table, got = both.filter("part = 0").drop("part"), _total(both.filter("part = 1"))
         served = got[: 2 * PIECES].reshape(2, PIECES)
         parent = model.sweeps[-1].after = np.stack([r.sweep(c, rng) for r, c in zip(roots, served)])
         n = len(GRID)
         logs = [got[2 * PIECES + 128 * k :][:n] - got[2 * PIECES + 128 * k + n :][:n] for k in (0, 1)]
         strength = tuple(_draw_strength(x / 1000, rng) for x in logs)
-    return model
+    return model, table
 
 
 # ---------------------------------------------------------------- blocks and buckets
@@ -578,12 +614,14 @@ def fit(table: DataFrame, size: int, burn_in: int = BURN_IN, samples: int = SAMP
 # it; per pair and row: the row and the count there
 ASKED = "block long, bucket int, context binary, dishes binary, piece binary, count binary, rows binary, row binary, n binary"
 KNOWN = "bucket int, context binary, dishes binary, piece binary, count binary"
-ASKED_NAMES, KNOWN_NAMES = ([x.split()[0] for x in s.split(", ")] for s in (ASKED, KNOWN))
+SEATED = f"{KNOWN}, draws array<binary>"
+ASKED_NAMES, KNOWN_NAMES, SEATED_NAMES = ([x.split()[0] for x in s.split(", ")] for s in (ASKED, KNOWN, SEATED))
 ASKED_TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
+SEATED_TYPES = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.binary()), pa.int32()]  # with the part
 
 
-def _pairs_of(bucket: int, context: bytes, dishes: bytes, piece: bytes, count: bytes) -> Pairs:
-    return Pairs(bucket, _unpack_hashes(context), _unpack(dishes), _unpack(piece), _unpack(count))
+def _pairs_of(bucket: int, context: bytes, dishes: bytes, piece: bytes, count: bytes, draws: list[bytes] | None = None) -> Pairs:
+    return Pairs(bucket, _unpack_hashes(context), _unpack(dishes), _unpack(piece), _unpack(count), [_unpack(x) for x in draws or []])
 
 
 def _pack_hashes(values: np.ndarray) -> bytes:
@@ -873,10 +911,10 @@ def row_scores(asked: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         if known.num_rows:
-            own = _pairs_of(*(known.column(x)[0].as_py() for x in KNOWN_NAMES))
+            own = _pairs_of(*(known.column(x)[0].as_py() for x in SEATED_NAMES))
         else:
             own = Pairs(key[0].as_py(), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-        # all blocks' pairs at once, each once, so that the sweeps are drawn once
+        # all blocks' pairs at once, each once
         rows = [(_unpack_hashes(c.as_py()), _unpack(d.as_py()), _unpack(p.as_py())) for c, d, p in zip(*(asked.column(x) for x in ("context", "dishes", "piece")))]
         if not rows:
             return pa.table({"block": pa.array([], pa.int64()), "row": pa.array([], pa.binary()), "s": pa.array([], pa.binary())})
@@ -922,7 +960,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     beginnings = words.filter("part = 1")
     counted = first_pairs(with_bytes(marked.filter("_train"), text_col), buckets, path)
     pairs = scratch.table(merged(counted.unionByName(beginnings.select(*KNOWN_NAMES))), "pairs")
-    model = fit(pairs, speller_of(path).end + 1, burn_in, samples)
+    model, pairs = fit(scratch, pairs, speller_of(path).end + 1, burn_in, samples)
 
     rest = row_scores(beginnings.select(*ASKED_NAMES), pairs, model)
     lexicon = words.filter("part = 0").select("row_key", "h", "c").join(rest, "row_key", "left").select("h", "c", F.coalesce("s", F.lit(0.0)).alias("rest"))

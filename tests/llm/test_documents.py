@@ -842,6 +842,9 @@ def test_probabilities_of_a_bucket_sum_to_one():
     served = np.zeros((2, pieces), bool)
     served[:, : size - 10] = True
     model = language_model.Model([language_model.Sweep(k, (0.6, 0.7), (1.0, 2.0), base, base) for k in range(4)], 1, served)
+    for k, sweep in enumerate(model.sweeps):
+        pairs.sweep(sweep, k > 1)
+    assert len(pairs.draws) == 3 and sum(x.sum() for x in pairs.draws) > 0
 
     def ask(c, p):
         return 10 ** model.log_probability(pairs, np.array([c] * len(p), np.uint64), np.array(p))
