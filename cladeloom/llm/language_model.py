@@ -53,7 +53,6 @@ from __future__ import annotations
 
 import math
 from array import array
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -61,6 +60,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +78,7 @@ EXACT, TABLES = 4096, 512
 BLOCK_UNITS, BLOCK_ROWS = 1 << 20, 1 << 19
 BUCKET_UNITS = 1 << 23
 CHUNK = 1 << 18
+SLICE_ROWS, SLICE_BYTES = 1024, 1 << 20
 FLUSH = 200_000
 CACHE = 200_000
 END = b" "  # no word holds a blank
@@ -88,6 +89,46 @@ def tokens_of(raw: bytes) -> list[bytes]:
     return [*raw.lower().split(), END]
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def tokenized(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the end token last; the tokens as places in that list; how many
+    each text has."""
+    column = column.cast(pa.large_binary())
+    bound = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bound[0] : bound[-1]]
+    inner = ~_BLANK[data]
+    first = inner.copy()
+    first[1:] &= ~inner[:-1]
+    begin = bound[:-1][np.diff(bound) > 0] - bound[0]
+    first[begin] = inner[begin]
+    letters, at = _LOWER[data[inner]], np.flatnonzero(first[inner])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(letters)).astype(np.int64)), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    n = np.diff(np.searchsorted(np.flatnonzero(first), bound - bound[0])) + 1
+    end = np.zeros(int(n.sum()), bool)
+    end[np.cumsum(n) - 1] = True
+    out = np.full(len(end), len(coded.dictionary), np.int64)
+    out[~end] = coded.indices.to_numpy()
+    cut = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
+    raw = bytes(coded.dictionary.buffers()[2] or b"")
+    return [*(raw[a:b] for a, b in zip(cut, cut[1:])), END], out, n
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``SLICE_ROWS`` rows and ``SLICE_BYTES`` bytes of text, or one row."""
+    size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES, "right"))
+        hi = min(max(hi, lo + 1), lo + SLICE_ROWS)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def word_hash(word: bytes) -> int:
     """64 bits, signed."""
     h = xxhash.xxh64_intdigest(word)
@@ -204,8 +245,8 @@ class Words(dict):
     """
 
     def __init__(self, hashes: np.ndarray, speller: Speller):
-        order = np.argsort(hashes, kind="stable")
-        self.sorted, self.at = array("q", hashes[order].tobytes()), array("q", order.astype(np.int64).tobytes())
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.order]
         self.first_of = speller.first
         self.fresh()
 
@@ -213,19 +254,25 @@ class Words(dict):
         self.clear()
         self.code, self.first, self.hash = array("q"), array("q"), array("Q")
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        k = bisect_left(self.sorted, h)
-        at = self[word] = len(self.code)
-        self.code.append(self.at[k] if k < len(self.sorted) and self.sorted[k] == h else -1)
-        self.first.append(self.first_of(word)[0])
-        self.hash.append(h & _MASK - 1)
-        return at
-
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the words, and context and first piece of each as one number; the last word is the
-        end token, and so is what each text's first word stands after."""
-        at = np.array([self[w] for w in words], np.int64)
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """The rows of distinct words; new ones get theirs."""
+        new = [w for w in words if w not in self]
+        if new:
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+            code = np.full(len(h), -1)
+            if len(self.sorted):
+                k = np.minimum(np.searchsorted(self.sorted, h.view(np.int64)), len(self.sorted) - 1)
+                code = np.where(self.sorted[k] == h.view(np.int64), self.order[k], -1)
+            self.code.frombytes(code.astype(np.int64).tobytes())
+            self.hash.frombytes((h & np.uint64(_MASK - 1)).tobytes())
+            self.first.extend([self.first_of(w)[0] for w in new])
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def read(self, words: list[bytes], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the tokens, which are places in ``words``, and context and first piece of each as one
+        number; the last token is the end token, and so is what each text's first word stands after."""
+        at = self.rows(words)[tokens]
         before = np.concatenate([at[-1:], at[:-1]])
         return at, before << 16 | np.frombuffer(self.first, np.int64)[at]
 
@@ -643,6 +690,29 @@ def _pair_key(context: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def finder(keys: np.ndarray):
+    """A function from names to their places among ``keys``, which are sorted and as good as random, or
+    -1: where the keys with the same first bits begin is looked up, and these are gone through."""
+    bits = max(8, len(keys).bit_length() + 1)
+    shift = np.uint64(64 - bits)
+    start = np.searchsorted(keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
+
+    def find(names: np.ndarray) -> np.ndarray:
+        out = np.full(len(names), -1, np.int64)
+        top = (names >> shift).astype(np.int64)
+        at, end = start[top], start[top + 1]
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            hit = keys[at[todo]] == names[todo]
+            out[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return out
+
+    return find
+
+
 def _spans(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
@@ -741,13 +811,10 @@ def first_pairs(texts: DataFrame, buckets: int, path: str) -> DataFrame:
             return got.select(KNOWN_NAMES)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                words: list[bytes] = []
-                for raw in batch.column(0).slice(lo, 128).to_pylist():
-                    words += raw.lower().split()
-                    words.append(END)
-                keys.append(words_of.read(words)[1])
-                units += len(words)
+            for part in slices(batch, 0):
+                words, tokens, _ = tokenized(part.column(0))
+                keys.append(words_of.read(words, tokens)[1])
+                units += len(tokens)
                 if units >= 2 * BLOCK_UNITS:
                     yield flush()
                     units = 0
@@ -839,7 +906,7 @@ def document_heads(docs: DataFrame, lexicon: tuple, pairs: tuple, buckets: int,
         from pyspark import TaskContext
 
         (head_hash, head_count, head_rest), (pair_key, pair_log) = shared.value
-        words_of = Words(head_hash, speller_of(path))
+        words_of, find = Words(head_hash, speller_of(path)), finder(pair_key)
         log_base = np.append(np.log10(head_count + 1.0), 0.0)  # the last row: words elsewhere
         rest = np.append(head_rest, 0.0)
         at = TaskContext.get().partitionId() << 40
@@ -853,17 +920,12 @@ def document_heads(docs: DataFrame, lexicon: tuple, pairs: tuple, buckets: int,
             return _wide(got, names, types, 1)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                words, firsts = [], []
-                for raw in part.column(1).to_pylist():
-                    firsts.append(len(words))
-                    words += raw.lower().split()
-                    words.append(END)
-                own, pair = words_of.read(words)
+            for part in slices(batch, 1):
+                words, tokens, n = tokenized(part.column(1))
+                firsts = np.cumsum(n) - n
+                own, pair = words_of.read(words, tokens)
                 code = words_of.codes(own)
                 known = code >= 0
-                n = np.diff([*firsts, len(words)])
                 who = np.repeat(np.arange(len(n)), n)
                 spot = np.where(known, code, len(head_count))
                 # head pairs are looked up here, others by their bucket
@@ -871,11 +933,12 @@ def document_heads(docs: DataFrame, lexicon: tuple, pairs: tuple, buckets: int,
                 far = np.ones(len(pair), bool)
                 if len(pair_key):
                     name = _pair_key(words_of.hashes()[pair >> 16], pair & 0xFFFF)
-                    where = np.minimum(np.searchsorted(pair_key, name), len(pair_key) - 1)
-                    far = pair_key[where] != name
+                    where = find(name)
+                    far = where < 0
                     score = score + np.where(far, 0.0, pair_log[where])
                 tail = np.flatnonzero(~known)
-                tail_hash = np.array([word_hash(words[j]) for j in tail.tolist()], np.int64)
+                rare, where = np.unique(tokens[tail], return_inverse=True)
+                tail_hash = np.array([word_hash(words[j]) for j in rare.tolist()], np.int64)[where]
                 tails = [np.unique(h, return_counts=True) for h in np.split(tail_hash, np.searchsorted(tail, firsts[1:]))]
                 yield _wide(
                     {
@@ -891,7 +954,7 @@ def document_heads(docs: DataFrame, lexicon: tuple, pairs: tuple, buckets: int,
                 units += int(far.sum())
                 at += len(n)
                 rows += len(n)
-                if units >= BLOCK_UNITS or rows > BLOCK_ROWS - 64:
+                if units >= BLOCK_UNITS or rows > BLOCK_ROWS - SLICE_ROWS:
                     if units:
                         yield flush()
                     first, rows, units = at, 0, 0

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -830,6 +831,28 @@ def test_language_model_against_single_customers(spark):
     assert abs(sum(got[i] for i in held) - np.log10(p).sum()) / len(asked) < 0.02
 
 
+def test_tokens_and_places_against_direct_ones():
+    rng = random.Random(1)
+    for _ in range(200):
+        raws = [bytes(rng.choice(b" \t\n\x0b\x0c\rABZaz[@\xc3\x1c\x85\x00") for _ in range(rng.choice([0, 0, 1, 5, 30]))) for _ in range(rng.choice([0, 1, 2, 7]))]
+        words, tokens, n = language_model.tokenized(pa.array([b"xx y", *raws, b"z"], pa.binary()).slice(1, len(raws)))
+        want = [language_model.tokens_of(raw) for raw in raws]
+        assert [words[j] for j in tokens] == [w for ws in want for w in ws] and n.tolist() == [len(ws) for ws in want]
+        assert len(set(words)) == len(words)
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    find = language_model.finder(keys)
+    assert (find(keys) == np.arange(5000)).all() and (find(keys + np.uint64(1)) == -1).all() and not len(find(keys[:0]))
+    assert (language_model.finder(keys[:0])(keys) == -1).all()
+
+
+def test_slices_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(language_model, "SLICE_ROWS", 3)
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 10)
+    texts = [b"x" * n for n in (0, 0, 0, 0, 25, 1, 10, 9, 1, 1, 0)]
+    parts = [p.column(0).to_pylist() for p in language_model.slices(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), 0)]
+    assert [t for p in parts for t in p] == texts and all(len(p) == 1 or (len(p) <= 3 and sum(map(len, p)) <= 10) for p in parts)
+
+
 def test_probabilities_of_a_bucket_sum_to_one():
     """All known pieces of a context and all ways to leave them."""
     rng = np.random.default_rng(0)
