@@ -19,6 +19,10 @@ Not every pair that shares a shingle is verified: first each set meets one hub o
 bucket that still lie in different components are joined, but for those whose sizes, or whose shingle's
 places, leave too little to share.  The largest component of a bucket is never joined with itself.
 
+Whole sets are far larger than their texts, so most pairs never meet theirs: of every set it is kept how
+many shingles begin with each byte, and two sets share no more than the lesser number of every byte.
+Only pairs for which that is enough are compared, and only their sets are moved.
+
 Rows, not ids, are told apart (by a 128-bit hash of id and text): rows that share an id but not
 their text are two documents, and rows without an id take part like any other.
 
@@ -86,6 +90,19 @@ class Order:
         return values[:size]
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """How many shingles begin with each byte; above 255 counts as 255."""
+    return np.minimum(np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def enough(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sketches (a row each) and sizes can be similar enough; never false for sets that are.
+
+    What a sketch leaves out above 255 may all be shared."""
+    both = np.minimum(a, b).sum(axis=1, dtype=np.int64) + np.minimum(na - a.sum(axis=1, dtype=np.int64), nb - b.sum(axis=1, dtype=np.int64))
+    return both * (100 + percent) >= percent * (na + nb)
+
+
 def _row_key(id_col: str, text_col: str) -> list[Column]:
     """Two hashes that name a row by its id and text."""
     what = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
@@ -97,9 +114,9 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, h1, h2, digest, n, fp, kind)``; rows of kind 1 hold, in ``digest``, shingles that repeat
+    """``(id, h1, h2, digest, n, fp, sketch, kind)``; rows of kind 1 hold, in ``digest``, shingles that repeat
     within ``CHUNK`` shingles and their counts."""
-    names = ["id", "h1", "h2", "digest", "n", "fp", "kind"]
+    names = ["id", "h1", "h2", "digest", "n", "fp", "sketch", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, kind_of = [], 0, pa.null()
@@ -107,7 +124,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def often() -> pa.RecordBatch:
             got, n = np.unique(np.concatenate(held), return_counts=True)
             raw = np.stack([got[n > 1], n[n > 1].astype(np.uint64)]).tobytes()
-            return pa.RecordBatch.from_arrays([pa.nulls(1, kind_of), *(pa.array([x], t) for x, t in ((0, pa.int64()), (0, pa.int64()), (raw, pa.binary()), (0, pa.int64()), (0, pa.int64()), (1, pa.int32())))], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, kind_of), *(pa.array([x], t) for x, t in ((0, pa.int64()), (0, pa.int64()), (raw, pa.binary()), (0, pa.int64()), (0, pa.int64()), (b"", pa.binary()), (1, pa.int32())))], names=names)
 
         for batch in batches:
             kind_of = batch.column(0).type
@@ -118,7 +135,8 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 size += sum(map(len, sets))
                 cols = [
                     *part.columns[:3], pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64)), pa.array([0] * len(sets), pa.int32()),
+                    pa.array(np.array([of_hashes(s) for s in sets], np.uint64).view(np.int64)),
+                    pa.array(list(map(sketch, sets)), pa.binary()), pa.array([0] * len(sets), pa.int32()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 if size >= CHUNK:
@@ -128,7 +146,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield often()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _slim(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h1 long, h2 long, digest binary, n long, fp long, kind int")
+    return _slim(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h1 long, h2 long, digest binary, n long, fp long, sketch binary, kind int")
 
 
 def _order(often: DataFrame) -> Order:
@@ -212,16 +230,31 @@ def _points(docs: DataFrame, text_col: str, order, bitmap, percent: int) -> Data
     return _each_text(docs, text_col, found, "key long, at int, digest binary, n long").dropDuplicates(["key", "digest"])
 
 
-def _sets(docs: DataFrame, text_col: str, needed) -> DataFrame:
-    """``(digest, s)``: the whole sets, as bytes, of the digests whose bit is set, and of few others."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, needed) -> DataFrame:
+    """``(digest, s)``: the whole sets, as bytes, of the rows whose bit is set, and of few others."""
 
-    def found(digest: bytes, values: np.ndarray) -> list[pa.Array] | None:
-        slot = int.from_bytes(digest[:8], "big") & 64 * len(needed.value) - 1
-        if not int(needed.value[slot >> 6]) >> (slot & 63) & 1:
-            return None
-        return [pa.array([digest], pa.binary()), pa.array([values.tobytes()], pa.binary())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(0).to_numpy().view(np.uint64) & np.uint64(64 * len(needed.value) - 1)
+            own = needed.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)
+            texts = batch.column(1).filter(pa.array(own.astype(bool)))
+            for lo in range(0, len(texts), 1000):
+                raw = [shingle_set(x).tobytes() for x in texts.slice(lo, 1000).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(xxhash.xxh128_digest, raw)), pa.binary()), pa.array(raw, pa.binary())], names=["digest", "s"])
+
+    return _slim(docs, id_col, text_col).select("h1", "_bytes").mapInArrow(run, "digest binary, s binary").dropDuplicates(["digest"])
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The ``(a, b)`` of ``pairs``, digests, whose sketches leave enough to share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256) for k in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(enough(a, batch.column(4).to_numpy(), b, batch.column(5).to_numpy(), percent)))
 
-    return _each_text(docs, text_col, found, "digest binary, s binary").dropDuplicates(["digest"])
+    left, right = (reps.select(F.col("digest").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,17 +297,16 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
     signed = scratch.table(_signatures(docs, id_col, text_col), "sig", by="kind")
     sig = signed.filter("kind = 0").drop("kind")
     row = F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")
-    reps = scratch.table(sig.groupBy("digest").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")), "reps")
+    reps = scratch.table(sig.groupBy("digest").agg(F.min(row).alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "reps")
     near = scratch.table(_near_prints(reps).filter(_fit(percent)), "near")
     order = spark.sparkContext.broadcast(_order(signed.filter("kind = 1")))
-    bitmap = spark.sparkContext.broadcast(_bitmap(_prefix_keys(docs, text_col, order, percent).filter("n > 1"), BITMAP_BITS))
+    keys = scratch.table(_prefix_keys(docs, text_col, order, percent).filter("n > 1").select("key"), "keys")
+    bitmap = spark.sparkContext.broadcast(_bitmap(keys, BITMAP_BITS))
+    scratch.drop("keys")
     points = scratch.table(_points(docs, text_col, order, bitmap, percent), "points")
     shared = points.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     live = scratch.table(points.join(shared, "key"), "live")
     scratch.drop("points")  # tables that no later plan reads make room
-    front = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    needed = spark.sparkContext.broadcast(_bitmap(live.select("digest").distinct().select(front.alias("key")), BITMAP_BITS - 4))
-    sets = scratch.table(_sets(docs, text_col, needed), "sets")
     # for the hubs, a set's first few shared shingles do
     few = live.groupBy("digest").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, HUB_KEYS).alias("keys"))
     few = scratch.table(few.select("digest", "n", F.explode("keys.key").alias("key")), "few")
@@ -303,7 +335,13 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
         if not k:
             pairs = pairs.select("x", "na", "y", "nb").unionByName(near)
         pairs = pairs.filter(_fit(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = scratch.table(_possible(pairs, reps, percent), f"pairs{k}")
+        ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+        needed = spark.sparkContext.broadcast(_bitmap(reps.join(ends, "digest").select(F.col("rep.h1").alias("key")), BITMAP_BITS - 2))
+        sets = scratch.table(_sets(docs, id_col, text_col, needed), f"sets{k}")
         found = scratch.table(_verified(pairs, sets, percent), f"links{k}")
+        scratch.drop(f"pairs{k}", f"sets{k}")
+        needed.destroy()
         links = found if links is None else links.unionByName(found)
         inner = Scratch(spark, "near-groups")
         groups = inner.close(scratch.table(connected_components(links, inner, "a", "b"), f"groups{k}"))

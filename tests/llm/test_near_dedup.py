@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from cladeloom.llm import near_dedup
+from cladeloom.llm import common, near_dedup
 
 from .test_documents import ODD, frame, odd, empty, prose  # noqa: F401
 
@@ -115,3 +115,53 @@ def test_prefixes_of_similar_sets_meet():
             continue
         p, q = order.prefix(a, 80).tolist(), order.prefix(b, 80).tolist()
         assert any(180 * min(len(a) - p.index(x), len(b) - q.index(x)) >= 80 * (len(a) + len(b)) for x in set(p) & set(q))
+
+
+def test_sketches_refuse_no_similar_pair():
+    """Also where a byte's count is above what a sketch can hold."""
+    rng = np.random.default_rng(5)
+    refused = 0
+    for k in range(400):
+        top = rng.choice([256, 4, 1])
+        values = np.unique(rng.integers(0, top, 3000).astype(np.uint64) << np.uint64(56) | rng.integers(0, 1 << 20, 3000).astype(np.uint64))
+        n, gone = rng.integers(1, len(values)), rng.random() * 0.4
+        a, b = values[:n] if top == 1 else np.sort(rng.choice(values, n, replace=False)), values
+        b = np.union1d(a[rng.random(n) > gone], b[rng.random(len(b)) < gone * 0.2])
+        both = len(np.intersect1d(a, b))
+        said = near_dedup.enough(*(np.frombuffer(near_dedup.sketch(x), np.uint8)[None] if j == 0 else np.array([len(x)]) for x in (a, b) for j in (0, 1)), 80)[0]
+        refused += not said
+        assert said or 100 * both < 80 * (len(a) + len(b) - both)
+    assert refused > 100
+
+
+def test_only_sets_of_possible_pairs_are_written(spark, monkeypatch):
+    """Texts that share a passage, and so rare shingles, but are far from similar move no whole sets."""
+    rows = [(k, prose(k, 90) + " " + prose(10**6 + k // 4, 60)) for k in range(80)]
+    rows += [(100, prose(7, 90) + " " + prose(10**6 + 1, 60) + " end")]
+    moved, table = {}, near_dedup.Scratch.table
+
+    def noted(self, df, name, by=None):
+        out = table(self, df, name, by)
+        moved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup.Scratch, "table", noted)
+    monkeypatch.setattr(near_dedup, "LISTED", 0)
+    got = sorted(r["doc_id"] for r in near_dedup.keep_one(frame(spark, rows)).collect())
+    assert got == list(range(80)) and moved["live"] > 400
+    assert 2 <= moved["sets0"] + moved["sets1"] <= 8
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    scratch = common.Scratch(spark, "tidy")
+    out = scratch.table(spark.range(1000).repartition(3).groupBy("id").count(), "t")
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    written = spark.range(1000).repartition(5).groupBy("id").count()
+    written.write.parquet(f"{tmp_path}/t")  # not by Scratch: these stay
+    left = {str(f) for f in store.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = len(left)
+    scratch.table(spark.range(1000).repartition(7).groupBy("id").count(), "u")
+    left = {f for f in store.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    assert before and len(left) <= before and out.count() == 1000
+    assert spark.conf.get(common.TIDY, None) is None
+    scratch.close(out)
