@@ -58,6 +58,8 @@ _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff
 _PLAIN_PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 # Fixed value: the pre-tokenizer's pattern, as the tokenizer file states it.
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# A full stop or comma that a run of signs goes on with; any other begins a piece.
+_GOES_ON = re.compile(r"[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff][.,]")
 _WHOLE = re.compile("[\x1c-\x1f\u03a3]|<\\|")
 
 
@@ -76,10 +78,11 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder(dict):
-    """Token ids of whole texts, through a bounded cache of pieces in two generations.
+    """Token ids of whole texts, through a bounded cache of words and pieces in two generations.
 
     The tokenizer lower-cases, cuts a text into pieces and encodes each by itself, so a text's ids
-    are its pieces' ids.  Texts in which cutting could differ (final sigma, control characters,
+    are its pieces' ids.  No piece holds a blank, so plain texts are cut at blanks, and a word into its
+    pieces only when it is met first.  Texts in which cutting could differ (final sigma, control characters,
     special tokens) are given to the tokenizer whole.
     """
 
@@ -100,13 +103,19 @@ class Encoder(dict):
         if out is not None:
             self[piece] = out
             return out
-        text = piece if piece.isascii() and piece.isalpha() else "".join(self.letters[b] for b in piece.encode())
+        text = piece
+        if not (piece.isascii() and piece.isalpha()):
+            if _PLAIN.fullmatch(piece) and len(parts := _PLAIN_PIECE.findall(piece)) > 1:
+                out = self[piece] = b"".join(map(self.__getitem__, parts))
+                return out
+            text = "".join(self.letters[b] for b in piece.encode())
         out = self[piece] = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
         return out
 
     def text(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            pieces = _PLAIN_PIECE.findall(text.lower())
+            text = text.lower()
+            pieces = (text if _GOES_ON.search(text) else text.replace(".", " .").replace(",", " ,")).split()
         elif _WHOLE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
         else:
@@ -189,6 +198,11 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _forget() -> None:
+    """Once texts are ids, the encoders' caches only take room from what comes next in a worker."""
+    _ENCODERS.clear()
+
+
 def router(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, most: int = ROUTING_DOCS) -> Router:
     """A router fitted on about ``most`` documents, taken by a hash of their texts."""
     path = tokenizer or tokenizer_path()
@@ -303,6 +317,12 @@ class ShardIndex:
         self.owner, self.weight = own[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
+    def keep(self, docs: np.ndarray) -> None:
+        """Leave out the postings of all other documents, whose scores are zero from now on."""
+        own = docs[self.owner]
+        self.at = np.concatenate([[0], np.cumsum(own)])[self.at]
+        self.owner, self.weight = self.owner[own], self.weight[own]
+
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the seed's distinct terms."""
         t = self.query[seed]
@@ -321,6 +341,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, windo
     unused = np.ones(len(ids), bool)
     queue = iter(np.argsort([-len(x) for x in ids], kind="stable").tolist())
     pieces: list[tuple[int, int, int, int, int]] = []
+    indexed = len(ids)
     sequence, carry = 0, None  # carry: a cut document and where its rest starts
     while True:
         if carry is None:
@@ -337,8 +358,11 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean_length: float, windo
         if start + take < len(ids[seed]):
             carry = (seed, start + take)
         elif filled < window and unused.any():
-            score = index.scores(seed)
             left = np.flatnonzero(unused)
+            if 4 * len(left) < 3 * indexed:
+                index.keep(unused)
+                indexed = len(left)
+            score = index.scores(seed)
             for j in left[np.argsort(-score[left], kind="stable")].tolist():
                 unused[j] = False
                 take = min(window - filled, len(ids[j]))
@@ -390,6 +414,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     shared = spark.sparkContext.broadcast(idf)  # one float per token id
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        _forget()
         table = table.sort_by([(id_col, "ascending"), ("ids", "ascending"), ("row", "ascending")]).combine_chunks()
         ids = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("ids")]
         rows = pack_shard(ids, shared.value, mean_length, window)
