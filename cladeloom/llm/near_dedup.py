@@ -307,6 +307,8 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
     shared = points.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     live = scratch.table(points.join(shared, "key"), "live")
     scratch.drop("points")  # tables that no later plan reads make room
+    order.destroy()
+    bitmap.destroy()
     # for the hubs, a set's first few shared shingles do
     few = live.groupBy("digest").agg(F.first("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, HUB_KEYS).alias("keys"))
     few = scratch.table(few.select("digest", "n", F.explode("keys.key").alias("key")), "few")
