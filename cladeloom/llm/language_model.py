@@ -53,10 +53,10 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +78,11 @@ EXACT, TABLES = 4096, 512
 BLOCK_UNITS, BLOCK_ROWS = 1 << 20, 1 << 19
 BUCKET_UNITS = 1 << 23
 CHUNK = 1 << 18
-SLICE_ROWS, SLICE_BYTES = 1024, 1 << 20
-FLUSH = 200_000
+SLICE_ROWS, SLICE_BYTES = 2048, 1 << 21
+FLUSH = 800_000
+BATCH = "4m"
 CACHE = 200_000
+HEAD = 6
 END = b" "  # no word holds a blank
 PIECES = 1 << 16
 
@@ -94,9 +96,9 @@ _LOWER[65:91] += 32
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def tokenized(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of some texts, the end token last; the tokens as places in that list; how many
-    each text has."""
+def coded(column: pa.Array) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """The distinct words of some texts; the tokens as places there, the end token as the place after
+    the last; how many each text has."""
     column = column.cast(pa.large_binary())
     bound = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bound[0] : bound[-1]]
@@ -107,15 +109,27 @@ def tokenized(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     first[begin] = inner[begin]
     letters, at = _LOWER[data[inner]], np.flatnonzero(first[inner])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(letters)).astype(np.int64)), pa.py_buffer(letters)])
-    coded = words.dictionary_encode()
+    both = words.dictionary_encode()
     n = np.diff(np.searchsorted(np.flatnonzero(first), bound - bound[0])) + 1
     end = np.zeros(int(n.sum()), bool)
     end[np.cumsum(n) - 1] = True
-    out = np.full(len(end), len(coded.dictionary), np.int64)
-    out[~end] = coded.indices.to_numpy()
-    cut = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
-    raw = bytes(coded.dictionary.buffers()[2] or b"")
-    return [*(raw[a:b] for a, b in zip(cut, cut[1:])), END], out, n
+    out = np.full(len(end), len(both.dictionary), np.int64)
+    out[~end] = both.indices.to_numpy()
+    return both.dictionary, out, n
+
+
+def _listed(words: pa.LargeBinaryArray) -> list[bytes]:
+    """Of an array that begins with its buffers."""
+    cut = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1].tolist()
+    raw = bytes(words.buffers()[2] or b"")
+    return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def tokenized(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the end token last; the tokens as places in that list; how many
+    each text has."""
+    words, tokens, n = coded(column)
+    return [*_listed(words), END], tokens, n
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -129,10 +143,9 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def word_hash(word: bytes) -> int:
-    """64 bits, signed."""
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64 bits a word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 # ---------------------------------------------------------------- words
@@ -141,32 +154,31 @@ def word_hash(word: bytes) -> int:
 def word_counts(texts: DataFrame, in_train: str) -> DataFrame:
     """``(h, word, c)``: the distinct words and how often each stands in training texts.
 
-    Tasks count before the shuffle, and empty their counter whenever it is large.
+    Tasks count before the shuffle: slices of texts by themselves, and their counts together whenever
+    they are ``FLUSH`` words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, units = [], 0
 
         def out() -> pa.RecordBatch:
-            h = np.fromiter(map(word_hash, counts), np.int64, len(counts))
-            cols = [pa.array(h), pa.array(list(counts), pa.binary()), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["h", "word", "c"])
+            both = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+            words = _listed(both.dictionary)
+            c = np.bincount(both.indices.to_numpy(), np.concatenate([c for _, c in held]), minlength=len(words))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(word_hashes(words).view(np.int64)), pa.array(words, pa.binary()), pa.array(c.astype(np.int64))], names=["h", "word", "c"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 400):
-                part = batch.slice(lo, 400)
-                for raw, train in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = tokens_of(raw)
-                    if train:
-                        counts.update(words)
-                    else:
-                        for w in words:
-                            if w not in counts:
-                                counts[w] = 0
-                    if len(counts) >= FLUSH:
-                        yield out()
-        yield out()
+            for part in slices(batch, 0):
+                words, tokens, n = coded(part.column(0))
+                train = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), n)
+                held.append((pa.concat_arrays([words, pa.array([END], pa.large_binary())]), np.bincount(tokens[train], minlength=len(words) + 1)))
+                units += len(words) + 1
+                if units >= FLUSH:
+                    yield out()
+                    units = 0
+        if held:
+            yield out()
 
     counted = texts.select("_bytes", in_train).mapInArrow(run, "h long, word binary, c long")
     return counted.groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
@@ -208,6 +220,12 @@ class Speller:
         if any(bytes([k]) not in d for k in range(256) for d in (self.inner, self.last)):
             raise ValueError("the vocabulary has no piece for some byte")
         self.longest = max(map(len, self.inner))
+        # the longest piece that begins each beginning of a piece
+        self.begins: dict[bytes, tuple[int, int]] = {}
+        for k in range(1, self.longest + 1):
+            for begin in {x[:k] for x in self.inner if len(x) >= k}:
+                self.begins[begin] = (self.inner[begin], k) if begin in self.inner else self.begins[begin[:-1]]
+        self.heads: dict[bytes, tuple[int, int]] = {}
         self.end = encoder.tokenizer.get_vocab_size()
 
     def first(self, word: bytes) -> tuple[int, int]:
@@ -217,10 +235,32 @@ class Speller:
         n = self.last.get(word)
         if n is not None:
             return n, len(word)
-        for k in range(min(len(word) - 1, self.longest), 0, -1):
-            n = self.inner.get(word[:k])
-            if n is not None:
-                return n, k
+        if len(word) <= HEAD:
+            return self._walk(word, min(len(word) - 1, self.longest))
+        # where no piece begins like the word's head, the head decides
+        got = self.heads.get(word[:HEAD])
+        if got is None:
+            got = self._walk(word, min(len(word) - 1, self.longest))
+            if word[:HEAD] not in self.begins:
+                if len(self.heads) >= CACHE:
+                    self.heads.clear()
+                self.heads[word[:HEAD]] = got
+        return got
+
+    def _walk(self, word: bytes, most: int) -> tuple[int, int]:
+        """The longest piece of at most ``most`` bytes that begins the word."""
+        k, find = min(most, 4), self.begins.get
+        got = find(word[:k])
+        while got is None:
+            k -= 1
+            got = find(word[:k])
+        while k < most:
+            k += 1
+            more = find(word[:k])
+            if more is None:
+                break
+            got = more
+        return got
 
     def pieces(self, word: bytes) -> list[int]:
         out = []
@@ -256,18 +296,21 @@ class Words(dict):
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """The rows of distinct words; new ones get theirs."""
-        new = [w for w in words if w not in self]
-        if new:
-            self.update(zip(new, range(len(self), len(self) + len(new))))
-            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+        out = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            new = [words[j] for j in at.tolist()]
+            out[at] = np.arange(len(self), len(self) + len(new))
+            self.update(zip(new, out[at].tolist()))
+            h = word_hashes(new)
             code = np.full(len(h), -1)
             if len(self.sorted):
                 k = np.minimum(np.searchsorted(self.sorted, h.view(np.int64)), len(self.sorted) - 1)
                 code = np.where(self.sorted[k] == h.view(np.int64), self.order[k], -1)
             self.code.frombytes(code.astype(np.int64).tobytes())
             self.hash.frombytes((h & np.uint64(_MASK - 1)).tobytes())
-            self.first.extend([self.first_of(w)[0] for w in new])
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            self.first.extend([n for n, _ in map(self.first_of, new)])
+        return out
 
     def read(self, words: list[bytes], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the tokens, which are places in ``words``, and context and first piece of each as one
@@ -720,7 +763,7 @@ def _spans(sizes: np.ndarray) -> np.ndarray:
 def asked_rows(first_row: int, keys: np.ndarray, row: np.ndarray, weight: np.ndarray, hashes: np.ndarray, buckets: int, with_rows: bool = True) -> pa.RecordBatch:
     """One row a bucket.  ``keys`` are numbered context and piece, ``row`` who has the pair (sorted),
     ``weight`` how often it counts in training, ``hashes`` those of the numbered contexts."""
-    used = np.unique(keys >> 16)
+    used = np.flatnonzero(np.bincount(keys >> 16, minlength=len(hashes)))
     order = used[np.lexsort((hashes[used], _bucket(hashes[used], buckets)))]
     rank = np.zeros(len(hashes), np.int64)
     rank[order] = np.arange(len(order))
@@ -887,6 +930,15 @@ def head_pairs(pairs: DataFrame, model: Model, most: int) -> tuple[np.ndarray, n
     return key[order], log[order]
 
 
+def _tails(who: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For every row the distinct hashes that it has, and how often it has each."""
+    order = np.lexsort((hashes, who))
+    who, hashes = who[order], hashes[order]
+    first = np.flatnonzero(np.append(True, (np.diff(who) != 0) | (hashes[1:] != hashes[:-1]))[: len(who)])
+    cut = pa.array(np.searchsorted(who[first], np.arange(rows + 1)).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(cut, pa.array(x)) for x in (hashes[first], np.diff(first, append=len(who))))
+
+
 HEADS = "row_key long, {id} {kind}, n_tokens long, known long, base double, score double, tail_h array<long>, tail_n array<long>"
 
 
@@ -937,15 +989,16 @@ def document_heads(docs: DataFrame, lexicon: tuple, pairs: tuple, buckets: int,
                     far = where < 0
                     score = score + np.where(far, 0.0, pair_log[where])
                 tail = np.flatnonzero(~known)
-                rare, where = np.unique(tokens[tail], return_inverse=True)
-                tail_hash = np.array([word_hash(words[j]) for j in rare.tolist()], np.int64)[where]
-                tails = [np.unique(h, return_counts=True) for h in np.split(tail_hash, np.searchsorted(tail, firsts[1:]))]
+                rare = np.flatnonzero(np.bincount(tokens[tail], minlength=len(words)))
+                hash_of = np.zeros(len(words), np.int64)
+                hash_of[rare] = word_hashes([words[j] for j in rare.tolist()]).view(np.int64)
+                tails = _tails(who[tail], hash_of[tokens[tail]], len(n))
                 yield _wide(
                     {
                         "row_key": pa.array(np.arange(at, at + len(n))), id_col: part.column(0), "n_tokens": pa.array(n.astype(np.int64)),
                         "known": pa.array(np.add.reduceat((known & (spot < len(head_count))).astype(np.int64), firsts)),
                         "base": pa.array(np.add.reduceat(log_base[spot], firsts)), "score": pa.array(np.add.reduceat(score, firsts)),
-                        "tail_h": pa.array([h.tolist() for h, _ in tails], pa.list_(pa.int64())), "tail_n": pa.array([c.tolist() for _, c in tails], pa.list_(pa.int64())),
+                        "tail_h": tails[0], "tail_n": tails[1],
                     },
                     names, types, 0,
                 )
@@ -1012,7 +1065,7 @@ def row_scores(asked: DataFrame, pairs: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, tokenizer: str | None = None, most: int = HEAD_WORDS, most_pairs: int = HEAD_PAIRS, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """``(id, n_tokens, n_known, train_tokens, base_score, score)`` of every whole text."""
-    scratch = Scratch(docs.sparkSession, "lm")
+    scratch = Scratch(docs.sparkSession, "lm", BATCH)
     path = tokenizer or tokenizer_path()
     marked = docs.select(F.col(id_col), F.col(text_col), F.coalesce(fold(F.col(id_col), folds) != held_out, F.lit(True)).alias("_train"))
     vocabulary = scratch.table(word_counts(with_bytes(marked, text_col), "_train"), "vocabulary")
