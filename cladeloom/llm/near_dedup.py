@@ -55,6 +55,7 @@ CHUNK = 1 << 21
 LISTED = 1 << 17
 BITMAP_BITS = 26
 SEEN = 1 << 16
+BATCH = "4m"  # of texts or whole sets that a task holds at once, beside what it makes of them
 
 
 def shingle_set(raw: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -354,14 +355,14 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, perce
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``(id, component_id)`` of every row; component_id is the smallest id reachable over links."""
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch = Scratch(docs.sparkSession, "near", BATCH)
     rows, whose = _groups(docs, scratch, id_col, text_col, percent)
     return scratch.close(rows.join(whose, "digest").select(F.col("id").alias(id_col), F.col("keep.id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one row of each group left."""
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch = Scratch(docs.sparkSession, "near", BATCH)
     _, whose = _groups(docs, scratch, id_col, text_col, percent)
     kept = scratch.table(whose.select("keep.h1", "keep.h2").distinct(), "kept")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_row_key(id_col, text_col))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cladeloom.llm import common, near_dedup
@@ -165,3 +167,26 @@ def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     assert before and len(left) <= before and out.count() == 1000
     assert spark.conf.get(common.TIDY, None) is None
     scratch.close(out)
+
+
+def test_rows_go_to_python_in_batches_of_few_bytes(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["b"])
+
+    before = spark.conf.get(common.BATCH)
+    wide = spark.range(400).repartition(1).select(F.repeat(F.lit("x"), 2000).alias("t"))
+    plain, small = common.Scratch(spark, "plain"), common.Scratch(spark, "small", "64k")
+    assert small.table(wide.mapInArrow(sizes, "b long"), "t").agg(F.max("b")).first()[0] < 100_000
+    assert plain.table(wide.mapInArrow(sizes, "b long"), "t").agg(F.max("b")).first()[0] > 800_000
+    assert spark.conf.get(common.BATCH) == before
+    plain.close(wide), small.close(wide)
+
+    seen = []
+    table = common.Scratch.table
+    monkeypatch.setattr(common.Scratch, "table", lambda self, df, name, by=None: seen.append((name, self.settings.get(common.BATCH))) or table(self, df, name, by))
+    monkeypatch.setattr(near_dedup, "BATCH", "2k")
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{text} end{k}") for k in range(30)] + [(100 + k, " ".join(f"a{k}b{j}" for j in range(40))) for k in range(30)]
+    kept = sorted(r["doc_id"] for r in near_dedup.keep_one(frame(spark, rows)).collect())
+    assert kept == [0, *range(100, 130)] and {("sig", "2k"), ("points", "2k"), ("sets1", "2k")} <= set(seen)
