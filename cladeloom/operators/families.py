@@ -80,7 +80,8 @@ def identical_genes(members: DataFrame) -> DataFrame:
 
 def density_bins(values: DataFrame, value: str, step: float) -> DataFrame:
     """``(bin, weight, n, total, squares)``: each value is split over the two lattice points beside it, the
-    nearer one taking more; with the moments of the values at the lower one.
+    nearer one taking more; with the moments of the values at the lower one.  A value on a lattice point is
+    at that one alone, and a point that no value gives any weight is no bin.
 
     Bins add up, so parts of a table can be binned apart and merged; there are as many as the values'
     range has steps.  Nulls do not count.

@@ -244,10 +244,11 @@ def gene_dup_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.histogram(gene_dup(spark, sf_dir).select(F.floor(2 * F.col("duplicity")).cast("long").alias("half")), "half")
 
 
-_DENSITY = f"""{fx.HITS_SQL}, h AS (SELECT cast(score AS double) AS x FROM hits),
+_DENSITY = f"""{fx.HITS_SQL}, h AS (SELECT cast(score AS double) AS x FROM hits WHERE score IS NOT NULL),
 low AS (SELECT cast(floor(x / 500) AS bigint) AS low, count(*) AS n, sum(x / 500 - floor(x / 500)) AS w, sum(x) AS t, sum(x * x) AS s FROM h GROUP BY 1),
-bins AS (SELECT bin, sum(weight) AS weight FROM (SELECT low AS bin, n - w AS weight FROM low UNION ALL SELECT low + 1, w FROM low) GROUP BY bin),
-m AS (SELECT cast(sum(n) AS double) AS n, sqrt((sum(s) - sum(t) * sum(t) / sum(n)) / (sum(n) - 1)) * pow(sum(n), -0.2) AS h FROM low),
+bins AS (SELECT bin, sum(weight) AS weight FROM (SELECT low AS bin, n - w AS weight FROM low UNION ALL SELECT low + 1, w FROM low) GROUP BY bin HAVING sum(weight) > 0),
+v AS (SELECT cast(sum(n) AS double) AS n, (sum(s) - sum(t) * sum(t) / sum(n)) / (sum(n) - 1) AS v FROM low HAVING sum(n) > 1),
+m AS (SELECT n, sqrt(v) * pow(n, -0.2) AS h FROM v WHERE v > 1e-12),
 grid AS (SELECT n, h, (SELECT min(bin) FROM bins) * 500 - 3 * h AS first, ((SELECT max(bin) FROM bins) * 500 + 3 * h - ((SELECT min(bin) FROM bins) * 500 - 3 * h)) / 199 AS gap FROM m)
 SELECT round(first + k * gap, 3) AS x, round(1000 * sum(weight * exp(-power((first + k * gap - bin * 500) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 5) AS density FROM grid, range(0, 200) r(k), bins GROUP BY k, first, gap, n, h"""
 

@@ -34,6 +34,19 @@ def test_same_rows(spark, con, name):
     assert got == sorted(repr(tuple(r[at[c]] for c in cols)) for r in rel.fetchall())
 
 
+@pytest.mark.parametrize("prices", [[1200.5, 77000.25, 105000.0, 105000.0], [900.0, 1000.0, None, None], [500.0], [700.5, 700.5], [None]])
+def test_density_where_values_lie_on_lattice_points(spark, tmp_path, prices):
+    """The point above a highest value that lies on one is no bin; nulls do not count, and one value has no curve."""
+    rows = [(k, 1, 1, 1, p, "R") for k, p in enumerate(prices)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["score_density"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(ORACLE_SQL["score_density"]).fetchall())
+    assert len(got) == (200 if len({p for p in prices if p is not None}) > 1 else 0)
+
+
 def test_filters_stand_below_the_shuffle(spark):
     plan = QUERIES["hits_ranked"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "l_tax" not in plan
