@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from . import chunks
-from .seeds import TURNED, base_sets, matches, words
+from .seeds import TURNED, bands, base_sets, matches, words
 
 PIECE = 512
 
@@ -164,6 +164,16 @@ def seed_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("gene_id", "species").agg(F.count("*").alias("seeds"), F.countDistinct("rec").alias("records"))
 
 
+def seed_bands(genes: DataFrame, genome: DataFrame, k: int, step: int = 1, transitions: bool = False, band: int = 32, least: int = 2, overlapping: bool = False) -> DataFrame:
+    """``diagonals`` of ``seeds``, counted where the seeds are found."""
+    parts = bands(genes, genome, "1" * k, step, transitions, width=band, overlapping=overlapping)
+    return (
+        parts.groupBy("gene_id", "species", "rec", "strand", "diagonal")
+        .agg(F.sum("seeds").alias("seeds"), F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"))
+        .filter(F.col("seeds") >= least)
+    )
+
+
 def diagonals(found: DataFrame, band: int = 32, least: int = 2, overlapping: bool = False) -> DataFrame:
     """Bands of diagonals with at least ``least`` seeds: candidates for extension.
 

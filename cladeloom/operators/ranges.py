@@ -26,13 +26,15 @@ def prefix_sum(df: DataFrame, group: str, order: str, value: str, name: str = "l
     return rows.withColumn(name, (F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).cast("long")).drop("_b", "_base")
 
 
-def locate(points: DataFrame, spans: DataFrame, group: str, point: str = "off", lo: str = "lo", hi: str = "hi", width: int = BIN) -> DataFrame:
+def locate(points: DataFrame, spans: DataFrame, group: str, point: str = "off", lo: str = "lo", hi: str = "hi", width: int = BIN, few: bool = False) -> DataFrame:
     """Inner join of points with the half-open spans that hold them, within ``group``.
 
     Spans are dealt over the bins they touch and points over their own bin, which makes it an
-    equi-join on (group, bin): the rows of a large group spread over many keys.
+    equi-join on (group, bin): the rows of a large group spread over many keys.  ``few`` points go to
+    all tasks.
     """
     left = points.withColumn("_bin", F.floor(F.col(point) / width).cast("long"))
     touched = F.sequence(F.floor(F.col(lo) / width).cast("long"), F.floor((F.col(hi) - 1) / width).cast("long"))
     right = spans.filter(F.col(hi) > F.col(lo)).withColumn("_bin", F.explode(touched))
+    left = F.broadcast(left) if few else left
     return left.join(right, [group, "_bin"]).filter((F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))).drop("_bin")

@@ -20,7 +20,7 @@ in one zone whole, and no group grows with a record.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,12 @@ BASES = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "S": 6, "W": 9
 CODE_WORDS = 16
 INDEX_WORDS = 1 << 22
 BITMAP_BITS = 26
+#: bases of a word that are looked up first, in a table of a byte for each choice
+HEAD = 12
+#: bases of chunks that are looked through together
+SLAB = 1 << 18
 ROWS = 1 << 16
-CELLS = 1 << 21
+CELLS = 1 << 18
 
 _SETS = np.zeros(256, np.uint8)
 for _c, _s in BASES.items():
@@ -47,6 +51,7 @@ for _c, _s in BASES.items():
 _COUNT = np.array([bin(s).count("1") for s in range(16)], np.int64)
 _CHOICE = np.array([([k for k in range(4) if s >> k & 1] + [0] * 4)[:4] for s in range(16)], np.int64)
 TURNED = np.array([sum((s >> k & 1) << 3 - k for k in range(4)) for s in range(16)], np.uint8)
+_FIRST = _CHOICE[:, 0].astype(np.uint8)
 _CODE = np.array([4, 0, 1, 4, 2, 4, 4, 4, 3, 4, 4, 4, 4, 4, 4, 4], np.uint8)  # of a set: one base, or 4
 
 
@@ -55,29 +60,86 @@ def base_sets(seq: bytes) -> np.ndarray:
     return _SETS[np.frombuffer(seq, np.uint8)]
 
 
-def words(sets: np.ndarray, pattern: str, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """``(position, word)`` of all windows, those of windows with ambiguity codes last."""
+def _places(pattern: str) -> list[int]:
     at = [k for k, c in enumerate(pattern) if c == "1"]
     if not at or len(at) > 31:
         raise ValueError("a pattern has 1 to 31 places that must match")
-    n = len(sets) - len(pattern) + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    choices = np.ones(n, np.int64)
-    word = np.zeros(n, np.int64)
-    for k in at:
-        s = sets[k : k + n]
-        choices = np.minimum(choices * _COUNT[s], most + 1)
-        word = word << 2 | _CHOICE[s, 0]
-    plain, several = np.flatnonzero(choices == 1), np.flatnonzero((choices > 1) & (choices <= most))
-    own, more = several, np.zeros(len(several), np.int64)
-    for k in at if len(several) else ():
+    return at
+
+
+def _word(p: str, held: dict[str, np.ndarray]) -> np.ndarray:
+    """The words of a pattern that begins and ends with 1, from those of two parts."""
+    if p not in held:
+        half, ones = len(p) // 2, p.find("0")
+        if p == 2 * p[:half]:
+            at = half
+        else:
+            at = ones if ones >= 0 else 1 << (len(p) - 1).bit_length() - 1
+        before, after = p[:at].rstrip("0"), p[at:].lstrip("0")
+        at = len(p) - len(after)
+        first, then = _word(before, held), _word(after, held)
+        n = max(0, len(held["1"]) - len(p) + 1)
+        word = first[:n].astype(np.int32 if p.count("1") < 16 else np.int64)
+        word <<= 2 * after.count("1")
+        word |= then[at : at + n]
+        held[p] = word
+    return held[p]
+
+
+def rolled(codes: np.ndarray, pattern: str) -> np.ndarray:
+    """The word of every window of base codes below 4: words of parts of the pattern, joined; equal parts are made once."""
+    lead = pattern.index("1")
+    return _word(pattern.strip("0"), {"1": codes})[lead : lead + max(0, len(codes) - len(pattern) + 1)]
+
+
+def _apart(sets: np.ndarray, at: list[int], n: int) -> np.ndarray:
+    """Which of the first ``n`` windows have a place that stands for no base or several."""
+    out = np.zeros(n, bool)
+    codes = np.flatnonzero(_CODE[sets] > 3)
+    for k in at if len(codes) else ():
+        own = codes - k
+        out[own[(own >= 0) & (own < n)]] = True
+    return out
+
+
+def _several(sets: np.ndarray, where: np.ndarray, at: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(position, word)`` of the windows at ``where`` that stand for ``most`` words at most."""
+    choices = np.ones(len(where), np.int64)
+    for k in at if len(where) else ():
+        choices = np.minimum(choices * _COUNT[sets[where + k]], most + 1)
+    own = where[(choices > 0) & (choices <= most)]
+    word = np.zeros(len(own), np.int64)
+    for k in at if len(own) else ():
         s = sets[own + k]
         times = _COUNT[s]
         which = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        own, more, s = np.repeat(own, times), np.repeat(more, times), np.repeat(s, times)
-        more = more << 2 | _CHOICE[s, which]
-    return np.concatenate([plain, own]), np.concatenate([word[plain], more])
+        own, word, s = np.repeat(own, times), np.repeat(word, times), np.repeat(s, times)
+        word = word << 2 | _CHOICE[s, which]
+    return own, word
+
+
+def words(sets: np.ndarray, pattern: str, most: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """``(position, word)`` of all windows, those of windows with ambiguity codes last."""
+    at = _places(pattern)
+    n = len(sets) - len(pattern) + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    apart = _apart(sets, at, n)
+    plain = np.flatnonzero(~apart)
+    word = rolled(_FIRST[sets], pattern)[plain].astype(np.int64)
+    if most == 1:
+        return plain, word
+    own, more = _several(sets, np.flatnonzero(apart), at, most)
+    return np.concatenate([plain, own]), np.concatenate([word, more])
+
+
+def _once(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of several columns, sorted, each once."""
+    order = np.lexsort(keys[::-1])
+    own = [x[order] for x in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in own])
+    return tuple(x[new] for x in own)
 
 
 class Index:
@@ -98,29 +160,78 @@ class Index:
             at.append(p.astype(np.int32))
             row.append(np.full(len(p), k, np.int32))
         word, row, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, row, at))
-        order = np.argsort(word, kind="stable")
-        self.word, self.row, self.at = word[order], row[order], at[order]
-        self.bits = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
+        # with codes, a transition of one choice may be another
+        word, row, at = _once(word, row, at)
+        self.row, self.at = row, at
+        #: each word once, and where its rows begin
+        self.first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+        self.word, self.first = word[self.first], np.append(self.first, len(word))
+
+    # the tables below are made where they are used, and not sent
+
+    @cached_property
+    def bits(self) -> np.ndarray:
         slot = self._slot(self.word)
-        np.bitwise_or.at(self.bits, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+        out = np.zeros(1 << BITMAP_BITS - 6, np.uint64)
+        np.bitwise_or.at(out, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+        return out
+
+    @cached_property
+    def head(self) -> str:
+        """The pattern up to its first ``HEAD`` places that must match."""
+        return self.pattern[: _places(self.pattern)[:HEAD][-1] + 1]
+
+    @cached_property
+    def heads(self) -> np.ndarray:
+        """Whether a word of the index begins so."""
+        own = self.head.count("1")
+        out = np.zeros(1 << 2 * own, bool)
+        out[self.word >> 2 * (self.pattern.count("1") - own)] = True
+        return out
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        """The rows' base codes, padded."""
+        out = np.full((len(self.rows), max(map(len, self.rows), default=1)), 5, np.uint8)
+        for k, s in enumerate(self.rows):
+            out[k, : len(s)] = _CODE[s]
+        return out
 
     @staticmethod
     def _slot(word: np.ndarray) -> np.ndarray:
         return (word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
-    def matches(self, sets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(row, place in the gene, place in sets)`` of all seeds that begin at ``lo`` up to ``hi``."""
-        at, word = words(sets[lo : hi + len(self.pattern) - 1], self.pattern, self.most)
+    def matches(self, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, place in the gene, place in sets)`` of all seeds; a window's whole word is made only
+        where its head is one of the index."""
+        places = _places(self.pattern)
+        n = len(sets) - len(self.pattern) + 1
+        if n <= 0 or not len(self.word):
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        codes = _FIRST[sets]
+        head = rolled(codes, self.head)[:n]
+        at = np.flatnonzero(self.heads[head])
+        apart = _apart(sets, places, n)
+        at = at[~apart[at]]
+        word = head[at].astype(np.int64)
+        for k in places[HEAD:]:
+            word = word << 2 | codes[at + k]
+        plain = len(at)
+        if self.most > 1:
+            own, more = _several(sets, np.flatnonzero(apart), places, self.most)
+            at, word = np.concatenate([at, own]), np.concatenate([word, more])
         slot = self._slot(word)
         met = np.flatnonzero(self.bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
-        at, word = at[met] + lo, word[met]
-        first = np.searchsorted(self.word, word)
-        n = np.searchsorted(self.word, word, "right") - first
-        where = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, word, plain = at[met], word[met], np.searchsorted(met, plain)
+        k = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        met = self.word[k] == word
+        at, k, plain = at[met], k[met], int(met[:plain].sum())
+        n = self.first[k + 1] - self.first[k]
+        where = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
         row, q, t = self.row[where], self.at[where], np.repeat(at, n)
-        if self.most > 1 and len(q):  # ambiguity on both sides meets by several words
-            own = np.unique(np.stack([row, q, t]), axis=1)
-            row, q, t = own[0].astype(np.int32), own[1].astype(np.int32), own[2]
+        plain = n[:plain].sum()
+        if plain < len(q):  # ambiguity on both sides meets by several words
+            row, q, t = (np.concatenate([x[:plain], y]) for x, y in zip((row, q, t), _once(row[plain:], q[plain:], t[plain:])))
         return row, q, t
 
 
@@ -140,9 +251,42 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
+class Slab:
+    """Chunks side by side: their sets of bases, and where each begins there, its start in the record, its
+    own bases and all of its bases."""
+
+    def __init__(self, sets: np.ndarray, at: np.ndarray, start: np.ndarray, own: np.ndarray):
+        self.sets, self.at, self.start, self.own, self.length = sets, at[:-1], start, own, np.diff(at)
+
+    def chunk_of(self, t: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, t, "right") - 1
+
+
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column's values, end to end, and where each begins, with the end."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, at, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(at, kind, len(column) + 1, column.offset * kind().itemsize).astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]], at - at[0]
+
+
+def slabs(batch: pa.RecordBatch, table: np.ndarray = _SETS) -> Iterator[tuple[int, Slab]]:
+    """A batch's chunks in groups of about ``SLAB`` bases, looked up in ``table``: the first one's row, and the group."""
+    data, at = joined(batch.column("seq"))
+    start, own = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "own"))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLAB, "right")) - 1)
+        yield lo, Slab(table[data[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo], start[lo:hi], own[lo:hi])
+        lo = hi
+
+
 def _over_chunks(genes: DataFrame, genome: DataFrame, overlap: int, index_of: dict, columns: list[tuple[str, pa.DataType, str]], work) -> DataFrame:
-    """``(gene_id, strand, species, rec, *columns)``: what ``work(index, sets, start, own)`` finds in each chunk:
-    rows of the index, and a list of arrays."""
+    """``(gene_id, strand, species, rec, *columns)``: what ``work(index, slab)`` finds in each slab of chunks:
+    rows of the index, chunks of the slab, and a list of arrays."""
     own = _spread(chunks.chunked(genome, overlap).select("species", "rec", "start", "own", F.col("seq").cast("binary").alias("seq")))
     kinds = {f.name: f.dataType.simpleString() for f in [*genes.schema, *own.schema]}
     schema = f"gene_id {kinds['gene_id']}, strand string, species {kinds['species']}, rec {kinds['rec']}, " + ", ".join(f"{n} {t}" for n, _, t in columns)
@@ -153,16 +297,28 @@ def _over_chunks(genes: DataFrame, genome: DataFrame, overlap: int, index_of: di
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                start, length = batch.column("start").to_pylist(), batch.column("own").to_pylist()
-                for k, seq in enumerate(batch.column("seq")):
-                    row, found = work(index, base_sets(seq.as_py()), start[k], length[k])
+                held, n = [], 0
+
+                def rows() -> Iterator[pa.RecordBatch]:
+                    row, chunk, *found = (np.concatenate(x) for x in zip(*held))
                     for lo in range(0, len(row), ROWS):
-                        part, here = row[lo : lo + ROWS], pa.array(np.full(len(row[lo : lo + ROWS]), k))
+                        part, here = row[lo : lo + ROWS], pa.array(chunk[lo : lo + ROWS])
                         yield pa.RecordBatch.from_arrays(
                             [index.ids.take(pa.array(part >> 1)), signs.take(pa.array(part & 1)), batch.column("species").take(here), batch.column("rec").take(here), *(pa.array(x[lo : lo + ROWS], t) for x, (_, t, _) in zip(found, columns))],
                             names=names,
                         )
 
+                for first, slab in slabs(batch):
+                    row, chunk, found = work(index, slab)
+                    if len(row):
+                        held.append((row, chunk + first, *found))
+                        n += len(row)
+                    if n >= ROWS:
+                        yield from rows()
+                        held, n = [], 0
+                if held:
+                    yield from rows()
+
         return run
 
     sc = genes.sparkSession.sparkContext
@@ -170,6 +326,15 @@ def _over_chunks(genes: DataFrame, genome: DataFrame, overlap: int, index_of: di
     return reduce(DataFrame.union, parts)
 
 
+def _in_slab(index: Index, slab: Slab) -> tuple[np.ndarray, ...]:
+    """``(row, place in the gene, place in the slab, chunk, place in the chunk)`` of the seeds that lie in one chunk."""
+    row, q, t = index.matches(slab.sets)
+    chunk = slab.chunk_of(t)
+    inside = t - slab.at[chunk]
+    whole = np.flatnonzero(inside + len(index.pattern) <= slab.length[chunk])
+    return tuple(x[whole] for x in (row, q, t, chunk, inside))
+
+
 def matches(genes: DataFrame, genome: DataFrame, pattern: str = SPACED, step: int = 1, transitions: bool = False, most: int = 1) -> DataFrame:
     """``(gene_id, strand, q_pos, species, rec, t_pos)``: all seeds on both strands.
 
@@ -177,9 +342,11 @@ def matches(genes: DataFrame, genome: DataFrame, pattern: str = SPACED, step: in
     the other pyrimidine; ``most`` words at most stand for a window with ambiguity codes.
     """
 
-    def work(index: Index, sets: np.ndarray, start: int, own: int) -> tuple:
-        row, q, t = index.matches(sets, 0, own)
-        return row, [q, t + start]
+    def work(index: Index, slab: Slab) -> tuple:
+        row, q, _, chunk, t = _in_slab(index, slab)
+        own = np.flatnonzero(t < slab.own[chunk])
+        row, q, chunk, t = row[own], q[own], chunk[own], t[own]
+        return row, chunk, [q, t + slab.start[chunk]]
 
     columns = [("q_pos", pa.int32(), "int"), ("t_pos", pa.int64(), "long")]
     index_of = {"pattern": pattern, "step": step, "transitions": transitions, "most": most}
@@ -187,6 +354,32 @@ def matches(genes: DataFrame, genome: DataFrame, pattern: str = SPACED, step: in
     return out.select("gene_id", "strand", "q_pos", "species", "rec", "t_pos")
 
 
+def bands(genes: DataFrame, genome: DataFrame, pattern: str = SPACED, step: int = 1, transitions: bool = False, most: int = 1, width: int = 32, overlapping: bool = False) -> DataFrame:
+    """``(gene_id, strand, species, rec, diagonal, seeds, t_start, t_end)``: how many seeds of each chunk lie
+    in a band of diagonals, and the first and the last place; bands of a record add up.
+
+    With ``overlapping``, a band begins every half band, and each seed is in two.  No seed leaves its task.
+    """
+    every = width // 2 if overlapping else width
+
+    def work(index: Index, slab: Slab) -> tuple:
+        row, q, _, chunk, t = _in_slab(index, slab)
+        own = np.flatnonzero(t < slab.own[chunk])
+        row, chunk, t, q = row[own], chunk[own], (t + slab.start[chunk])[own], q[own]
+        d = (t - q) // every
+        if overlapping:
+            row, chunk, t, d = np.tile(row, 2), np.tile(chunk, 2), np.tile(t, 2), np.concatenate([d, d - 1])
+        order = np.lexsort((t, d, row, chunk))
+        row, chunk, t, d = row[order], chunk[order], t[order], d[order]
+        first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (row[1:] != row[:-1]) | (chunk[1:] != chunk[:-1]))[: len(d)])
+        n = np.diff(np.append(first, len(d)))
+        return row[first], chunk[first], [d[first], n, t[first], t[first + n - 1]]
+
+    columns = [(c, pa.int64(), "long") for c in ("diagonal", "seeds", "t_start", "t_end")]
+    index_of = {"pattern": pattern, "step": step, "transitions": transitions, "most": most}
+    return _over_chunks(genes, genome, len(pattern), index_of, columns, work)
+
+
 # ------------------------------------------------------------------ gap-free segments
 
 
@@ -208,14 +401,14 @@ def _half(s: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
     return best, (total == best[:, None]).argmax(axis=1)
 
 
-def extend(index: Index, genes: np.ndarray, sets: np.ndarray, row: np.ndarray, q: np.ndarray, t: np.ndarray, table: np.ndarray, drop: int) -> tuple[np.ndarray, ...]:
-    """``(q_start, q_end, score)`` of the segment that each seed grows to."""
+def extend(genes: np.ndarray, codes: np.ndarray, row: np.ndarray, q: np.ndarray, t: np.ndarray, table: np.ndarray, drop: int) -> tuple[np.ndarray, ...]:
+    """``(q_start, q_end, score)`` of the segment that each seed grows to; ``codes`` has padding of a gene's
+    width around each sequence."""
     width = genes.shape[1]
-    codes = np.concatenate([np.full(width, 5, np.uint8), _CODE[sets], np.full(width, 5, np.uint8)])
     outs = []
     for lo in range(0, len(row), max(1, CELLS // width)):
         r, a, b = (x[lo : lo + max(1, CELLS // width)] for x in (row, q, t))
-        at = (b - a + width)[:, None] + np.arange(width)
+        at = (b - a)[:, None] + np.arange(width)
         s = table[genes[r], codes[at]]
         on = np.arange(width)[None, :]
         right, n = _half(np.where(on + a[:, None] < width, np.take_along_axis(s, np.minimum(on + a[:, None], width - 1), 1), table[5, 5]), drop)
@@ -235,22 +428,29 @@ def segments(
     """
     table, span = score_table(matrix), len(pattern)
 
-    def work(index: Index, sets: np.ndarray, start: int, own: int) -> tuple:
-        lo = longest if start else 0
-        row, q, t = index.matches(sets, lo, min(longest + own, len(sets)))
+    def work(index: Index, slab: Slab) -> tuple:
+        row, q, t, chunk, inside = _in_slab(index, slab)
+        lo = np.where(slab.start > 0, longest, 0)[chunk]
+        own = np.flatnonzero((inside >= lo) & (inside < longest + slab.own[chunk]))
+        row, q, t, chunk, inside = (x[own].astype(np.int64) for x in (row, q, t, chunk, inside))
+        # chunks with seeds, apart by a gene's width, so that none is met from another's diagonals
+        width = index.codes.shape[1]
+        used, k = np.unique(chunk, return_inverse=True)
+        at = width + np.cumsum(slab.length[used] + width) - slab.length[used] - width
+        codes = np.full(int(slab.length[used].sum()) + width * (len(used) + 1), 5, np.uint8)
+        for c, p in zip(used.tolist(), at.tolist()):
+            codes[p : p + slab.length[c]] = _CODE[slab.sets[slab.at[c] : slab.at[c] + slab.length[c]]]
+        t = at[k] + inside
         order = np.lexsort((q, t - q, row))
-        row, q, t = row[order].astype(np.int64), q[order].astype(np.int64), t[order]
+        row, q, t, k = row[order], q[order], t[order], k[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | ((t - q)[1:] != (t - q)[:-1]) | (q[1:] - q[:-1] >= span)
-        row, q, t = row[new], q[new], t[new]
-        width = max(map(len, index.rows), default=1)
-        codes = np.full((len(index.rows), width), 5, np.uint8)
-        for k, s in enumerate(index.rows):
-            codes[k, : len(s)] = _CODE[s]
-        a, b, score = extend(index, codes, sets, row, q, t, table, drop)
+        row, q, t, k = row[new], q[new], t[new], k[new]
+        a, b, score = extend(index.codes, codes, row, q, t, table, drop)
         keep = np.flatnonzero(score >= least)
-        row, a, b, first = row[keep], a[keep], b[keep], (t - q + a)[keep]
-        return row, [a, b, first + start, score[keep]]
+        row, a, b, first, k = row[keep], a[keep], b[keep], (t - q + a)[keep], k[keep]
+        chunk = used[k]
+        return row, chunk, [a, b, first - at[k] + slab.start[chunk], score[keep]]
 
     columns = [("q_start", pa.int32(), "int"), ("q_end", pa.int32(), "int"), ("t_start", pa.int64(), "long"), ("score", pa.int64(), "long")]
     index_of = {"pattern": pattern, "step": step, "transitions": transitions, "most": most}

@@ -451,10 +451,13 @@ t AS (SELECT species, rec, i - 1 AS t_pos, upper(substring(seq, i, 24)) AS kmer
 found AS (SELECT gene_id, strand, q_pos, species, rec, t_pos FROM t JOIN q USING (kmer))"""
 
 
+def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_genes(spark, sf_dir).filter("seq is not null").select("gene_id", "seq")
+
+
 def _seeds(spark: SparkSession, sf_dir: str, step: int = 1, transitions: bool = False) -> DataFrame:
     """Seeds of all sampled genes in all records."""
-    genes = sample_genes(spark, sf_dir).filter("seq is not null").select("gene_id", "seq")
-    return kmer.seeds(genes, fx.genome(spark, sf_dir), 24, step, transitions)
+    return kmer.seeds(_genes(spark, sf_dir), fx.genome(spark, sf_dir), 24, step, transitions)
 
 
 @query("seed_join", f"{_SEEDS} SELECT gene_id, species, count(*) AS seeds, count(DISTINCT rec) AS records FROM found GROUP BY ALL")
@@ -472,7 +475,7 @@ def seed_join_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_SEEDS} SELECT gene_id, species, rec, strand, cast(floor((t_pos - q_pos) / 32.0) AS bigint) AS diagonal, count(*) AS seeds, min(t_pos) AS t_start, max(t_pos) AS t_end FROM found GROUP BY ALL HAVING count(*) >= 2",
 )
 def seed_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer.diagonals(_seeds(spark, sf_dir))
+    return kmer.seed_bands(_genes(spark, sf_dir), fx.genome(spark, sf_dir), 24)
 
 
 @query(
@@ -480,7 +483,7 @@ def seed_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_SEEDS} SELECT gene_id, species, rec, strand, b AS diagonal, count(*) AS seeds, min(t_pos) AS t_start, max(t_pos) AS t_end FROM found, unnest([cast(floor((t_pos - q_pos) / 16.0) AS bigint) - 1, cast(floor((t_pos - q_pos) / 16.0) AS bigint)]) u(b) GROUP BY ALL HAVING count(*) >= 2",
 )
 def seed_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer.diagonals(_seeds(spark, sf_dir), overlapping=True)
+    return kmer.seed_bands(_genes(spark, sf_dir), fx.genome(spark, sf_dir), 24, overlapping=True)
 
 
 _TURNED = "[substring(kmer, 1, i - 1) || translate(substring(kmer, i, 1), 'ACGT', 'GTAC') || substring(kmer, i + 1) FOR i IN range(1, 25)]"
@@ -511,13 +514,11 @@ st AS (SELECT species, rec, {_FIRST_N} FROM (SELECT species, rec, {_FIRST_N} FRO
 SELECT gene_id, species, count(*) AS seeds, count(DISTINCT rec) AS records FROM st JOIN sq USING (w) WHERE NOT contains(w, 'N') GROUP BY ALL""",
 )
 def seed_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    genes = sample_genes(spark, sf_dir).filter("seq is not null").select("gene_id", "seq")
-    return kmer.seed_counts(seeds.matches(genes, fx.genome(spark, sf_dir), _PATTERN, most=seeds.CODE_WORDS))
+    return kmer.seed_counts(seeds.matches(_genes(spark, sf_dir), fx.genome(spark, sf_dir), _PATTERN, most=seeds.CODE_WORDS))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    genes = sample_genes(spark, sf_dir).filter("seq is not null").select("gene_id", "seq")
-    return seeds.segments(genes, fx.genome(spark, sf_dir), 200, _PATTERN, most=seeds.CODE_WORDS, least=3000)
+    return seeds.segments(_genes(spark, sf_dir), fx.genome(spark, sf_dir), 200, _PATTERN, most=seeds.CODE_WORDS, least=3000)
 
 
 @query("seed_segments")

@@ -225,3 +225,24 @@ def test_text_order(spark):
     ids = [*range(0, 300, 7), 10, 100]
     got = [r["id"] for r in sorted(reports.text_order(spark.createDataFrame([(i,) for i in ids], "id long")).collect(), key=lambda r: r["place"])]
     assert got == sorted(ids, key=str)
+
+
+def test_sampling_reads_the_bases_once_and_once_a_round(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def bases(s):
+        met.add(1)
+        return s
+
+    rows = [(f"s{i % 3}", i, "ACGTTGCAAC" * 40) for i in range(30)] + [("s3", 30, "")]
+    plain = spark.createDataFrame(rows, "species string, rec long, seq string")
+    read = plain.withColumn("seq", F.udf(bases, "string")("seq"))
+    got = [tuple(r) for r in sampling.sample_genes(read, 20, 50, 0.5).collect()]
+    assert met.value == 2 * len(rows)
+    assert len(got) == 20 and all(r[4] == dict((i, s) for _, i, s in rows)[r[2]][r[3] : r[3] + 50] for r in got if r[4])
+    many = sampling.FEW
+    try:
+        sampling.FEW = 0  # points and chunks meet in a join that may move both
+        assert sorted(tuple(r) for r in sampling.sample_genes(plain, 20, 50, 0.5).collect()) == sorted(got)
+    finally:
+        sampling.FEW = many

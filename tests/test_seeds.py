@@ -11,6 +11,7 @@ import pytest
 from cladeloom.functions import dna, msa
 from cladeloom.operators import chunks, gapped, kmer, seeds
 from cladeloom.plans import modes
+from cladeloom.plans.catalogue import QUERIES
 from cladeloom.sources.tables import Config
 
 SETS = {c: {b for b, bit in zip("ACGT", (1, 2, 4, 8)) if s & bit} for c, s in seeds.BASES.items()}
@@ -77,6 +78,53 @@ def test_genome_words_are_neither_shuffled_nor_broadcast(tables):
     assert "Join" not in plan and "Exchange" not in above and "Broadcast" not in above
 
 
+@pytest.mark.parametrize("overlapping", [False, True])
+def test_bands_are_counted_where_seeds_are_found(tables, monkeypatch, overlapping):
+    """As from the seeds as rows, over chunk borders too; no seed is handed on."""
+    _, _, g, t = tables
+    monkeypatch.setattr(chunks, "chunked", lambda g, overlap, f=chunks.chunked: f(g, overlap, 53))
+    want = kmer.diagonals(kmer.seeds(g, t, 7), 32, 2, overlapping)
+    got = kmer.seed_bands(g, t, 7, band=32, least=2, overlapping=overlapping)
+    rows = {tuple(r) for r in got.select(want.columns).collect()}
+    assert rows == {tuple(r) for r in want.collect()} and len(rows) > 5
+    plan = QUERIES["seed_bands"](g.sparkSession, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan[: plan.index("MapInArrow")]
+
+
+def test_chunks_side_by_side_do_not_meet(spark, monkeypatch):
+    """Records in one batch give what each gives alone: no window, diagonal or code goes over their borders."""
+    rng = random.Random(4)
+    genes = [(k, _random(rng, 40, 0.03)) for k in range(3)]
+    cut = [(k, s[a:b]) for k, (_, s) in enumerate(genes) for a, b in ((0, 17), (17, 40), (5, 40), (0, 11))]
+    records = [("a", k, s) for k, (_, s) in enumerate(cut)] + [("b", 90, ""), ("b", 91, "N" * 30), ("b", 92, genes[0][1])]
+    g = spark.createDataFrame(genes, "gene_id int, seq string")
+    t = spark.createDataFrame(records, "species string, rec long, seq string").coalesce(1)
+    monkeypatch.setattr(seeds, "_spread", lambda df: df)
+    for size in (1, 100, 1 << 18):
+        monkeypatch.setattr(seeds, "SLAB", size)
+        got = [tuple(r) for r in seeds.matches(g, t, "1101011", 1, True, 16).select("gene_id", "strand", "q_pos", "species", "rec", "t_pos").collect()]
+        assert len(got) == len(set(got)) and set(got) == _seeds(genes, records, "1101011", 1, True, 16)
+
+
+def test_a_slab_is_looked_through_without_walks_over_its_index(monkeypatch):
+    """Work a chunk does not grow with the genes, and nothing of it is held when it is done."""
+    import gc
+    import weakref
+
+    rng = random.Random(6)
+    index = seeds.Index(None, [_random(rng, 100).encode() for _ in range(50)], dna.SPACED, 1, False, 16)
+    assert index.codes is index.codes and index.heads is index.heads
+    sets = seeds.base_sets(_random(rng, 5000, 0.01).encode())
+    gc.disable()
+    try:
+        made = []
+        monkeypatch.setattr(seeds, "_word", lambda p, held, f=seeds._word: made.append(weakref.ref(held["1"])) or f(p, held))
+        index.matches(sets)
+        assert made and all(x() is None for x in made)
+    finally:
+        gc.enable()
+
+
 def test_spaced_seeds_are_more_sensitive_at_seventy_percent(spark):
     rng = random.Random(5)
     genes = [(k, "".join(rng.choice("ACGT") for _ in range(64))) for k in range(400)]
