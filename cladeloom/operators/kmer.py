@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from . import chunks
-from .seeds import TURNED, bands, base_sets, matches, words
+from .seeds import TURNED, Slab, bands, base_sets, matches, rolled, slabs, words
 
 PIECE = 512
+#: words that a task holds before it hands them on
+HELD = 1 << 24
+PARTS = 8  # bits
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -51,13 +54,97 @@ def _in_genome(genome: DataFrame, k: int, *keep: str, pos: str = "pos") -> DataF
 def profile(genome: DataFrame, k: int, by: str = "species") -> DataFrame:
     """``(by, n_kmers, n_distinct)`` over plain, upper-cased k-mers.
 
-    k-mers are counted by hash and k-mer, partly before the shuffle.
+    Up to 31 bases, a task hands on the words that it met, each once, as sorted numbers in parts of a
+    group; a part's distinct words are counted together.  Longer k-mers are counted as rows.
     """
+    if k <= 31:
+        return _profile(genome, k, by)
     rows = _in_genome(genome, k, by).filter(dna.is_plain(F.col("kmer")))
     once = rows.groupBy(by, dna.packed(F.col("kmer"), k).alias("kmer")).agg(F.count("*").alias("n"))
     return once.groupBy(by).agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct"))
 
 
+# A fixed value: plain bases, and 4 for all else.
+_PLAIN = np.full(256, 4, np.uint8)
+for _k, _c in enumerate("ACGT"):
+    _PLAIN[ord(_c)] = _PLAIN[ord(_c.lower())] = _k
+
+_ODD = 0x9E3779B97F4A7C15
+
+
+def _slab_words(slab: Slab, k: int) -> np.ndarray:
+    """The words of a slab's plain k-mers, those that begin in a chunk's own bases, multiplied by an odd
+    number, which keeps them apart and spreads them over all numbers of as many bits."""
+    n = len(slab.sets) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    step = np.zeros(len(slab.sets) + 1, np.int8)
+    own = np.clip(np.minimum(slab.own, slab.length - k + 1), 0, None)
+    np.add.at(step, slab.at, 1)
+    np.add.at(step, slab.at + own, -1)
+    good = np.cumsum(step[:n], dtype=np.int8) > 0
+    other = np.flatnonzero(slab.sets > 3)
+    for j in range(k) if len(other) else ():
+        at = other - j
+        good[at[(at >= 0) & (at < n)]] = False
+    word = rolled(slab.sets & 3, "1" * k)[good].astype(np.uint64)
+    return (word * np.uint64(_ODD) & np.uint64((1 << 2 * k) - 1)).astype(np.int32 if k < 16 else np.int64)
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    word = np.sort(np.concatenate(parts))
+    return word[np.append(True, word[1:] != word[:-1])[: len(word)]]
+
+
+def _profile(genome: DataFrame, k: int, by: str) -> DataFrame:
+    own = _spread(chunks.chunked(genome, k).select(by, "start", "own", F.col("seq").cast("binary").alias("seq")))
+    kind = own.schema[by].dataType.simpleString()
+    low = max(0, 2 * k - PARTS)  # bits of a word within its part
+    rest = np.uint16 if low <= 16 else np.uint32 if low <= 32 else np.uint64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        count: dict = {}
+        n = 0
+
+        def rows(of: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for group, (word,) in held.items():
+                cut = np.searchsorted(word, np.arange((1 << 2 * k - low) + 1, dtype=np.int64) << low)
+                used = np.flatnonzero(np.diff(cut))
+                inside = (word & ((1 << low) - 1)).astype(rest)
+                blobs = [inside[cut[p] : cut[p + 1]].tobytes() for p in used.tolist()]
+                counts = [count[group]] + [0] * (len(used) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(used), of), pa.array(used, pa.int32()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=[by, "part", "n", "words"])
+
+        for batch in batches:
+            batch = batch.sort_by(by)
+            group = batch.column(by).to_pylist()
+            edges = [j for j in range(len(group)) if not j or group[j] != group[j - 1]] + [len(group)]
+            for a, b in zip(edges, edges[1:]):
+                found = np.concatenate([_slab_words(slab, k) for _, slab in slabs(batch.slice(a, b - a), _PLAIN)])
+                if len(found):
+                    count[group[a]] = count.get(group[a], 0) + len(found)
+                    held.setdefault(group[a], []).append(_distinct([found]))
+                    n += len(held[group[a]][-1])
+            if n > HELD:
+                held = {g: [_distinct(x)] for g, x in held.items()}
+                n = sum(len(x) for (x,) in held.values())
+                if n > HELD // 2:
+                    yield from rows(batch.column(by).type)
+                    held, count, n = {}, {}, 0
+        if held:
+            held = {g: [_distinct(x)] for g, x in held.items()}
+            yield from rows(batch.column(by).type)
+
+    def distinct(table: pa.Table) -> pa.Table:
+        word = _distinct([np.frombuffer(x, rest) for x in table.column("words").to_pylist()])
+        return pa.table([table.column(by).slice(0, 1), pa.array([sum(table.column("n").to_pylist())], pa.int64()), pa.array([len(word)], pa.int64())], names=[by, "n", "n_distinct"])
+
+    parts = own.mapInArrow(run, f"`{by}` {kind}, part int, n long, words binary")
+    counted = parts.groupBy(by, "part").applyInArrow(distinct, f"`{by}` {kind}, n long, n_distinct long")
+    return counted.groupBy(by).agg(F.sum("n").alias("n_kmers"), F.sum("n_distinct").alias("n_distinct"))
+
+
 def jaccard(members: DataFrame, k: int, group: str = "gene_id", taxon: str = "taxon") -> DataFrame:
     """``(group, a, b, shared, jaccard)`` for pairs of a group's taxa that share a k-mer, a < b.
 

@@ -227,6 +227,34 @@ def test_text_order(spark):
     assert got == sorted(ids, key=str)
 
 
+@pytest.mark.parametrize("k", [1, 3, 9, 16, 31, 33])
+def test_profiles_against_counting(spark, monkeypatch, k):
+    """With several parts of a group in a task, over chunk borders, with codes, U and a group without a name."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(k)
+    text = lambda n: "".join(rng.choice("ACGTacgt" if rng.random() < 0.99 else "NUu-") for _ in range(n))
+    rows = [(rng.choice(["a", "b", None]), i, text(rng.choice([0, 5, 40, 300])) + "ACGTTGCA" * 6) for i in range(60)] + [("c", 99, "ACNNU"), ("d", 100, None)]
+    monkeypatch.setattr(kmer, "HELD", 50)
+    monkeypatch.setattr(kmer.chunks, "chunked", lambda g, overlap, f=kmer.chunks.chunked: f(g, overlap, 37))
+    want: dict = {}
+    for species, _, s in rows:
+        for i in range(len(s or "") - k + 1):
+            w = s[i : i + k].upper()
+            if set(w) <= set("ACGT"):
+                want.setdefault(species, Counter())[w] += 1
+    df = spark.createDataFrame(rows, "species string, rec long, seq string")
+    got = {r["species"]: (r["n_kmers"], r["n_distinct"]) for r in kmer.profile(df, k).collect()}
+    assert got == {g: (sum(c.values()), len(c)) for g, c in want.items()}
+
+
+def test_no_row_for_a_kmer(spark):
+    df = spark.createDataFrame([("a", 1, "ACGTACGTACGTACGT")], "species string, rec long, seq string")
+    plan = kmer.profile(df, 12)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "MapInArrow" in plan  # the chunks
+
+
 def test_sampling_reads_the_bases_once_and_once_a_round(spark):
     met = spark.sparkContext.accumulator(0)
 
