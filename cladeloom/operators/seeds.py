@@ -463,7 +463,7 @@ def merged(found: DataFrame) -> DataFrame:
     A diagonal has as many segments as fit a gene, so no group is large.
     """
     place = ["gene_id", "strand", "species", "rec", "diagonal"]
-    rows = found.withColumn("diagonal", F.col("t_start") - F.col("q_start")).distinct()
+    rows = found.withColumn("diagonal", F.col("t_start") - F.col("q_start")).repartition(*place).distinct()
     by = Window.partitionBy(*place).orderBy("q_start", "q_end")
     before = F.max("q_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("run", F.sum(F.when(F.col("q_start") >= before, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))

@@ -195,6 +195,12 @@ def test_segments_against_a_walk_from_every_seed(spark, monkeypatch, size):
         assert any(x[2] == best[2] for x in own)
 
 
+def test_segments_move_once(spark):
+    found = spark.createDataFrame([], "gene_id int, strand string, species string, rec long, q_start int, q_end int, t_start long, score long")
+    plan = seeds.merged(found.repartition(3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def _best_chain(q0, q1, t0, score, reach, cost):
     best = 0
     n = len(q0)
