@@ -519,15 +519,6 @@ def chains(found: DataFrame, reach: int, cost: int = 10, least: int = 0) -> Data
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     rows = rows.select(*keys, "q_start", "q_end", "t_start", "score").repartition(*keys).sortWithinPartitions(*keys, "t_start", "q_start", "q_end")
 
-    def group(table: pa.Table) -> Iterator[tuple[int, tuple]]:
-        q0, q1, t0, score = (table.column(c).to_numpy().astype(np.int64) for c in ("q_start", "q_end", "t_start", "score"))
-        zone = table.column("zone")[0].as_py()
-        got = chain(q0, q1, t0, score, reach, cost) if len(q0) > 1 else [(int(score[0]), [0])]
-        for total, own in got:
-            first, last = own[0], own[-1]
-            if t0[first] // step == zone and total >= least:
-                yield first, (q0[first], q1[last], t0[first], t0[last] + q1[last] - q0[last], total, len(own))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*keys[:4], *(x.split()[0] for x in CHAIN.split(", "))]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
@@ -535,13 +526,22 @@ def chains(found: DataFrame, reach: int, cost: int = 10, least: int = 0) -> Data
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             """Whole groups of sorted rows."""
-            at = _edges(table, keys)
-            for lo in range(0, len(at) - 1, 4096):
-                part = at[lo : lo + 4097]
-                got = [(a + k, r) for a, b in zip(part, part[1:]) for k, r in group(table.slice(a, b - a))]
+            at = np.array(_edges(table, keys))
+            q0, q1, t0, score, zone = (table.column(c).to_numpy().astype(np.int64) for c in ("q_start", "q_end", "t_start", "score", "zone"))
+            n, at = np.diff(at), at[:-1]
+            alone = at[n == 1]
+            alone = alone[(t0[alone] // step == zone[alone]) & (score[alone] >= least)]
+            found = [(alone, alone, score[alone], np.ones(len(alone), np.int64))]
+            for a, b in zip(at[n > 1].tolist(), (at + n)[n > 1].tolist()):
+                got = [(a + own[0], a + own[-1], total, len(own)) for total, own in chain(q0[a:b], q1[a:b], t0[a:b], score[a:b], reach, cost)]
+                got = [x for x in got if t0[x[0]] // step == zone[a] and x[2] >= least]
                 if got:
-                    where = pa.array([k for k, _ in got])
-                    yield pa.RecordBatch.from_arrays([*(table.column(c).take(where).combine_chunks() for c in keys[:4]), *(pa.array(c, t) for c, t in zip(zip(*(r for _, r in got)), types))], names=names)
+                    found.append(tuple(map(np.array, zip(*got))))
+            first, last, total, many = (np.concatenate(x) for x in zip(*found))
+            for lo in range(0, len(first), ROWS):
+                f, e = first[lo : lo + ROWS], last[lo : lo + ROWS]
+                columns = [q0[f], q1[e], t0[f], t0[e] + q1[e] - q0[e], total[lo : lo + ROWS], many[lo : lo + ROWS]]
+                yield pa.RecordBatch.from_arrays([*(table.column(c).take(pa.array(f)).combine_chunks() for c in keys[:4]), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])

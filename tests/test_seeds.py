@@ -125,6 +125,22 @@ def test_a_slab_is_looked_through_without_walks_over_its_index(monkeypatch):
         gc.enable()
 
 
+def test_few_windows_are_cut_where_the_chunks_lie(spark):
+    """Whatever size Spark takes the genome for, its bases are not moved to meet the candidates."""
+    rng = random.Random(2)
+    text = "".join(rng.choice("ACGT") for _ in range(400))
+    genes = spark.createDataFrame([(1, text[100:300])], "gene_id int, seq string")
+    genome = spark.createDataFrame([("a", 1, text), ("b", 2, text[50:])], "species string, rec long, seq string")
+    cfg = Config(gene_count=1, length=200, mode="fast", seed_length=24)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = modes.similarity_join(genes, genome, cfg)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and found.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_spaced_seeds_are_more_sensitive_at_seventy_percent(spark):
     rng = random.Random(5)
     genes = [(k, "".join(rng.choice("ACGT") for _ in range(64))) for k in range(400)]
@@ -201,6 +217,22 @@ def test_segments_move_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_lone_segments_are_their_own_chains(spark, monkeypatch):
+    """Also where a batch ends between groups, and in the zone of the segment only."""
+    rng = random.Random(12)
+    rows = {(k % 3, "+-"[k % 2], "ab"[k % 2], k, 0, 30, rng.randrange(400), rng.randrange(50, 90)) for k in range(300)}
+    rows |= {(9, "+", "a", 7, q, q + 10, 100 + q, 40) for q in (0, 10, 20)}
+    monkeypatch.setattr(seeds, "ROWS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        found = spark.createDataFrame(sorted(rows), "gene_id int, strand string, species string, rec long, q_start int, q_end int, t_start long, score long")
+        got = sorted(tuple(r) for r in seeds.chains(found, 50, least=60).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(*r[:6], r[6], r[6] + 30, r[7], 1) for r in rows if r[0] != 9 and r[7] >= 60] + [(9, "+", "a", 7, 0, 30, 100, 130, 120, 3)]
+    assert got == sorted(want)
+
+
 def _best_chain(q0, q1, t0, score, reach, cost):
     best = 0
     n = len(q0)
