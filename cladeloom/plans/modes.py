@@ -61,8 +61,11 @@ def similarity_join(genes: DataFrame, genome: DataFrame, cfg: Config) -> DataFra
     ``4 * length + 2 * seed_length`` bases beyond each.
     """
     own = chunks.chunked(genome, 4 * cfg.length + 2 * cfg.seed_length)
-    cand = candidates(genes, own, cfg).join(genes.select("gene_id", F.col("seq").alias("gene")), "gene_id")
-    cand = chunks.at(cand, own, "at", "length", name="window").select("species", "gene_id", "rec", "strand", "at", "gene", "window")
+    cand = settle(candidates(genes, own, cfg))
+    cand = chunks.at(cand, own, "at", "length", name="window", few=cand.count() <= sampling.FEW)
+    # small rows with much work each: as many parts, by number, as keep all slots busy
+    cand = cand.repartition(4 * cand.sparkSession.sparkContext.defaultParallelism, "gene_id", "rec", "strand", "at")
+    cand = cand.join(genes.select("gene_id", F.col("seq").alias("gene")), "gene_id").select("species", "gene_id", "rec", "strand", "at", "gene", "window")
     costs = {"matrix": cfg.matrix or msa.HOXD55, "start": 400, "step": 30} if cfg.deep else {"start": 4, "step": 2}
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
