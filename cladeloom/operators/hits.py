@@ -14,12 +14,13 @@ ORDER = ("score", "line_no", "pos")
 
 
 def ranked(hits: DataFrame, most: int | None = None) -> DataFrame:
-    """Adds ``rn``: the rank by score, line and position, all descending, within species and gene.
+    """Adds ``rn``: the rank by score, line and position, all descending, within species and gene; hits of both
+    strands at one place stand + first.
 
     With ``most``, only that many ranks stay, which Spark pushes below the shuffle as a group
     limit: a group never sends more than ``most`` rows from a task.
     """
-    w = Window.partitionBy(*KEYS).orderBy(*(F.desc(c) for c in ORDER))
+    w = Window.partitionBy(*KEYS).orderBy(*(F.desc(c) for c in ORDER), *(c for c in ("strand",) if c in hits.columns))
     out = hits.withColumn("rn", F.row_number().over(w))
     return out if most is None else out.filter(F.col("rn") <= most)
 

@@ -44,7 +44,7 @@ def candidates(genes: DataFrame, genome: DataFrame, cfg: Config) -> DataFrame:
     reach, room = 2 * cfg.length, cfg.length // 4
     matrix = (cfg.matrix or msa.HOXD55) if cfg.deep else msa.HOXD55
     found = seeds.segments(genes, genome, cfg.length, cfg.pattern, cfg.steps, cfg.mode != "fast", seeds.CODE_WORDS, matrix, cfg.segment_drop, cfg.segment_score)
-    best = Window.partitionBy("species", "gene_id").orderBy(F.desc("score"), "rec", "t_start", "strand")
+    best = Window.partitionBy("species", "gene_id").orderBy(F.desc("score"), "rec", "t_start", "strand", "q_start", "t_end", "q_end")
     kept = seeds.chains(found, reach).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= 2 * cfg.max_dup)
     at = F.greatest(F.col("t_start") - F.col("q_start") - room, F.lit(0)).cast("long")
     own = kept.join(genes.select("gene_id", F.length("seq").alias("n")), "gene_id").withColumn("at", at)
@@ -84,7 +84,10 @@ def similarity_join(genes: DataFrame, genome: DataFrame, cfg: Config) -> DataFra
     kind = genes.schema["gene_id"].dataType.simpleString()
     pairs = cand.mapInArrow(extend, f"species string, gene_id {kind}, score long, line_no long, pos long, strand string, a string, b string, gene_length int, seq string")
     good = alignments.pair_filter(pairs, cfg.identity_deep if cfg.deep else cfg.identity, cfg.coverage, cfg.continuity)
-    best = hits.query_best(good.dropDuplicates(["species", "gene_id", "line_no", "pos", "strand"]), cfg.max_dup)
+    # of alignments that begin at one place, the best, and of equal ones always the same
+    place = ["species", "gene_id", "line_no", "pos", "strand"]
+    once = good.groupBy(*place).agg(F.max(F.struct("score", "seq")).alias("b")).select(*place, "b.score", "b.seq")
+    best = hits.query_best(once, cfg.max_dup)
     return best.select("species", "gene_id", "score", "line_no", "pos", "strand", "seq")
 
 

@@ -141,6 +141,15 @@ def test_few_windows_are_cut_where_the_chunks_lie(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_strands_at_one_place_have_one_order(spark):
+    from cladeloom.operators import hits
+
+    rows = [("a", g, 10, 1, 5, s, "ACGT") for g in range(40) for s in "-+"]
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, "species string, gene_id int, score long, line_no long, pos long, strand string, seq string").coalesce(1)
+        assert {r["strand"] for r in hits.ranked(df, 1).collect()} == {"+"}
+
+
 def test_spaced_seeds_are_more_sensitive_at_seventy_percent(spark):
     rng = random.Random(5)
     genes = [(k, "".join(rng.choice("ACGT") for _ in range(64))) for k in range(400)]
